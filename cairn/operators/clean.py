@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairn.operators.ordering import order_bucket, positions
+from cairn.operators.ordering import fit_row, order_bucket, positions
 
 
 def filter_open(df: DataFrame, flag: str = "Open") -> DataFrame:
@@ -40,8 +40,8 @@ def assign_where(df: DataFrame, column: str, condition: Column, value) -> DataFr
 
 def impute_mean(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """Null -> column mean, taken from ``fit`` (default: the table itself); one aggregate for all columns."""
-    means = (fit or df).agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), means.getField(c)) for c in columns})
+    means = fit_row(fit or df, {c: F.avg(c) for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in columns})
 
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.operators.joins import attach
-from cairn.operators.ordering import order_bucket, percentiles, positions
+from cairn.operators.ordering import fit_row, order_bucket, percentiles, positions
 
 
 def category_codes(df: DataFrame, column: str, first: int = 1) -> DataFrame:
@@ -29,15 +29,19 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return category_codes(df, column, first=0)
 
 
-def frequencies(df: DataFrame, column: str) -> DataFrame:
-    """Relative frequency of each value."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_rows"))
-    total = counts.agg(F.sum("n_rows")).scalar()
-    return counts.withColumn("freq", F.col("n_rows") / total)
+def frequencies(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Relative frequency of each value, with the rows behind it."""
+    known = df.filter(F.col(column).isNotNull())
+    counts = known.groupBy(column).agg(F.count("*").alias("n_rows"))
+    return counts.withColumn(name, F.col("n_rows") / known.select(column).count())
 
 
-def encode_frequency(df: DataFrame, column: str, name: str) -> DataFrame:
-    return attach(df, frequencies(df, column).withColumnRenamed("freq", name), [column], "n_rows", [name])
+def encode_frequency(df: DataFrame, columns: Mapping[str, str], fit: DataFrame | None = None) -> DataFrame:
+    """For each ``column: name``, the relative frequency in ``fit`` of the row's value."""
+    out = df
+    for column, name in columns.items():
+        out = attach(out, frequencies(fit or df, column, name), [column], "n_rows", [name])
+    return out
 
 
 def category_list(df: DataFrame, column: str, limit: int = 1000) -> list:
@@ -61,44 +65,29 @@ def one_hot(df: DataFrame, categories: dict[str, Sequence]) -> DataFrame:
 
 def scale_standard(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """z-score by the population deviation; null on a constant column."""
-    stats = (fit or df).agg(
-        F.struct(
-            *[F.avg(c).alias(f"m_{c}") for c in columns],
-            *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
-        )
-    ).scalar()
-    return df.withColumns(
-        {c: F.try_divide(F.col(c) - stats.getField(f"m_{c}"), stats.getField(f"s_{c}")) for c in columns}
-    )
+    exprs = {f"m_{c}": F.avg(c) for c in columns} | {f"s_{c}": F.stddev_pop(c) for c in columns}
+    at = fit_row(fit or df, exprs)
+    return df.withColumns({c: _scaled(c, at[f"m_{c}"], at[f"s_{c}"]) for c in columns})
 
 
 def scale_minmax(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """Position in the fitted range; null on a constant column."""
-    stats = (fit or df).agg(
-        F.struct(
-            *[F.min(c).cast("double").alias(f"lo_{c}") for c in columns],
-            *[F.max(c).cast("double").alias(f"hi_{c}") for c in columns],
-        )
-    ).scalar()
-    lo = {c: stats.getField(f"lo_{c}") for c in columns}
-    return df.withColumns(
-        {c: F.try_divide(F.col(c) - lo[c], stats.getField(f"hi_{c}") - lo[c]) for c in columns}
-    )
+    exprs = {f"lo_{c}": F.min(c) for c in columns} | {f"w_{c}": F.max(c) - F.min(c) for c in columns}
+    at = fit_row(fit or df, exprs)
+    return df.withColumns({c: _scaled(c, at[f"lo_{c}"], at[f"w_{c}"]) for c in columns})
 
 
 def scale_robust(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """Distance from the median in interquartile ranges, from exact percentiles."""
-    wanted = {f"{q}_{c}": (c, v) for c in columns for q, v in (("a", 0.25), ("b", 0.5), ("c", 0.75))}
-    row = percentiles(fit or df, [], wanted)
-    stats = row.agg(F.struct(*[F.max(n).alias(n) for n in wanted])).scalar()
-    return df.withColumns(
-        {
-            c: F.try_divide(
-                F.col(c) - stats.getField(f"b_{c}"), stats.getField(f"c_{c}") - stats.getField(f"a_{c}")
-            )
-            for c in columns
-        }
-    )
+    wanted = {f"{q}_{c}": (c, v) for c in columns for q, v in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
+    at = fit_row(percentiles(fit or df, [], wanted), {n: F.max(n) for n in wanted})
+    spread = {c: None if at[f"q1_{c}"] is None else at[f"q3_{c}"] - at[f"q1_{c}"] for c in columns}
+    return df.withColumns({c: _scaled(c, at[f"q2_{c}"], spread[c]) for c in columns})
+
+
+def _scaled(column: str, centre: float | None, width: float | None) -> Column:
+    value = F.col(column).cast("double") - F.lit(centre).cast("double")
+    return F.try_divide(value, F.lit(width).cast("double"))
 
 
 def log_standardize(df: DataFrame, vector: str, size: int, fit: DataFrame | None = None) -> DataFrame:
@@ -106,14 +95,10 @@ def log_standardize(df: DataFrame, vector: str, size: int, fit: DataFrame | None
     logged = F.transform(F.col(vector), F.log1p)
     fitted = (fit or df).select(logged.alias("v"))
     at = [F.get(F.col("v"), F.lit(i)) for i in range(size)]
-    stats = fitted.agg(
-        F.struct(
-            F.array(*[F.avg(a) for a in at]).alias("mean"),
-            F.array(*[F.stddev_pop(a) for a in at]).alias("std"),
-        )
-    ).scalar()
-    centred = F.zip_with(logged, stats.getField("mean"), lambda x, m: x - m)
-    return df.withColumn(vector, F.zip_with(centred, stats.getField("std"), F.try_divide))
+    stats = fit_row(fitted, {"mean": F.array(*[F.avg(a) for a in at]), "std": F.array(*[F.stddev_pop(a) for a in at])})
+    mean, std = (F.array(*[F.lit(x).cast("double") for x in stats[n]]) for n in ("mean", "std"))
+    centred = F.zip_with(logged, mean, lambda x, m: x - m)
+    return df.withColumn(vector, F.zip_with(centred, std, F.try_divide))
 
 
 def pca_project(df: DataFrame, columns: Sequence[str], k: int = 10, output: str = "pca") -> DataFrame:

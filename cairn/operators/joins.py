@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 SALTS = 64
-HOT_SHARE = 1.0 / 20_000  # at most 20,000 keys can each hold more than this share of all rows
-HOT_ROWS = 1_000_000  # keys below this many rows are never worth salting
+HOT_ROWS = 10_000_000  # a table of 10**12 rows has at most 100,000 keys above this
 
 
 def join_dimension(fact: DataFrame, dimension: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -21,12 +20,9 @@ def join_dimension(fact: DataFrame, dimension: DataFrame, on: str | Sequence[str
     return fact.join(dimension, on)
 
 
-def hot_keys(
-    stats: DataFrame, on: Sequence[str], rows: str, share: float = HOT_SHARE, floor: int = HOT_ROWS
-) -> DataFrame:
-    """Keys of ``stats`` whose row count is large enough to slow one task; at most ``1/share`` rows."""
-    total = stats.agg(F.sum(rows).cast("double")).scalar()
-    return stats.filter(F.col(rows) > F.greatest(total * share, F.lit(float(floor)))).select(*on)
+def hot_keys(stats: DataFrame, on: Sequence[str], rows: str, floor: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``floor`` rows behind them; their number is below total rows / ``floor``."""
+    return stats.filter(F.col(rows) > floor).select(*on)
 
 
 def attach(
@@ -35,7 +31,6 @@ def attach(
     on: Sequence[str],
     count: str,
     keep: Sequence[str],
-    share: float = HOT_SHARE,
     floor: int = HOT_ROWS,
 ) -> DataFrame:
     """Left-join one-row-per-key ``stats`` to ``rows``; ``count`` holds the rows behind each key.
@@ -43,16 +38,11 @@ def attach(
     Rows of hot keys are spread over ``SALTS`` partitions and only those keys' statistics are copied.
     """
     on = list(on)
-    hot = hot_keys(stats, on, count, share, floor).withColumn("_hot", F.lit(True))
-    hot = F.broadcast(hot)  # bounded by 1/share rows
-    spread = F.pmod(F.xxhash64(*on, *rows.columns, F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    hot = F.broadcast(hot_keys(stats, on, count, floor).withColumn("_hot", F.lit(True)))
+    spread = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(SALTS)).cast("int")
     left = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        stats.join(hot, on, "left")
-        .withColumn("_salt", F.explode(copies))
-        .select(*on, "_salt", *keep)
-    )
+    copies = F.when(F.col(count) > floor, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = stats.withColumn("_salt", F.explode(copies)).select(*on, "_salt", *keep)
     return left.join(right, [*on, "_salt"], "left").select(*rows.columns, *keep)
 
 

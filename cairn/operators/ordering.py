@@ -8,6 +8,7 @@ only, so a group holding a third of all rows is still spread over many tasks.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -15,21 +16,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 BUCKETS = 4096
 
 
-def range_bucket(value: Column, lo: Column, hi: Column, buckets: int = BUCKETS) -> Column:
+def range_bucket(value: Column, lo: float | None, hi: float | None, buckets: int = BUCKETS) -> Column:
     """Equal-width slice of ``[lo, hi]``; monotone in ``value``, 0 where the range is empty."""
-    at = (value.cast("double") - lo) * F.lit(float(buckets)) / F.nullif(hi - lo, F.lit(0.0))
-    return F.coalesce(F.least(F.floor(at), F.lit(buckets - 1)), F.lit(0)).cast("int")
-
-
-def _common_prefix_length(a: Column, b: Column) -> Column:
-    steps = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda done, i: F.when(
-            (done == i - 1) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))), i
-        ).otherwise(done),
-    )
+    if lo is None or float(lo) == float(hi):
+        return F.lit(0)
+    at = (value.cast("double") - F.lit(float(lo))) * float(buckets) / (float(hi) - float(lo))
+    return F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(buckets - 1)).cast("int")
+
+
+def fit_row(df: DataFrame, exprs: Mapping[str, Column]) -> dict:
+    """One row of statistics as plain values, so that they enter later plans as constants."""
+    return df.agg(*[e.alias(n) for n, e in exprs.items()]).first().asDict()
 
 
 def order_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
@@ -38,15 +35,12 @@ def order_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
     Strings are cut to the few characters that follow the prefix shared by all of them.
     """
     kind = df.schema[column].dataType
-    bounds = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
+    value = F.unix_date(column) if isinstance(kind, T.DateType) else F.col(column)
+    ends = fit_row(df, {"lo": F.min(value), "hi": F.max(value)})
     if isinstance(kind, T.StringType):
-        start = _common_prefix_length(lo, hi) + 1
-        return F.substr(F.col(column), start, F.lit(3))
-    value = F.col(column)
-    if isinstance(kind, T.DateType):
-        value, lo, hi = (F.unix_date(c) for c in (value, lo, hi))
-    return range_bucket(value, lo.cast("double"), hi.cast("double"), buckets)
+        shared = len(os.path.commonprefix([ends["lo"] or "", ends["hi"] or ""]))
+        return F.substr(value, F.lit(shared + 1), F.lit(3))
+    return range_bucket(value, ends["lo"], ends["hi"], buckets)
 
 
 def prefix_sums(
@@ -124,15 +118,13 @@ def percentiles(
     percentile needs, and only the distinct values of those buckets are ordered.
     """
     columns = sorted({c for c, _ in wanted.values()})
-    bounds = df.agg(
-        F.struct(
-            *[F.min(c).cast("double").alias(f"lo_{i}") for i, c in enumerate(columns)],
-            *[F.max(c).cast("double").alias(f"hi_{i}") for i, c in enumerate(columns)],
-        )
-    ).scalar()
+    ends = fit_row(
+        df,
+        {f"{side}_{i}": fn(c).cast("double") for i, c in enumerate(columns) for side, fn in (("lo", F.min), ("hi", F.max))},
+    )
     slices = F.lit(0)
     for i in range(len(columns)):
-        cut = range_bucket(F.col("_value"), bounds.getField(f"lo_{i}"), bounds.getField(f"hi_{i}"), buckets)
+        cut = range_bucket(F.col("_value"), ends[f"lo_{i}"], ends[f"hi_{i}"], buckets)
         slices = F.when(F.col("_stat") == i, cut).otherwise(slices)
 
     cells = F.array(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.columns import hash_unit
 from cairn.operators.joins import attach
-from cairn.operators.ordering import BUCKETS, order_bucket, positions, smallest_per_group
+from cairn.operators.ordering import BUCKETS, fit_row, order_bucket, positions, smallest_per_group
 
 
 def split_holdout(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -31,11 +31,9 @@ def split_shuffle(df: DataFrame, key: str, rounds: int, fraction: float, seed: i
 
 def split_kfold(df: DataFrame, key: str, folds: int) -> DataFrame:
     """Contiguous folds by key order; the first ``n % folds`` folds hold one row more."""
-    total = df.agg(F.count("*")).scalar()
-    small, extra = F.floor(total / folds), total % folds
-    pos = F.col("pos")
-    head = extra * (small + 1)
-    fold = F.when(pos < head, F.floor(pos / (small + 1))).otherwise(extra + F.floor((pos - head) / small))
+    small, extra = divmod(df.count(), folds)
+    pos, head = F.col("pos"), extra * (small + 1)
+    fold = F.when(pos < head, F.floor(pos / (small + 1))).otherwise(extra + F.floor((pos - head) / max(small, 1)))
     return positions(df, [key], order_bucket(df, key)).withColumn("fold", fold.cast("int"))
 
 
@@ -97,8 +95,8 @@ def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight ``n / (k * n_class)`` of each class, with its size."""
     sizes = df.groupBy(label).agg(F.count("*").alias("n_rows"))
-    total = sizes.agg(F.struct(F.sum("n_rows").alias("n"), F.count("*").alias("k"))).scalar()
-    return sizes.withColumn("weight", total.getField("n") / (total.getField("k") * F.col("n_rows")))
+    total = fit_row(sizes, {"n": F.sum("n_rows"), "k": F.count("*")})
+    return sizes.withColumn("weight", F.lit(total["n"]) / (F.col("n_rows") * total["k"]))
 
 
 def weigh_classes(df: DataFrame, label: str, name: str = "weight") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.columns import ratio
 from cairn.operators.joins import attach
-from cairn.operators.ordering import percentiles, range_bucket
+from cairn.operators.ordering import fit_row, percentiles, range_bucket
 
 STORE_STATS = (
     "Sales_mean", "sales_median", "sales_max", "sales_min", "Customers_mean", "Customers_median",
@@ -80,17 +80,15 @@ def describe(df: DataFrame, value: Column, name: str) -> DataFrame:
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
-    quartiles = percentiles(values, [], cuts).agg(F.struct(*[F.max(c).alias(c) for c in cuts])).scalar()
-    return moments.withColumns({c: quartiles.getField(c) for c in cuts})
+    quartiles = fit_row(percentiles(values, [], cuts), {c: F.max(c) for c in cuts})
+    return moments.withColumns({c: F.lit(v).cast("double") for c, v in quartiles.items()})
 
 
 def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
     """Equal-width bins over the range; the last bin is closed."""
     values = df.filter(F.col(column).isNotNull())
-    b = values.agg(
-        F.struct(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
-    ).scalar()
-    at = range_bucket(F.col(column), b.getField("lo"), b.getField("hi"), bins)
+    ends = fit_row(values, {"lo": F.min(column), "hi": F.max(column)})
+    at = range_bucket(F.col(column), ends["lo"], ends["hi"], bins)
     return values.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 

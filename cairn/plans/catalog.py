@@ -2,6 +2,9 @@
 
 from cairn.plans import (  # noqa: F401
     q_clean,
+    q_features,
+    q_sample,
     q_sources,
+    q_stats,
 )
 from cairn.plans.registry import ORACLES, QUERIES  # noqa: F401

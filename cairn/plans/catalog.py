@@ -3,6 +3,8 @@
 from cairn.plans import (  # noqa: F401
     q_clean,
     q_features,
+    q_metrics,
+    q_raster,
     q_sample,
     q_sources,
     q_stats,

@@ -4,6 +4,7 @@ from cairn.plans import (  # noqa: F401
     q_clean,
     q_features,
     q_metrics,
+    q_models,
     q_raster,
     q_sample,
     q_sources,

@@ -23,18 +23,19 @@ BASKET_COLUMNS = ["FinelineNumber", "Upc", "Department", "ScanCount", "Count", "
 
 def retail_frames(spark, d):
     """Train and test vectors; the feature table is written once and both sides read it back."""
-    table = cut_lineage(retail_with_stats(spark, d).withColumn("label", F.log1p("Sales")))
-    rows = L.assemble(table, RETAIL_COLUMNS, ["Id", "side", "label"])
+    table = retail_with_stats(spark, d).withColumn("label", F.log1p("Sales"))
+    rows = cut_lineage(L.assemble(table, RETAIL_COLUMNS, ["Id", "side", "label"]))
     return rows.filter("side = 'train'"), rows.filter("side = 'test'")
 
 
 def basket_frames(spark, d):
     """Visit vectors with balanced weights, split 88/12."""
-    visits = X.build_basket_features(V.basket(spark, d))
+    visits = cut_lineage(X.build_basket_features(V.basket(spark, d)))
     coded = E.apply_codes(visits, E.label_codes(visits, "TripType"), "TripType", "code")
-    table = cut_lineage(L.balanced(coded.withColumn("label", F.col("code").cast("double"))))
-    rows = L.assemble(E.scale_minmax(table, BASKET_COLUMNS), BASKET_COLUMNS, ["VisitNumber", "label", "weight"])
-    split = split_holdout(rows, "VisitNumber", 0.12, 10)
+    table = L.balanced(coded, "code").withColumn("label", F.col("code").cast("double"))
+    scaled = E.scale_minmax(table, BASKET_COLUMNS, fit=visits)
+    rows = L.assemble(scaled, BASKET_COLUMNS, ["VisitNumber", "label", "weight"])
+    split = cut_lineage(split_holdout(rows, "VisitNumber", 0.12, 10))
     return split.filter("is_test = 0"), split.filter("is_test = 1")
 
 
@@ -43,8 +44,8 @@ def product_frames(spark, d, fraction: float = 0.2):
     sizes = V.product(spark, d).withColumn("features", F.transform("features", F.abs))
     scaled = E.log_standardize(sizes, "features", 64)
     rows = E.apply_codes(scaled, E.label_codes(scaled, "target"), "target", "code")
-    rows = cut_lineage(rows.withColumn("label", F.col("code").cast("double")))
-    split = split_holdout(L.assemble_array(rows, "features", ["id", "label"]), "id", fraction, 21)
+    rows = L.assemble_array(rows.withColumn("label", F.col("code").cast("double")), "features", ["id", "label"])
+    split = cut_lineage(split_holdout(rows, "id", fraction, 21))
     return split.filter("is_test = 0"), split.filter("is_test = 1")
 
 
@@ -190,7 +191,7 @@ def grid_search(spark, d):
     ]
     best = min(v for _, _, v in named)
     return spark.createDataFrame(
-        [(t, n, float(v), v == best) for t, n, v in named], "trees int, min_leaf int, log_loss double, best boolean"
+        [(int(t), int(n), float(v), bool(v == best)) for t, n, v in named], "trees int, min_leaf int, log_loss double, best boolean"
     )
 
 

@@ -269,7 +269,7 @@ def histogram_100(spark, d):
 )
 def visit_mean_probability(spark, d):
     """Mean class-probability vector of each visit over its lines."""
-    orders = V.table(spark, d, "orders").count()
+    orders = V.row_count(spark, d, "orders")
     rows = V.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("VisitNumber"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % orders).alias("Id")
     )

@@ -5,6 +5,8 @@ The source tables hold no nulls, so the views plant nulls, zeros and returns by
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TRAIN_END = "2000-01-01"
@@ -16,10 +18,18 @@ CLASSES = (1, 2, 3, 4, 5)
 TARGETS = tuple(f"Class_{i}" for i in range(1, 11))
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table; the footers are read once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=256)
+def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a table, answered from the file footers."""
+    return table(spark, sf_dir, name).count()
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS Store",
@@ -37,7 +47,7 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stores = table(spark, sf_dir, "supplier").count()  # answered from the file footers
+    stores = row_count(spark, sf_dir, "supplier")
     return (
         table(spark, sf_dir, "orders")
         .withColumn("Store", F.col("o_custkey") % F.lit(stores).cast("bigint"))

@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.operators.joins import attach
 from cairn.operators.ordering import fit_row, order_bucket, percentiles, positions
+from cairn.sources.scratch import cut_lineage
 
 
 def category_codes(df: DataFrame, column: str, first: int = 1) -> DataFrame:
-    """Codes ``first..`` of the distinct values in sorted order, with the rows behind each value."""
+    """Codes ``first..`` of the distinct values in sorted order, with the rows behind each value.
+
+    The distinct values are written once, so that ordering them does not read ``df`` again.
+    """
     values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_rows"))
+    values = cut_lineage(values)
     ranked = positions(values, [column], order_bucket(values, column), name="code")
     return ranked.withColumn("code", (F.col("code") + first).cast("int"))
 
@@ -29,18 +34,28 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return category_codes(df, column, first=0)
 
 
-def frequencies(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Relative frequency of each value, with the rows behind it."""
-    known = df.filter(F.col(column).isNotNull())
-    counts = known.groupBy(column).agg(F.count("*").alias("n_rows"))
-    return counts.withColumn(name, F.col("n_rows") / known.select(column).count())
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows behind every value of several columns as ``(column, value, n_rows)``, from one pass; values as text."""
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    )
+    long = df.select(F.inline(cells)).filter(F.col("value").isNotNull())
+    return cut_lineage(long.groupBy("column", "value").agg(F.count("*").alias("n_rows")))
 
 
 def encode_frequency(df: DataFrame, columns: Mapping[str, str], fit: DataFrame | None = None) -> DataFrame:
     """For each ``column: name``, the relative frequency in ``fit`` of the row's value."""
+    counts = value_counts(fit or df, list(columns))
+    totals = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n_rows").alias("n")).collect()}
+    types = dict(df.dtypes)
     out = df
     for column, name in columns.items():
-        out = attach(out, frequencies(fit or df, column, name), [column], "n_rows", [name])
+        mine = counts.filter(F.col("column") == column).select(
+            F.col("value").cast(types[column]).alias(column),
+            "n_rows",
+            (F.col("n_rows") / totals.get(column, 1)).alias(name),
+        )
+        out = attach(out, mine, [column], "n_rows", [name])
     return out
 
 

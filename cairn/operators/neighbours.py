@@ -27,7 +27,10 @@ def _matrix(pdf: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        total += (a[:, j, None] - b[None, :, j]) ** 2
+    return total
 
 
 def assign_cells(df: DataFrame, features: Sequence[str], pivots: np.ndarray) -> DataFrame:
@@ -118,7 +121,7 @@ def nearest(
             pivot_distance = have["radius"].to_numpy()
             order = np.lexsort((ids,))  # smaller keys first, so a stable sort breaks ties by key
             x, ids, y, pivot_distance = x[order], ids[order], y[order], pivot_distance[order]
-            step = max(1, BLOCK // (len(x) * len(names)))
+            step = max(1, BLOCK // len(x))
             for start in range(0, len(ask), step):
                 block = ask.iloc[start : start + step]
                 d2 = _squared(_matrix(block, names), x)
@@ -150,7 +153,7 @@ def knn_regress(
     features: Sequence[str],
     target: str,
     k: int = 9,
-    pivots: int = 64,
+    pivots: int = 256,
 ) -> DataFrame:
     """Mean target of the ``k`` nearest rows, weighted by 1/distance; exact hits outweigh all others."""
     rows = nearest(train, queries, key, features, target, k, pivots)

@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 BUCKETS = 4096
+GROUP_ROWS = 1_000_000  # a group up to this size may have its values gathered in one task
 
 
 def range_bucket(value: Column, lo: float | None, hi: float | None, buckets: int = BUCKETS) -> Column:
@@ -105,17 +106,63 @@ def smallest_per_group(
     )
 
 
+def _rank_value(ordered: Column, q: float) -> Column:
+    """Interpolated percentile of a sorted array; null when it is empty."""
+    at = F.lit(float(q)) * (F.size(ordered) - 1)
+    lo, hi = (F.get(ordered, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return lo + (hi - lo) * (at - F.floor(at))
+
+
+def group_stats(
+    df: DataFrame,
+    keys: Sequence[str],
+    wanted: Mapping[str, tuple[str, float]],
+    plain: Mapping[str, Column] | None = None,
+    limit: int = GROUP_ROWS,
+) -> DataFrame:
+    """Ordinary aggregates and exact percentiles per key, one row per key.
+
+    ``wanted`` maps an output name to ``(column, fraction)``; nulls are ignored and ranks in between are
+    interpolated. The largest group is counted first. Up to ``limit`` rows a group's values fit in one
+    task and everything is a single aggregate; beyond it the percentiles go through :func:`bucketed_percentiles`.
+    """
+    plain = dict(plain or {})
+    if keys:
+        largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    else:
+        largest = df.count()
+    if largest <= limit:
+        columns = {c: f"_sorted_{i}" for i, c in enumerate(sorted({c for c, _ in wanted.values()}))}
+        lists = [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(v) for c, v in columns.items()]
+        whole = df.groupBy(*keys).agg(*[e.alias(n) for n, e in plain.items()], *lists)
+        cuts = [_rank_value(F.col(columns[c]), q).alias(n) for n, (c, q) in wanted.items()]
+        return whole.select(*keys, *plain, *cuts)
+    cuts = bucketed_percentiles(df, keys, wanted)
+    if not plain:
+        return cuts
+    base = df.groupBy(*keys).agg(*[e.alias(n) for n, e in plain.items()])
+    if keys:
+        return base.join(cuts, list(keys), "left")
+    row = fit_row(cuts, {n: F.max(n) for n in wanted})
+    return base.withColumns({n: F.lit(v).cast("double") for n, v in row.items()})
+
+
 def percentiles(
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], limit: int = GROUP_ROWS
+) -> DataFrame:
+    return group_stats(df, keys, wanted, limit=limit)
+
+
+def bucketed_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Exact linearly interpolated percentiles, one row per key.
+    """Exact interpolated percentiles of groups of any size.
 
-    ``wanted`` maps an output name to ``(column, fraction)``. Nulls are ignored. All columns go
-    through one pass: distinct values are counted first (map-side), buckets locate the two ranks each
-    percentile needs, and only the distinct values of those buckets are ordered.
+    All columns go through one pass: distinct values are counted first (map-side), buckets locate the two
+    ranks each percentile needs, and only the distinct values of those buckets are ordered.
     """
     columns = sorted({c for c, _ in wanted.values()})
     ends = fit_row(

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairn.operators.joins import join_dimension
-from cairn.operators.ordering import percentiles
+from cairn.operators.joins import attach, join_dimension
+from cairn.operators.ordering import group_stats
 
 RING = r"\(([^()]+)\)"
 
@@ -140,16 +140,15 @@ def band_composite(vectors: DataFrame, red: int = 4, green: int = 2, blue: int =
 
 def band_percentiles(pixels: DataFrame, lower: float, higher: float, image: str = "ImageId") -> DataFrame:
     """Exact lower and upper percentile of each band of each image, with the band's pixel count."""
-    cuts = percentiles(pixels, [image, "band"], {"p_lo": ("value", lower / 100), "p_hi": ("value", higher / 100)})
-    counts = pixels.groupBy(image, "band").agg(F.count("value").alias("n_rows"))
-    return cuts.join(counts, [image, "band"])
+    cuts = {"p_lo": ("value", lower / 100), "p_hi": ("value", higher / 100)}
+    return group_stats(pixels, [image, "band"], cuts, {"n_rows": F.count("*")})
 
 
 def stretch(
     pixels: DataFrame, cuts: DataFrame, top: float, whole: bool, image: str = "ImageId"
 ) -> DataFrame:
     """Band values moved from the percentile range to ``[0, top]``; ``whole`` cuts the fraction."""
-    joined = pixels.join(cuts.select(image, "band", "p_lo", "p_hi"), [image, "band"])
+    joined = attach(pixels, cuts, [image, "band"], "n_rows", ["p_lo", "p_hi"])
     span = F.nullif(F.col("p_hi") - F.col("p_lo"), F.lit(0.0))
     t = F.least(F.greatest((F.col("value") - F.col("p_lo")) * top / span, F.lit(0.0)), F.lit(float(top)))
     t = F.when(span.isNotNull(), t)

@@ -63,7 +63,7 @@ def _poisson_counts(u: Column, most: int = 12) -> Column:
 def bootstrap_counts(df: DataFrame, key: str, replicate: int | Column) -> DataFrame:
     """Bootstrap multiplicity ``draws`` of each row; 0 means out of bag."""
     u = hash_unit(F.col(key), replicate if isinstance(replicate, Column) else F.lit(replicate))
-    return df.withColumn("draws", _poisson_counts(u))
+    return df.withColumn("_u", u).withColumn("draws", _poisson_counts(F.col("_u"))).drop("_u")
 
 
 def bootstrap(df: DataFrame, key: str, replicates: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.columns import ratio
 from cairn.operators.joins import attach
-from cairn.operators.ordering import fit_row, percentiles, range_bucket
+from cairn.operators.ordering import fit_row, group_stats, range_bucket
 
 STORE_STATS = (
     "Sales_mean", "sales_median", "sales_max", "sales_min", "Customers_mean", "Customers_median",
@@ -17,22 +17,22 @@ STORE_STATS = (
 
 
 def store_stats(df: DataFrame, keys: Sequence[str] = ("Store",)) -> DataFrame:
-    """All per-store statistics: one aggregate for the algebraic ones, one pass for both medians."""
-    keys = list(keys)
-    plain = df.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"),
-        F.avg("Sales").alias("Sales_mean"),
-        F.max("Sales").alias("sales_max"),
-        F.min("Sales").alias("sales_min"),
-        F.avg("Customers").alias("Customers_mean"),
-        F.sum("Promo").alias("promotion_time"),
-        F.sum("SchoolHoliday").alias("holidaySum"),
-    )
-    medians = percentiles(df, keys, {"sales_median": ("Sales", 0.5), "Customers_median": ("Customers", 0.5)})
-    return (
-        plain.join(medians, keys, "left")
-        .withColumn("buying", ratio(F.col("Sales_mean"), F.col("Customers_mean")))
-        .withColumn("buying_rate", ratio(F.col("sales_median"), F.col("Customers_median")))
+    """All per-store statistics in one aggregate (medians of very large stores in a second pass)."""
+    plain = {
+        "n_rows": F.count("*"),
+        "Sales_mean": F.avg("Sales"),
+        "sales_max": F.max("Sales"),
+        "sales_min": F.min("Sales"),
+        "Customers_mean": F.avg("Customers"),
+        "promotion_time": F.sum("Promo"),
+        "holidaySum": F.sum("SchoolHoliday"),
+    }
+    medians = {"sales_median": ("Sales", 0.5), "Customers_median": ("Customers", 0.5)}
+    return group_stats(df, list(keys), medians, plain).withColumns(
+        {
+            "buying": ratio(F.col("Sales_mean"), F.col("Customers_mean")),
+            "buying_rate": ratio(F.col("sales_median"), F.col("Customers_median")),
+        }
     )
 
 
@@ -72,16 +72,15 @@ def describe(df: DataFrame, value: Column, name: str) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles of one expression."""
     values = df.select(value.alias("v"))
     cuts = {"p25": ("v", 0.25), "p50": ("v", 0.5), "p75": ("v", 0.75)}
-    moments = values.agg(
-        F.lit(name).alias("stat_of"),
-        F.count("v").alias("n"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
-    quartiles = fit_row(percentiles(values, [], cuts), {c: F.max(c) for c in cuts})
-    return moments.withColumns({c: F.lit(v).cast("double") for c, v in quartiles.items()})
+    plain = {
+        "stat_of": F.lit(name),
+        "n": F.count("v"),
+        "mean": F.avg("v"),
+        "std": F.stddev_samp("v"),
+        "min": F.min("v"),
+        "max": F.max("v"),
+    }
+    return group_stats(values, [], cuts, plain)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.operators import raster as G, regions
+from cairn.operators.ordering import percentiles
 from cairn.plans import views as V
 from cairn.plans.q_stats import rounded
 from cairn.plans.registry import query
@@ -130,7 +131,7 @@ def union_class_blocks(spark, d):
 def band_percentiles(spark, d):
     cuts = {"p2": 0.02, "p98": 0.98, "p5": 0.05, "p95": 0.95}
     wanted = {n: ("value", q) for n, q in cuts.items()}
-    return rounded(G.percentiles(V.pixels(spark, d), ["ImageId", "band"], wanted), list(cuts))
+    return rounded(percentiles(V.pixels(spark, d), ["ImageId", "band"], wanted), list(cuts))
 
 
 STRETCH_SQL = """q AS (SELECT ImageId, band, quantile_cont(value::double, {lo}) AS p_lo,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn.functions import columns as C
 from cairn.operators import stats as S
 from cairn.operators.encode import category_codes, apply_codes
-from cairn.operators.ordering import percentiles
+from cairn.operators.ordering import group_stats, percentiles
 from cairn.plans import views as V
 from cairn.plans.q_clean import WEEKDAY_SQL
 from cairn.plans.registry import query
@@ -42,10 +42,9 @@ def store_sales_extremes(spark, d):
     _store_query([], "round(avg(Customers), 6) AS Customers_mean, round(median(Customers), 6) AS Customers_median"),
 )
 def store_customers_stats(spark, d):
-    sales = V.sales(spark, d)
-    mean = sales.groupBy("Store").agg(F.avg("Customers").alias("Customers_mean"))
-    median = percentiles(sales, ["Store"], {"Customers_median": ("Customers", 0.5)})
-    return rounded(mean.join(median, "Store"), ["Customers_mean", "Customers_median"])
+    median = {"Customers_median": ("Customers", 0.5)}
+    out = group_stats(V.sales(spark, d), ["Store"], median, {"Customers_mean": F.avg("Customers")})
+    return rounded(out, ["Customers_mean", "Customers_median"])
 
 
 @query("store_buying_ratio", _store_query([], "round(avg(Sales) / nullif(avg(Customers), 0), 6) AS buying"))

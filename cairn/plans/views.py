@@ -30,6 +30,12 @@ def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, name).count()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core where a small input file would leave the work in one task; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS Store",
@@ -74,7 +80,7 @@ def test(df: DataFrame) -> DataFrame:
 
 
 def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     orders = table(spark, sf_dir, "orders")
     parts = table(spark, sf_dir, "part")
     return (
@@ -105,7 +111,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for m, k in zip(MODELS, (7, 3, 5, 9))]
     )
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"), "o_orderkey")
         .withColumn("m", F.explode(models))
         .selectExpr(
             "o_orderkey AS Id",
@@ -122,7 +128,7 @@ def class_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scores = "transform(array(1, 2, 3, 4, 5), c -> CAST(1 + (o_orderkey * (c + m.k)) % 7 AS double))"
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"), "o_orderkey")
         .withColumn("m", F.explode(models))
         .withColumn("sc", F.expr(scores))
         .withColumn("total", F.expr("aggregate(sc, 0.0D, (a, x) -> a + x)"))
@@ -153,11 +159,9 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.sequence(F.lit(0), F.lit(RASTER - 1))
+    lines = polygons(spark, sf_dir).select("ImageId").distinct().withColumn("y", F.explode(side))
     return (
-        polygons(spark, sf_dir)
-        .select("ImageId")
-        .distinct()
-        .withColumn("y", F.explode(side))
+        lines.repartition(spark.sparkContext.defaultParallelism, "ImageId")
         .withColumn("x", F.explode(side))
         .withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
         .withColumn(

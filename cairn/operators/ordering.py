@@ -106,6 +106,34 @@ def smallest_per_group(
     )
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; the shuffle carries one number per key and task."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def distinct_counts(
+    df: DataFrame,
+    keys: Sequence[str],
+    distinct: Mapping[str, str],
+    plain: Mapping[str, Column],
+    limit: int = GROUP_ROWS // 10,
+) -> DataFrame:
+    """Exact distinct counts ``name: column`` and ordinary aggregates per key.
+
+    Spark's distinct counts copy every row once per counted column. Where no group exceeds ``limit`` rows
+    the values of a group are gathered and counted in place instead, and rows are shuffled once.
+    """
+    aggs = [e.alias(n) for n, e in plain.items()]
+    if largest_group(df, keys) > limit:
+        return df.groupBy(*keys).agg(*[F.count_distinct(c).alias(n) for n, c in distinct.items()], *aggs)
+    packed = F.struct(*[F.col(c).alias(n) for n, c in distinct.items()])
+    rows = df.groupBy(*keys).agg(F.collect_list(packed).alias("_rows"), *aggs)
+    counts = [F.size(F.array_distinct(F.array_compact(F.col(f"_rows.{n}")))).cast("bigint").alias(n) for n in distinct]
+    return rows.select(*keys, *counts, *plain)
+
+
 def _rank_value(ordered: Column, q: float) -> Column:
     """Interpolated percentile of a sorted array; null when it is empty."""
     at = F.lit(float(q)) * (F.size(ordered) - 1)
@@ -127,11 +155,7 @@ def group_stats(
     task and everything is a single aggregate; beyond it the percentiles go through :func:`bucketed_percentiles`.
     """
     plain = dict(plain or {})
-    if keys:
-        largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    else:
-        largest = df.count()
-    if largest <= limit:
+    if largest_group(df, keys) <= limit:
         columns = {c: f"_sorted_{i}" for i, c in enumerate(sorted({c for c, _ in wanted.values()}))}
         lists = [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(v) for c, v in columns.items()]
         whole = df.groupBy(*keys).agg(*[e.alias(n) for n, e in plain.items()], *lists)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.columns import ratio
 from cairn.operators.joins import attach
-from cairn.operators.ordering import fit_row, group_stats, range_bucket
+from cairn.operators.ordering import distinct_counts, fit_row, group_stats, range_bucket
 
 STORE_STATS = (
     "Sales_mean", "sales_median", "sales_max", "sales_min", "Customers_mean", "Customers_median",
@@ -43,17 +43,15 @@ def attach_store_stats(df: DataFrame, stats: DataFrame, keep: Sequence[str] = ST
 
 def visit_profile(lines: DataFrame, key: str = "VisitNumber") -> DataFrame:
     """Distinct counts, line counts and constants of each visit in a single aggregate."""
-    return lines.groupBy(key).agg(
-        F.count_distinct("FinelineNumber").alias("FinelineNumber"),
-        F.count_distinct("Upc").alias("Upc"),
-        F.count_distinct("Department").alias("Department"),
-        F.sum("ScanCount").alias("ScanCount"),
-        F.count("ScanCount").alias("Count"),
-        F.count("FinelineNumber").alias("FinelineNumberSum"),
-        F.count("Upc").alias("UpcSum"),
-        F.avg("WeekdayNumber").alias("WeekdayNumber"),
-        F.avg("TripType").cast("int").alias("TripType"),
-    )
+    plain = {
+        "ScanCount": F.sum("ScanCount"),
+        "Count": F.count("ScanCount"),
+        "FinelineNumberSum": F.count("FinelineNumber"),
+        "UpcSum": F.count("Upc"),
+        "WeekdayNumber": F.avg("WeekdayNumber"),
+        "TripType": F.avg("TripType").cast("int"),
+    }
+    return distinct_counts(lines, [key], {c: c for c in ("FinelineNumber", "Upc", "Department")}, plain)
 
 
 def group_means(df: DataFrame, key: str, columns: Sequence[str], count: str) -> DataFrame:

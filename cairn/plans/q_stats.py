@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn.functions import columns as C
 from cairn.operators import stats as S
 from cairn.operators.encode import category_codes, apply_codes
-from cairn.operators.ordering import group_stats, percentiles
+from cairn.operators.ordering import distinct_counts, group_stats, percentiles
 from cairn.plans import views as V
 from cairn.plans.q_clean import WEEKDAY_SQL
 from cairn.plans.registry import query
@@ -150,10 +150,8 @@ def visit_mean_all(spark, d):
     ),
 )
 def visit_distinct_profile(spark, d):
-    return lines(spark, d).groupBy("VisitNumber").agg(
-        F.sum("ScanCount").alias("ScanCount"),
-        *[F.count_distinct(c).alias(c) for c in ("FinelineNumber", "Upc", "Department", "WeekdayNumber")],
-    )
+    counted = {c: c for c in ("FinelineNumber", "Upc", "Department", "WeekdayNumber")}
+    return distinct_counts(lines(spark, d), ["VisitNumber"], counted, {"ScanCount": F.sum("ScanCount")})
 
 
 @query(

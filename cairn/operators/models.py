@@ -34,6 +34,7 @@ from cairn.functions.columns import hash_unit
 from cairn.operators import metrics as K
 from cairn.operators.ordering import fit_row
 from cairn.operators.sample import bootstrap_counts, split_holdout, weigh_classes
+from cairn.sources.scratch import cut_lineage
 
 
 @contextmanager
@@ -312,22 +313,24 @@ def seed_average(
 def repeated_holdout(
     make: Callable[[], Estimator], df: DataFrame, key: str, rounds: int = 10, fraction: float = 0.25, seed: int = 43
 ) -> DataFrame:
-    """Accuracy and one-vs-rest area (second class) of repeated hold-out fits, one row per round."""
-    reports = []
+    """Accuracy, one-vs-rest area (second class) and confusion table of repeated hold-out fits.
+
+    All rounds are scored into one table, so each metric is a single aggregate grouped by round.
+    """
+    scored = None
     with cached(df) as (rows,):
         for i in range(1, rounds + 1):
             held = hash_unit(key, seed, i) < fraction
-            scored = score_classes(make().fit(rows.filter(~held)), rows.filter(held), "p").select(
+            part = score_classes(make().fit(rows.filter(~held)), rows.filter(held), "p").select(
                 F.lit(i).alias("iter"),
                 "label",
                 "prediction",
                 F.get("p", F.lit(1)).alias("score"),
                 (F.col("label") == 1).cast("int").alias("hit"),
             )
-            with cached(scored) as (s,):
-                acc = K.accuracy(s, "label", "prediction", ["iter"]).first()["accuracy"]
-                auc = K.roc_auc(s, "hit", "score", ["iter"]).first()["auc"]
-                cells = K.confusion(s, "label", "prediction").select(F.struct("label", "prediction", "n"))
-                table = sorted(tuple(r[0]) for r in cells.collect())  # classes squared rows
-            reports.append((i, acc, auc, [f"{int(a)}:{int(b)}:{n}" for a, b, n in table]))
-    return df.sparkSession.createDataFrame(reports, "iter int, accuracy double, auc double, confusion array<string>")
+            scored = part if scored is None else scored.unionByName(part)
+        scored = cut_lineage(scored)
+    cells = K.confusion(scored, "label", "prediction", ["iter"]).groupBy("iter")
+    table = cells.agg(F.array_sort(F.collect_list(F.struct("label", "prediction", "n"))).alias("confusion"))
+    accuracy = K.accuracy(scored, "label", "prediction", ["iter"])
+    return accuracy.join(K.roc_auc(scored, "hit", "score", ["iter"]), "iter").join(table, "iter")

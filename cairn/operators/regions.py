@@ -26,7 +26,7 @@ def runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def gaps(run: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Background between two runs of the same row, and ``open`` rows beside the first and last run."""
+    """Background between two neighbouring runs of the same row."""
     line = W.partitionBy(*keys, "y").orderBy("x0")
     return (
         run.withColumn("_next", F.lead("x0").over(line))
@@ -35,9 +35,9 @@ def gaps(run: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def with_id(run: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every run named by its key, row and start."""
-    return run.withColumn("id", F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "y", "x0")]))
+def with_id(run: DataFrame, keys: Sequence[str], kind: str = "r") -> DataFrame:
+    """Every run named by its kind, key, row and start."""
+    return run.withColumn("id", F.concat_ws("|", F.lit(kind), *[F.col(c).cast("string") for c in (*keys, "y", "x0")]))
 
 
 def touching(run: DataFrame, keys: Sequence[str], corner: int) -> DataFrame:
@@ -90,11 +90,12 @@ def _star(edges: DataFrame, moved, floor: int) -> DataFrame:
     return out.select(F.greatest("p", "m").alias("u"), F.least("p", "m").alias("v")).distinct()
 
 
-def label(run: DataFrame, keys: Sequence[str], corner: int) -> DataFrame:
-    """Runs with the id of their component in ``root``."""
-    named = with_id(run, keys)
-    roots = components(touching(named, keys, corner))
-    return named.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+def label(run: DataFrame, gap: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Runs and gaps with the id of their component in ``root``; both kinds share the same rounds."""
+    fore, back = with_id(run, keys, "r"), with_id(gap, keys, "g")
+    roots = components(touching(fore, keys, 1).unionByName(touching(back, keys, 0)))
+    named = [side.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) for side in (fore, back)]
+    return named[0], named[1]
 
 
 def _summary(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -111,11 +112,9 @@ def mask_regions(mask: DataFrame, keys: Sequence[str], min_area: int = 10) -> Da
     """Outer regions and holes of at least ``min_area`` pixels; a hole names the region around it."""
     keys = list(keys)
     run = cut_lineage(runs(mask, keys))
-    fore = label(run, keys, corner=1)
+    fore, back = label(run, gaps(run, keys), keys)
     outer = _summary(fore, keys).withColumn("kind", F.lit("outer")).withColumn("parent", F.lit(None).cast("string"))
 
-    gap = gaps(run, keys)
-    back = label(gap, keys, corner=0)
     leaks = _leaks(back, run, keys)
     holes = back.join(leaks, "root", "left_anti")
     left = fore.select(*keys, "y", (F.col("x1") + 1).alias("x0"), F.col("root").alias("around"))

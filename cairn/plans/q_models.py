@@ -1,7 +1,12 @@
-"""Training, scoring, stacking and model selection."""
+"""Training, scoring, stacking and model selection.
+
+Feature frames are written to the shared folder once per session and read by every training query.
+"""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -21,6 +26,7 @@ RETAIL_COLUMNS = [*X.RETAIL_FEATURES, "Sales_mean", "sales_median", "sales_max",
 BASKET_COLUMNS = ["FinelineNumber", "Upc", "Department", "ScanCount", "Count", "WeekdayNumber", *X.BASKET_RATIOS]
 
 
+@lru_cache(maxsize=16)
 def retail_frames(spark, d):
     """Train and test vectors; the feature table is written once and both sides read it back."""
     table = retail_with_stats(spark, d).withColumn("label", F.log1p("Sales"))
@@ -28,6 +34,7 @@ def retail_frames(spark, d):
     return rows.filter("side = 'train'"), rows.filter("side = 'test'")
 
 
+@lru_cache(maxsize=16)
 def basket_frames(spark, d):
     """Visit vectors with balanced weights, split 88/12."""
     visits = cut_lineage(X.build_basket_features(V.basket(spark, d)))
@@ -39,6 +46,7 @@ def basket_frames(spark, d):
     return split.filter("is_test = 0"), split.filter("is_test = 1")
 
 
+@lru_cache(maxsize=16)
 def product_frames(spark, d, fraction: float = 0.2):
     """Standardised product vectors, split by hash."""
     sizes = V.product(spark, d).withColumn("features", F.transform("features", F.abs))

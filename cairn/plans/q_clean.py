@@ -235,7 +235,7 @@ def join_store_dim(spark, d):
     "join_train_stats_to_test",
     V.sql(
         """WITH m AS (SELECT Store, avg(Sales) AS a, median(Sales) AS b FROM train GROUP BY Store)
-        SELECT t.Id, t.Store, round(m.a, 6) AS Sales_mean, round(m.b, 6) AS sales_median
+        SELECT t.Id, t.Store, round(m.a + 1e-9, 6) AS Sales_mean, round(m.b + 1e-9, 6) AS sales_median
         FROM test t LEFT JOIN m ON t.Store = m.Store""",
         "train",
         "test",
@@ -245,7 +245,7 @@ def join_train_stats_to_test(spark, d):
     sales = V.sales(spark, d)
     keep = ["Sales_mean", "sales_median"]
     out = attach_store_stats(V.test(sales).select("Id", "Store"), store_stats(V.train(sales)), keep)
-    return out.withColumns({c: F.round(c, 6) for c in keep})
+    return out.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in keep})
 
 
 @query(

@@ -9,7 +9,7 @@ from cairn.operators import clean, encode as E, features as X, joins
 from cairn.operators.stats import attach_store_stats, store_stats
 from cairn.plans import views as V
 from cairn.plans.q_clean import WEEKDAY_SQL
-from cairn.plans.q_stats import FRACTIONS, FUSED_SQL, lines, rounded
+from cairn.plans.q_stats import FRACTIONS, FUSED_SQL, rounded, settled
 from cairn.plans.registry import query
 
 DATE_SQL = """year(Date)::int AS Year, month(Date)::int AS Month, day(Date)::int AS Day,
@@ -98,7 +98,7 @@ def retail_with_stats(spark, d):
 )
 def retail_features(spark, d):
     """Flagship: the whole retail feature build with train statistics on both sides."""
-    return rounded(retail_with_stats(spark, d).drop("Customers"), FRACTIONS)
+    return settled(retail_with_stats(spark, d).drop("Customers"), FRACTIONS)
 
 
 @query(

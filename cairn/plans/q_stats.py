@@ -17,29 +17,33 @@ def rounded(df, names, digits=6):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-def _store_query(names: list[str], agg_sql: str):
-    """Oracle of a subset of the store statistics."""
+def settled(df, names):
+    """Rounded to 6 digits after a nudge off exact ties, which float sums reach from either side."""
+    return df.withColumns({n: F.round(F.col(n) + 1e-9, 6) for n in names})
+
+
+def _store_query(agg_sql: str) -> str:
     return V.sql(f"SELECT Store, {agg_sql} FROM sales GROUP BY Store", "sales")
 
 
-@query("store_sales_mean", _store_query([], "round(avg(Sales), 6) AS Sales_mean"))
+@query("store_sales_mean", _store_query("round(avg(Sales) + 1e-9, 6) AS Sales_mean"))
 def store_sales_mean(spark, d):
-    return V.sales(spark, d).groupBy("Store").agg(F.round(F.avg("Sales"), 6).alias("Sales_mean"))
+    return V.sales(spark, d).groupBy("Store").agg(F.round(F.avg("Sales") + 1e-9, 6).alias("Sales_mean"))
 
 
-@query("store_sales_median", _store_query([], "round(median(Sales), 6) AS sales_median"))
+@query("store_sales_median", _store_query("round(median(Sales), 6) AS sales_median"))
 def store_sales_median(spark, d):
     return rounded(percentiles(V.sales(spark, d), ["Store"], {"sales_median": ("Sales", 0.5)}), ["sales_median"])
 
 
-@query("store_sales_extremes", _store_query([], "max(Sales) AS sales_max, min(Sales) AS sales_min"))
+@query("store_sales_extremes", _store_query("max(Sales) AS sales_max, min(Sales) AS sales_min"))
 def store_sales_extremes(spark, d):
     return V.sales(spark, d).groupBy("Store").agg(F.max("Sales").alias("sales_max"), F.min("Sales").alias("sales_min"))
 
 
 @query(
     "store_customers_stats",
-    _store_query([], "round(avg(Customers), 6) AS Customers_mean, round(median(Customers), 6) AS Customers_median"),
+    _store_query("round(avg(Customers), 6) AS Customers_mean, round(median(Customers), 6) AS Customers_median"),
 )
 def store_customers_stats(spark, d):
     median = {"Customers_median": ("Customers", 0.5)}
@@ -47,7 +51,7 @@ def store_customers_stats(spark, d):
     return rounded(out, ["Customers_mean", "Customers_median"])
 
 
-@query("store_buying_ratio", _store_query([], "round(avg(Sales) / nullif(avg(Customers), 0), 6) AS buying"))
+@query("store_buying_ratio", _store_query("round(avg(Sales) / nullif(avg(Customers), 0), 6) AS buying"))
 def store_buying_ratio(spark, d):
     return V.sales(spark, d).groupBy("Store").agg(
         F.round(C.ratio(F.avg("Sales"), F.avg("Customers")), 6).alias("buying")
@@ -56,28 +60,28 @@ def store_buying_ratio(spark, d):
 
 @query(
     "store_buying_rate_median",
-    _store_query([], "round(median(Sales) / nullif(median(Customers), 0), 6) AS buying_rate"),
+    _store_query("round(median(Sales) / nullif(median(Customers), 0), 6) AS buying_rate"),
 )
 def store_buying_rate_median(spark, d):
     both = percentiles(V.sales(spark, d), ["Store"], {"s": ("Sales", 0.5), "c": ("Customers", 0.5)})
     return both.select("Store", F.round(C.ratio(F.col("s"), F.col("c")), 6).alias("buying_rate"))
 
 
-@query("store_promo_count", _store_query([], "sum(Promo)::bigint AS promotion_time"))
+@query("store_promo_count", _store_query("sum(Promo)::bigint AS promotion_time"))
 def store_promo_count(spark, d):
     return V.sales(spark, d).groupBy("Store").agg(F.sum("Promo").alias("promotion_time"))
 
 
-@query("store_holiday_count", _store_query([], "sum(SchoolHoliday)::bigint AS \"holidaySum\""))
+@query("store_holiday_count", _store_query("sum(SchoolHoliday)::bigint AS \"holidaySum\""))
 def store_holiday_count(spark, d):
     return V.sales(spark, d).groupBy("Store").agg(F.sum("SchoolHoliday").alias("holidaySum"))
 
 
-FUSED_SQL = """round(avg(Sales), 6) AS Sales_mean, round(median(Sales), 6) AS sales_median,
-  max(Sales) AS sales_max, min(Sales) AS sales_min, round(avg(Customers), 6) AS Customers_mean,
-  round(median(Customers), 6) AS Customers_median, sum(Promo)::bigint AS promotion_time,
-  sum(SchoolHoliday)::bigint AS "holidaySum", round(avg(Sales) / nullif(avg(Customers), 0), 6) AS buying,
-  round(median(Sales) / nullif(median(Customers), 0), 6) AS buying_rate"""
+FUSED_SQL = """round(avg(Sales) + 1e-9, 6) AS Sales_mean, round(median(Sales) + 1e-9, 6) AS sales_median,
+  max(Sales) AS sales_max, min(Sales) AS sales_min, round(avg(Customers) + 1e-9, 6) AS Customers_mean,
+  round(median(Customers) + 1e-9, 6) AS Customers_median, sum(Promo)::bigint AS promotion_time,
+  sum(SchoolHoliday)::bigint AS "holidaySum", round(avg(Sales) / nullif(avg(Customers), 0) + 1e-9, 6) AS buying,
+  round(median(Sales) / nullif(median(Customers), 0) + 1e-9, 6) AS buying_rate"""
 FRACTIONS = ["Sales_mean", "sales_median", "Customers_mean", "Customers_median", "buying", "buying_rate"]
 
 
@@ -93,7 +97,7 @@ def store_stats_fused(spark, d):
     """Every training statistic of the store on every row of both sides."""
     sales = V.sales(spark, d)
     out = S.attach_store_stats(sales.select("Id", "Store"), S.store_stats(V.train(sales)))
-    return rounded(out, FRACTIONS)
+    return settled(out, FRACTIONS)
 
 
 @query(
@@ -106,7 +110,7 @@ def store_stats_fused(spark, d):
 )
 def store_stats_per_side(spark, d):
     side = F.when(F.col("Date") < F.lit(V.TRAIN_END).cast("date"), "train").otherwise("test")
-    return rounded(S.store_stats(V.sales(spark, d).withColumn("side", side), ["side", "Store"]), FRACTIONS)
+    return settled(S.store_stats(V.sales(spark, d).withColumn("side", side), ["side", "Store"]), FRACTIONS)
 
 
 # --- basket aggregates ---------------------------------------------------------------------------
@@ -258,9 +262,10 @@ def histogram_100(spark, d):
 @query(
     "visit_mean_probability",
     V.sql(
-        """SELECT l_orderkey AS VisitNumber, class, round(avg(p), 9) AS p, count(*) AS n_rows
-           FROM lineitem JOIN class_probs ON (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM orders) = Id
-           WHERE model = 'm1' GROUP BY 1, 2""",
+        """WITH l AS (SELECT l_orderkey AS VisitNumber, (l_partkey * 7 + l_suppkey) % n AS Id
+             FROM lineitem, (SELECT count(*) AS n FROM orders)),
+          c AS (SELECT * FROM class_probs WHERE model = 'm1')
+        SELECT VisitNumber, class, round(avg(p), 9) AS p, count(*) AS n_rows FROM l JOIN c USING (Id) GROUP BY 1, 2""",
         "class_probs",
     ),
 )

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.columns import clip, ratio
-from cairn.operators.ordering import BUCKETS, fit_row, prefix_sums, range_bucket
+from cairn.operators.ordering import order_bucket, prefix_sums
 
 
 def _score(df: DataFrame, by: Sequence[str], name: str, value: Column) -> DataFrame:
@@ -70,10 +70,7 @@ def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     scores = df.groupBy(*by, p).agg(
         F.sum(y).cast("double").alias("_pos"), F.sum(1 - F.col(y)).cast("double").alias("_neg")
     )
-    ends = fit_row(df, {"lo": F.min(p), "hi": F.max(p)})
-    ranked = prefix_sums(
-        scores, by, range_bucket(F.col(p), ends["lo"], ends["hi"], BUCKETS), [p], {"_below": F.col("_neg")}
-    )
+    ranked = prefix_sums(scores, by, order_bucket(scores, p), [p], {"_below": F.col("_neg")})
     area = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
     return _score(ranked, by, "auc", F.try_divide(area, F.sum("_pos") * F.sum("_neg")))
 

@@ -12,10 +12,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairn.functions.columns import hash_unit
-from cairn.operators.ordering import smallest_per_group
 
 TRAIN_CHUNK = 20_000  # training rows per group
 QUERY_CHUNK = 5_000  # queries per group
@@ -49,9 +48,9 @@ def assign_cells(df: DataFrame, features: Sequence[str], pivots: np.ndarray) ->
 def cell_summary(cells: DataFrame, key: str, k: int) -> list:
     """Per cell: rows, largest distance to the pivot and the ``k`` smallest ones (a few numbers per pivot)."""
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("far"))
-    top = sizes.agg(F.max("far")).first()[0] or 0.0
-    scored = cells.select("cell", key, "radius", (F.col("radius") / (top * 1.000001 + 1e-300)).alias("_s"))
-    near = smallest_per_group(scored, ["cell"], "_s", [key], k)
+    rank = F.row_number().over(W.partitionBy("cell").orderBy("radius", key))
+    # Spark limits each map task to k rows per cell before the shuffle
+    near = cells.select("cell", key, "radius").withColumn("_rank", rank).filter(F.col("_rank") <= k)
     near = near.groupBy("cell").agg(F.array_sort(F.collect_list("radius")).alias("near"))
     return sizes.join(near, "cell").collect()
 

@@ -1,9 +1,10 @@
 """Order statistics that never sort a whole group in one task.
 
 Every function here works in two steps. A cheap aggregate counts rows per *order-preserving bucket*
-(equal-width slices of a numeric range, or leading characters of a string); running totals over those
-few buckets give the number of rows before each bucket. Exact ordering is then needed inside a bucket
-only, so a group holding a third of all rows is still spread over many tasks.
+(between approximate quantiles of a number, or by leading characters of a string); running totals over
+those few buckets give the number of rows before each bucket. Exact ordering is then needed inside a
+bucket only, so a group holding a third of all rows is still spread over many tasks, also where the
+values crowd together. The quantiles only choose the cuts; results do not depend on them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-BUCKETS = 4096
+BUCKETS = 4096  # slices of a hash
+SPLITS = 1024  # buckets between approximate quantiles
 GROUP_ROWS = 1_000_000  # a group up to this size may have its values gathered in one task
 
 
@@ -30,18 +32,40 @@ def fit_row(df: DataFrame, exprs: Mapping[str, Column]) -> dict:
     return df.agg(*[e.alias(n) for n, e in exprs.items()]).first().asDict()
 
 
-def order_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
+def fit_splits(df: DataFrame, columns: Sequence[Column], buckets: int = SPLITS) -> list[list[float]]:
+    """Ascending cut points of each column, about as many rows between any two of them."""
+    values = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    at = [i / buckets for i in range(1, buckets)]
+    cuts = values.approxQuantile(values.columns, at, 1.0 / (4 * buckets))
+    return [sorted(set(c)) for c in cuts]
+
+
+def split_bucket(value: Column, splits: Sequence[float]) -> Column:
+    """Number of cut points at or below ``value``, by binary search in the fixed list of cuts."""
+    if not splits:
+        return F.lit(0)
+    cuts = F.array(*[F.lit(float(x)) for x in splits])
+    steps = [1 << k for k in reversed(range(len(splits).bit_length()))]
+    number = value.cast("double")
+    return F.aggregate(
+        F.array(*[F.lit(step) for step in steps]),
+        F.lit(0),
+        lambda n, step: F.when(number >= F.get(cuts, n + step - 1), n + step).otherwise(n),
+    )
+
+
+def order_bucket(df: DataFrame, column: str, buckets: int = SPLITS) -> Column:
     """Order-preserving bucket of a numeric, date or string column, fitted on ``df``.
 
     Strings are cut to the few characters that follow the prefix shared by all of them.
     """
     kind = df.schema[column].dataType
     value = F.unix_date(column) if isinstance(kind, T.DateType) else F.col(column)
-    ends = fit_row(df, {"lo": F.min(value), "hi": F.max(value)})
     if isinstance(kind, T.StringType):
+        ends = fit_row(df, {"lo": F.min(value), "hi": F.max(value)})
         shared = len(os.path.commonprefix([ends["lo"] or "", ends["hi"] or ""]))
         return F.substr(value, F.lit(shared + 1), F.lit(3))
-    return range_bucket(value, ends["lo"], ends["hi"], buckets)
+    return split_bucket(value, fit_splits(df, [value], buckets)[0])
 
 
 def prefix_sums(
@@ -181,7 +205,7 @@ def bucketed_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
-    buckets: int = BUCKETS,
+    buckets: int = SPLITS,
 ) -> DataFrame:
     """Exact interpolated percentiles of groups of any size.
 
@@ -189,14 +213,9 @@ def bucketed_percentiles(
     ranks each percentile needs, and only the distinct values of those buckets are ordered.
     """
     columns = sorted({c for c, _ in wanted.values()})
-    ends = fit_row(
-        df,
-        {f"{side}_{i}": fn(c).cast("double") for i, c in enumerate(columns) for side, fn in (("lo", F.min), ("hi", F.max))},
-    )
     slices = F.lit(0)
-    for i in range(len(columns)):
-        cut = range_bucket(F.col("_value"), ends[f"lo_{i}"], ends[f"hi_{i}"], buckets)
-        slices = F.when(F.col("_stat") == i, cut).otherwise(slices)
+    for i, splits in enumerate(fit_splits(df, [F.col(c) for c in columns], buckets)):
+        slices = F.when(F.col("_stat") == i, split_bucket(F.col("_value"), splits)).otherwise(slices)
 
     cells = F.array(
         *[F.struct(F.lit(i).alias("_stat"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)]

@@ -125,3 +125,16 @@ def test_bootstrap_mean_is_one(spark):
 def test_hash_unit_is_uniform(spark):
     got = spark.range(20000).select(hash_unit("id", 9).alias("h")).agg(F.avg("h"), F.min("h"), F.max("h")).first()
     assert got[0] == pytest.approx(0.5, abs=0.01) and 0 <= got[1] and got[2] < 1
+
+
+def test_crowded_values_are_still_split(spark):
+    """Nearly all rows lie in a billionth of the range; buckets must follow the rows, not the range."""
+    df = spark.range(4000).select("id", (F.exp(-F.col("id") / 40)).alias("v")).withColumn("k", F.lit("a"))
+    bucket = O.order_bucket(df, "v", 64)
+    worst = df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0]
+    assert worst < 400
+    got = O.positions(df, ["v"], bucket).collect()
+    assert all(r["pos"] == 3999 - r["id"] for r in got)
+    assert O.percentiles(df, ["k"], {"m": ("v", 0.5)}, limit=0).first()["m"] == pytest.approx(
+        np.median(np.exp(-np.arange(4000) / 40))
+    )

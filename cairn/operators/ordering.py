@@ -15,7 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 BUCKETS = 4096  # slices of a hash
-SPLITS = 1024  # buckets between approximate quantiles
+SPLITS = 256  # intervals between approximate quantiles
+PARTS = 64  # equal slices of such an interval
 GROUP_ROWS = 1_000_000  # a group up to this size may have its values gathered in one task
 
 
@@ -33,24 +34,34 @@ def fit_row(df: DataFrame, exprs: Mapping[str, Column]) -> dict:
 
 
 def fit_splits(df: DataFrame, columns: Sequence[Column], buckets: int = SPLITS) -> list[list[float]]:
-    """Ascending cut points of each column, about as many rows between any two of them."""
+    """Ascending cut points of each column from its least to its greatest value, equally many rows apart."""
     values = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    at = [i / buckets for i in range(1, buckets)]
+    at = [i / buckets for i in range(buckets + 1)]
     cuts = values.approxQuantile(values.columns, at, 1.0 / (4 * buckets))
     return [sorted(set(c)) for c in cuts]
 
 
-def split_bucket(value: Column, splits: Sequence[float]) -> Column:
-    """Number of cut points at or below ``value``, by binary search in the fixed list of cuts."""
+def split_bucket(value: Column, splits: Sequence[float], parts: int = PARTS) -> Column:
+    """Order-preserving bucket: the interval between two cuts, divided into ``parts`` equal slices.
+
+    The interval is found by binary search in the fixed list of cuts.
+    """
     if not splits:
         return F.lit(0)
     cuts = F.array(*[F.lit(float(x)) for x in splits])
     steps = [1 << k for k in reversed(range(len(splits).bit_length()))]
     number = value.cast("double")
+
+    def bucket(n: Column) -> Column:
+        lo, hi = F.get(cuts, n - 1), F.get(cuts, n)
+        inside = F.floor((number - lo) / (hi - lo) * float(parts))
+        return (n * parts + F.coalesce(F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1)), F.lit(0))).cast("int")
+
     return F.aggregate(
         F.array(*[F.lit(step) for step in steps]),
         F.lit(0),
         lambda n, step: F.when(number >= F.get(cuts, n + step - 1), n + step).otherwise(n),
+        bucket,
     )
 
 

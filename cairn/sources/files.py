@@ -41,7 +41,7 @@ def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 
 def asset_catalog(images: DataFrame, base: str, image: str = "ImageId") -> DataFrame:
-    """The four band files of every image."""
+    """The four band files of every image; the name patterns are fixed values of the data set."""
     files = F.array(
         *[
             F.struct(F.lit(kind).alias("kind"), F.format_string(f"{base}/{pattern}", F.col(image)).alias("path"))

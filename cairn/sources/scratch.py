@@ -1,11 +1,15 @@
 """Shared scratch folder for checkpoints and intermediate tables.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local master, where
-driver and executors share one disk, may fall back to a temporary folder of its own.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a single-process local
+master, where driver and executors share one disk, may fall back to a temporary folder of its own,
+which goes when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -18,9 +22,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairn.llm.quality import OP1_SQL, op1_quality_rules
+from cairn.llm.simhash import op4_simhash_golay
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_simhash_golay": op4_simhash_golay}
 ORACLES = {"op1_quality_rules": OP1_SQL}

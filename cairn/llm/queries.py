@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from cairn.llm.quality import OP1_SQL, op1_quality_rules
 from cairn.llm.simhash import op4_simhash_golay
+from cairn.llm.substring import op3_substring_dedup
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_simhash_golay": op4_simhash_golay}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_simhash_golay": op4_simhash_golay,
+}
 ORACLES = {"op1_quality_rules": OP1_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cairn.llm.bpe import op9_byte_bpe
 from cairn.llm.quality import OP1_SQL, op1_quality_rules
 from cairn.llm.simhash import op4_simhash_golay
 from cairn.llm.substring import op3_substring_dedup
@@ -10,5 +11,6 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_golay": op4_simhash_golay,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL}

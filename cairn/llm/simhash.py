@@ -7,9 +7,9 @@ fewer have such a code word in common: the word half way between them lies withi
 Of three segments with five wrong bits or fewer in all, two have at most two, so fingerprints within
 five bits share the index pair of two segments. Pairs that share a key are verified bit by bit.
 
-Dense groups: each key names a hub, the member with most documents. Members near the hub link to it
-alone; only members far from it meet the others of their key. No pair of two members near the same
-hub is made, and the links still connect the same fingerprints.
+Dense groups: first, members that share a nearest key link to at most three hubs of it, which joins
+a group of near copies by stars. Pairs are then made across the groups so found only, so two members
+of one group never meet, and the links still connect the same fingerprints.
 
 Edge cases: a null or blank text has fingerprint zero and links like any other. A null ``doc_id`` is
 carried through and never names a component unless all its documents have none. Repeated rows give
@@ -62,13 +62,15 @@ def golay_indices(x: np.ndarray, patterns: np.ndarray) -> np.ndarray:
     return np.where(found >= 0, (x[:, None] ^ found) >> CHECK_BITS, -1)
 
 
-def fuzzy_keys(fingerprints: np.ndarray, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fuzzy_keys(
+    fingerprints: np.ndarray, patterns: np.ndarray, nearest: bool
+) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and keys: index pairs of every two segments, tagged with the segments."""
     bits = fingerprints.view(np.uint64)
     parts = [
         golay_indices(
             ((bits >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64), patterns
-        )
+        )[:, : 1 if nearest else None]
         for at, width in SEGMENTS
     ]
     rows, keys = [], []
@@ -131,8 +133,8 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     )
 
 
-def keyed(fps: DataFrame) -> DataFrame:
-    """(key, fp, copies) for each row of (fp, copies) and each of its keys."""
+def keyed(fps: DataFrame, with_: str, nearest: bool = False) -> DataFrame:
+    """(key, fp, with_) for each row of ``fps`` and each of its keys, or its three nearest keys."""
     patterns = golay_patterns()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,41 +142,65 @@ def keyed(fps: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 fp = part.column(0).to_numpy(zero_copy_only=False)
-                rows, keys = fuzzy_keys(fp, patterns)
-                copies = part.column(1).to_numpy(zero_copy_only=False)
+                rows, keys = fuzzy_keys(fp, patterns, nearest)
+                other = part.column(1).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(fp[rows]), pa.array(copies[rows])],
-                    names=["key", "fp", "copies"],
+                    [pa.array(keys), pa.array(fp[rows]), pa.array(other[rows])],
+                    names=["key", "fp", with_],
                 )
 
-    return fps.select("fp", "copies").mapInArrow(run, "key int, fp bigint, copies bigint")
+    return fps.select("fp", with_).mapInArrow(run, f"key int, fp bigint, {with_} bigint")
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _stars(fps: DataFrame, most: int) -> DataFrame:
+    """Links from the fingerprints of a nearest key to its most copied, smallest and largest one."""
+    keys = keyed(fps, "copies", nearest=True)
+    hubs = keys.groupBy("key").agg(
+        F.max(F.struct("copies", "fp")).alias("top"),
+        F.min("fp").alias("lo"),
+        F.max("fp").alias("hi"),
+    )
+    hubs = hubs.filter("lo <> hi").select("key", F.array("top.fp", "lo", "hi").alias("hubs"))
+    met = keys.join(hubs, "key").select(F.col("fp").alias("a"), F.explode("hubs").alias("b"))
+    return met.filter((F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= most))
+
+
+def _first_tag(a: Column, b: Column) -> Column:
+    """The tag of the first two segments with two differing bits or fewer."""
+    x = a.bitwiseXOR(b)
+    close = [
+        F.bit_count(F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))) <= 2
+        for at, width in SEGMENTS
+    ]
+    return F.when(close[0] & close[1], 0).when(close[0] & close[2], 1).when(close[1] & close[2], 2)
+
+
 def links(fps: DataFrame, most: int = 4) -> DataFrame:
-    """(a, b): links between different fingerprints that connect all within ``most`` (up to five) bits."""
+    """(a, b): links between different fingerprints that connect all within ``most`` (up to five) bits.
+
+    Stars over the three nearest keys come first and merge what is dense; the full keys then only
+    make pairs across the groups found, each pair once for each code word pair that it shares.
+    """
     if most > 5:
         raise ValueError("two of three segments with two errors or fewer cover five bits at most")
-    keys = keyed(fps)
-    hubs = keys.groupBy("key").agg(
-        F.max(F.struct("copies", "fp")).alias("top"), F.count("*").alias("n")
-    )
-    hubs = hubs.filter("n > 1").select("key", F.col("top.fp").alias("hub"))
-    met = cut_lineage(keys.select("key", "fp").join(hubs, "key"))
-    near = distance(F.col("fp"), F.col("hub")) <= most
-    star = met.filter(near & (F.col("fp") != F.col("hub"))).select(
-        F.col("fp").alias("a"), F.col("hub").alias("b")
+    star = cut_lineage(_stars(fps, most).distinct())
+    grouped = fps.join(components(star, "a", "b"), F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")
     )
-    far = met.filter(~near).select("key", F.col("fp").alias("a"))
-    other = met.select("key", F.col("fp").alias("b"))
-    rest = far.join(
-        other,
-        (far["key"] == other["key"])
-        & (far["a"] != other["b"])
-        & (distance(far["a"], other["b"]) <= most),
+    keys = keyed(cut_lineage(grouped), "root")
+    one = keys.select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    two = keys.select(F.col("key").alias("other"), F.col("fp").alias("b"), F.col("root").alias("rb"))
+    rest = one.join(
+        two,
+        (F.col("key") == F.col("other"))
+        & (F.col("a") < F.col("b"))
+        & (F.col("ra") != F.col("rb"))
+        & (distance(F.col("a"), F.col("b")) <= most)
+        & (F.shiftright("key", 24) == _first_tag(F.col("a"), F.col("b"))),
     ).select("a", "b")
     return star.union(rest).distinct()
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,25 @@ def _edge_lists(window: int):
     return run
 
 
+def _packed(window: int):
+    """Compressed texts of at least ``window`` words: the only long column that is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(2)]
+            long = [i for i, x in enumerate(texts) if len(x.split(None, window)) >= window]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(pa.array(long, pa.int32())) for c in (0, 1)),
+                    pa.array([press.compress(texts[i]) for i in long], pa.binary()),
+                ],
+                names=["doc_id", "tkey", "packed"],
+            )
+
+    return run
+
+
 def _spread(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Which of n places lie in one of the ranges low..high (inclusive)."""
     ok = low <= high
@@ -126,14 +146,15 @@ def _resolve(window: int):
     reach = (window - KMER + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("text", "settled", "start", "h1", "h2", "open")}
+            out: dict[str, list] = {k: [] for k in ("packed", "settled", "start", "h1", "h2", "open")}
             keep = []
             for r in range(batch.num_rows):
                 me = batch.column(0)[r].as_py()
-                text = batch.column(2)[r].as_py()
+                packed = batch.column(2)[r].as_py()
                 rows = batch.column(3)[r].values
-                parts = text.split()
+                parts = press.decompress(packed).split()
                 hashes = word_hashes(parts)
                 rolling = Rolling(hashes, BASES[0])
                 _, start, end, turn = edges(rolling, window)
@@ -142,8 +163,9 @@ def _resolve(window: int):
                 order = np.argsort(at)
                 at = at[order]
                 column = lambda k: rows.field(k).to_numpy(zero_copy_only=False)[order]
-                count, links_out, links_in = column("n"), column("o"), column("p")
-                earlier = np.array([x < me for x in rows.field("lo").to_pylist()], bool)[order]
+                links_out, links_in = column("o"), column("p")
+                lows = np.array(rows.field("lo").to_pylist(), object)[order]
+                earlier = (lows < me).astype(bool)
 
                 def inner(which: np.ndarray) -> np.ndarray:
                     """Windows that have one of these edges as an inner one."""
@@ -156,8 +178,7 @@ def _resolve(window: int):
                 linked = (
                     (np.diff(at) == 1)
                     & (links_out[:-1] == links_in[1:])
-                    & (count[:-1] == count[1:])
-                    & (earlier[:-1] == earlier[1:])
+                    & (lows[:-1] == lows[1:])
                 )
                 head = np.flatnonzero(np.r_[True, ~linked])
                 tail = np.r_[head[1:], len(at)] - 1
@@ -172,17 +193,17 @@ def _resolve(window: int):
                     continue
                 keep.append(r)
                 other = Rolling(hashes * np.uint64(BASES[1]) ^ (hashes >> np.uint64(29)), BASES[1])
-                out["text"].append(text if len(done) or asks.any() else None)
+                out["packed"].append(packed if len(done) or asks.any() else None)
                 out["settled"].append(done.astype(np.int32))
                 out["start"].append(begin.astype(np.int32))
                 out["h1"].append(rolling.spans(begin, begin + window).view(np.int64))
                 out["h2"].append((other.spans(begin, begin + window) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 out["open"].append(asks)
             if keep:
-                ids = [batch.column(c).take(pa.array(keep)) for c in (0, 1)]
+                ids = [batch.column(c).take(pa.array(keep)) for c in (0, 1, 4)]
                 kinds = [pa.binary(), *(pa.list_(x) for x in (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()))]
                 cols = [pa.array(v, k) for v, k in zip(out.values(), kinds)]
-                yield pa.RecordBatch.from_arrays([*ids, *cols], names=["doc_id", "tkey", *out])
+                yield pa.RecordBatch.from_arrays([*ids, *cols], names=["doc_id", "tkey", "row", *out])
 
     return run
 
@@ -211,14 +232,21 @@ def cut(text: bytes, starts: list[int], window: int) -> tuple[bytes, int]:
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts, counts = [], []
-            for text, a, b in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
-                kept, n = cut(text, sorted({*(a or []), *(b or [])}), window)
-                texts.append(kept)
-                counts.append(n)
+            keep, texts, counts = [], [], []
+            for r, (me, packed, done, more) in enumerate(
+                zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)))
+            ):
+                starts = {*done, *(x["start"] for x in more or [] if x["lo"] < me)}
+                if starts:
+                    kept, n = cut(press.decompress(packed), sorted(starts), window)
+                    keep.append(r)
+                    texts.append(kept)
+                    counts.append(n)
+            ids = [batch.column(c).take(pa.array(keep, pa.int32())) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(counts, pa.int64())],
+                [*ids, pa.array(texts, pa.binary()), pa.array(counts, pa.int64())],
                 names=["doc_id", "tkey", "text", "n_removed"],
             )
 
@@ -241,13 +269,12 @@ def changes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     kind = docs.schema["doc_id"].dataType.simpleString()
     lists = docs.mapInArrow(_edge_lists(window), f"doc_id {kind}, tkey bigint, edges array<bigint>")
     lists = cut_lineage(lists.filter(F.size("edges") > 0).withColumn("row", F.monotonically_increasing_id()))
+    placed = lists.select("doc_id", "row", F.posexplode("edges").alias("i", "h"))
     graph = (
-        lists.select("doc_id", "row", F.posexplode("edges").alias("i", "h"))
-        .groupBy("h")
+        placed.groupBy("h")
         .agg(
             F.min("doc_id").alias("lo"),
             F.max("doc_id").alias("hi"),
-            F.count("*").alias("n"),
             F.bit_xor(F.xxhash64("row", "i")).alias("o"),
             F.bit_xor(F.xxhash64("row", F.col("i") - 1)).alias("p"),
         )
@@ -255,35 +282,40 @@ def changes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         .drop("hi")
     )
     paths = (
-        lists.select("doc_id", "tkey", F.posexplode("edges").alias("i", "h"))
+        placed.select("row", "i", "h")
         .join(graph, "h")
-        .groupBy("doc_id", "tkey")
-        .agg(F.collect_set(F.struct("i", "lo", "n", "o", "p")).alias("path"))
+        .groupBy("row")
+        .agg(F.collect_list(F.struct("i", "lo", "o", "p")).alias("path"))
+        .join(lists.groupBy("doc_id", "tkey").agg(F.min("row").alias("row")), "row")
     )
+    packed = docs.mapInArrow(_packed(window), f"doc_id {kind}, tkey bigint, packed binary")
     found = cut_lineage(
-        docs.join(paths, ["doc_id", "tkey"]).mapInArrow(
+        packed.join(paths, ["doc_id", "tkey"])
+        .select("doc_id", "tkey", "packed", "path", "row")
+        .mapInArrow(
             _resolve(window),
-            f"doc_id {kind}, tkey bigint, text binary, settled array<int>, start array<int>, "
-            "h1 array<bigint>, h2 array<int>, open array<boolean>",
+            f"doc_id {kind}, tkey bigint, row bigint, packed binary, settled array<int>, "
+            "start array<int>, h1 array<bigint>, h2 array<int>, open array<boolean>",
         )
     )
     hashed = found.select(
-        "doc_id", "tkey", F.explode(F.arrays_zip("start", "h1", "h2", "open")).alias("x")
-    ).select("doc_id", "tkey", "x.*")
+        "doc_id", "row", F.explode(F.arrays_zip("start", "h1", "h2", "open")).alias("x")
+    ).select("doc_id", "row", "x.*")
     shared = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     hits = (
         hashed.filter("open")
+        .select("h1", "h2", "row", "start")
         .join(shared.filter("lo <> hi").drop("hi"), ["h1", "h2"])
-        .filter("lo < doc_id")
-        .groupBy("doc_id", "tkey")
-        .agg(F.collect_set("start").alias("more"))
+        .groupBy("row")
+        .agg(F.collect_set(F.struct("start", "lo")).alias("more"))
     )
     touched = (
-        found.filter("text IS NOT NULL")
-        .select("doc_id", "tkey", "text", "settled")
-        .join(hits, ["doc_id", "tkey"], "left")
+        found.filter("packed IS NOT NULL")
+        .select("doc_id", "tkey", "packed", "settled", "row")
+        .dropDuplicates(["row"])
+        .join(hits, "row", "left")
         .filter("size(settled) > 0 OR more IS NOT NULL")
-        .dropDuplicates(["doc_id", "tkey"])
+        .select("doc_id", "tkey", "packed", "settled", "more")
     )
     return touched.mapInArrow(
         _cut(window), f"doc_id {kind}, tkey bigint, text binary, n_removed bigint"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cairn.llm.bpe import op9_byte_bpe
 from cairn.llm.credentials import op8_secret_scan
+from cairn.llm.pii import op6_contextual_pii
 from cairn.llm.quality import OP1_SQL, op1_quality_rules
 from cairn.llm.simhash import op4_simhash_golay
 from cairn.llm.substring import op3_substring_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_golay": op4_simhash_golay,
+    "op6_contextual_pii": op6_contextual_pii,
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
 }

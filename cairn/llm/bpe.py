@@ -1,14 +1,13 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 The rank file gives the vocabulary; its merges follow from the ranks (the two parts into which the
-lower ranks merge a token). Each byte stands for one printable character inside the library, and the
-library's offsets refer to the text's own characters. Decoding maps characters back to bytes and
-joins them before reading UTF-8, so characters split over tokens come back whole; ids that end
-inside a character give U+FFFD in the text form and the exact bytes in the byte form.
+lower ranks merge a token). Each byte stands for one printable character inside the library; byte
+positions of the tokens give offsets in the text's own characters. Decoding maps characters back to
+bytes and joins them before reading UTF-8, so characters split over tokens come back whole; ids that
+end inside a character give U+FFFD in the text form and the exact bytes in the byte form.
 
 Edge cases: null and empty texts have no tokens, empty bytes and an empty text. Special tokens don't
-exist: their strings are ordinary text. Long texts are encoded one by one, others in groups of about
-a million bytes. Repeated rows give repeated results, an empty table gives an empty table, other
+exist: their strings are ordinary text. Texts are encoded one by one and whole. Repeated rows give repeated results, an empty table gives an empty table, other
 columns aren't touched. Unknown ids raise an error.
 """
 
@@ -16,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,13 +25,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import fresh, table
 
-GROUP_BYTES = 1 << 20
-
-
-def default_ranks() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Rank file of the default vocabulary, in the folder of public tokenizers.
+RANKS = "byte_bpe_50k.tiktoken"
+#: Different pieces that a task remembers at a time.
+KNOWN_PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,55 +54,77 @@ def merge_parts(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
-def tokenizer_json(ranks: dict[bytes, int]) -> str:
-    """The library's own form of the tokenizer; its size is that of the vocabulary."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
+def model_spec(ranks: dict[bytes, int]) -> dict:
+    """Vocabulary and merges over byte characters; the size is that of the rank file."""
     chars = byte_characters()
     shown = lambda raw: "".join(chars[b] for b in raw)
     in_order = sorted((r, t) for t, r in ranks.items() if len(t) > 1)
-    merges = [tuple(map(shown, merge_parts(t, ranks))) for _, t in in_order]
-    vocab = {shown(t): r for t, r in ranks.items()}
-    made = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
-    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-    return made.to_str()
+    return {
+        "vocab": {shown(t): r for t, r in ranks.items()},
+        "merges": [tuple(map(shown, merge_parts(t, ranks))) for _, t in in_order],
+    }
 
 
 class Codec:
-    """Encodes texts and decodes ids inside a task."""
-
-    def __init__(self, spec: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        byte = {c: b for b, c in enumerate(byte_characters())}
-        vocab = self.tokenizer.get_vocab()
-        self.pieces = [b""] * (max(vocab.values()) + 1)
-        for shown, i in vocab.items():
+    """Encodes texts and decodes ids inside a task.
+
+    Texts are cut by the pattern, pieces go through the byte table, and the library's model merges
+    each different piece once; the memory of pieces starts anew when it is full.
+    """
+
+    def __init__(self, spec: dict, pattern: str):
+        import regex
+        from tokenizers import models
+
+        self.model = models.BPE(**spec, ignore_merges=True)
+        space = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.pattern = regex.compile(space)
+        chars = byte_characters()
+        self.table = dict(enumerate(chars))
+        byte = {c: b for b, c in enumerate(chars)}
+        self.pieces = [b""] * (max(spec["vocab"].values()) + 1)
+        for shown, i in spec["vocab"].items():
             self.pieces[i] = bytes(byte[c] for c in shown)
-
-    def encode(self, texts: list[str | None], offsets: bool = False) -> Iterator:
-        """An encoding per text, in order; without offsets the library skips them."""
-        run = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
-        group, size = [], 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= GROUP_BYTES:
-                yield from run(group, add_special_tokens=False)
-                group, size = [], 0
-        yield from run(group, add_special_tokens=False)
+        self.known: dict[str, list[int]] = {}
+
+    def cut(self, text: str) -> list[str]:
+        """The pieces in byte characters. Byte 255, which UTF-8 lacks, separates them on the way."""
+        one = "\udcff".join(self.pattern.findall(text)).encode("utf-8", "surrogateescape")
+        return one.decode("latin-1").translate(self.table).split(self.table[255])
+
+    def encode(self, text: str | None) -> list[int]:
+        ids: list[int] = []
+        if not text:
+            return ids
+        for piece in self.cut(text):
+            found = self.known.get(piece)
+            if found is None:
+                if len(self.known) >= KNOWN_PIECES:
+                    self.known.clear()
+                found = self.known[piece] = [t.id for t in self.model.tokenize(piece)]
+            ids += found
+        return ids
+
+    def offsets(self, text: str | None, ids: list[int]) -> list[list[int]]:
+        """First and end character of each token; a character split over tokens belongs to all."""
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
+        ends = np.cumsum([len(self.pieces[i]) for i in ids], dtype=np.int64)
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        return np.column_stack([char[starts], char[ends - 1] + 1]).tolist() if len(ends) else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.pieces[i] for i in ids])
 
 
-def _mapped(df: DataFrame, spec: str, run: Callable, schema: str) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(spec)
+def _mapped(df: DataFrame, path: str | None, run: Callable, schema: str) -> DataFrame:
+    import public_tokenizers
+
+    spec = model_spec(read_ranks(path or public_tokenizers.path(RANKS)))
+    sent, pattern = df.sparkSession.sparkContext.broadcast(spec), public_tokenizers.PATTERN
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(sent.value)
+        codec = Codec(sent.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 yield run(codec, batch.slice(at, 1000))
@@ -131,19 +149,19 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str = "
     name_ids, name_offsets = fresh(df), fresh(df)
 
     def run(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = list(codec.encode(batch.column(at).to_pylist(), offsets=True))
+        texts = batch.column(at).to_pylist()
+        found = [codec.encode(t) for t in texts]
+        places = [codec.offsets(t, x) for t, x in zip(texts, found)]
         return _added(
             batch,
             **{
-                name_ids: pa.array([e.ids for e in found], pa.list_(pa.int32())),
-                name_offsets: pa.array(
-                    [[[a, b] for a, b in e.offsets] for e in found], pa.list_(pa.list_(pa.int32()))
-                ),
+                name_ids: pa.array(found, pa.list_(pa.int32())),
+                name_offsets: pa.array(places, pa.list_(pa.list_(pa.int32()))),
             },
         )
 
     schema = _schema(df, f"{name_ids} array<int>, {name_offsets} array<array<int>>")
-    done = _mapped(df, tokenizer_json(read_ranks(path or default_ranks())), run, schema)
+    done = _mapped(df, path, run, schema)
     return done.withColumns({ids: F.col(name_ids), offsets: F.col(name_offsets)}).drop(
         name_ids, name_offsets
     )
@@ -165,7 +183,7 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "bytes", text: str = "tex
         )
 
     schema = _schema(df, f"{name_raw} binary, {name_text} string")
-    done = _mapped(df, tokenizer_json(read_ranks(path or default_ranks())), run, schema)
+    done = _mapped(df, path, run, schema)
     return done.withColumns({raw: F.col(name_raw), text: F.col(name_text)}).drop(name_raw, name_text)
 
 
@@ -174,10 +192,10 @@ def digest_report(df: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         count, of_ids, of_bytes = [], [], []
-        for found in codec.encode(batch.column(1).to_pylist()):
-            ids = found.ids
+        for text in batch.column(1):
+            ids = codec.encode(text.as_py())
             count.append(len(ids))
-            of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+            of_ids.append(hashlib.sha256(array("I", ids).tobytes()).hexdigest())
             of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids), pa.array(of_bytes)],
@@ -186,7 +204,7 @@ def digest_report(df: DataFrame, path: str | None = None) -> DataFrame:
 
     docs = df.select("doc_id", "text")
     schema = _schema(docs.select("doc_id"), "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return _mapped(docs, tokenizer_json(read_ranks(path or default_ranks())), run, schema)
+    return _mapped(docs, path, run, schema)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cairn.llm.bpe import op9_byte_bpe
 from cairn.llm.credentials import op8_secret_scan
+from cairn.llm.langid import op7_language_id
 from cairn.llm.pii import op6_contextual_pii
 from cairn.llm.quality import OP1_SQL, op1_quality_rules
 from cairn.llm.simhash import op4_simhash_golay
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_golay": op4_simhash_golay,
     "op6_contextual_pii": op6_contextual_pii,
+    "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
 }

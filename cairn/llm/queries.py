@@ -5,6 +5,7 @@ from __future__ import annotations
 from cairn.llm.bpe import op9_byte_bpe
 from cairn.llm.credentials import op8_secret_scan
 from cairn.llm.langid import op7_language_id
+from cairn.llm.neighbours import op10_adaptive_scan
 from cairn.llm.pii import op6_contextual_pii
 from cairn.llm.quality import OP1_SQL, op1_quality_rules
 from cairn.llm.simhash import op4_simhash_golay
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_adaptive_scan": op10_adaptive_scan,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL}

@@ -6,19 +6,23 @@ from cairn.llm.bpe import op9_byte_bpe
 from cairn.llm.credentials import op8_secret_scan
 from cairn.llm.langid import op7_language_id
 from cairn.llm.neighbours import op10_adaptive_scan
+from cairn.llm.packing import op2_length_buckets
 from cairn.llm.pii import op6_contextual_pii
 from cairn.llm.quality import OP1_SQL, op1_quality_rules
 from cairn.llm.simhash import op4_simhash_golay
 from cairn.llm.substring import op3_substring_dedup
+from cairn.llm.warc import OP5_SQL, op5_merkle_fixity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_length_buckets": op2_length_buckets,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_golay": op4_simhash_golay,
+    "op5_merkle_fixity": op5_merkle_fixity,
     "op6_contextual_pii": op6_contextual_pii,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_adaptive_scan": op10_adaptive_scan,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_merkle_fixity": OP5_SQL}

@@ -270,7 +270,8 @@ def changes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     lists = docs.mapInArrow(_edge_lists(window), f"doc_id {kind}, tkey bigint, edges array<bigint>")
     lists = cut_lineage(lists.filter(F.size("edges") > 0).withColumn("row", F.monotonically_increasing_id()))
     placed = lists.select("doc_id", "row", F.posexplode("edges").alias("i", "h"))
-    graph = (
+    # Written, so that the joins below shuffle both sides afresh and a hot edge can be split.
+    graph = cut_lineage(
         placed.groupBy("h")
         .agg(
             F.min("doc_id").alias("lo"),
@@ -301,11 +302,16 @@ def changes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     hashed = found.select(
         "doc_id", "row", F.explode(F.arrays_zip("start", "h1", "h2", "open")).alias("x")
     ).select("doc_id", "row", "x.*")
-    shared = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    shared = cut_lineage(
+        hashed.groupBy("h1", "h2")
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        .filter("lo <> hi")
+        .drop("hi")
+    )
     hits = (
         hashed.filter("open")
         .select("h1", "h2", "row", "start")
-        .join(shared.filter("lo <> hi").drop("hi"), ["h1", "h2"])
+        .join(shared, ["h1", "h2"])
         .groupBy("row")
         .agg(F.collect_set(F.struct("start", "lo")).alias("more"))
     )

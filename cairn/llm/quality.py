@@ -137,6 +137,12 @@ def cascade(rules: list[Rule]) -> Column:
     return verdict
 
 
+def draw(df: DataFrame, text: str, rows: int) -> DataFrame:
+    """About ``rows`` texts, drawn alike from all partitions, as a written table."""
+    share = min(1.0, rows / max(1, df.count()))
+    return cut_lineage(df.select(text).sample(share, seed=13).repartition(8))
+
+
 def judge(
     df: DataFrame, text: str = "text", verdict: str = "rejected_by", sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
@@ -146,7 +152,7 @@ def judge(
     """
     tokens = fresh(df)
     rules = default_rules(F.col(text), F.col(tokens))
-    sample = cut_lineage(df.select(text).limit(sample_rows)).withColumn(tokens, words(F.col(text)))
+    sample = draw(df, text, sample_rows).withColumn(tokens, words(F.col(text)))
     ordered = order_rules(sample, rules)
     return (
         df.withColumn(tokens, words(F.col(text)))
@@ -171,9 +177,7 @@ def quality_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "tokens", words(F.col("text"))
     )
     rules = default_rules(F.col("text"), F.col("tokens"))
-    sample = cut_lineage(docs.select("text").limit(SAMPLE_ROWS)).withColumn(
-        "tokens", words(F.col("text"))
-    )
+    sample = draw(docs, "text", SAMPLE_ROWS).withColumn("tokens", words(F.col("text")))
     base = {"few_words", "repeated_words"}
     ordered = [r for r in order_rules(sample, rules) if r.name not in base]
     counted = docs.select(

@@ -160,7 +160,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             for text in batch.column(1).to_pylist():
                 buckets = grams(text)
                 step = max(1, -(-len(buckets) // SAMPLE_GRAMS))
-                found.append(buckets[::step])
+                found.append(buckets[::step].copy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))],
                 names=["lang", "drawn", "buckets"],

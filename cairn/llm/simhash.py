@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import fresh, table
 from cairn.llm.graph import components
 from cairn.sources.scratch import cut_lineage
 
@@ -224,5 +224,153 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
 
 
+def _word_set_hashes(text: bytes) -> np.ndarray:
+    each = {*text.lower().split()}
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in each), np.uint64, len(each))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """The different texts of (doc_id, text): node, first id, hashes and word-set fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [simhash(_word_set_hashes(t.as_py())) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(fps, pa.int64())], names=["doc_id", "tkey", "tid", "fp"]
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = docs.select(
+        "doc_id",
+        F.xxhash64("text").alias("tkey"),
+        F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("tid"),
+        F.col("text").cast("binary").alias("text"),
+    ).mapInArrow(run, f"doc_id {kind}, tkey bigint, tid binary, fp bigint")
+    found = each.groupBy("tid").agg(
+        F.min("doc_id").alias("first"), F.min("tkey").alias("tkey"), F.min("fp").alias("fp")
+    )
+    return cut_lineage(found.withColumn("node", F.monotonically_increasing_id()).drop("tid"))
+
+
+def _hub_pairs(fps: DataFrame, most: int, salt: int) -> DataFrame:
+    """(a, b): each fingerprint with the two hubs of its keys that lie within ``most`` bits.
+
+    The hubs of a key are its smallest and largest fingerprint after an exclusive or with a hash of
+    the key, so a group of near copies has other hubs under each of its keys.
+    """
+    keys = keyed(fps.withColumn("copies", F.lit(1).cast("long")), "copies").select("key", "fp")
+    mask = F.xxhash64("key", F.lit(salt))
+    turned = F.col("fp").bitwiseXOR(mask)
+    hubs = cut_lineage(
+        keys.groupBy("key")
+        .agg(F.min(turned).alias("lo"), F.max(turned).alias("hi"))
+        .filter("lo <> hi")
+        .select("key", F.array(F.col("lo").bitwiseXOR(mask), F.col("hi").bitwiseXOR(mask)).alias("hubs"))
+    )
+    near = F.filter("hubs", lambda h: (h != F.col("fp")) & (distance(h, F.col("fp")) <= most))
+    pairs = keys.join(hubs, "key").select(F.col("fp").alias("x"), F.explode(near).alias("y"))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The (a, b) whose shingle sets have at least this Jaccard similarity, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        .select("a", "b", "x", "y")
+        .mapInArrow(run, "a bigint, b bigint")
+    )
+
+
+def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, most: int = 6, rounds: int = 4) -> DataFrame:
+    """(node, first, tkey, root) of the different texts of (doc_id, text).
+
+    Texts link if their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or
+    more. Candidates are texts whose word-set fingerprints share a fuzzy key and lie within ``most``
+    bits; each meets the hubs of its keys, and texts that failed against a hub of another group meet
+    other hubs in the next rounds. Every link is exact; the search finds most, not all, of them.
+    """
+    texts = _texts(docs)
+    leaders = cut_lineage(texts.groupBy("fp").agg(F.min("node").alias("node")))
+    twins = texts.join(leaders.select("fp", F.col("node").alias("b")), "fp").filter("node <> b")
+
+    def between(fps: DataFrame, salt: int) -> DataFrame:
+        named = _hub_pairs(fps, most, salt)
+        a = leaders.select(F.col("fp").alias("a"), F.col("node").alias("m"))
+        b = leaders.select(F.col("fp").alias("b"), F.col("node").alias("n"))
+        return named.join(a, "a").join(b, "b").select(F.col("m").alias("a"), F.col("n").alias("b"))
+
+    pairs = cut_lineage(between(leaders.select("fp"), 0).union(twins.select(F.col("node").alias("a"), "b")))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts, "node")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), size)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"]
+            )
+
+    keyed_docs = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.col("text").cast("binary").alias("text"))
+    sets = cut_lineage(
+        keyed_docs.join(
+            wanted.select(F.col("first").alias("id"), F.col("tkey").alias("key"), "node"),
+            F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("key")),
+        )
+        .select("node", "text")
+        .mapInArrow(shingles, "node bigint, set binary")
+        .dropDuplicates(["node"])
+    )
+    linked = cut_lineage(_similar(pairs, sets, least))
+    for turn in range(1, rounds):
+        roots = cut_lineage(components(linked, "a", "b"))
+        a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        apart = (
+            pairs.join(a, "a", "left")
+            .join(b, "b", "left")
+            .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        )
+        again = apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct()
+        fps = cut_lineage(leaders.join(again, "node", "left_semi").select("fp"))
+        if fps.isEmpty():
+            break
+        pairs = cut_lineage(between(fps, turn))
+        linked = cut_lineage(linked.union(_similar(pairs, sets, least)).distinct())
+    roots = components(linked, "a", "b")
+    return texts.join(roots, "node", "left").select(
+        "node", "first", "tkey", F.coalesce("root", "node").alias("root")
+    )
+
+
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each group of copies and near copies: the one with the smallest id.
+
+    Null texts count as empty ones. Ids that are null come last.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    groups = similar_groups(df.select(F.col(doc_id).alias("doc_id"), whole.alias("text")))
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node", "tkey")).alias("best")
+    id_, key, own = (fresh(df) for _ in range(3))
+    keepers = groups.groupBy("root").agg(best).select(
+        F.col("best.first").alias(id_), F.col("best.tkey").alias(key)
+    )
+    return (
+        df.withColumn(own, F.xxhash64(whole))
+        .dropDuplicates([doc_id, own])
+        .join(keepers, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left_semi")
+        .drop(own)
+    )
+
+
 def op4_simhash_golay(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

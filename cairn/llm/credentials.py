@@ -63,6 +63,8 @@ DATE = re.compile(
 )
 PART_BITS = 1.0
 LEAST_BITS = 28.0
+#: Parts of a run of repeats or of a walk are tried up to this length, and the whole run.
+LAST_PLACES = 32
 #: Letters of one case are guessed by models of language, at this share of the bits.
 LETTERS_ONLY = 0.4
 
@@ -100,6 +102,11 @@ def word_bits(part: str, ranks: dict[str, int]) -> float | None:
     return math.log2(ranks[plain] + 1) + styled + 1.5 * swapped
 
 
+def run_lengths(run: int, least: int = 3) -> set[int]:
+    """Parts of a run that end it: the whole run, and its last few places."""
+    return {*range(least, min(run, LAST_PLACES) + 1), run} if run >= least else set()
+
+
 def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
     """Logarithm to base two of the guesses that the cheapest segmentation needs."""
     ranks = ranks if ranks is not None else {w: i + 1 for i, w in enumerate(COMMON)}
@@ -123,16 +130,15 @@ def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
         step = delta if delta in (1, -1) else 0
         brute = min(brute, best[e - 1] + PART_BITS) + character_bits(c)
         cost = brute
-        if same >= 3:
-            cost = min(cost, best[e - same] + character_bits(c) + math.log2(same) + PART_BITS)
-        if walk >= 3:
-            cost = min(cost, best[e - walk] + math.log2(47) + 1.2 * math.log2(walk) + 0.4 * walk + PART_BITS)
+        for k in run_lengths(same):
+            cost = min(cost, best[e - k] + character_bits(c) + math.log2(k) + PART_BITS)
+        for k in run_lengths(walk):
+            cost = min(cost, best[e - k] + math.log2(47) + 1.2 * math.log2(k) + 0.4 * k + PART_BITS)
         for unit in unit_runs:
             again = e > unit and value[e - 1 - unit] == c
             unit_runs[unit] = unit_runs[unit] + 1 if again else 0
-            times, rest = divmod(unit_runs[unit] + unit, unit)
-            if times >= 2 and rest == 0:
-                one = sum(map(character_bits, value[e - unit : e]))
+            one = sum(map(character_bits, value[max(0, e - unit) : e]))
+            for times in run_lengths(1 + unit_runs[unit] // unit, least=2):
                 cost = min(cost, best[e - unit * times] + one + math.log2(times) + PART_BITS)
         for size in range(2, min(longest, e) + 1):
             bits = word_bits(value[e - size : e], ranks)

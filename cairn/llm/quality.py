@@ -99,14 +99,14 @@ def default_rules(text: Column, tokens: Column) -> list[Rule]:
         F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     )
     lettered = F.size(F.filter(tokens, lambda w: w.rlike(r"\p{L}")))
-    mean = word_chars(tokens) / n
+    letters = word_chars(tokens)
     return [
         Rule("few_words", n < 10),
         Rule("repeated_words", 100 * repeated_words(tokens) > 20 * n),
         Rule("symbols", 10 * symbol_count(text) > 2 * n),
         Rule("duplicate_lines", 100 * duplicate_lines(text) > 30 * lines),
         Rule("few_letters", 100 * lettered < 70 * n),
-        Rule("word_length", (mean < 2) | (mean > 20)),
+        Rule("word_length", (letters < 2 * n) | (letters > 20 * n)),
     ]
 
 

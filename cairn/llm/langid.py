@@ -99,6 +99,8 @@ def train(samples: list[tuple[int, np.ndarray]], languages: list[str], seed: int
     bias = np.zeros(n, np.float32)
     prepared = []
     for y, buckets in samples:
+        if not len(buckets):
+            continue
         index, count = np.unique(buckets, return_counts=True)
         prepared.append((y, index, (count / count.sum()).astype(np.float32)))
     held = [s for k, s in enumerate(prepared) if k % 5 == 4]

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from cairn.sources.scratch import cut_lineage
+
 SALTS = 64
 HOT_ROWS = 10_000_000  # a table of 10**12 rows has at most 100,000 keys above this
 
@@ -36,8 +38,10 @@ def attach(
     """Left-join one-row-per-key ``stats`` to ``rows``; ``count`` holds the rows behind each key.
 
     Rows of hot keys are spread over ``SALTS`` partitions and only those keys' statistics are copied.
+    The statistics are computed once and written, as the hot keys and the join both read them.
     """
     on = list(on)
+    stats = cut_lineage(stats)
     hot = F.broadcast(hot_keys(stats, on, count, floor).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(SALTS)).cast("int")
     left = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))

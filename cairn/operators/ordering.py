@@ -1,23 +1,25 @@
 """Order statistics that never sort a whole group in one task.
 
 Every function here works in two steps. A cheap aggregate counts rows per *order-preserving bucket*
-(between approximate quantiles of a number, or by leading characters of a string); running totals over
-those few buckets give the number of rows before each bucket. Exact ordering is then needed inside a
+(between approximate quantiles of a number, or between sampled strings); running totals over those few
+buckets give the number of rows before each bucket. Exact ordering is then needed inside a
 bucket only, so a group holding a third of all rows is still spread over many tasks, also where the
 values crowd together. The quantiles only choose the cuts; results do not depend on them.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from cairn.sources.scratch import cut_lineage
+
 BUCKETS = 4096  # slices of a hash
 SPLITS = 256  # intervals between approximate quantiles
 PARTS = 64  # equal slices of such an interval
-GROUP_ROWS = 1_000_000  # a group up to this size may have its values gathered in one task
+STRING_SAMPLE = 8192  # different strings from which cuts are chosen
+CUT_LENGTH = 256  # characters of a cut between strings
 
 
 def range_bucket(value: Column, lo: float | None, hi: float | None, buckets: int = BUCKETS) -> Column:
@@ -41,15 +43,21 @@ def fit_splits(df: DataFrame, columns: Sequence[Column], buckets: int = SPLITS)
     return [sorted(set(c)) for c in cuts]
 
 
-def split_bucket(value: Column, splits: Sequence[float], parts: int = PARTS) -> Column:
-    """Order-preserving bucket: the interval between two cuts, divided into ``parts`` equal slices.
+def cuts_passed(value: Column, cuts: Column, count: int) -> Column:
+    """How many of ``count`` ascending cuts are not above ``value``, by binary search; 0 for null."""
+    steps = [1 << k for k in reversed(range(count.bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(step) for step in steps]),
+        F.lit(0),
+        lambda n, step: F.when(value >= F.get(cuts, n + step - 1), n + step).otherwise(n),
+    )
 
-    The interval is found by binary search in the fixed list of cuts.
-    """
+
+def split_bucket(value: Column, splits: Sequence[float], parts: int = PARTS) -> Column:
+    """Order-preserving bucket: the interval between two cuts, divided into ``parts`` equal slices."""
     if not splits:
         return F.lit(0)
     cuts = F.array(*[F.lit(float(x)) for x in splits])
-    steps = [1 << k for k in reversed(range(len(splits).bit_length()))]
     number = value.cast("double")
 
     def bucket(n: Column) -> Column:
@@ -57,28 +65,44 @@ def split_bucket(value: Column, splits: Sequence[float], parts: int = PARTS) ->
         inside = F.floor((number - lo) / (hi - lo) * float(parts))
         return (n * parts + F.coalesce(F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1)), F.lit(0))).cast("int")
 
-    return F.aggregate(
-        F.array(*[F.lit(step) for step in steps]),
-        F.lit(0),
-        lambda n, step: F.when(number >= F.get(cuts, n + step - 1), n + step).otherwise(n),
-        bucket,
-    )
+    return F.transform(F.array(cuts_passed(number, cuts, len(splits))), bucket)[0]
 
 
-def order_bucket(df: DataFrame, column: str, buckets: int = SPLITS) -> Column:
-    """Order-preserving bucket of a numeric, date or string column, fitted on ``df``.
+def fit_string_cuts(df: DataFrame, value: Column, buckets: int = SPLITS) -> list[str]:
+    """Ascending strings that part the different values of a column about equally.
 
-    Strings are cut to the few characters that follow the prefix shared by all of them.
+    They are chosen from the values with the smallest hashes, a sample that depends on the values only.
     """
+    different = df.select(value.alias("v")).filter(F.col("v").isNotNull()).distinct()
+    sample = different.orderBy(F.xxhash64("v"), "v").limit(STRING_SAMPLE)
+    found = [r[0] for r in sample.select(F.substr("v", F.lit(1), F.lit(CUT_LENGTH))).collect()]
+    found = sorted(set(found), key=lambda x: x.encode())
+    return [found[i] for i in sorted({len(found) * k // buckets for k in range(1, buckets)})] if found else []
+
+
+def order_bucket(df: DataFrame, column: str, buckets: int = SPLITS) -> Column:
+    """Order-preserving bucket of a numeric, date or string column, fitted on ``df``; nulls come first."""
     kind = df.schema[column].dataType
     value = F.unix_date(column) if isinstance(kind, T.DateType) else F.col(column)
     if isinstance(kind, T.StringType):
-        ends = fit_row(df, {"lo": F.min(value), "hi": F.max(value)})
-        shared = len(os.path.commonprefix([ends["lo"] or "", ends["hi"] or ""]))
-        return F.substr(value, F.lit(shared + 1), F.lit(3))
+        cuts = fit_string_cuts(df, value, buckets)
+        return cuts_passed(value, F.array(*[F.lit(c) for c in cuts]), len(cuts)) if cuts else F.lit(0)
     return split_bucket(value, fit_splits(df, [value], buckets)[0])
 
 
+def keyed_as(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the key columns under names of their own, for :func:`met`."""
+    return df.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+
+
+def met(keys: Sequence[str]) -> Column:
+    """The keys of the left side equal those of a :func:`keyed_as` right side; null equals null."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return same
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,7 +113,7 @@ def prefix_sums(
     """Add, for each name in ``sums``, its total over the rows that come earlier in ``order``.
 
     ``bucket`` must not decrease along ``order`` and must have a bounded number of values per key.
-    Rows with a null key are dropped. ``order`` must have no ties within a key.
+    A null key is a key like any other. ``order`` must have no ties within a key.
     """
     group = [*keys, "_bucket"]
     base = df.withColumn("_bucket", bucket)
@@ -102,7 +126,7 @@ def prefix_sums(
     if not keys:
         offsets = F.broadcast(offsets)  # one row per bucket
     inside = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return base.join(offsets, group).select(
+    return base.join(keyed_as(offsets, group), met(group)).select(
         *df.columns,
         *[
             (F.col(f"_offset_{n}") + F.coalesce(F.sum(e).over(inside), F.lit(0))).alias(n)
@@ -131,49 +155,22 @@ def smallest_per_group(
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = base.groupBy(*group).agg(F.count("*").alias("_n"))
     offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    needed = offsets.filter(F.col("_before") < n).drop("_n")
+    needed = keyed_as(offsets.filter(F.col("_before") < n).drop("_n"), group)
     inside = W.partitionBy(*group).orderBy(score, *tie)
     return (
-        base.join(needed, group)
+        base.join(needed, met(group))
         .withColumn("_rank", F.row_number().over(inside) + F.col("_before"))
         .filter(F.col("_rank") <= n)
         .select(*df.columns)
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; the shuffle carries one number per key and task."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-
-
 def distinct_counts(
-    df: DataFrame,
-    keys: Sequence[str],
-    distinct: Mapping[str, str],
-    plain: Mapping[str, Column],
-    limit: int = GROUP_ROWS // 10,
+    df: DataFrame, keys: Sequence[str], distinct: Mapping[str, str], plain: Mapping[str, Column]
 ) -> DataFrame:
-    """Exact distinct counts ``name: column`` and ordinary aggregates per key.
-
-    Spark's distinct counts copy every row once per counted column. Where no group exceeds ``limit`` rows
-    the values of a group are gathered and counted in place instead, and rows are shuffled once.
-    """
-    aggs = [e.alias(n) for n, e in plain.items()]
-    if largest_group(df, keys) > limit:
-        return df.groupBy(*keys).agg(*[F.count_distinct(c).alias(n) for n, c in distinct.items()], *aggs)
-    packed = F.struct(*[F.col(c).alias(n) for n, c in distinct.items()])
-    rows = df.groupBy(*keys).agg(F.collect_list(packed).alias("_rows"), *aggs)
-    counts = [F.size(F.array_distinct(F.array_compact(F.col(f"_rows.{n}")))).cast("bigint").alias(n) for n in distinct]
-    return rows.select(*keys, *counts, *plain)
-
-
-def _rank_value(ordered: Column, q: float) -> Column:
-    """Interpolated percentile of a sorted array; null when it is empty."""
-    at = F.lit(float(q)) * (F.size(ordered) - 1)
-    lo, hi = (F.get(ordered, f(at).cast("int")) for f in (F.floor, F.ceil))
-    return lo + (hi - lo) * (at - F.floor(at))
+    """Exact distinct counts ``name: column`` and ordinary aggregates per key; nulls aren't counted."""
+    counts = [F.count_distinct(c).alias(n) for n, c in distinct.items()]
+    return df.groupBy(*keys).agg(*counts, *[e.alias(n) for n, e in plain.items()])
 
 
 def group_stats(
@@ -181,63 +178,56 @@ def group_stats(
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
     plain: Mapping[str, Column] | None = None,
-    limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """Ordinary aggregates and exact percentiles per key, one row per key.
 
     ``wanted`` maps an output name to ``(column, fraction)``; nulls are ignored and ranks in between are
-    interpolated. The largest group is counted first. Up to ``limit`` rows a group's values fit in one
-    task and everything is a single aggregate; beyond it the percentiles go through :func:`bucketed_percentiles`.
+    interpolated. A null key is a key like any other; a group without values has null percentiles.
     """
     plain = dict(plain or {})
-    if largest_group(df, keys) <= limit:
-        columns = {c: f"_sorted_{i}" for i, c in enumerate(sorted({c for c, _ in wanted.values()}))}
-        lists = [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(v) for c, v in columns.items()]
-        whole = df.groupBy(*keys).agg(*[e.alias(n) for n, e in plain.items()], *lists)
-        cuts = [_rank_value(F.col(columns[c]), q).alias(n) for n, (c, q) in wanted.items()]
-        return whole.select(*keys, *plain, *cuts)
-    cuts = bucketed_percentiles(df, keys, wanted)
-    if not plain:
-        return cuts
-    base = df.groupBy(*keys).agg(*[e.alias(n) for n, e in plain.items()])
-    if keys:
-        return base.join(cuts, list(keys), "left")
-    row = fit_row(cuts, {n: F.max(n) for n in wanted})
-    return base.withColumns({n: F.lit(v).cast("double") for n, v in row.items()})
-
-
-def percentiles(
-    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], limit: int = GROUP_ROWS
-) -> DataFrame:
-    return group_stats(df, keys, wanted, limit=limit)
+    cells = cell_counts(df, keys, wanted)
+    cuts = cell_percentiles(cells, keys, wanted)
+    whole = df.groupBy(*keys).agg(*[e.alias(n) for n, e in plain.items()]) if plain else None
+    if not keys:
+        row = fit_row(cuts, {n: F.max(n) for n in wanted})
+        whole = df.agg(F.lit(1).alias("_one")).drop("_one") if whole is None else whole
+        return whole.withColumns({n: F.lit(v).cast("double") for n, v in row.items()})
+    if whole is None:
+        whole = cells.select(*keys).distinct()
+    return whole.join(keyed_as(cuts, keys), met(keys), "left").select(*keys, *plain, *wanted)
 
 
-def bucketed_percentiles(
-    df: DataFrame,
+def percentiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    return group_stats(df, keys, wanted)
+
+
+def cell_counts(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Rows per key, column number and value, as a written table: the one pass over ``df``."""
+    columns = sorted({c for c, _ in wanted.values()})
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("_stat"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)]
+    )
+    long = df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*")
+    return cut_lineage(long.groupBy(*keys, "_stat", "_value").agg(F.count("*").alias("_n")))
+
+
+def cell_percentiles(
+    cells: DataFrame,
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
     buckets: int = SPLITS,
 ) -> DataFrame:
-    """Exact interpolated percentiles of groups of any size.
+    """Exact interpolated percentiles of groups of any size, for the keys that have values.
 
-    All columns go through one pass: distinct values are counted first (map-side), buckets locate the two
-    ranks each percentile needs, and only the distinct values of those buckets are ordered.
+    Buckets locate the two ranks each percentile needs, and only the different values of those buckets
+    are ordered.
     """
     columns = sorted({c for c, _ in wanted.values()})
+    own = [F.when(F.col("_stat") == i, F.col("_value")) for i in range(len(columns))]
     slices = F.lit(0)
-    for i, splits in enumerate(fit_splits(df, [F.col(c) for c in columns], buckets)):
+    for i, splits in enumerate(fit_splits(cells, own, buckets)):
         slices = F.when(F.col("_stat") == i, split_bucket(F.col("_value"), splits)).otherwise(slices)
-
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("_stat"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)]
-    )
-    long = df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*")
-    hist = (
-        long.filter(F.col("_value").isNotNull())
-        .groupBy(*keys, "_stat", "_value")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_slice", slices)
-    )
+    hist = cells.filter(F.col("_value").isNotNull()).withColumn("_slice", slices)
 
     group = [*keys, "_stat"]
     whole = W.partitionBy(*group)
@@ -264,7 +254,7 @@ def bucketed_percentiles(
     first = F.col("_start")
     last = first + F.col("_n")
     found = (
-        hist.join(targets, [*group, "_slice"])
+        hist.join(keyed_as(targets, [*group, "_slice"]), met([*group, "_slice"]))
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
         .withColumn("_lo", F.when((first <= F.floor("_at")) & (last > F.floor("_at")), F.col("_value")))
         .withColumn("_hi", F.when((first <= F.ceil("_at")) & (last > F.ceil("_at")), F.col("_value")))

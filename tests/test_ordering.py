@@ -18,11 +18,10 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "id bigint, key string, v double").repartition(6).cache()
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_percentiles_both_ways(skewed, limit):
+def test_percentiles_of_a_hot_key(skewed):
     rows, df = skewed
     wanted = {"lo": ("v", 0.02), "mid": ("v", 0.5), "hi": ("v", 0.98), "max": ("v", 1.0)}
-    got = {r["key"]: r for r in O.percentiles(df, ["key"], wanted, limit=limit).collect()}
+    got = {r["key"]: r for r in O.percentiles(df, ["key"], wanted).collect()}
     for key in {r[1] for r in rows}:
         values = [v for _, k, v in rows if k == key and v is not None]
         for name, (_, q) in wanted.items():
@@ -32,28 +31,68 @@ def test_percentiles_both_ways(skewed, limit):
 def test_percentiles_without_keys_and_constant(spark, skewed):
     rows, df = skewed
     values = [v for _, _, v in rows if v is not None]
-    got = O.percentiles(df, [], {"a": ("v", 0.25)}, limit=0).first()["a"]
+    got = O.percentiles(df, [], {"a": ("v", 0.25)}).first()["a"]
     assert got == pytest.approx(np.percentile(values, 25))
     same = spark.createDataFrame([("x", 4.0)] * 5, "k string, v double")
-    assert O.percentiles(same, ["k"], {"m": ("v", 0.5)}, limit=0).first()["m"] == 4.0
+    assert O.percentiles(same, ["k"], {"m": ("v", 0.5)}).first()["m"] == 4.0
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_plain_stats_beside_percentiles(skewed, limit):
+def test_plain_stats_beside_percentiles(skewed):
     rows, df = skewed
-    got = O.group_stats(df, ["key"], {"m": ("v", 0.5)}, {"n": F.count("*")}, limit=limit)
+    got = O.group_stats(df, ["key"], {"m": ("v", 0.5)}, {"n": F.count("*")})
     assert sum(r["n"] for r in got.collect()) == len(rows)
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_distinct_counts_both_ways(skewed, limit):
+def test_distinct_counts_ignore_nulls(skewed):
     rows, df = skewed
-    got = O.distinct_counts(df, ["key"], {"d": "v"}, {"n": F.count("*")}, limit=limit).collect()
+    got = O.distinct_counts(df, ["key"], {"d": "v"}, {"n": F.count("*")}).collect()
     for r in got:
         mine = [v for _, k, v in rows if k == r["key"]]
         assert (r["n"], r["d"]) == (len(mine), len({v for v in mine if v is not None}))
 
 
+def test_null_keys_and_groups_without_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 5.0), (None, None)], "k string, v double")
+    wanted = {"m": ("v", 0.5)}
+    want = {("a", 2.0), ("b", None), (None, 5.0)}
+    assert {(r["k"], r["m"]) for r in O.percentiles(df, ["k"], wanted).collect()} == want
+    beside = O.group_stats(df, ["k"], wanted, {"n": F.count("*")})
+    assert {(r["k"], r["n"], r["m"]) for r in beside.collect()} == {("a", 2, 2.0), ("b", 1, None), (None, 2, 5.0)}
+    assert [tuple(r) for r in O.group_stats(df, [], wanted, {"n": F.count("*")}).collect()] == [(5, 3.0)]
+    assert O.percentiles(df.limit(0), ["k"], wanted).count() == 0
+    numbered = O.positions(df, ["v"], O.order_bucket(df, "v", 8), ["k"])
+    assert sorted((str(r["k"]), str(r["v"]), r["pos"]) for r in numbered.collect()) == [
+        ("None", "5.0", 1), ("None", "None", 0), ("a", "1.0", 0), ("a", "3.0", 1), ("b", "None", 0),
+    ]
+
+
+def test_percentiles_of_a_million_rows_equal_duckdb(spark):
+    import duckdb
+
+    df = spark.range(1_200_000).selectExpr(
+        "CASE WHEN id % 6 = 0 THEN 'x' WHEN id % 6 = 1 THEN NULL ELSE 'hot' END AS k",
+        "CASE WHEN id % 9 = 0 THEN NULL ELSE CAST((id * 7919) % 1000003 AS double) END AS v",
+    )
+    got = O.group_stats(df, ["k"], {"a": ("v", 0.02), "m": ("v", 0.5)}, {"n": F.count("*")}).collect()
+    want = duckdb.sql(
+        "SELECT k, count(*), quantile_cont(v, 0.02), quantile_cont(v, 0.5) FROM (SELECT CASE WHEN i % 6 = 0 THEN 'x' "
+        "WHEN i % 6 = 1 THEN NULL ELSE 'hot' END AS k, CASE WHEN i % 9 = 0 THEN NULL ELSE "
+        "CAST((i * 7919) % 1000003 AS double) END AS v FROM range(1200000) t(i)) GROUP BY k"
+    ).fetchall()
+    assert {(r["k"], r["n"], round(r["a"], 6), round(r["m"], 6)) for r in got} == {
+        (k, n, round(a, 6), round(m, 6)) for k, n, a, m in want
+    }
+
+
+def test_string_buckets_follow_the_strings(spark):
+    urls = [f"https://www.site.org/a/{i}" for i in range(19_999)]
+    df = spark.createDataFrame([(u,) for u in [*urls, "a", None]], "w string")
+    bucket = O.order_bucket(df, "w")
+    assert df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0] <= 200
+    got = {r["w"]: r["pos"] for r in O.positions(df, ["w"], bucket).collect()}
+    assert got == {w: i for i, w in enumerate([None, "a", *sorted(urls)])}
+
+
 def test_positions_number_all_rows(skewed):
     rows, df = skewed
     got = O.positions(df, ["id"], O.order_bucket(df, "id", 16)).collect()
@@ -135,6 +174,6 @@ def test_crowded_values_are_still_split(spark):
     assert worst < 400
     got = O.positions(df, ["v"], bucket).collect()
     assert all(r["pos"] == 3999 - r["id"] for r in got)
-    assert O.percentiles(df, ["k"], {"m": ("v", 0.5)}, limit=0).first()["m"] == pytest.approx(
+    assert O.percentiles(df, ["k"], {"m": ("v", 0.5)}).first()["m"] == pytest.approx(
         np.median(np.exp(-np.arange(4000) / 40))
     )

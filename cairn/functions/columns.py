@@ -14,10 +14,10 @@ MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "
 
 
 def hash_unit(*parts: Column | str | int) -> Column:
-    """Uniform number in [0, 1) from the text of the parts; the same on every engine and run."""
+    """Uniform number in [0, 1) with 52 bits from the text of the parts; the same on every engine and run."""
     cols = [F.col(p) if isinstance(p, str) else F.lit(p) if isinstance(p, int) else p for p in parts]
     text = F.concat_ws("|", *[c.cast("string") for c in cols])
-    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(8)), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(13)), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def hash16(value: Column) -> Column:
@@ -25,9 +25,10 @@ def hash16(value: Column) -> Column:
     return F.conv(F.substr(F.md5(value.cast("string")), F.lit(1), F.lit(4)), 16, 10).cast("int")
 
 
-def encode_map(value: Column, mapping: Mapping[str, int]) -> Column:
-    """Dictionary lookup; values outside the dictionary become null."""
-    return F.create_map(*[F.lit(x) for x in chain(*mapping.items())])[value]
+def encode_map(value: Column, mapping: Mapping[str, int], keep: bool = False) -> Column:
+    """Dictionary lookup; values outside the dictionary become null, or with ``keep`` stay, all as text."""
+    code = F.create_map(*[F.lit(x) for x in chain(*mapping.items())])[value]
+    return F.coalesce(code.cast("string"), value.cast("string")) if keep else code
 
 
 def date_parts(date: Column) -> dict[str, Column]:
@@ -70,10 +71,6 @@ def squash_vector(values: Column, digits: int = 3) -> Column:
     return F.transform(values, lambda x: F.round(squash(x), digits))
 
 
-def log1p_vector(values: Column) -> Column:
-    return F.transform(values, F.log1p)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """Quotient, null on a zero denominator."""
     return F.try_divide(a.cast("double"), b.cast("double"))

@@ -34,6 +34,16 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return category_codes(df, column, first=0)
 
 
+def decode(df: DataFrame, codes: DataFrame, column: str, code: str = "code", name: str | None = None) -> DataFrame:
+    """The labels of codes: inverse of :func:`apply_codes`; unknown codes give null.
+
+    ``codes`` holds each label of ``column`` with its ``code``; ``code`` names the column of ``df``.
+    """
+    labels = codes.select(F.col("code").alias("_code"), F.col(column).alias("_label"))
+    found = df.join(labels, F.col(code) == F.col("_code"), "left")
+    return found.withColumn(name or column, F.col("_label")).drop("_code", "_label")
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows behind every value of several columns as ``(column, value, n_rows)``, from one pass; values as text."""
     cells = F.array(
@@ -59,14 +69,34 @@ def encode_frequency(df: DataFrame, columns: Mapping[str, str], fit: DataFrame |
     return out
 
 
-def category_list(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Sorted distinct values for wide one-hot columns; refuses to widen a table beyond ``limit``."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; use category codes instead of columns")
+def category_list(df: DataFrame, column: str) -> list:
+    """Sorted distinct values, each to become a column of its own; wide vocabularies want :func:`one_hot_sparse`."""
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in rows)
 
 
+def one_hot_sparse(
+    df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None, output: str = "features"
+) -> DataFrame:
+    """0/1 sparse vector over all fitted values of the columns, in column and value order.
+
+    Vocabularies stay tables, so any number of values fits; unseen values and nulls give no entry.
+    """
+    out, width = df, 0
+    for i, c in enumerate(columns):
+        codes = category_codes(fit or df, c, first=width)
+        width += codes.count()
+        out = apply_codes(out, codes, c, f"_at{i}")
+    places = F.array_compact(F.array(*[F.col(f"_at{i}") for i in range(len(columns))]))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(width).alias("size"),
+        places.alias("indices"),
+        F.transform(places, lambda _: F.lit(1.0)).alias("values"),
+    )
+    return out.withColumn(output, vector).drop(*[f"_at{i}" for i in range(len(columns))])
+
+
 def one_hot(df: DataFrame, categories: dict[str, Sequence]) -> DataFrame:
     """A 0/1 column ``<column>_<value>`` per fitted value; unseen values give all zeros."""
     return df.withColumns(

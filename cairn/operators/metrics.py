@@ -62,12 +62,12 @@ def binary_log_loss(df: DataFrame, y: str, p: str, by: Sequence[str] = (), eps:
 
 
 def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the curve by ranks, ties counted half; ``y`` is 0/1.
+    """Area under the curve by ranks, ties counted half; ``y`` is 0/1 and rows without a score are left out.
 
     Rows shrink to distinct scores first; negatives below each score come from bucketed running sums.
     """
     by = list(by)
-    scores = df.groupBy(*by, p).agg(
+    scores = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(
         F.sum(y).cast("double").alias("_pos"), F.sum(1 - F.col(y)).cast("double").alias("_neg")
     )
     ranked = prefix_sums(scores, by, order_bucket(scores, p), [p], {"_below": F.col("_neg")})
@@ -75,9 +75,11 @@ def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     return _score(ranked, by, "auc", F.try_divide(area, F.sum("_pos") * F.sum("_neg")))
 
 
-def jaccard(df: DataFrame, y: str, p: str, label: str, smooth: float = 1e-12) -> DataFrame:
-    """Per-class overlap of two 0/1 columns and its mean over the classes."""
+def jaccard(
+    df: DataFrame, y: str, p: str, label: str, by: Sequence[str] = (), smooth: float = 1e-12
+) -> DataFrame:
+    """Per-class overlap of two 0/1 columns and its mean over the classes, per group."""
     both = F.sum(F.col(y) * F.col(p)).cast("double")
     either = F.sum(F.col(y) + F.col(p)).cast("double") - both
-    per_class = df.groupBy(label).agg(((both + smooth) / (either + smooth)).alias("jaccard"))
-    return per_class.agg(F.avg("jaccard").alias("jaccard"), F.count("*").alias("classes"))
+    per_class = df.groupBy(*by, label).agg(((both + smooth) / (either + smooth)).alias("jaccard"))
+    return per_class.groupBy(*by).agg(F.avg("jaccard").alias("jaccard"), F.count("*").alias("classes"))

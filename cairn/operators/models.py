@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from math import log
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -28,13 +30,13 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cairn.functions.columns import hash_unit
 from cairn.operators import metrics as K
 from cairn.operators.ordering import fit_row
 from cairn.operators.sample import bootstrap_counts, split_holdout, weigh_classes
-from cairn.sources.scratch import cut_lineage
+from cairn.sources.scratch import cut_lineage, scratch_path
 
 
 @contextmanager
@@ -88,33 +90,56 @@ def fit_predict(estimator: Estimator, train: DataFrame, test: DataFrame, name: s
     return model.transform(test).withColumnRenamed("prediction", name)
 
 
+def leaf_values(model: Model, spark: SparkSession) -> list[np.ndarray]:
+    """Weighted prediction of every leaf, in leaf order, for each tree of a boosted model.
+
+    The saved form of the model is read back; its size is that of the model.
+    """
+    path = scratch_path(spark, "boosted")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild")
+    trees: list[list[float]] = [[] for _ in model.treeWeights]
+    for r in nodes.filter("leftChild < 0").orderBy("treeID", "id").collect():
+        trees[r["treeID"]].append(r["prediction"] * model.treeWeights[r["treeID"]])
+    return [np.array(t) for t in trees]
+
+
 def staged_predictions(model: Model, df: DataFrame, name: str = "stages") -> DataFrame:
-    """Array with the boosted prediction after each round."""
-    out, columns = df, []
-    for i, tree in enumerate(model.trees):
-        columns.append(f"_t{i}")
-        out = tree.copy({tree.predictionCol: f"_t{i}"}).transform(out)
-    stages, total = [], F.lit(0.0)
-    for column, weight in zip(columns, model.treeWeights):
-        total = total + F.col(column) * float(weight)
-        stages.append(total)
-    return out.withColumn(name, F.array(*stages)).drop(*columns)
+    """Array with the boosted prediction after each round: one pass finds every tree's leaf."""
+    values = leaf_values(model, df.sparkSession)
+    flat = np.concatenate(values)
+    first = np.cumsum([0, *(len(v) for v in values[:-1])])
+
+    @F.pandas_udf("array<double>")
+    def running(leaves: pd.Series) -> pd.Series:
+        return leaves.map(lambda x: np.cumsum(flat[first + np.asarray(x, dtype=int)]))
+
+    found = model.copy({model.leafCol: "_leaf", model.predictionCol: "_whole"}).transform(df)
+    return found.withColumn(name, running(vector_to_array("_leaf"))).drop("_leaf", "_whole")
+
+
+def round_errors(model: Model, valid: DataFrame, label: str = "label") -> list[float]:
+    """Relative error in log space after each round: one aggregate by round over the stages."""
+    y = F.expm1(label)
+    each = staged_predictions(model, valid).select(label, F.posexplode("stages").alias("round", "value"))
+    error = F.sqrt(F.avg(F.pow(K.relative_error(y, F.expm1("value")), 2)))
+    rows = each.groupBy("round").agg(error.alias("error")).orderBy("round").collect()
+    return [r["error"] for r in rows]
 
 
 def fit_boosted_early(
     estimator: GBTRegressor, train: DataFrame, valid: DataFrame, label: str = "label"
 ) -> tuple[Model, int, list[float]]:
-    """Boosting stopped by the relative error of held-out rows in log space: ``(model, rounds, errors)``."""
-    with cached(train) as (rows,):
-        model = estimator.fit(rows)
-    staged = staged_predictions(model, valid)
-    rounds = len(model.treeWeights)
-    y = F.expm1(label)
-    errors = fit_row(
-        staged,
-        {f"r{i}": F.sqrt(F.avg(F.pow(K.relative_error(y, F.expm1(F.get("stages", F.lit(i)))), 2))) for i in range(rounds)},
-    )
-    scores = [errors[f"r{i}"] for i in range(rounds)]
+    """Boosting that stops once held-out rows no longer gain: ``(model, rounds, errors)``.
+
+    Training ends when the held-out squared error rises; of the rounds made, the one with the least
+    relative error of the held-out rows in log space is named.
+    """
+    both = train.withColumn("_held", F.lit(False)).unionByName(valid.withColumn("_held", F.lit(True)))
+    stopping = estimator.copy({estimator.validationIndicatorCol: "_held", estimator.validationTol: 0.0})
+    with cached(both) as (rows,):
+        model = stopping.fit(rows)
+    scores = round_errors(model, valid, label)
     return model, scores.index(min(scores)) + 1, scores
 
 
@@ -125,35 +150,37 @@ def predict_rounds(model: Model, df: DataFrame, rounds: int, name: str = "value"
 
 
 def fit_adaboost_r2(
-    train: DataFrame, key: str, label: str = "label", rounds: int = 5, depth: int = 3, seed: int = 477
+    train: DataFrame, label: str = "label", rounds: int = 5, depth: int = 3, seed: int = 477
 ) -> tuple[list[Model], list[float]]:
     """AdaBoost.R2 with linear loss: trees and their log weights.
 
-    Row weights are an expression over the earlier trees' predictions, so a round adds one column and
-    one small aggregate, and nothing is carried in driver memory.
+    A round fits one tree, scores the rows with it, and takes one small aggregate; the rows with their
+    new weights are written, so no round runs through earlier trees. A perfect tree ends the rounds.
     """
     models: list[Model] = []
-    betas: list[float] = []
-    with cached(train) as (rows,):
-        current = rows.withColumn("_w", F.lit(1.0))
-        for i in range(rounds):
-            tree = DecisionTreeRegressor(labelCol=label, weightCol="_w", maxDepth=depth, seed=seed + i)
-            model = tree.fit(current)
-            scored = model.transform(current).withColumn("_e", F.abs(F.col(label) - F.col("prediction")))
-            worst = fit_row(scored, {"e": F.max("_e")})["e"]
-            if not worst:
-                return [model], [1.0]
-            loss = F.col("_e") / worst
-            mean = fit_row(scored, {"l": F.sum(F.col("_w") * loss) / F.sum("_w")})["l"]
-            if mean >= 0.5:
-                break
-            beta = mean / (1 - mean)
+    weights: list[float] = []
+    current = cut_lineage(train.withColumn("_w", F.lit(1.0)))
+    for i in range(rounds):
+        tree = DecisionTreeRegressor(labelCol=label, weightCol="_w", maxDepth=depth, seed=seed + i)
+        model = tree.fit(current)
+        scored = model.transform(current).withColumn("_e", F.abs(F.col(label) - F.col("prediction")))
+        at = fit_row(scored, {"e": F.max("_e"), "s": F.sum(F.col("_w") * F.col("_e")), "w": F.sum("_w")})
+        if not at["e"]:
             models.append(model)
-            betas.append(beta)
-            current = scored.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), 1 - loss)).drop("_e", "prediction")
+            weights.append(max([1.0, *weights]))
+            break
+        mean = at["s"] / at["w"] / at["e"]
+        if mean >= 0.5:
+            break
+        beta = mean / (1 - mean)
+        models.append(model)
+        weights.append(-log(beta))
+        weight = F.col("_w") * F.pow(F.lit(beta), 1 - F.col("_e") / at["e"])
+        if i + 1 < rounds:
+            current = cut_lineage(scored.withColumn("_w", weight).select(*current.columns))
     if not models:
         raise ValueError("the first tree is no better than chance; use deeper trees")
-    return models, [-log(b) for b in betas]
+    return models, weights
 
 
 def predict_adaboost_r2(models: Sequence[Model], weights: Sequence[float], df: DataFrame, name: str = "value") -> DataFrame:
@@ -278,18 +305,29 @@ def stack_regression(
     return fit_predict(final, train2, test2)
 
 
-def bagged_stack(train: DataFrame, test: DataFrame, key: str, classes: int, replicates: int = 2) -> DataFrame:
-    """Per replicate: forest on out-of-bag rows, boosting on in-bag rows plus the forest's probabilities."""
+def bagged_stack(
+    train: DataFrame,
+    test: DataFrame,
+    key: str,
+    classes: int,
+    replicates: int = 2,
+    outer: Callable[[int], Estimator] = lambda seed: forest_classifier(5, 4, 1, seed=seed, weighted=False),
+    inner: Callable[[int], Estimator] = lambda seed: boosted_classifier(3, 3, 0.46, seed=seed, weight="weight"),
+) -> DataFrame:
+    """Per replicate: ``outer`` on out-of-bag rows, ``inner`` on in-bag rows plus its probabilities.
+
+    Both get the replicate's number as seed; ``inner`` must weigh rows by ``weight``, their draws.
+    """
     runs = []
     for rep in range(1, replicates + 1):
         drawn = bootstrap_counts(train, key, rep).withColumn("weight", F.col("draws").cast("double"))
         with cached(drawn) as (rows,):
-            outside = forest_classifier(5, 4, 1, seed=rep, weighted=False).fit(rows.filter("draws = 0"))
+            outside = outer(rep).fit(rows.filter("draws = 0"))
             inside = score_classes(outside, rows.filter("draws > 0"), "_oob").drop("prediction")
             with cached(append_probabilities(inside, "_oob")) as (stacked,):
-                inner = boosted_classifier(3, 3, 0.46, seed=rep, weight="weight").fit(stacked)
+                fitted = inner(rep).fit(stacked)
         scored = append_probabilities(score_classes(outside, test, "_oob").drop("prediction"), "_oob")
-        runs.append(score_classes(inner, scored, "p").select(key, "p"))
+        runs.append(cut_lineage(score_classes(fitted, scored, "p").select(key, "p")))
     every = runs[0]
     for r in runs[1:]:
         every = every.unionByName(r)

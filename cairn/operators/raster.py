@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairn.operators.joins import attach, join_dimension
 from cairn.operators.ordering import group_stats
@@ -87,7 +87,8 @@ def edge_rows(edges: DataFrame, height: int) -> DataFrame:
 def fill_polygons(crossings: DataFrame, width: int, keys: Sequence[str], poly: Sequence[str]) -> DataFrame:
     """Covered pixels ``(*keys, y, x)``: sorted crossings of a polygon and row pair up into spans.
 
-    The unit of work is one raster row of one polygon, however many vertices the polygon has.
+    The unit of work is one raster row of one polygon, however many vertices the polygon has. Spans of
+    one key and row are cut where they overlap before they become pixels, so only spans are shuffled.
     """
     ordered = crossings.groupBy(*keys, *poly, F.col("line").alias("y")).agg(
         F.array_sort(F.collect_list("at_x")).alias("_at")
@@ -100,7 +101,10 @@ def fill_polygons(crossings: DataFrame, width: int, keys: Sequence[str], poly: S
         ),
     )
     spans = ordered.filter(F.size("_at") > 1).select(*keys, "y", F.inline(pairs)).filter("a <= b")
-    return spans.select(*keys, "y", F.explode(F.sequence("a", "b")).alias("x")).distinct()
+    earlier = W.partitionBy(*keys, "y").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
+    begin = F.greatest("a", F.coalesce(F.max("b").over(earlier) + 1, F.col("a")))
+    apart = spans.withColumn("_from", begin).filter(F.col("_from") <= F.col("b"))
+    return apart.select(*keys, "y", F.explode(F.sequence("_from", "b")).alias("x"))
 
 
 def polygon_mask(

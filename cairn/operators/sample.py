@@ -51,11 +51,20 @@ def one_per_group(df: DataFrame, group: str, seed: int) -> DataFrame:
     return df.groupBy(group).agg(F.min_by(F.struct(*rest), rank).alias("_row")).select(group, "_row.*")
 
 
-def _poisson_counts(u: Column, most: int = 12) -> Column:
+def poisson_steps() -> list[float]:
+    """Distribution of Poisson(1) at 0, 1, ... as far as a uniform number of 52 bits can tell."""
+    steps = [exp(-1.0)]
+    while steps[-1] < 1.0 - 2.0**-52:
+        steps.append(steps[-1] + exp(-1.0) / factorial(len(steps)))
+        if steps[-1] == steps[-2]:
+            break
+    return [s for s in steps if s < 1.0]
+
+
+def _poisson_counts(u: Column) -> Column:
     """Poisson(1) quantile of a uniform number."""
-    out, below = F.lit(0), 0.0
-    for k in range(most):
-        below += exp(-1.0) / factorial(k)
+    out = F.lit(0)
+    for k, below in enumerate(poisson_steps()):
         out = F.when(u >= below, F.lit(k + 1)).otherwise(out)
     return out
 

@@ -12,7 +12,7 @@ from cairn.plans import views as V
 from cairn.plans.registry import query
 
 WEEKDAY_SQL = "CASE Weekday " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.WEEKDAY_CODES.items()) + " END"
-UNIT_SQL = "(('0x' || substr(md5({}), 1, 8))::bigint / 4294967296.0::double)"
+UNIT_SQL = "(('0x' || substr(md5({}), 1, 13))::bigint / 4503599627370496.0::double)"
 
 
 def unit(*parts: str) -> str:
@@ -168,8 +168,8 @@ def project_features(spark, d):
 @query(
     "concat_columns",
     V.sql(
-        """SELECT s.Id, s.Sales, p.m1, p.m2 FROM sales s JOIN (
-             SELECT Id, max(CASE WHEN model='m1' THEN value END) AS m1, max(CASE WHEN model='m2' THEN value END) AS m2
+        f"""SELECT s.Id, s.Sales, {", ".join(f"p.{m}" for m in V.MODELS)} FROM sales s JOIN (
+             SELECT Id, {", ".join(f"max(CASE WHEN model = '{m}' THEN value END) AS {m}" for m in V.MODELS)}
              FROM predictions GROUP BY Id) p ON s.Id = p.Id""",
         "sales",
         "predictions",
@@ -177,7 +177,7 @@ def project_features(spark, d):
 )
 def concat_columns(spark, d):
     """Prediction columns set beside the sales rows they belong to."""
-    wide = joins.align_predictions(V.predictions(spark, d), "Id", "model", "value", ("m1", "m2"))
+    wide = joins.align_predictions(V.predictions(spark, d), "Id", "model", "value", V.MODELS)
     return clean.concat_columns(V.sales(spark, d).select("Id", "Sales"), wide, "Id")
 
 

@@ -128,22 +128,24 @@ def metric_r2(spark, d):
 @query(
     "metric_jaccard",
     V.sql(
-        f"""WITH {TOP_SQL}, m AS (SELECT c.class, (truth = c.class)::int AS t, (pred = c.class)::int AS p
-          FROM top CROSS JOIN (VALUES (1),(2),(3),(4),(5)) c(class) WHERE model = 'm1'),
-          j AS (SELECT class, (sum(t * p) + 1e-12::double) / (sum(t + p) - sum(t * p) + 1e-12::double) AS j FROM m GROUP BY 1)
-        SELECT round(avg(j), 6) AS jaccard, count(*) AS classes FROM j""",
+        f"""WITH {TOP_SQL}, m AS (SELECT model, c.class, (truth = c.class)::int AS t, (pred = c.class)::int AS p
+          FROM top CROSS JOIN (VALUES (1),(2),(3),(4),(5)) c(class)),
+          j AS (SELECT model, class, (sum(t * p) + 1e-12::double) / (sum(t + p) - sum(t * p) + 1e-12::double) AS j
+            FROM m GROUP BY 1, 2)
+        SELECT model, round(avg(j), 6) AS jaccard, count(*) AS classes FROM j GROUP BY 1""",
         "class_probs",
     ),
 )
 def metric_jaccard(spark, d):
-    """Overlap of true and predicted class masks of one model, averaged over the classes."""
-    rows = top_class(spark, d).filter("model = 'm1'").withColumn("class", F.explode(F.array(*map(F.lit, V.CLASSES))))
+    """Overlap of true and predicted class masks of each model, averaged over the classes."""
+    rows = top_class(spark, d).withColumn("class", F.explode(F.array(*map(F.lit, V.CLASSES))))
     masks = rows.select(
+        "model",
         "class",
         (F.col("truth") == F.col("class")).cast("int").alias("t"),
         (F.col("pred") == F.col("class")).cast("int").alias("p"),
     )
-    return rounded(K.jaccard(masks, "t", "p", "class"), ["jaccard"])
+    return rounded(K.jaccard(masks, "t", "p", "class", ["model"]), ["jaccard"])
 
 
 # --- blends --------------------------------------------------------------------------------------

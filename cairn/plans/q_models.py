@@ -1,12 +1,10 @@
 """Training, scoring, stacking and model selection.
 
-Feature frames are written to the shared folder once per session and read by every training query.
+Each query builds its feature frame, writes it to the shared folder and reads it back for the fit.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import encode as E, features as X, models as L, raster as G
 from cairn.operators.neighbours import knn_regress as knn
+from cairn.operators.ordering import fit_row
 from cairn.operators.sample import draw_with_replacement, split_holdout, split_kfold
 from cairn.plans import views as V
 from cairn.plans.q_features import joined, retail_with_stats
@@ -26,7 +25,6 @@ RETAIL_COLUMNS = [*X.RETAIL_FEATURES, "Sales_mean", "sales_median", "sales_max",
 BASKET_COLUMNS = ["FinelineNumber", "Upc", "Department", "ScanCount", "Count", "WeekdayNumber", *X.BASKET_RATIOS]
 
 
-@lru_cache(maxsize=16)
 def retail_frames(spark, d):
     """Train and test vectors; the feature table is written once and both sides read it back."""
     table = retail_with_stats(spark, d).withColumn("label", F.log1p("Sales"))
@@ -34,19 +32,33 @@ def retail_frames(spark, d):
     return rows.filter("side = 'train'"), rows.filter("side = 'test'")
 
 
-@lru_cache(maxsize=16)
-def basket_frames(spark, d):
-    """Visit vectors with balanced weights, split 88/12."""
+def basket_rows(spark, d):
+    """Vectors of all visits with balanced weights."""
     visits = cut_lineage(X.build_basket_features(V.basket(spark, d)))
     coded = E.apply_codes(visits, E.label_codes(visits, "TripType"), "TripType", "code")
     table = L.balanced(coded, "code").withColumn("label", F.col("code").cast("double"))
     scaled = E.scale_minmax(table, BASKET_COLUMNS, fit=visits)
-    rows = L.assemble(scaled, BASKET_COLUMNS, ["VisitNumber", "label", "weight"])
-    split = cut_lineage(split_holdout(rows, "VisitNumber", 0.12, 10))
+    return cut_lineage(L.assemble(scaled, BASKET_COLUMNS, ["VisitNumber", "label", "weight", "TripType"]))
+
+
+def basket_frames(spark, d):
+    """All visits, split 88/12."""
+    split = split_holdout(basket_rows(spark, d), "VisitNumber", 0.12, 10)
     return split.filter("is_test = 0"), split.filter("is_test = 1")
 
 
-@lru_cache(maxsize=16)
+def _classes(make):
+    """Fit on the training visits; codes of the held-out ones go back to their labels."""
+
+    def run(spark, d):
+        train, test = basket_frames(spark, d)
+        codes = train.unionByName(test).select(F.col("label").cast("int").alias("code"), "TripType").distinct()
+        scored = L.fit_classes(make(train), train, test, ["VisitNumber", "label"])
+        return E.decode(scored, codes, "TripType", "prediction", "predicted")
+
+    return run
+
+
 def product_frames(spark, d, fraction: float = 0.2):
     """Standardised product vectors, split by hash."""
     sizes = V.product(spark, d).withColumn("features", F.transform("features", F.abs))
@@ -76,7 +88,7 @@ query("train_extra_trees")(_regression(L.extra_trees))
 @query("train_adaboost_r2")
 def train_adaboost_r2(spark, d):
     train, test = retail_frames(spark, d)
-    models, weights = L.fit_adaboost_r2(train, "Id")
+    models, weights = L.fit_adaboost_r2(train)
     return _sales(L.predict_adaboost_r2(models, weights, test))
 
 
@@ -122,35 +134,15 @@ def lasso_impute_column(spark, d):
     return L.fit_predict(L.lasso("label"), V.train(rows), V.test(rows), "Customers_hat").select("Id", "Customers_hat")
 
 
-@query("train_logistic")
-def train_logistic(spark, d):
-    train, test = basket_frames(spark, d)
-    return L.fit_classes(L.logistic(train.count(), c=0.1), train, test, ["VisitNumber", "label"])
-
-
-@query("train_rf_classifier")
-def train_rf_classifier(spark, d):
-    train, test = basket_frames(spark, d)
-    return L.fit_classes(L.forest_classifier(), train, test, ["VisitNumber", "label"])
-
+def _network(train):
+    return L.network([len(BASKET_COLUMNS), 16, len(V.CLASSES)])
 
-@query("train_gbt_multiclass")
-def train_gbt_multiclass(spark, d):
-    train, test = basket_frames(spark, d)
-    return L.fit_classes(L.boosted_classifier(), train, test, ["VisitNumber", "label"])
 
-
-@query("train_linear_svc")
-def train_linear_svc(spark, d):
-    train, test = basket_frames(spark, d)
-    return L.fit_classes(L.linear_svc(), train, test, ["VisitNumber", "label"])
-
-
-@query("train_mlp")
-def train_mlp(spark, d):
-    train, test = basket_frames(spark, d)
-    layers = [len(BASKET_COLUMNS), 16, len(V.CLASSES)]
-    return L.fit_classes(L.network(layers), train, test, ["VisitNumber", "label"])
+query("train_logistic")(_classes(lambda train: L.logistic(train.count(), c=0.1)))
+query("train_rf_classifier")(_classes(lambda _: L.forest_classifier()))
+query("train_gbt_multiclass")(_classes(lambda _: L.boosted_classifier()))
+query("train_linear_svc")(_classes(lambda _: L.linear_svc()))
+query("train_mlp")(_classes(_network))
 
 
 def _base_models():
@@ -178,16 +170,21 @@ def stack_regression(spark, d):
 @query("bagged_stack")
 def bagged_stack(spark, d):
     train, test = product_frames(spark, d)
-    return L.bagged_stack(train, test, "id", len(V.TARGETS), replicates=2)
+    return L.bagged_stack(train, test, "id", len(V.TARGETS))
 
 
 @query("grid_search")
 def grid_search(spark, d):
-    """Log loss of every forest setting on three folds."""
-    train, _ = basket_frames(spark, d)
+    """Log loss of every forest setting on three folds of all visits."""
     forest = L.forest_classifier(trees=5, depth=4)
-    grid = ParamGridBuilder().addGrid(forest.numTrees, [5, 10]).addGrid(forest.minInstancesPerNode, [5, 10]).build()
-    folds = split_kfold(train, "VisitNumber", 3)
+    grid = (
+        ParamGridBuilder()
+        .addGrid(forest.numTrees, [5, 10])
+        .addGrid(forest.minInstancesPerNode, [5, 10])
+        .addGrid(forest.featureSubsetStrategy, ["sqrt", "all"])
+        .build()
+    )
+    folds = split_kfold(basket_rows(spark, d), "VisitNumber", 3)
     score = MulticlassClassificationEvaluator(metricName="logLoss", weightCol="weight")
     search = CrossValidator(
         estimator=forest, estimatorParamMaps=grid, evaluator=score, numFolds=3, foldCol="fold", parallelism=4
@@ -195,19 +192,21 @@ def grid_search(spark, d):
     with L.cached(folds) as (rows,):
         fitted = search.fit(rows)
     named = [
-        (m[forest.numTrees], m[forest.minInstancesPerNode], v) for m, v in zip(grid, fitted.avgMetrics)
+        (int(m[forest.numTrees]), int(m[forest.minInstancesPerNode]), m[forest.featureSubsetStrategy], float(v))
+        for m, v in zip(grid, fitted.avgMetrics)
     ]
-    best = min(v for _, _, v in named)
+    best = min(v for *_, v in named)
     return spark.createDataFrame(
-        [(int(t), int(n), float(v), bool(v == best)) for t, n, v in named], "trees int, min_leaf int, log_loss double, best boolean"
+        [(*r, r[-1] == best) for r in named],
+        "trees int, min_leaf int, features string, log_loss double, best boolean",
     )
 
 
 @query("cross_val_score")
 def cross_val_score(spark, d):
     """Mean and deviation of the accuracy over ten contiguous folds."""
-    train, _ = basket_frames(spark, d)
-    model = L.logistic(train.count(), iterations=5)
+    rows = basket_rows(spark, d)
+    model = L.logistic(rows.count(), iterations=5)
     check = CrossValidator(
         estimator=model,
         estimatorParamMaps=[{}],
@@ -216,8 +215,8 @@ def cross_val_score(spark, d):
         foldCol="fold",
         parallelism=4,
     )
-    with L.cached(split_kfold(train, "VisitNumber", 10)) as (rows,):
-        fitted = check.fit(rows)
+    with L.cached(split_kfold(rows, "VisitNumber", 10)) as (folds,):
+        fitted = check.fit(folds)
     return spark.createDataFrame(
         [(10, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))], "folds int, mean double, std double"
     )
@@ -225,9 +224,9 @@ def cross_val_score(spark, d):
 
 @query("repeated_holdout_report")
 def repeated_holdout_report(spark, d):
-    train, _ = basket_frames(spark, d)
-    n = train.count()
-    return L.repeated_holdout(lambda: L.logistic(n, iterations=5), train, "VisitNumber")
+    rows = basket_rows(spark, d)
+    n = rows.count()
+    return L.repeated_holdout(lambda: L.logistic(n, iterations=5), rows, "VisitNumber")
 
 
 @query("score_pixels")
@@ -237,13 +236,12 @@ def score_pixels(spark, d):
     places = F.concat_ws("|", "ImageId", "ClassType", "y", "x").alias("place")
     marked = G.labelled_pixels(mask_of(spark, d), vectors).select("ClassType", "bands", places)
     drawn = draw_with_replacement(marked, "ClassType", "place", 10_000, 3)
-    drawn = drawn.withColumn("label", F.col("ClassType") - 1.0).withColumn("bands", F.transform("bands", lambda b: b / 2048))
-    train = L.assemble_array(drawn, "bands", ["label"])
-    grid = vectors.withColumn("bands", F.transform("bands", lambda b: b / 2048))
-    rows = L.assemble_array(grid, "bands", ["ImageId", "y", "x"])
-    model = L.logistic(50_000, iterations=10, weighted=False)
-    with L.cached(train) as (fit,):
-        fitted = model.fit(fit)
+    top = float(fit_row(vectors, {"top": F.max(F.array_max("bands"))})["top"] or 1)
+    scaled = F.transform("bands", lambda b: b / top)
+    drawn = drawn.withColumn("label", F.col("ClassType") - 1.0).withColumn("bands", scaled)
+    rows = L.assemble_array(vectors.withColumn("bands", scaled), "bands", ["ImageId", "y", "x"])
+    with L.cached(L.assemble_array(drawn, "bands", ["label"])) as (fit,):
+        fitted = L.logistic(fit.count(), iterations=10, weighted=False).fit(fit)
     scored = fitted.transform(rows)
     return scored.select("ImageId", "y", "x", (F.col("prediction") + 1).cast("int").alias("ClassType"))
 

@@ -89,11 +89,11 @@ BANDS_SQL = """vec AS (SELECT ImageId, y, x, list(value ORDER BY band) AS bands
 
 @query(
     "labelled_pixels",
-    V.sql(f"WITH {MASK_SQL} SELECT * FROM mask JOIN pixels USING (ImageId, y, x) WHERE band IN (1, 2, 4)", *VIEWS, "pixels"),
+    V.sql(f"WITH {MASK_SQL} SELECT * FROM mask JOIN pixels USING (ImageId, y, x)", *VIEWS, "pixels"),
 )
 def labelled_pixels(spark, d):
-    """Values of the three display bands under every class mask."""
-    return G.labelled_pixels(mask_of(spark, d), V.pixels(spark, d).filter("band IN (1, 2, 4)"))
+    """Values of all bands under every class mask."""
+    return G.labelled_pixels(mask_of(spark, d), V.pixels(spark, d))
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import exp, factorial
-
 from pyspark.sql import functions as F
 
 from cairn.operators import sample as M
@@ -76,7 +74,7 @@ ONE_TEXT = " || '|' || ".join(
     "sample_one_per_group",
     V.sql(
         f"""SELECT VisitNumber, Upc, ScanCount, FinelineNumber FROM (SELECT *, row_number() OVER (PARTITION BY VisitNumber
-             ORDER BY md5(VisitNumber || '|' || {ONE_TEXT} || '|5')[1:8], {ONE_TEXT}) AS rn FROM basket) WHERE rn = 1""",
+             ORDER BY md5(VisitNumber || '|' || {ONE_TEXT} || '|5')[1:13], {ONE_TEXT}) AS rn FROM basket) WHERE rn = 1""",
         "basket",
     ),
 )
@@ -86,11 +84,7 @@ def sample_one_per_group(spark, d):
 
 
 def _poisson_sql(u: str) -> str:
-    below, parts = 0.0, []
-    for k in range(12):
-        below += exp(-1.0) / factorial(k)
-        parts.append(f"({u} >= {below!r}::double)::int")
-    return "(" + " + ".join(parts) + ")"
+    return "(" + " + ".join(f"({u} >= {below!r}::double)::int" for below in M.poisson_steps()) + ")"
 
 
 @query(

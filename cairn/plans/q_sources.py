@@ -107,9 +107,9 @@ def submission_wide(spark, d):
 @query(
     "submission_from_template",
     V.sql(
-        """SELECT t.Id, coalesce(p.m1, 0.0::double) AS m1, coalesce(p.m2, 0.0::double) AS m2
+        f"""SELECT t.Id, {", ".join(f"coalesce(p.{m}, 0.0::double) AS {m}" for m in V.MODELS)}
            FROM sales t LEFT JOIN (
-             SELECT Id, max(CASE WHEN model='m1' THEN value END) AS m1, max(CASE WHEN model='m2' THEN value END) AS m2
+             SELECT Id, {", ".join(f"max(CASE WHEN model = '{m}' THEN value END) AS {m}" for m in V.MODELS)}
              FROM predictions GROUP BY Id) p ON t.Id = p.Id AND t.Open = 1""",
         "sales",
         "predictions",
@@ -118,6 +118,6 @@ def submission_wide(spark, d):
 def submission_from_template(spark, d):
     """Every sales id is in the template; only days known to be open have predictions."""
     sales = V.sales(spark, d)
-    wide = files.submission_wide(V.predictions(spark, d), "Id", "model", "value", ("m1", "m2"))
+    wide = files.submission_wide(V.predictions(spark, d), "Id", "model", "value", V.MODELS)
     known = wide.join(sales.filter(F.col("Open") == 1), "Id", "left_semi")
-    return files.submission_from_template(sales, known, "Id", ["m1", "m2"])
+    return files.submission_from_template(sales, known, "Id", list(V.MODELS))

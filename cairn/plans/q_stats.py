@@ -263,26 +263,26 @@ def histogram_100(spark, d):
     "visit_mean_probability",
     V.sql(
         """WITH l AS (SELECT l_orderkey AS VisitNumber, (l_partkey * 7 + l_suppkey) % n AS Id
-             FROM lineitem, (SELECT count(*) AS n FROM orders)),
-          c AS (SELECT * FROM class_probs WHERE model = 'm1')
-        SELECT VisitNumber, class, round(avg(p), 9) AS p, count(*) AS n_rows FROM l JOIN c USING (Id) GROUP BY 1, 2""",
+             FROM lineitem, (SELECT count(*) AS n FROM orders))
+        SELECT VisitNumber, model, class, round(avg(p), 9) AS p, count(*) AS n_rows
+        FROM l JOIN class_probs USING (Id) GROUP BY 1, 2, 3""",
         "class_probs",
     ),
 )
 def visit_mean_probability(spark, d):
-    """Mean class-probability vector of each visit over its lines."""
+    """Mean class-probability vector of each visit over its lines, per model."""
     orders = V.row_count(spark, d, "orders")
     rows = V.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("VisitNumber"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % orders).alias("Id")
     )
-    probs = V.class_probs(spark, d).filter("model = 'm1'").groupBy("Id").agg(
+    probs = V.class_probs(spark, d).groupBy("Id", "model").agg(
         *[F.max(F.when(F.col("class") == c, F.col("p"))).alias(f"p{c}") for c in V.CLASSES]
     )
-    means = rows.join(probs, "Id").groupBy("VisitNumber").agg(
+    means = rows.join(probs, "Id").groupBy("VisitNumber", "model").agg(
         F.count("*").alias("n_rows"), *[F.avg(f"p{c}").alias(f"p{c}") for c in V.CLASSES]
     )
     cells = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"p{c}").alias("p")) for c in V.CLASSES])
-    return means.select("VisitNumber", "n_rows", F.inline(cells)).withColumn("p", F.round("p", 9))
+    return means.select("VisitNumber", "model", "n_rows", F.inline(cells)).withColumn("p", F.round("p", 9))
 
 
 # --- windows, previews ---------------------------------------------------------------------------

@@ -2,8 +2,9 @@
 
 Training rows go to the nearest of a few pivots. The distances of a cell's rows to its pivot bound, by
 the triangle inequality, how near they can be to a query, so a query visits only the cells that can hold
-one of its neighbours. Cells are cut into chunks of bounded size: a hot cell becomes many small groups,
-each of which returns at most ``k`` rows per query.
+one of its neighbours. Cells are cut by that distance into slices, of which a query again visits only
+those that can matter, and large slices into chunks of bounded size: a hot cell becomes many small groups,
+each of which returns at most ``k`` rows per query. The pivots grow with the root of the training rows.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairn.functions.columns import hash_unit
+from cairn.sources.scratch import cut_lineage
 
 TRAIN_CHUNK = 20_000  # training rows per group
 QUERY_CHUNK = 5_000  # queries per group
+SLICES = 64  # radius slices of a cell; larger cells are also split by hash
+PIVOTS = 8192  # bound of the pivots, which grow with the root of the training rows
 BLOCK = 4_000_000  # distances held at once inside a task
 
 
@@ -55,6 +59,10 @@ def cell_summary(cells: DataFrame, key: str, k: int) -> list:
     return sizes.join(near, "cell").collect()
 
 
+def pivot_count(rows: int) -> int:
+    return int(min(PIVOTS, max(1, 4 * rows**0.5)))
+
+
 def visit_plan(
     queries: DataFrame, features: Sequence[str], pivots: np.ndarray, summary: list, k: int
 ) -> DataFrame:
@@ -66,59 +74,115 @@ def visit_plan(
     centres = pivots[cells]
 
     def plan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            d = np.sqrt(_squared(_matrix(pdf, features), centres))
-            reach = d[:, owner] + near
-            at = min(k, reach.shape[1]) - 1
-            bound = np.partition(reach, at, axis=1)[:, at] * (1 + 1e-9) + 1e-9
-            if reach.shape[1] < k:
-                bound[:] = np.inf
-            q, c = np.nonzero(d - far <= bound[:, None])
-            yield pdf.iloc[q].assign(cell=cells[c].astype("int32"), bound=bound[q], to_pivot=d[q, c])
+        step = max(1, BLOCK // len(owner))
+        for whole in parts:
+            for start in range(0, len(whole), step):
+                pdf = whole.iloc[start : start + step]
+                d = np.sqrt(_squared(_matrix(pdf, features), centres))
+                reach = d[:, owner] + near
+                at = min(k, reach.shape[1]) - 1
+                bound = np.partition(reach, at, axis=1)[:, at] * (1 + 1e-9) + 1e-9
+                if reach.shape[1] < k:
+                    bound[:] = np.inf
+                q, c = np.nonzero(d - far <= bound[:, None])
+                yield pdf.iloc[q].assign(cell=cells[c].astype("int32"), bound=bound[q], to_pivot=d[q, c])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes)
     return queries.mapInPandas(plan, f"{fields}, cell int, bound double, to_pivot double")
 
 
-def nearest(
-    train: DataFrame, queries: DataFrame, key: str, features: Sequence[str], target: str, k: int, pivots: int
-) -> DataFrame:
-    """The ``k`` nearest training rows of each query as ``(key, d2, other, target)``; ties go to the smaller key."""
-    train = train.select(key, *features, target)
-    queries = queries.select(key, *features)
-    picked = train.orderBy(hash_unit(key, 0), key).select(*features).limit(pivots).collect()
-    centres = np.unique(np.array([tuple(r) for r in picked], dtype="float64"), axis=0)
-    cells = assign_cells(train, features, centres)
-    summary = cell_summary(cells, key, k)
-    visits = visit_plan(queries, features, centres, summary, k)
+def radius_cuts(cells: DataFrame, summary: list) -> dict[int, tuple[np.ndarray, int]]:
+    """Per cell: ascending radii that cut it into slices of about a chunk, and hash parts of a slice."""
+    shares = [i / SLICES for i in range(1, SLICES)]
+    found = cells.groupBy("cell").agg(F.percentile_approx("radius", shares, 2000).alias("r")).collect()
+    radii = {r["cell"]: r["r"] for r in found}
+    out = {}
+    for r in summary:
+        slices = min(SLICES, -(-r["n"] // TRAIN_CHUNK))
+        cuts = np.unique([radii[r["cell"]][SLICES * i // slices - 1] for i in range(1, slices)])
+        out[r["cell"]] = (cuts, -(-r["n"] // (slices * TRAIN_CHUNK)))
+    return out
+
+
+def slice_rows(cells: DataFrame, cuts: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
+    """Training rows with the radius slice they lie in."""
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            at = [np.searchsorted(cuts[c][0], r, "right") for c, r in zip(pdf["cell"], pdf["radius"])]
+            yield pdf.assign(slice=np.array(at, dtype="int32"))
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in cells.dtypes)
+    return cells.mapInPandas(place, f"{fields}, slice int")
 
-    chunks = {r["cell"]: -(-r["n"] // TRAIN_CHUNK) for r in summary}
-    wanted = {r["cell"]: -(-r["n"] // QUERY_CHUNK) for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
 
-    def lookup(numbers: dict):
-        return F.element_at(F.create_map(*[F.lit(int(x)) for kv in numbers.items() for x in kv]), F.col("cell"))
+def slice_visits(visits: DataFrame, cuts: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
+    """Visits with the slices that can hold a neighbour: the triangle inequality bounds their radii."""
 
-    def part(numbers: dict):
-        return F.pmod(F.xxhash64(key), lookup(numbers)).cast("int")
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            low, high = pdf["to_pivot"] - pdf["bound"], pdf["to_pivot"] + pdf["bound"]
+            first = np.array([np.searchsorted(cuts[c][0], x, "right") for c, x in zip(pdf["cell"], low)], int)
+            last = np.array([np.searchsorted(cuts[c][0], x, "right") for c, x in zip(pdf["cell"], high)], int)
+            times = last - first + 1
+            rows = np.repeat(np.arange(len(pdf)), times)
+            nth = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+            yield pdf.iloc[rows].assign(slice=(first[rows] + nth).astype("int32"))
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in visits.dtypes)
+    return visits.mapInPandas(place, f"{fields}, slice int")
 
-    def each(numbers: dict):
-        return F.explode(F.sequence(F.lit(0), lookup(numbers) - 1))
 
-    left = (
-        cells.filter(F.col("cell").isin(*wanted))
-        .withColumn("chunk", part(chunks))
-        .withColumn("qchunk", each(wanted))
-    )
-    right = visits.withColumn("qchunk", part(wanted)).withColumn("chunk", each(chunks))
-    by = ["cell", "chunk", "qchunk"]
+def nearest(
+    train: DataFrame,
+    queries: DataFrame,
+    key: str,
+    features: Sequence[str],
+    target: str,
+    k: int,
+    pivots: int | None = None,
+) -> DataFrame:
+    """The ``k`` nearest training rows of each query as ``(key, d2, other, target)``; ties go to the smaller key.
+
+    Training rows with a null feature or target and queries with a null feature take no part.
+    """
+    types = {n: train.schema[n].dataType.simpleString() for n in (key, target)}
+    train = train.select(key, *features, target).dropna(subset=[key, *features, target])
+    queries = queries.select(key, *features).dropna(subset=list(features))
+    empty = f"`{key}` {types[key]}, d2 double, other {types[key]}, `{target}` double"
+    pivots = pivots or pivot_count(train.count())
+    picked = train.orderBy(hash_unit(key, 0), key).select(*features).limit(pivots).collect()
+    if not picked:
+        return train.sparkSession.createDataFrame([], empty)
+    centres = np.unique(np.array([tuple(r) for r in picked], dtype="float64"), axis=0)
+    cells = cut_lineage(assign_cells(train, features, centres))
+    summary = cell_summary(cells, key, k)
+    cuts = radius_cuts(cells, summary)
+    visits = cut_lineage(slice_visits(visit_plan(queries, features, centres, summary, k), cuts))
+    sizes = visits.groupBy("cell", "slice").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("groups"))
+    parts = cells.sparkSession.createDataFrame([(int(c), int(n)) for c, (_, n) in cuts.items()], "cell int, parts int")
+    sizes = cut_lineage(sizes.join(parts, "cell"))
+
+    def part(count: str):
+        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+
+    def each(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    at = ["cell", "slice"]
+    left = slice_rows(cells, cuts).join(sizes, at)
+    left = left.withColumn("chunk", part("parts")).withColumn("qchunk", each("groups")).drop("parts", "groups")
+    right = visits.join(sizes, at).withColumn("qchunk", part("groups")).withColumn("chunk", each("parts"))
+    right = right.drop("parts", "groups")
+    by = [*at, "chunk", "qchunk"]
     names = list(features)
 
     def search(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(have) and len(ask):
-            x, ids, y = _matrix(have, names), have[key].to_numpy(), have[target].to_numpy()
+            x, ids, y = _matrix(have, names), have[key].to_numpy(), have[target].to_numpy(dtype="float64")
             pivot_distance = have["radius"].to_numpy()
-            order = np.lexsort((ids,))  # smaller keys first, so a stable sort breaks ties by key
+            order = np.argsort(ids, kind="stable")  # smaller keys first, so a stable sort breaks ties by key
             x, ids, y, pivot_distance = x[order], ids[order], y[order], pivot_distance[order]
             step = max(1, BLOCK // len(x))
             for start in range(0, len(ask), step):
@@ -138,9 +202,7 @@ def nearest(
                 )
         return pd.concat(out) if out else pd.DataFrame({key: [], "d2": [], "other": [], target: []})
 
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(
-        search, f"`{key}` bigint, d2 double, other bigint, `{target}` double"
-    )
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, empty)
     best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "other", target))), 1, k)
     return found.groupBy(key).agg(best.alias("_near")).select(key, F.inline("_near"))
 
@@ -152,10 +214,14 @@ def knn_regress(
     features: Sequence[str],
     target: str,
     k: int = 9,
-    pivots: int = 256,
+    pivots: int | None = None,
 ) -> DataFrame:
-    """Mean target of the ``k`` nearest rows, weighted by 1/distance; exact hits outweigh all others."""
+    """Mean target of the ``k`` nearest rows, weighted by 1/distance; exact hits outweigh all others.
+
+    Every query has a row; it is null if a feature is null or there is nothing to learn from.
+    """
     rows = nearest(train, queries, key, features, target, k, pivots)
     weight = 1 / F.sqrt(F.nullif(F.col("d2"), F.lit(0.0)))
     exact = F.avg(F.when(F.col("d2") == 0, F.col(target)))
-    return rows.groupBy(key).agg(F.coalesce(exact, F.sum(weight * F.col(target)) / F.sum(weight)).alias(target))
+    mean = rows.groupBy(key).agg(F.coalesce(exact, F.try_divide(F.sum(weight * F.col(target)), F.sum(weight))).alias(target))
+    return queries.select(key).join(mean, key, "left")

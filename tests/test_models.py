@@ -1,6 +1,10 @@
 """Models against constant or majority baselines on planted signals, neighbours against brute force."""
 
 import math
+import os
+import subprocess
+import sys
+import time
 
 import numpy as np
 import pytest
@@ -48,15 +52,33 @@ def test_regressors_beat_the_mean(regression, make):
 
 def test_adaboost_beats_the_mean(regression):
     train, test = regression
-    models, weights = L.fit_adaboost_r2(train, "id", rounds=4)
+    models, weights = L.fit_adaboost_r2(train, rounds=4)
     assert rmse(L.predict_adaboost_r2(models, weights, test)) < 0.6 * baseline(train, test)
 
 
+def test_a_perfect_tree_ends_the_rounds(spark):
+    rows = spark.range(200).selectExpr("id", "CAST(id % 4 AS double) AS x", "CAST(id % 4 AS double) AS label")
+    models, weights = L.fit_adaboost_r2(L.assemble(rows, ["x"], ["id", "label"]), rounds=5, depth=4)
+    assert len(models) == 1 and weights == [1.0]
+
+
+def test_boosting_stops_early_and_scores_in_linear_time(regression):
+    train, test = regression
+    began = time.perf_counter()
+    model, rounds, errors = L.fit_boosted_early(L.boosted(rounds=300, depth=2), train, test)
+    assert 1 <= rounds <= len(errors) < 300 and len(errors) == len(model.treeWeights)
+    assert time.perf_counter() - began < 200
+    whole = L.boosted(rounds=300, depth=2).fit(train)
+    began = time.perf_counter()
+    assert len(L.round_errors(whole, test)) == 300
+    assert time.perf_counter() - began < 30
+
+
 def test_early_stopping_takes_the_best_round(regression):
     train, test = regression
     model, rounds, errors = L.fit_boosted_early(L.boosted(rounds=6), train, test)
-    assert len(errors) == 6 and errors[rounds - 1] == min(errors)
-    cut = L.predict_rounds(model, test, 6).select("id", "value")
+    assert errors[rounds - 1] == min(errors)
+    cut = L.predict_rounds(model, test, len(errors)).select("id", "value")
     full = model.transform(test).select("id", "prediction")
     worst = cut.join(full, "id").agg(F.max(F.abs(F.col("value") - F.col("prediction")))).first()[0]
     assert worst < 1e-9
@@ -142,3 +164,49 @@ def test_renamed_and_template_files(spark):
     preds = spark.createDataFrame([(1, 0.5), (2, 0.25)], "Id bigint, p double")
     got = {r["Id"]: r["p"] for r in files.submission_from_template(template, preds, "Id", ["p"]).collect()}
     assert got == {1: 0.5, 2: 0.25, 9: 0.0}
+
+
+def compared_share(spark, folder):
+    """Share of all pairs of test and training days that the search compares."""
+    from cairn.operators import features as X
+    from cairn.plans import views as V
+    from cairn.plans.q_models import KNN_FEATURES
+
+    rows = X.add_date_parts(V.sales(spark, folder)).withColumn("y", F.log1p("Sales"))
+    train, asked = V.train(rows).select("Id", *KNN_FEATURES, "y"), V.test(rows).select("Id", *KNN_FEATURES)
+    n = train.count()
+    picked = train.orderBy(hash_unit("Id", 0), "Id").select(*KNN_FEATURES).limit(N.pivot_count(n)).collect()
+    centres = np.unique(np.array([tuple(r) for r in picked], dtype="float64"), axis=0)
+    cells = cut_lineage(N.assign_cells(train, KNN_FEATURES, centres))
+    summary = N.cell_summary(cells, "Id", 9)
+    cuts = N.radius_cuts(cells, summary)
+    sizes = N.slice_rows(cells, cuts).groupBy("cell", "slice").agg(F.count("*").alias("n"))
+    visits = N.slice_visits(N.visit_plan(asked, KNN_FEATURES, centres, summary, 9), cuts)
+    return visits.join(sizes, ["cell", "slice"]).agg(F.sum("n")).first()[0] / (n * asked.count())
+
+
+def test_the_share_of_compared_pairs_falls(spark):
+    assert compared_share(spark, "/root/testdata/sf0.01") < 0.5 * compared_share(spark, "/root/testdata/sf0.001")
+
+
+def test_neighbours_with_nulls_and_text_keys(spark):
+    rows = [(f"k{i:02d}", float(i), None if i == 3 else 1.0, float(i)) for i in range(40)] + [("x", 5.0, 1.0, None)]
+    train = spark.createDataFrame(rows, "id string, a double, b double, y double")
+    asked = spark.createDataFrame([("q1", 5.2, 1.0), ("q2", None, 1.0), ("q3", 3.0, 1.0)], "id string, a double, b double")
+    got = {r["id"]: r["y"] for r in N.knn_regress(train, asked, "id", ["a", "b"], "y", k=1).collect()}
+    assert got["q1"] == 5.0 and got["q2"] is None and got["q3"] in (2.0, 4.0)
+    none = N.knn_regress(train.limit(0), asked, "id", ["a", "b"], "y").collect()
+    assert [r["y"] for r in none] == [None] * 3
+
+
+def test_neighbours_from_another_folder(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from cairn.session import local_session\nfrom cairn.operators.neighbours import knn_regress\n"
+        "s = local_session(2)\nd = s.range(50).selectExpr('id', 'id AS a', 'CAST(id AS double) AS y')\n"
+        "print('rows', knn_regress(d, d, 'id', ['a'], 'y').filter('y = id').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 50" in done.stdout, done.stderr[-2000:]

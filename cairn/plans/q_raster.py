@@ -177,7 +177,36 @@ def pixels_to_vectors(spark, d):
     return G.pixel_vectors(V.pixels(spark, d), V.BANDS)
 
 
-@query("mask_regions")
+REGION_SQL = f"""WITH RECURSIVE {MASK_SQL},
+  ends AS (SELECT ImageId, ClassType, y, min(x) AS a, max(x) AS b FROM mask GROUP BY 1, 2, 3),
+  inside AS (SELECT ImageId, ClassType, y, x.x::int AS x FROM ends JOIN range(0, 41) x(x) ON x.x BETWEEN a AND b),
+  cells AS (SELECT i.*, CASE WHEN m.x IS NULL THEN 'g' ELSE 'r' END AS kind
+    FROM inside i LEFT JOIN mask m USING (ImageId, ClassType, y, x)),
+  part AS (SELECT *, min(x) OVER (PARTITION BY ImageId, ClassType, kind, y, run) AS x0 FROM (SELECT *,
+    x - row_number() OVER (PARTITION BY ImageId, ClassType, kind, y ORDER BY x) AS run FROM cells)),
+  steps AS (SELECT dy::int AS dy, dx::int AS dx, kind FROM range(-1, 2) a(dy), range(-1, 2) b(dx), (VALUES ('r'), ('g')) k(kind)
+    WHERE (dy <> 0 OR dx <> 0) AND (kind = 'r' OR dy * dx = 0)),
+  seeds AS (SELECT ImageId, ClassType, kind, y, x FROM cells c WHERE NOT EXISTS (
+    SELECT 1 FROM steps s JOIN cells n ON n.ImageId = c.ImageId AND n.ClassType = c.ClassType AND n.kind = c.kind
+      AND n.y = c.y + s.dy AND n.x = c.x + s.dx WHERE s.kind = c.kind AND (s.dy < 0 OR s.dy = 0 AND s.dx < 0))),
+  reach AS (SELECT ImageId, ClassType, kind, y * 41 + x AS seed, y, x FROM seeds
+    UNION SELECT n.ImageId, n.ClassType, n.kind, r.seed, n.y, n.x FROM reach r JOIN steps s ON s.kind = r.kind
+      JOIN cells n ON n.ImageId = r.ImageId AND n.ClassType = r.ClassType AND n.kind = r.kind
+        AND n.y = r.y + s.dy AND n.x = r.x + s.dx),
+  rooted AS (SELECT ImageId, ClassType, kind, y, x, min(seed) AS seed FROM reach GROUP BY 1, 2, 3, 4, 5),
+  named AS (SELECT *, min(concat_ws('|', kind, ImageId, ClassType, y, x0)) OVER (PARTITION BY ImageId, ClassType, kind, seed)
+    AS region FROM rooted JOIN part USING (ImageId, ClassType, kind, y, x)),
+  leaks AS (SELECT DISTINCT g.region FROM named g, (VALUES (-1), (1)) v(d) WHERE g.kind = 'g' AND NOT EXISTS (
+    SELECT 1 FROM cells n WHERE n.ImageId = g.ImageId AND n.ClassType = g.ClassType AND n.y = g.y + v.d AND n.x = g.x)),
+  around AS (SELECT g.region, min_by(r.region, g.y * 41 + g.x0) AS parent FROM named g JOIN named r ON r.kind = 'r'
+    AND r.ImageId = g.ImageId AND r.ClassType = g.ClassType AND r.y = g.y AND r.x = g.x0 - 1 WHERE g.kind = 'g' GROUP BY 1)
+SELECT ImageId, ClassType, region, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y,
+  CASE kind WHEN 'r' THEN 'outer' ELSE 'hole' END AS kind, parent
+FROM named LEFT JOIN around USING (region) WHERE region NOT IN (SELECT region FROM leaks)
+GROUP BY ImageId, ClassType, region, named.kind, parent HAVING count(*) >= 10"""
+
+
+@query("mask_regions", V.sql(REGION_SQL, *VIEWS))
 def mask_regions(spark, d):
     """Connected regions and holes of every class mask with at least ten pixels."""
     return regions.mask_regions(mask_of(spark, d), ["ImageId", "ClassType"], min_area=10)

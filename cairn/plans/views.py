@@ -231,6 +231,7 @@ def sql(body: str, *views: str) -> str:
         return body
     ctes = ",\n".join(f"{name} AS ({_SQL[name]})" for name in ordered)
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes},\n{body[len(start):]}"
     return f"WITH {ctes}\n{body}"

@@ -134,7 +134,11 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
 
 
 def keyed(fps: DataFrame, with_: str, nearest: bool = False) -> DataFrame:
-    """(key, fp, with_) for each row of ``fps`` and each of its keys, or its three nearest keys."""
+    """(key, fp, with_) for each row of ``fps`` and each of its keys, or its three nearest keys.
+
+    The result has about 85 times the rows of ``fps``, which Spark's size estimate doesn't know: joins
+    on it ask for a merge join, so that it is never broadcast.
+    """
     patterns = golay_patterns()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +169,7 @@ def _stars(fps: DataFrame, most: int) -> DataFrame:
         F.max("fp").alias("hi"),
     )
     hubs = hubs.filter("lo <> hi").select("key", F.array("top.fp", "lo", "hi").alias("hubs"))
-    met = keys.join(hubs, "key").select(F.col("fp").alias("a"), F.explode("hubs").alias("b"))
+    met = keys.join(hubs.hint("merge"), "key").select(F.col("fp").alias("a"), F.explode("hubs").alias("b"))
     return met.filter((F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= most))
 
 
@@ -195,7 +199,7 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     one = keys.select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     two = keys.select(F.col("key").alias("other"), F.col("fp").alias("b"), F.col("root").alias("rb"))
     rest = one.join(
-        two,
+        two.hint("merge"),
         (F.col("key") == F.col("other"))
         & (F.col("a") < F.col("b"))
         & (F.col("ra") != F.col("rb"))
@@ -268,7 +272,7 @@ def _hub_pairs(fps: DataFrame, most: int, salt: int) -> DataFrame:
         .select("key", F.array(F.col("lo").bitwiseXOR(mask), F.col("hi").bitwiseXOR(mask)).alias("hubs"))
     )
     near = F.filter("hubs", lambda h: (h != F.col("fp")) & (distance(h, F.col("fp")) <= most))
-    pairs = keys.join(hubs, "key").select(F.col("fp").alias("x"), F.explode(near).alias("y"))
+    pairs = keys.join(hubs.hint("merge"), "key").select(F.col("fp").alias("x"), F.explode(near).alias("y"))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 

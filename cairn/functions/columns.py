@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 # Codes and names that results depend on.
 LETTER_CODES = {"0": 0, "a": 1, "b": 2, "c": 3, "d": 4}
 WEEKDAY_CODES = {"Monday": 1, "Tuesday": 2, "Friday": 3, "Wednesday": 4, "Thursday": 5, "Sunday": 6, "Saturday": 7}
+CALENDAR_CODES = {"Monday": 1, "Tuesday": 2, "Wednesday": 3, "Thursday": 4, "Friday": 5, "Sunday": 6, "Saturday": 7}
 MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "Oct", "Nov", "Dec")
 
 

@@ -230,6 +230,28 @@ def encode_dictionary(spark, d):
     return V.basket(spark, d).select("VisitNumber", "Upc", "ScanCount", code)
 
 
+CALENDAR_SQL = "(CASE Weekday " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.CALENDAR_CODES.items()) + " END)::int"
+KEPT_SQL = "CASE StateHoliday " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in list(C.LETTER_CODES.items())[:3]) + " ELSE StateHoliday END"
+
+
+@query(
+    "encode_dictionary_orders",
+    V.sql(f"SELECT VisitNumber, Upc, {WEEKDAY_SQL} AS listed, {CALENDAR_SQL} AS calendar FROM basket", "basket"),
+)
+def encode_dictionary_orders(spark, d):
+    """Both weekday numberings that the workloads use."""
+    day = F.col("Weekday")
+    listed, calendar = C.encode_map(day, C.WEEKDAY_CODES), C.encode_map(day, C.CALENDAR_CODES)
+    return V.basket(spark, d).select("VisitNumber", "Upc", listed.alias("listed"), calendar.alias("calendar"))
+
+
+@query("replace_known_values", V.sql(f"SELECT Id, {KEPT_SQL} AS StateHoliday FROM sales", "sales"))
+def replace_known_values(spark, d):
+    """Values of a dictionary replaced, all others kept as they are."""
+    some = dict(list(C.LETTER_CODES.items())[:3])
+    return V.sales(spark, d).select("Id", C.encode_map(F.col("StateHoliday"), some, keep=True).alias("StateHoliday"))
+
+
 @query(
     "encode_category_codes",
     V.sql(
@@ -299,6 +321,42 @@ def encode_frequency(spark, d):
     return out.select("VisitNumber", *[F.round(f"Count{c}", 9).alias(f"Count{c}") for c in FREQUENCY_COLUMNS])
 
 
+@query(
+    "decode_label",
+    V.sql("SELECT id, target, target AS again, (dense_rank() OVER (ORDER BY target) - 1)::int AS y FROM product", "product"),
+)
+def decode_label(spark, d):
+    """Labels to codes and back."""
+    products = V.product(spark, d).select("id", "target")
+    codes = E.label_codes(products, "target")
+    return E.decode(E.apply_codes(products, codes, "target", "y"), codes, "target", "y", "again")
+
+
+SPARSE = ["Department", "FinelineNumber", "Upc"]
+
+
+@query(
+    "encode_one_hot_sparse",
+    V.sql(
+        "WITH l AS (SELECT VisitNumber, DepartmentDescription AS Department, FinelineNumber, Upc FROM basket), "
+        + ", ".join(
+            f"v{i} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS at FROM (SELECT DISTINCT {c} AS v FROM l WHERE {c} IS NOT NULL))"
+            for i, c in enumerate(SPARSE)
+        )
+        + """, n AS (SELECT (SELECT count(*) FROM v0) AS n0, (SELECT count(*) FROM v1) AS n1, (SELECT count(*) FROM v2) AS n2)
+        SELECT VisitNumber, (n0 + n1 + n2)::int AS size, list_filter([v0.at, n0 + v1.at, n0 + n1 + v2.at],
+          lambda x: x IS NOT NULL)::int[] AS indices
+        FROM l CROSS JOIN n LEFT JOIN v0 ON Department = v0.v LEFT JOIN v1 ON FinelineNumber = v1.v LEFT JOIN v2 ON Upc = v2.v""",
+        "basket",
+    ),
+)
+def encode_one_hot_sparse(spark, d):
+    """Three columns with vocabularies of any size as one sparse vector."""
+    lines = V.basket(spark, d).withColumnRenamed("DepartmentDescription", "Department").select("VisitNumber", *SPARSE)
+    out = E.one_hot_sparse(lines, SPARSE)
+    return out.select("VisitNumber", "features.size", "features.indices")
+
+
 HOT = {"Assortment": "abc", "StateHoliday": "0abc", "StoreType": "abcd"}
 
 

@@ -125,7 +125,7 @@ def valid_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
         return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
     return (
-        df.select(F.col(vec_id).alias("vec_id"), vector.alias("vector"))
+        df.select(F.col(vec_id).cast("long").alias("vec_id"), vector.alias("vector"))
         .filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
         .filter(F.forall("vector", fine) & F.exists("vector", lambda x: x != 0))
         .dropDuplicates(["vec_id", "vector"])

@@ -73,7 +73,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", *x) for x in _emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 300) and max(map(len, m[0].split("."))) < 300:
+            parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+            if all(len(p) <= 3 and int(p) <= 255 for p in parts):
                 found.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")

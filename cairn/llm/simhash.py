@@ -257,23 +257,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(fps: DataFrame, most: int, salt: int) -> DataFrame:
-    """(a, b): each fingerprint with the two hubs of its keys that lie within ``most`` bits.
+    """(x, y): each fingerprint with the two hubs of its keys that lie within ``most`` bits.
 
-    The hubs of a key are its smallest and largest fingerprint after an exclusive or with a hash of
-    the key, so a group of near copies has other hubs under each of its keys.
+    A key's hubs have its smallest and largest hash of fingerprint, key and salt, so a group of near
+    copies has other hubs under each of its keys.
     """
     keys = keyed(fps.withColumn("copies", F.lit(1).cast("long")), "copies").select("key", "fp")
-    mask = F.xxhash64("key", F.lit(salt))
-    turned = F.col("fp").bitwiseXOR(mask)
+    rank = F.xxhash64("fp", "key", F.lit(salt))
     hubs = cut_lineage(
         keys.groupBy("key")
-        .agg(F.min(turned).alias("lo"), F.max(turned).alias("hi"))
+        .agg(F.min_by("fp", rank).alias("lo"), F.max_by("fp", rank).alias("hi"))
         .filter("lo <> hi")
-        .select("key", F.array(F.col("lo").bitwiseXOR(mask), F.col("hi").bitwiseXOR(mask)).alias("hubs"))
+        .select("key", F.array("lo", "hi").alias("hubs"))
     )
     near = F.filter("hubs", lambda h: (h != F.col("fp")) & (distance(h, F.col("fp")) <= most))
     pairs = keys.join(hubs.hint("merge"), "key").select(F.col("fp").alias("x"), F.explode(near).alias("y"))
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return pairs.distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -296,25 +295,30 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     )
 
 
-def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, most: int = 6, rounds: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, most: int = 7, rounds: int = 8) -> DataFrame:
     """(node, first, tkey, root) of the different texts of (doc_id, text).
 
     Texts link if their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or
     more. Candidates are texts whose word-set fingerprints share a fuzzy key and lie within ``most``
     bits; each meets the hubs of its keys, and texts that failed against a hub of another group meet
-    other hubs in the next rounds. Every link is exact; the search finds most, not all, of them.
+    other hubs in the next rounds, until a round links nothing. Every link is exact; the search finds
+    most, not all, of them.
     """
     texts = _texts(docs)
     leaders = cut_lineage(texts.groupBy("fp").agg(F.min("node").alias("node")))
     twins = texts.join(leaders.select("fp", F.col("node").alias("b")), "fp").filter("node <> b")
 
-    def between(fps: DataFrame, salt: int) -> DataFrame:
-        named = _hub_pairs(fps, most, salt)
-        a = leaders.select(F.col("fp").alias("a"), F.col("node").alias("m"))
-        b = leaders.select(F.col("fp").alias("b"), F.col("node").alias("n"))
-        return named.join(a, "a").join(b, "b").select(F.col("m").alias("a"), F.col("n").alias("b"))
-
-    pairs = cut_lineage(between(leaders.select("fp"), 0).union(twins.select(F.col("node").alias("a"), "b")))
+    def between(nodes: DataFrame, salt: int) -> DataFrame:
+        """Pairs of each (fp, node) with the leading texts of the hubs of its keys."""
+        fps = cut_lineage(nodes.select("fp").distinct())
+        met = _hub_pairs(fps, most, salt)
+        own = nodes.select(F.col("fp").alias("x"), F.col("node").alias("m"))
+        hub = leaders.select(F.col("fp").alias("y"), F.col("node").alias("n"))
+        named = met.join(own, "x").join(hub, "y")
+        return named.select(F.greatest("m", "n").alias("a"), F.least("m", "n").alias("b")).distinct()
+
+    first = between(leaders, 0).union(twins.select(F.col("node").alias("a"), "b"))
+    pairs = cut_lineage(first)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts, "node")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,19 +341,24 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, most: int
     linked = cut_lineage(_similar(pairs, sets, least))
     for turn in range(1, rounds):
         roots = cut_lineage(components(linked, "a", "b"))
-        a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        apart = (
-            pairs.join(a, "a", "left")
-            .join(b, "b", "left")
-            .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        )
-        again = apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct()
-        fps = cut_lineage(leaders.join(again, "node", "left_semi").select("fp"))
-        if fps.isEmpty():
+
+        def apart(some: DataFrame) -> DataFrame:
+            """The pairs whose texts are in different groups."""
+            a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+            b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+            both = some.join(a, "a", "left").join(b, "b", "left")
+            return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+        open_ = cut_lineage(apart(pairs))
+        again = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
+        nodes = cut_lineage(texts.join(again, "node", "left_semi").select("fp", "node"))
+        if nodes.isEmpty():
+            break
+        pairs = cut_lineage(apart(between(nodes, turn)))
+        new = cut_lineage(_similar(pairs, sets, least))
+        if new.isEmpty():
             break
-        pairs = cut_lineage(between(fps, turn))
-        linked = cut_lineage(linked.union(_similar(pairs, sets, least)).distinct())
+        linked = linked.union(new)
     roots = components(linked, "a", "b")
     return texts.join(roots, "node", "left").select(
         "node", "first", "tkey", F.coalesce("root", "node").alias("root")

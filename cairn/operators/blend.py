@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.columns import clip
+from cairn.operators.ordering import fit_row
+from cairn.sources.scratch import cut_lineage
 
 
 def _weight(model: str, weights: Mapping[str, float]) -> Column:
@@ -67,6 +69,35 @@ def weight_losses(
     return each.groupBy(*names).agg((-F.avg(F.ln(clip(mix, eps)))).alias("log_loss"))
 
 
+def mixture_weights(
+    df: DataFrame, key: str, model: str, p_true: str, models: Sequence[str], passes: int = 200, tolerance: float = 1e-7
+) -> list[float]:
+    """Weights on the simplex with the least log loss of the mixed true-class probabilities.
+
+    The loss is convex. Each pass is one small aggregate over a written table: a model's weight is
+    multiplied by the mean of its share in the mixture, which never raises the loss.
+    """
+    wide = cut_lineage(
+        df.groupBy(key).agg(
+            *[F.max(F.when(F.col(model) == m, F.col(p_true))).alias(f"_p{i}") for i, m in enumerate(models)]
+        )
+    )
+    weights = [1.0 / len(models)] * len(models)
+    for _ in range(passes):
+        mix = sum((F.lit(w) * F.col(f"_p{i}") for i, w in enumerate(weights)), F.lit(0.0))
+        shares = fit_row(wide, {f"s{i}": F.avg(F.try_divide(F.col(f"_p{i}"), mix)) for i in range(len(models))})
+        moved = [w * (shares[f"s{i}"] or 0.0) for i, w in enumerate(weights)]
+        total = sum(moved)
+        if not total:
+            break
+        moved = [w / total for w in moved]
+        done = max(abs(a - b) for a, b in zip(moved, weights)) < tolerance
+        weights = moved
+        if done:
+            break
+    return weights
+
+
 def best_weights(losses: DataFrame, models: int) -> DataFrame:
     """The weighting with the lowest loss; ties go to the larger leading weights."""
     names = [f"w{i}" for i in range(models)]

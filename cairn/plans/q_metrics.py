@@ -232,6 +232,14 @@ def blend_weight_search(spark, d):
     return rounded(B.best_weights(losses, 3), ["log_loss"])
 
 
+@query("blend_weight_optimum")
+def blend_weight_optimum(spark, d):
+    """The continuous minimum of the same loss, a row per model."""
+    hits = V.class_probs(spark, d).filter(F.col("class") == F.col("truth"))
+    weights = B.mixture_weights(hits, "Id", "model", "p", V.PROB_MODELS)
+    return spark.createDataFrame(list(zip(V.PROB_MODELS, weights)), "model string, weight double")
+
+
 @query(
     "blend_geometric",
     V.sql(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn.operators import raster as G, regions
 from cairn.operators.ordering import percentiles
 from cairn.plans import views as V
-from cairn.plans.q_stats import rounded
+from cairn.plans.q_stats import rounded, settled
 from cairn.plans.registry import query
 
 KEYS = ["ImageId", "ClassType"]
@@ -157,14 +157,14 @@ def stretch_8bit(spark, d):
     "stretch_unit",
     V.sql(
         f"""WITH {STRETCH_SQL.format(lo=0.05, hi=0.95)}
-        SELECT ImageId, y, x, band, round(least(greatest((value - p_lo) / (p_hi - p_lo), 0), 1), 6) AS value
+        SELECT ImageId, y, x, band, round(least(greatest((value - p_lo) / (p_hi - p_lo), 0), 1) + 1e-9::double, 6) AS value
         FROM pixels JOIN q USING (ImageId, band)""",
         "pixels",
     ),
 )
 def stretch_unit(spark, d):
     pixels = V.pixels(spark, d)
-    return rounded(G.stretch(pixels, G.band_percentiles(pixels, 5, 95), 1, whole=False), ["value"])
+    return settled(G.stretch(pixels, G.band_percentiles(pixels, 5, 95), 1, whole=False), ["value"])
 
 
 @query("band_composite", V.sql(f"WITH {BANDS_SQL} SELECT ImageId, y, x, bands[5] AS r, bands[3] AS g, bands[2] AS b FROM vec", "pixels"))

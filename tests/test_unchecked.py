@@ -11,7 +11,7 @@ QUERIES = entry.queries()
 CLASSIFIERS = ["train_gbt_multiclass", "train_linear_svc", "train_logistic", "train_mlp", "train_rf_classifier"]
 REGRESSORS = ["seed_average", "stack_regression", "train_adaboost_r2", "train_extra_trees", "train_gbt_regressor", "train_rf_regressor"]
 OTHERS = [
-    "bagged_stack", "cross_val_score", "feature_importance_topk", "grid_search", "lasso_impute_column",
+    "bagged_stack", "blend_weight_optimum", "cross_val_score", "feature_importance_topk", "grid_search", "lasso_impute_column",
     "model_save_load_score", "pca_project", "repeated_holdout_report", "score_pixels", "stack_probabilities",
 ]
 
@@ -65,6 +65,18 @@ def test_scores_lie_in_their_range(spark, sf_dir):
     assert len(rows) == 10 and all(0 <= r["accuracy"] <= 1 and 0 <= r["auc"] <= 1 for r in rows)
 
 
+def test_weights_are_no_worse_than_any_on_the_grid(spark, sf_dir):
+    from cairn.operators import blend as B
+
+    weights = {r["model"]: r["weight"] for r in run("blend_weight_optimum", spark, sf_dir).collect()}
+    assert sum(weights.values()) == pytest.approx(1) and min(weights.values()) >= 0
+    hits = V.class_probs(spark, sf_dir).filter(F.col("class") == F.col("truth"))
+    least = B.weight_losses(hits, "Id", "model", "p", V.PROB_MODELS).agg(F.min("log_loss")).first()[0]
+    wide = hits.groupBy("Id").pivot("model", list(V.PROB_MODELS)).agg(F.max("p"))
+    mix = sum(F.col(m) * w for m, w in weights.items())
+    assert wide.agg(-F.avg(F.ln(mix))).first()[0] <= least + 1e-7
+
+
 def test_importances_are_shares(spark, sf_dir):
     values = [r["importance"] for r in run("feature_importance_topk", spark, sf_dir).collect()]
     assert len(values) == 10 and values == sorted(values, reverse=True) and 0 < sum(values) <= 1 + 1e-9

@@ -151,14 +151,15 @@ def judge(
     Which rule is named depends on the measured order; whether one is named doesn't.
     """
     tokens = fresh(df)
-    rules = default_rules(F.col(text), F.col(tokens))
     sample = draw(df, text, sample_rows).withColumn(tokens, words(F.col(text)))
-    ordered = order_rules(sample, rules)
-    return (
-        df.withColumn(tokens, words(F.col(text)))
-        .withColumn(verdict, cascade(ordered))
-        .drop(tokens)
-    )
+    names = [r.name for r in order_rules(sample, default_rules(F.col(text), F.col(tokens)))]
+
+    def rejected(found: Column) -> Column:
+        rules = {r.name: r for r in default_rules(F.col(text), found)}
+        return cascade([rules[n] for n in names])
+
+    # Bound once inside the expression: a filter pushed below a column of words would split for each use.
+    return df.withColumn(verdict, let(words(F.col(text)), rejected))
 
 
 def keep(df: DataFrame, text: str = "text") -> DataFrame:

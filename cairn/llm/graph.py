@@ -22,7 +22,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     mark = _mark(pairs)
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written, so that the join shuffles both sides afresh and a node with very many links can be split.
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut_lineage(large.filter("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -140,7 +140,8 @@ def train(samples: list[tuple[int, np.ndarray]], languages: list[str], seed: int
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on about ``rows`` rows of (text, lang), spread evenly over the languages.
 
-    The sample follows a hash of the text, so it doesn't depend on partitions or retries.
+    The sample follows a hash of the text, so it doesn't depend on partitions or retries; of equal
+    texts it takes one.
     """
     known = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
@@ -153,6 +154,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     sample = (
         known.select("lang", "text", drawn)
         .filter(F.col("drawn") < F.coalesce(shares[F.col("lang")], F.lit(0.0)))
+        .dropDuplicates(["lang", "drawn"])
         .limit(2 * rows)
     )
 

@@ -136,10 +136,10 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 
 def tree(positions: DataFrame, height: int) -> list[DataFrame]:
-    """Levels from the leaves (shard, at, digest) to the shard roots."""
+    """Levels from the leaves (shard, at, digest) to the shard roots; those above the leaves are written."""
     levels = [positions]
     for _ in range(height):
-        levels.append(parents(levels[-1]))
+        levels.append(cut_lineage(parents(levels[-1])))
     return levels
 
 

@@ -233,14 +233,17 @@ def _word_set_hashes(text: bytes) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in each), np.uint64, len(each))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """The different texts of (doc_id, text): node, first id, hashes and word-set fingerprint."""
+def _texts(docs: DataFrame, size: int) -> DataFrame:
+    """The different texts of (doc_id, text): node, first id, hash, fingerprints of words and of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [simhash(_word_set_hashes(t.as_py())) for t in batch.column(3)]
+            texts = [t.as_py() for t in batch.column(3)]
+            of_words = [simhash(_word_set_hashes(t)) for t in texts]
+            of_shingles = [simhash(shingle_hashes(t, size)) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(fps, pa.int64())], names=["doc_id", "tkey", "tid", "fp"]
+                [*batch.columns[:3], pa.array(of_words, pa.int64()), pa.array(of_shingles, pa.int64())],
+                names=["doc_id", "tkey", "tid", "fp", "sfp"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -249,30 +252,33 @@ def _texts(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("tkey"),
         F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("tid"),
         F.col("text").cast("binary").alias("text"),
-    ).mapInArrow(run, f"doc_id {kind}, tkey bigint, tid binary, fp bigint")
+    ).mapInArrow(run, f"doc_id {kind}, tkey bigint, tid binary, fp bigint, sfp bigint")
     found = each.groupBy("tid").agg(
-        F.min("doc_id").alias("first"), F.min("tkey").alias("tkey"), F.min("fp").alias("fp")
+        F.min("doc_id").alias("first"),
+        F.min("tkey").alias("tkey"),
+        F.min("fp").alias("fp"),
+        F.min("sfp").alias("sfp"),
     )
     return cut_lineage(found.withColumn("node", F.monotonically_increasing_id()).drop("tid"))
 
 
-def _hub_pairs(fps: DataFrame, most: int, salt: int) -> DataFrame:
-    """(x, y): each fingerprint with the two hubs of its keys that lie within ``most`` bits.
+def _hub_pairs(fps: DataFrame, near: tuple[int, int], salt: int) -> DataFrame:
+    """(x, y): each (fp, sfp) with the hubs of its keys that lie within ``near`` bits of both.
 
-    A key's hubs have its smallest and largest hash of fingerprint, key and salt, so a group of near
-    copies has other hubs under each of its keys.
+    A key's hub has its smallest hash of fingerprint, key and salt, so a group of near copies has other
+    hubs under each of its keys.
     """
-    keys = keyed(fps.withColumn("copies", F.lit(1).cast("long")), "copies").select("key", "fp")
+    keys = keyed(fps, "sfp")
     rank = F.xxhash64("fp", "key", F.lit(salt))
     hubs = cut_lineage(
         keys.groupBy("key")
-        .agg(F.min_by("fp", rank).alias("lo"), F.max_by("fp", rank).alias("hi"))
+        .agg(F.min_by("fp", rank).alias("hub"), F.min_by("sfp", rank).alias("hub_s"), F.max("fp").alias("hi"), F.min("fp").alias("lo"))
         .filter("lo <> hi")
-        .select("key", F.array("lo", "hi").alias("hubs"))
+        .select("key", "hub", "hub_s")
     )
-    near = F.filter("hubs", lambda h: (h != F.col("fp")) & (distance(h, F.col("fp")) <= most))
-    pairs = keys.join(hubs.hint("merge"), "key").select(F.col("fp").alias("x"), F.explode(near).alias("y"))
-    return pairs.distinct()
+    close = (distance(F.col("fp"), F.col("hub")) <= near[0]) & (distance(F.col("sfp"), F.col("hub_s")) <= near[1])
+    met = keys.join(hubs.hint("merge"), "key").filter(close & (F.col("fp") != F.col("hub")))
+    return met.select(F.col("fp").alias("x"), F.col("hub").alias("y")).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -295,23 +301,24 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     )
 
 
-def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, most: int = 7, rounds: int = 8) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, size: int = 5, least: float = 0.8, near: tuple[int, int] = (7, 14), rounds: int = 4
+) -> DataFrame:
     """(node, first, tkey, root) of the different texts of (doc_id, text).
 
     Texts link if their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or
-    more. Candidates are texts whose word-set fingerprints share a fuzzy key and lie within ``most``
-    bits; each meets the hubs of its keys, and texts that failed against a hub of another group meet
-    other hubs in the next rounds, until a round links nothing. Every link is exact; the search finds
+    more. Candidates are texts whose word-set fingerprints share a fuzzy key, and which lie within
+    ``near`` bits by word sets and by shingles; each meets the hubs of its keys, and texts that failed
+    against a hub meet those of other groups in the next rounds. Every link is exact; the search finds
     most, not all, of them.
     """
-    texts = _texts(docs)
-    leaders = cut_lineage(texts.groupBy("fp").agg(F.min("node").alias("node")))
+    texts = _texts(docs, size)
+    leaders = cut_lineage(texts.groupBy("fp").agg(F.min("node").alias("node"), F.min_by("sfp", "node").alias("sfp")))
     twins = texts.join(leaders.select("fp", F.col("node").alias("b")), "fp").filter("node <> b")
 
     def between(nodes: DataFrame, salt: int) -> DataFrame:
         """Pairs of each (fp, node) with the leading texts of the hubs of its keys."""
-        fps = cut_lineage(nodes.select("fp").distinct())
-        met = _hub_pairs(fps, most, salt)
+        met = _hub_pairs(leaders.join(nodes.select("fp").distinct(), "fp", "left_semi").select("fp", "sfp"), near, salt)
         own = nodes.select(F.col("fp").alias("x"), F.col("node").alias("m"))
         hub = leaders.select(F.col("fp").alias("y"), F.col("node").alias("n"))
         named = met.join(own, "x").join(hub, "y")
@@ -338,27 +345,22 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, most: int
         .mapInArrow(shingles, "node bigint, set binary")
         .dropDuplicates(["node"])
     )
-    linked = cut_lineage(_similar(pairs, sets, least))
+    found = linked = cut_lineage(_similar(pairs, sets, least))
     for turn in range(1, rounds):
-        roots = cut_lineage(components(linked, "a", "b"))
-
-        def apart(some: DataFrame) -> DataFrame:
-            """The pairs whose texts are in different groups."""
-            a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-            b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-            both = some.join(a, "a", "left").join(b, "b", "left")
-            return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-        open_ = cut_lineage(apart(pairs))
-        again = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
+        failed = pairs.join(found, ["a", "b"], "left_anti")
+        again = failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct()
         nodes = cut_lineage(texts.join(again, "node", "left_semi").select("fp", "node"))
         if nodes.isEmpty():
             break
-        pairs = cut_lineage(apart(between(nodes, turn)))
-        new = cut_lineage(_similar(pairs, sets, least))
-        if new.isEmpty():
+        roots = cut_lineage(components(linked, "a", "b"))
+        a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        both = between(nodes, turn).join(a, "a", "left").join(b, "b", "left")
+        pairs = cut_lineage(both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+        found = cut_lineage(_similar(pairs, sets, least))
+        if found.isEmpty():
             break
-        linked = linked.union(new)
+        linked = linked.union(found)
     roots = components(linked, "a", "b")
     return texts.join(roots, "node", "left").select(
         "node", "first", "tkey", F.coalesce("root", "node").alias("root")

@@ -18,10 +18,12 @@ repeated results. An empty table gives an empty table. Other columns of the inpu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -228,22 +230,81 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
 
 
-def _word_set_hashes(text: bytes) -> np.ndarray:
-    each = {*text.lower().split()}
-    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in each), np.uint64, len(each))
+#: Texts, and shingles of each, in the sample that tells common shingles from rare ones.
+SAMPLE_TEXTS = 4000
+SAMPLE_SHINGLES = 1000
+#: Longs of a text's parity bits: beside its shingles, and in its signature.
+PARITY_LONGS = 4
+SIGNATURE_LONGS = 32
+#: Slots of the mask that thins out texts before their join.
+MASK_SLOTS = 1 << 22
+BITS = [f"p{k}" for k in range(PARITY_LONGS)]
 
 
-def _texts(docs: DataFrame, size: int) -> DataFrame:
-    """The different texts of (doc_id, text): node, first id, hash, fingerprints of words and of shingles."""
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def prefix_length(n: int, least: float) -> int:
+    """So many first shingles, in any fixed order, that two sets with Jaccard ``least`` share one of them."""
+    return n - math.ceil(least * n - 1e-9) + 1
+
+
+def parity(hashes: np.ndarray, longs: int = PARITY_LONGS) -> np.ndarray:
+    """A bit for each of the hash's residues: whether an odd number of hashes has it.
+
+    Two sets differ in at least as many elements as their parity bits differ.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def _common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that three or more sampled texts have, and how many have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(3)]
-            of_words = [simhash(_word_set_hashes(t)) for t in texts]
-            of_shingles = [simhash(shingle_hashes(t, size)) for t in texts]
+            for t in batch.column(0):
+                one = shingle_set(t.as_py(), size)[:SAMPLE_SHINGLES].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(one)], names=["token"])
+
+    share = SAMPLE_TEXTS / max(1, docs.count())
+    drawn = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = docs.filter(drawn).select("text").distinct().select(F.col("text").cast("binary").alias("text"))
+    counts = sample.mapInArrow(run, "token bigint").groupBy("token").count().filter("count > 2").toArrow()
+    token, count = (counts[c].to_numpy() for c in ("token", "count"))
+    order = np.argsort(token.view(np.uint64))
+    return token.view(np.uint64)[order], count[order]
+
+
+def _texts(docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The different texts of (doc_id, text): node, first id, hash, number of shingles, first ones, parity, signature.
+
+    The first shingles are the rarest by the sample, ties by hash. A signature is the number and more parity bits.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = sent.value
+        for batch in batches:
+            sizes, firsts, bits, signatures = [], [], [], []
+            for t in batch.column(3):
+                one = shingle_set(t.as_py(), size)
+                bits.append(parity(one))
+                signatures.append(np.r_[len(one), parity(one, SIGNATURE_LONGS)].tobytes())
+                one = one if len(one) else np.zeros(1, np.uint64)
+                often = np.zeros(len(one), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, one), len(common) - 1)
+                    often = np.where(common[at] == one, count[at], 0)
+                sizes.append(len(one))
+                firsts.append(one[np.argsort(often, kind="stable")][: prefix_length(len(one), least)].view(np.int64))
+            bits = np.reshape(bits, (len(bits), PARITY_LONGS)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(of_words, pa.int64()), pa.array(of_shingles, pa.int64())],
-                names=["doc_id", "tkey", "tid", "fp", "sfp"],
+                [*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+                + [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITY_LONGS)]
+                + [pa.array(signatures, pa.binary())],
+                names=["doc_id", "tkey", "tid", "n", "firsts", *BITS, "signature"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -252,116 +313,167 @@ def _texts(docs: DataFrame, size: int) -> DataFrame:
         F.xxhash64("text").alias("tkey"),
         F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("tid"),
         F.col("text").cast("binary").alias("text"),
-    ).mapInArrow(run, f"doc_id {kind}, tkey bigint, tid binary, fp bigint, sfp bigint")
+    ).mapInArrow(
+        run,
+        f"doc_id {kind}, tkey bigint, tid binary, n int, firsts array<bigint>, "
+        + "".join(f"{b} bigint, " for b in BITS)
+        + "signature binary",
+    )
     found = each.groupBy("tid").agg(
-        F.min("doc_id").alias("first"),
-        F.min("tkey").alias("tkey"),
-        F.min("fp").alias("fp"),
-        F.min("sfp").alias("sfp"),
+        F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("tkey", "n", "firsts", *BITS, "signature")]
     )
     return cut_lineage(found.withColumn("node", F.monotonically_increasing_id()).drop("tid"))
 
 
-def _hub_pairs(fps: DataFrame, near: tuple[int, int], salt: int) -> DataFrame:
-    """(x, y): each (fp, sfp) with the hubs of its keys that lie within ``near`` bits of both.
+def _may_be_similar(x: Callable[[str], Column], y: Callable[[str], Column], least: float) -> Column:
+    """Whether two postings of one shingle leave room for Jaccard ``least``, if it's the first that both have.
 
-    A key's hub has its smallest hash of fingerprint, key and salt, so a group of near copies has other
-    hubs under each of its keys.
+    By what follows the shingle in each text, which bounds the lengths too, and by the parity bits.
     """
-    keys = keyed(fps, "sfp")
-    rank = F.xxhash64("fp", "key", F.lit(salt))
-    hubs = cut_lineage(
-        keys.groupBy("key")
-        .agg(F.min_by("fp", rank).alias("hub"), F.min_by("sfp", rank).alias("hub_s"), F.max("fp").alias("hi"), F.min("fp").alias("lo"))
-        .filter("lo <> hi")
-        .select("key", "hub", "hub_s")
-    )
-    close = (distance(F.col("fp"), F.col("hub")) <= near[0]) & (distance(F.col("sfp"), F.col("hub_s")) <= near[1])
-    met = keys.join(hubs.hint("merge"), "key").filter(close & (F.col("fp") != F.col("hub")))
-    return met.select(F.col("fp").alias("x"), F.col("hub").alias("y")).distinct()
+    need = F.ceil((x("n") + y("n")) * (least / (1 + least)) - 1e-9)
+    after = F.least(x("n") - x("pos"), y("n") - y("pos"))
+    apart = sum((F.bit_count(x(b).bitwiseXOR(y(b))) for b in BITS), F.lit(0))
+    return (after >= need) & (apart <= x("n") + y("n") - 2 * need)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The (a, b) whose shingle sets have at least this Jaccard similarity, exactly."""
+def _shared(texts: DataFrame) -> DataFrame:
+    """The first shingles that two or more texts have: token, node, position, size and parity of the text."""
+    each = texts.select("node", "n", F.posexplode("firsts").alias("pos", "token"))
+    many = each.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
+    met = each.join(many.hint("merge"), "token")
+    return cut_lineage(met.join(texts.select("node", *BITS), "node").select("token", "node", "pos", "n", *BITS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(run, "a bigint, b bigint")
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _star_pairs(shared: DataFrame, least: float) -> DataFrame:
+    """(a, b): each text with two texts of each of its shingles, those of smallest and largest hash."""
+    whole = F.struct(F.xxhash64("node", "token").alias("rank"), "node", "pos", "n", *BITS)
+    hubs = shared.groupBy("token").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"))
+    met = shared.join(hubs.hint("merge"), "token")
+    pairs = [
+        met.filter((F.col("node") != F.col(f"{h}.node")) & _may_be_similar(F.col, lambda c, h=h: F.col(f"{h}.{c}"), least))
+        .select(*_ordered("node", f"{h}.node"))
+        for h in ("lo", "hi")
+    ]
+    return pairs[0].union(pairs[1]).distinct()
+
+
+def _cross_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): all texts of different groups that share a first shingle and may be similar."""
+    grouped = cut_lineage(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    x = grouped.select(*[F.col(c).alias(f"x_{c}") for c in grouped.columns])
+    y = grouped.select(*[F.col(c).alias(f"y_{c}") for c in grouped.columns])
+    pairs = x.join(
+        y.hint("merge"),
+        (F.col("x_token") == F.col("y_token"))
+        & (F.col("x_node") > F.col("y_node"))
+        & (F.col("x_root") != F.col("y_root"))
+        & _may_be_similar(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), least),
     )
+    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
-def similar_groups(
-    docs: DataFrame, size: int = 5, least: float = 0.8, near: tuple[int, int] = (7, 14), rounds: int = 4
-) -> DataFrame:
-    """(node, first, tkey, root) of the different texts of (doc_id, text).
+def _in_mask(wanted: DataFrame) -> Callable[[Column], Column]:
+    """A test of hashes that holds for all ``tkey`` of the table, and for few others if it's small."""
+    slots = wanted.select(F.pmod("tkey", F.lit(MASK_SLOTS)).cast("int").alias("slot"))
+    rows = (
+        slots.select(F.shiftright("slot", 6).alias("at"), F.expr("shiftleft(1L, slot & 63)").alias("bit"))
+        .groupBy("at")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    mask = np.zeros(MASK_SLOTS // 64, np.int64)
+    mask[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    sent = wanted.sparkSession.sparkContext.broadcast(np.unpackbits(mask.view(np.uint8), bitorder="little"))
 
-    Texts link if their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or
-    more. Candidates are texts whose word-set fingerprints share a fuzzy key, and which lie within
-    ``near`` bits by word sets and by shingles; each meets the hubs of its keys, and texts that failed
-    against a hub meet those of other groups in the next rounds. Every link is exact; the search finds
-    most, not all, of them.
-    """
-    texts = _texts(docs, size)
-    leaders = cut_lineage(texts.groupBy("fp").agg(F.min("node").alias("node"), F.min_by("sfp", "node").alias("sfp")))
-    twins = texts.join(leaders.select("fp", F.col("node").alias("b")), "fp").filter("node <> b")
-
-    def between(nodes: DataFrame, salt: int) -> DataFrame:
-        """Pairs of each (fp, node) with the leading texts of the hubs of its keys."""
-        met = _hub_pairs(leaders.join(nodes.select("fp").distinct(), "fp", "left_semi").select("fp", "sfp"), near, salt)
-        own = nodes.select(F.col("fp").alias("x"), F.col("node").alias("m"))
-        hub = leaders.select(F.col("fp").alias("y"), F.col("node").alias("n"))
-        named = met.join(own, "x").join(hub, "y")
-        return named.select(F.greatest("m", "n").alias("a"), F.least("m", "n").alias("b")).distinct()
-
-    first = between(leaders, 0).union(twins.select(F.col("node").alias("a"), "b"))
-    pairs = cut_lineage(first)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts, "node")
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(sent.value[keys.to_numpy() % MASK_SLOTS] > 0)
+
+    return test
+
+
+def _sets(docs: DataFrame, texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(node, set): the sorted shingles of the texts of the pairs."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut_lineage(texts.select("node", "first", "tkey").join(nodes, "node"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), size)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"]
-            )
+            sets = [shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    keyed_docs = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.col("text").cast("binary").alias("text"))
-    sets = cut_lineage(
-        keyed_docs.join(
+    each = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.col("text").cast("binary").alias("text"))
+    return cut_lineage(
+        each.filter(_in_mask(wanted)(F.col("tkey")))
+        .join(
             wanted.select(F.col("first").alias("id"), F.col("tkey").alias("key"), "node"),
             F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("key")),
         )
         .select("node", "text")
-        .mapInArrow(shingles, "node bigint, set binary")
         .dropDuplicates(["node"])
+        .mapInArrow(shingles, "node bigint, set binary")
+    )
+
+
+def _held(pairs: DataFrame, values: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool], kind: type) -> DataFrame:
+    """The (a, b) for which the test of the values of (node, value), arrays of ``kind``, holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column(2), batch.column(3))
+            good = [test(*(np.frombuffer(v.as_buffer(), kind) for v in both)) for both in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return (
+        pairs.join(values.toDF("a", "x"), "a")
+        .join(values.toDF("b", "y"), "b")
+        .select("a", "b", "x", "y")
+        .mapInArrow(run, "a bigint, b bigint")
     )
-    found = linked = cut_lineage(_similar(pairs, sets, least))
-    for turn in range(1, rounds):
-        failed = pairs.join(found, ["a", "b"], "left_anti")
-        again = failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct()
-        nodes = cut_lineage(texts.join(again, "node", "left_semi").select("fp", "node"))
-        if nodes.isEmpty():
-            break
-        roots = cut_lineage(components(linked, "a", "b"))
-        a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        both = between(nodes, turn).join(a, "a", "left").join(b, "b", "left")
-        pairs = cut_lineage(both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-        found = cut_lineage(_similar(pairs, sets, least))
-        if found.isEmpty():
-            break
-        linked = linked.union(found)
-    roots = components(linked, "a", "b")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The (a, b) whose signatures don't rule out this Jaccard similarity."""
+
+    def test(x: np.ndarray, y: np.ndarray) -> bool:
+        n = int(x[0] + y[0])
+        apart = int(np.bitwise_count((x[1:] ^ y[1:]).view(np.uint64)).sum())
+        return apart <= n - 2 * math.ceil(n * (least / (1 + least)) - 1e-9)
+
+    return _held(pairs, texts.select("node", "signature"), test, np.int64)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The (a, b) whose shingle sets have at least this Jaccard similarity, exactly."""
+
+    def test(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= least * (len(x) + len(y) - both)
+
+    return _held(pairs, sets, test, np.uint64)
+
+
+def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, first, tkey, root) of the different texts of (doc_id, text).
+
+    Texts link if their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more,
+    compared exactly; the groups are those that a comparison of all pairs gives. Two such sets share
+    one of their first shingles in any fixed order, here the rarest first. Stars over shared first
+    shingles join dense groups; then every pair across the groups that shares a first shingle is
+    compared, unless its positions, parity bits or signatures rule the similarity out.
+    """
+    texts = _texts(docs, size, least)
+    shared = _shared(texts)
+    stars = cut_lineage(_possible(_star_pairs(shared, least), texts, least))
+    linked = cut_lineage(_similar(stars, _sets(docs, texts, stars, size), least))
+    crossing = cut_lineage(_cross_pairs(shared, components(linked, "a", "b"), least))
+    rest = cut_lineage(_possible(crossing, texts, least))
+    found = linked.union(_similar(rest, _sets(docs, texts, rest, size), least))
+    roots = components(found, "a", "b")
     return texts.join(roots, "node", "left").select(
         "node", "first", "tkey", F.coalesce("root", "node").alias("root")
     )

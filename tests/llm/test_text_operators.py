@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from array import array
 
@@ -271,6 +272,46 @@ def test_below_the_similarity_nothing_goes(spark):
     assert simhash.drop_near_duplicates(docs(spark, rows)).count() == 2
 
 
+def kept_by_all_pairs(rows, least=0.8):
+    """Smallest ids of the groups that a comparison of all pairs gives."""
+    root = {i: i for i, _ in rows}
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[k + 1 :]:
+            if root[i] != root[j] and jaccard(a, b) >= least:
+                lo, hi = sorted((root[i], root[j]))
+                root = {x: lo if r == hi else r for x, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def kept_ids(spark, rows):
+    return {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
+
+
+def test_near_copies_among_many_texts_of_like_words(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(80)]
+    order = lambda: " ".join(rng.sample(vocabulary, len(vocabulary)))
+    rows = [(k, f"{order()} x{k}") for k in range(150)]
+    for k in range(30):
+        text = order()
+        rows += [(1000 + k, f"{text} y{k}"), (2000 + k, f"{text} z{k}")]
+    assert kept_by_all_pairs(rows) == {i for i, _ in rows if i < 2000}
+    assert kept_ids(spark, rows) == kept_by_all_pairs(rows)
+
+
+def test_dense_group_as_by_all_pairs(spark):
+    rng = random.Random(9)
+    base, rows = [f"w{k}" for k in range(70)], []
+    for k in range(150):
+        words = list(base)
+        for n in range(rng.randrange(4)):
+            words[rng.randrange(70)] = f"v{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    want = kept_by_all_pairs(rows)
+    assert 1 < len(want) < 100
+    assert kept_ids(spark, rows) == want
+
+
 # byte-level BPE
 
 

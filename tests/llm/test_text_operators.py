@@ -312,6 +312,15 @@ def test_dense_group_as_by_all_pairs(spark):
     assert kept_ids(spark, rows) == want
 
 
+def test_near_copies_with_an_unlike_text_of_the_same_words(spark):
+    rng, rows = random.Random(10), []
+    for k in range(20):
+        words = [f"w{k}x{n}" for n in range(60)]
+        rows += [(10 * k + n, " ".join(rng.sample(words, 60))) for n in range(4)]
+        rows += [(10 * k + 4, " ".join(words)), (10 * k + 5, " ".join([*words, words[7]]))]
+    assert kept_ids(spark, rows) == {i for i, _ in rows if i % 10 != 5}
+
+
 # byte-level BPE
 
 

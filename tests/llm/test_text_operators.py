@@ -321,6 +321,29 @@ def test_near_copies_with_an_unlike_text_of_the_same_words(spark):
     assert kept_ids(spark, rows) == {i for i, _ in rows if i % 10 != 5}
 
 
+def test_no_near_copy_at_the_threshold_is_missed(spark):
+    rng, rows = random.Random(11), []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+        other = [*words[:25], "new", *words[26:]]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    assert all(0.8 <= jaccard(a, b) < 0.81 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    assert kept_ids(spark, rows) == {i for i, _ in rows if i % 2 == 0}
+
+
+def test_first_shingles_and_parity_rule_out_no_similar_pair():
+    rng = np.random.default_rng(12)
+    for _ in range(2000):
+        both, a, b = rng.integers(1, 120), rng.integers(0, 16), rng.integers(0, 16)
+        hashes = rng.permutation(np.unique(rng.integers(0, 2**63, 2 * (both + a + b), dtype=np.uint64)))[: both + a + b]
+        x, y = np.sort(hashes[: both + a]), np.sort(np.r_[hashes[:both], hashes[both + a :]])
+        if both >= 0.8 * (both + a + b):
+            px, py = (v[: simhash.prefix_length(len(v), 0.8)] for v in (x, y))
+            assert len(np.intersect1d(px, py))
+        apart = sum(int(v).bit_count() for v in (simhash.parity(x) ^ simhash.parity(y)).view(np.uint64))
+        assert apart <= a + b
+
+
 # byte-level BPE
 
 

@@ -34,12 +34,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: A credential word, a separator or "is", and a value without spaces.
-CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|login|auth(?:orization)?"""
-    r"""|(?:api|access|private|secret|client)[_-]?(?:key|secret|token))\b)["']?"""
-    r"""\x20*(?:[:=]|->|=>|\bis\b)\x20*["'`]?([^\s"'`<>,;]{6,})"""
+#: A name, a separator or "is"; a credential word as a part of the name; a value without spaces.
+NAMED = re.compile(r"""(?a:(?<![\w-])((?:\w|-(?!>))++)["']?\x20*(?:->|=>|[:=]|\b(?i:is)\b)\x20*["'`]?)""")
+CREDENTIAL = re.compile(
+    r"""(?a:(?:(?i:pass(?:word|wd|phrase|code)|secret|token|credentials?"""
+    r"""|(?:api|access|private|secret|client)[_-]?(?:key|secret|token))"""
+    r"""|(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:pass|pwd|login|auth(?:orization)?))"""
+    r"""(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z])))"""
 )
+VALUE = re.compile(r"""[^\s"'`<>,;]{6,}""")
 HINTS = ("pass", "pwd", "secret", "token", "credential", "login", "auth", "key")
 
 # Common parts of passwords, most common first.
@@ -170,9 +173,14 @@ def scan(text: str | None, ranks: dict[str, int], least_bits: float = LEAST_BITS
         found.append(("hex", *m.span(), m.start(), None))
     if hinted:
         fixed = [x[1:3] for x in found]
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".:!?)]}")
-            a, b = m.start(1), m.start(1) + len(value)
+        at = 0
+        while m := NAMED.search(text, at):
+            at = m.end(1)
+            if not CREDENTIAL.search(m[1]) or not (v := VALUE.match(text, m.end())):
+                continue
+            at = v.end()
+            value = v[0].rstrip(".:!?)]}")
+            a, b = v.start(), v.start() + len(value)
             if len(value) < 6 or any(a < y and x < b for x, y in fixed):
                 continue
             if (bits := guess_bits(value, ranks)) >= least_bits:

@@ -446,6 +446,28 @@ def test_secret_spans():
     assert red == 'é token = "#" # AKIASHORT # pwd: #'
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "DB_PASSWORD='{}'", "github_token: {}", "aws_secret_access_key={}", "secret_access_key = {}", "password_prod={}",
+        "my-api-key-2: {}", "PGPASSWORD={}", "dbPassword={}", "passwordProd => {}", '"client_secret_v2": "{}"', "x_pwd->{}",
+        "password1: {}", "the api_token is {}", "name: db_password={}", "a=b c_auth={}",
+    ],
+)
+def test_credential_words_inside_names(text):
+    value = "p@ss!x9Qz#"
+    whole = text.format(value)
+    found = credentials.scan(whole, credentials._ranks(credentials.COMMON))
+    assert [(k, whole[a:b]) for k, a, b, *_ in found] == [("guess", value)]
+
+
+def test_words_that_only_begin_like_credentials():
+    ranks = credentials._ranks(credentials.COMMON)
+    for name in ("author", "secretary", "tokenizer", "passenger_list", "compass", "blogin"):
+        assert credentials.scan(f"{name}: p@ss!x9Qz#", ranks) == []
+    assert len(credentials.scan("token-" * 40_000 + " token:" * 3, ranks)) == 0
+
+
 def test_secret_report(spark, odd):
     got = credentials.digest_report(odd)
     assert got.count() == odd.count() and got.filter("n_assign + n_access + n_hex + n_guess > 0").count() == 0

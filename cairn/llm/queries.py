@@ -12,6 +12,7 @@ from cairn.llm.pii import op6_contextual_pii
 from cairn.llm.quality import OP1_SQL, op1_quality_rules
 from cairn.llm.simhash import op4_simhash_golay
 from cairn.llm.substring import op3_substring_dedup
+from cairn.llm.trie import OP12_SQL, op12_conversation_trie
 from cairn.llm.urls import OP13_SQL, op13_url_filter
 from cairn.llm.warc import OP5_SQL, op5_merkle_fixity
 
@@ -27,11 +28,13 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_adaptive_scan": op10_adaptive_scan,
     "op11_source_divergence": op11_source_divergence,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_url_filter": op13_url_filter,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op5_merkle_fixity": OP5_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_conversation_trie": OP12_SQL,
     "op13_url_filter": OP13_SQL,
 }

@@ -9,7 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.operators.joins import attach
-from cairn.operators.ordering import fit_row, order_bucket, percentiles, positions
+from cairn.operators.ordering import fit_row, order_bucket, positions
+from cairn.operators.selection import percentiles
 from cairn.sources.scratch import cut_lineage
 
 

@@ -11,11 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from cairn.sources.scratch import cut_lineage
-
 BUCKETS = 4096  # slices of a hash
 SPLITS = 256  # intervals between approximate quantiles
 PARTS = 64  # equal slices of such an interval
@@ -172,105 +169,3 @@ def distinct_counts(
     """Exact distinct counts ``name: column`` and ordinary aggregates per key; nulls aren't counted."""
     counts = [F.count_distinct(c).alias(n) for n, c in distinct.items()]
     return df.groupBy(*keys).agg(*counts, *[e.alias(n) for n, e in plain.items()])
-
-
-def group_stats(
-    df: DataFrame,
-    keys: Sequence[str],
-    wanted: Mapping[str, tuple[str, float]],
-    plain: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """Ordinary aggregates and exact percentiles per key, one row per key.
-
-    ``wanted`` maps an output name to ``(column, fraction)``; nulls are ignored and ranks in between are
-    interpolated. A null key is a key like any other; a group without values has null percentiles.
-    """
-    plain = dict(plain or {})
-    columns = sorted({c for c, _ in wanted.values()})
-    rows = cut_lineage(df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)]))
-    cuts = exact_percentiles(rows, keys, {n: (columns.index(c), q) for n, (c, q) in wanted.items()}, len(columns))
-    whole = df.groupBy(*keys).agg(*[e.alias(n) for n, e in plain.items()]) if plain else None
-    if not keys:
-        row = fit_row(cuts, {n: F.max(n) for n in wanted})
-        whole = df.agg(F.lit(1).alias("_one")).drop("_one") if whole is None else whole
-        return whole.withColumns({n: F.lit(v).cast("double") for n, v in row.items()})
-    if whole is None:
-        whole = rows.select(*keys).distinct()
-    return whole.join(keyed_as(cuts, keys), met(keys), "left").select(*keys, *plain, *wanted)
-
-
-def percentiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
-    return group_stats(df, keys, wanted)
-
-
-def sliced_values(rows: DataFrame, keys: Sequence[str], count: int, slices: int = SPLITS) -> DataFrame:
-    """One row ``(keys, _stat, _value, _slice)`` per value of the columns ``_v0, _v1, ...``.
-
-    A slice is an interval between approximate quantiles of the whole column.
-    """
-    values = [f"_v{i}" for i in range(count)]
-    ends = [float("-inf")], [float("inf")]
-    splits = [ends[0] + (s[1:-1] or s[:1] or [0.0]) + ends[1] for s in fit_splits(rows, [F.col(v) for v in values], slices)]
-    places = [f"_s{i}" for i in range(count)]
-    binned = Bucketizer(splitsArray=splits, inputCols=values, outputCols=places, handleInvalid="keep").transform(rows)
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("_stat"), F.col(v).alias("_value"), F.col(s).cast("int").alias("_slice"))
-            for i, (v, s) in enumerate(zip(values, places))
-        ]
-    )
-    return binned.select(*keys, F.inline(cells)).filter(F.col("_value").isNotNull())
-
-
-def exact_percentiles(
-    rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[int, float]], count: int
-) -> DataFrame:
-    """Exact interpolated percentiles of groups of any size, for the keys that have values.
-
-    Rows per key and slice tell which slice holds the ranks that a percentile needs; only the values of
-    those slices are counted one by one and ordered.
-    """
-    values = sliced_values(rows, keys, count)
-    group = [*keys, "_stat"]
-    whole = W.partitionBy(*group)
-    before = whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    asked = F.array(
-        *[
-            F.struct(F.lit(n).alias("_name"), F.lit(i).alias("_of"), F.lit(float(q)).alias("_q"))
-            for n, (i, q) in wanted.items()
-        ]
-    )
-    targets = cut_lineage(
-        values.groupBy(*group, "_slice")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_n").over(whole))
-        .withColumn("_ask", F.explode(F.filter(asked, lambda a: a["_of"] == F.col("_stat"))))
-        .withColumn("_at", F.col("_ask._q") * (F.col("_total") - 1))
-        .filter((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_n") > F.floor("_at")))
-        .select(*group, "_slice", "_before", F.col("_ask._name").alias("_name"), "_at")
-    )
-    needed = keyed_as(targets.select(*group, "_slice").distinct(), [*group, "_slice"])
-    hist = (
-        values.join(needed, met([*group, "_slice"]), "left_semi")
-        .groupBy(*group, "_slice", "_value")
-        .agg(F.count("*").alias("_n"))
-    )
-    run = W.partitionBy(*group, "_slice").orderBy("_value").rowsBetween(W.unboundedPreceding, -1)
-    first = F.col("_start")
-    last = first + F.col("_n")
-    found = (
-        hist.withColumn("_run", F.coalesce(F.sum("_n").over(run), F.lit(0)))
-        .join(keyed_as(targets, [*group, "_slice"]), met([*group, "_slice"]))
-        .withColumn("_start", F.col("_before") + F.col("_run"))
-        .withColumn("_lo", F.when((first <= F.floor("_at")) & (last > F.floor("_at")), F.col("_value")))
-        .withColumn("_hi", F.when((first <= F.ceil("_at")) & (last > F.ceil("_at")), F.col("_value")))
-    )
-
-    def value(name: str) -> Column:
-        mine = F.col("_name") == name
-        lo, hi, at = (F.max(F.when(mine, F.col(c))) for c in ("_lo", "_hi", "_at"))
-        return (lo + (hi - lo) * (at - F.floor(at))).alias(name)
-
-    picked = found.filter(F.col("_lo").isNotNull() | F.col("_hi").isNotNull())
-    return picked.groupBy(*keys).agg(*[value(n) for n in wanted])

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairn.operators.joins import attach, join_dimension
-from cairn.operators.ordering import group_stats
+from cairn.operators.selection import group_stats
 
 RING = r"\(([^()]+)\)"
 
@@ -145,7 +145,7 @@ def band_composite(vectors: DataFrame, red: int = 4, green: int = 2, blue: int =
 def band_percentiles(pixels: DataFrame, lower: float, higher: float, image: str = "ImageId") -> DataFrame:
     """Exact lower and upper percentile of each band of each image, with the band's pixel count."""
     cuts = {"p_lo": ("value", lower / 100), "p_hi": ("value", higher / 100)}
-    return group_stats(pixels, [image, "band"], cuts, {"n_rows": F.count("*")})
+    return group_stats(pixels, [image, "band"], cuts, rows="n_rows")
 
 
 def stretch(

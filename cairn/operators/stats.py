@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.columns import ratio
 from cairn.operators.joins import attach
-from cairn.operators.ordering import distinct_counts, fit_row, group_stats, range_bucket
+from cairn.operators.ordering import distinct_counts, fit_row, range_bucket
+from cairn.operators.selection import group_stats
 
 STORE_STATS = (
     "Sales_mean", "sales_median", "sales_max", "sales_min", "Customers_mean", "Customers_median",
@@ -17,7 +18,7 @@ STORE_STATS = (
 
 
 def store_stats(df: DataFrame, keys: Sequence[str] = ("Store",)) -> DataFrame:
-    """All per-store statistics in one aggregate (medians of very large stores in a second pass)."""
+    """All per-store statistics: one aggregate, and the medians by radix selection."""
     plain = {
         "n_rows": F.count("*"),
         "Sales_mean": F.avg("Sales"),

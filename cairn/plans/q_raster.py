@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.operators import raster as G, regions
-from cairn.operators.ordering import percentiles
+from cairn.operators.selection import percentiles
 from cairn.plans import views as V
 from cairn.plans.q_stats import rounded, settled
 from cairn.plans.registry import query

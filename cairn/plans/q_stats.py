@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cairn.functions import columns as C
 from cairn.operators import stats as S
 from cairn.operators.encode import category_codes, apply_codes
-from cairn.operators.ordering import distinct_counts, group_stats, percentiles
+from cairn.operators.ordering import distinct_counts
+from cairn.operators.selection import group_stats, percentiles
 from cairn.plans import views as V
 from cairn.plans.q_clean import WEEKDAY_SQL
 from cairn.plans.registry import query

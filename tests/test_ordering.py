@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import hash_unit
-from cairn.operators import joins, ordering as O, sample as M
+from cairn.operators import joins, ordering as O, sample as M, selection as S
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def skewed(spark):
 def test_percentiles_of_a_hot_key(skewed):
     rows, df = skewed
     wanted = {"lo": ("v", 0.02), "mid": ("v", 0.5), "hi": ("v", 0.98), "max": ("v", 1.0)}
-    got = {r["key"]: r for r in O.percentiles(df, ["key"], wanted).collect()}
+    got = {r["key"]: r for r in S.percentiles(df, ["key"], wanted).collect()}
     for key in {r[1] for r in rows}:
         values = [v for _, k, v in rows if k == key and v is not None]
         for name, (_, q) in wanted.items():
@@ -31,15 +31,15 @@ def test_percentiles_of_a_hot_key(skewed):
 def test_percentiles_without_keys_and_constant(spark, skewed):
     rows, df = skewed
     values = [v for _, _, v in rows if v is not None]
-    got = O.percentiles(df, [], {"a": ("v", 0.25)}).first()["a"]
+    got = S.percentiles(df, [], {"a": ("v", 0.25)}).first()["a"]
     assert got == pytest.approx(np.percentile(values, 25))
     same = spark.createDataFrame([("x", 4.0)] * 5, "k string, v double")
-    assert O.percentiles(same, ["k"], {"m": ("v", 0.5)}).first()["m"] == 4.0
+    assert S.percentiles(same, ["k"], {"m": ("v", 0.5)}).first()["m"] == 4.0
 
 
 def test_plain_stats_beside_percentiles(skewed):
     rows, df = skewed
-    got = O.group_stats(df, ["key"], {"m": ("v", 0.5)}, {"n": F.count("*")})
+    got = S.group_stats(df, ["key"], {"m": ("v", 0.5)}, {"n": F.count("*")})
     assert sum(r["n"] for r in got.collect()) == len(rows)
 
 
@@ -55,11 +55,11 @@ def test_null_keys_and_groups_without_values(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 5.0), (None, None)], "k string, v double")
     wanted = {"m": ("v", 0.5)}
     want = {("a", 2.0), ("b", None), (None, 5.0)}
-    assert {(r["k"], r["m"]) for r in O.percentiles(df, ["k"], wanted).collect()} == want
-    beside = O.group_stats(df, ["k"], wanted, {"n": F.count("*")})
+    assert {(r["k"], r["m"]) for r in S.percentiles(df, ["k"], wanted).collect()} == want
+    beside = S.group_stats(df, ["k"], wanted, {"n": F.count("*")})
     assert {(r["k"], r["n"], r["m"]) for r in beside.collect()} == {("a", 2, 2.0), ("b", 1, None), (None, 2, 5.0)}
-    assert [tuple(r) for r in O.group_stats(df, [], wanted, {"n": F.count("*")}).collect()] == [(5, 3.0)]
-    assert O.percentiles(df.limit(0), ["k"], wanted).count() == 0
+    assert [tuple(r) for r in S.group_stats(df, [], wanted, {"n": F.count("*")}).collect()] == [(5, 3.0)]
+    assert S.percentiles(df.limit(0), ["k"], wanted).count() == 0
     numbered = O.positions(df, ["v"], O.order_bucket(df, "v", 8), ["k"])
     assert sorted((str(r["k"]), str(r["v"]), r["pos"]) for r in numbered.collect()) == [
         ("None", "5.0", 1), ("None", "None", 0), ("a", "1.0", 0), ("a", "3.0", 1), ("b", "None", 0),
@@ -73,7 +73,7 @@ def test_percentiles_of_a_million_rows_equal_duckdb(spark):
         "CASE WHEN id % 6 = 0 THEN 'x' WHEN id % 6 = 1 THEN NULL ELSE 'hot' END AS k",
         "CASE WHEN id % 9 = 0 THEN NULL ELSE CAST((id * 7919) % 1000003 AS double) END AS v",
     )
-    got = O.group_stats(df, ["k"], {"a": ("v", 0.02), "m": ("v", 0.5)}, {"n": F.count("*")}).collect()
+    got = S.group_stats(df, ["k"], {"a": ("v", 0.02), "m": ("v", 0.5)}, {"n": F.count("*")}).collect()
     want = duckdb.sql(
         "SELECT k, count(*), quantile_cont(v, 0.02), quantile_cont(v, 0.5) FROM (SELECT CASE WHEN i % 6 = 0 THEN 'x' "
         "WHEN i % 6 = 1 THEN NULL ELSE 'hot' END AS k, CASE WHEN i % 9 = 0 THEN NULL ELSE "
@@ -174,6 +174,39 @@ def test_crowded_values_are_still_split(spark):
     assert worst < 400
     got = O.positions(df, ["v"], bucket).collect()
     assert all(r["pos"] == 3999 - r["id"] for r in got)
-    assert O.percentiles(df, ["k"], {"m": ("v", 0.5)}).first()["m"] == pytest.approx(
+    assert S.percentiles(df, ["k"], {"m": ("v", 0.5)}).first()["m"] == pytest.approx(
         np.median(np.exp(-np.arange(4000) / 40))
     )
+
+
+def test_order_keys_follow_the_doubles(spark):
+    rng = np.random.default_rng(3)
+    bits = rng.integers(-(1 << 63), (1 << 63) - 1, 3000, np.int64).view(np.float64)
+    powers = [x for e in range(-1074, 1024) for x in (2.0**e, np.nextafter(2.0**e, 0), -(2.0**e))]
+    odd = [0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 2.0**-1022, np.nextafter(2.0**-1022, 0), 1.7976931348623157e308]
+    values = [float(x) for x in [*bits[~np.isnan(bits)], *powers, *odd, *range(-300, 300)]]
+    df = S.with_order_key(spark.createDataFrame([(v,) for v in [*values, float("nan"), None]], "v double"), "v", "k")
+    got = [(r["v"], r["k"]) for r in df.collect()]
+    nan = next(k for v, k in got if v is not None and v != v)
+    assert next(k for v, k in got if v is None) is None
+    plain = sorted((v, k) for v, k in got if v is not None and v == v)
+    assert all((a[0] < b[0]) == (a[1] < b[1]) and (a[0] == b[0]) == (a[1] == b[1]) for a, b in zip(plain, plain[1:]))
+    assert nan > plain[-1][1]
+
+
+def test_percentiles_of_close_values_take_all_passes(spark):
+    rng = np.random.default_rng(4)
+    close = 1.0 + rng.integers(0, 4000, 5000) * 2.0**-52
+    wide = np.where(rng.random(5000) < 0.5, 1, -1) * 10.0 ** rng.uniform(-300, 300, 5000)
+    rows = [(k, float(a), float(b)) for k, a, b in zip(rng.choice(["x", "y"], 5000, p=[0.9, 0.1]), close, wide)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    wanted = {f"{c}{q}": (c, q / 100) for c in "ab" for q in (0, 1, 25, 50, 99, 100)}
+    for r in S.group_stats(df, ["k"], wanted, rows="n").collect():
+        mine = [x for x in rows if x[0] == r["k"]]
+        assert r["n"] == len(mine)
+        for name, (c, q) in wanted.items():
+            values = np.sort([x["kab".index(c)] for x in mine])
+            at = q * (len(values) - 1)
+            lo, hi = values[int(np.floor(at))], values[int(np.ceil(at))]
+            assert r[name] == lo + (hi - lo) * (at - np.floor(at)), name
+    assert S.percentiles(df, [], {"m": ("a", 0.5)}).first()["m"] == np.percentile(close, 50)

@@ -5,8 +5,9 @@ characters that are neither letters nor beyond ASCII as one space. A text is the
 embeddings; a linear softmax over the languages follows. Embeddings and weights are trained together
 by stochastic gradient descent in numpy on a bounded sample of labelled rows, balanced over the
 languages. A part of the sample that isn't trained on sets the temperature of the scores and the
-score below which a prediction counts as rejected. For predictions, embeddings and weights fold into
-one table of n-gram scores, whose size depends on buckets and languages only.
+score below which a prediction counts as rejected. For predictions of few languages, embeddings and weights fold
+into one table of n-gram scores; for more than ``DIMENSION`` the embeddings stay, so the table's size depends on the
+buckets only.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as is everything if no
 row is labelled. Texts are read whole; only training takes evenly spaced n-grams of a long text. Ties
@@ -22,17 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import table
+from cairn.sources.scratch import cut_lineage
 
 BUCKET_BITS = 15
 DIMENSION = 16
-#: Bounds of the training sample: labelled rows in all, n-grams of one text, languages.
+#: Bounds of the training sample: labelled rows in all, n-grams of one text.
 SAMPLE_ROWS = 3000
 SAMPLE_GRAMS = 4096
-LANGUAGES = 256
 EPOCHS = 5
 #: Step of a text's mean embedding and of the weights; it falls to zero over the epochs.
 RATE = 0.3
@@ -70,13 +71,20 @@ def held_out(doc_id: Column) -> Column:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # by bucket and language
+    scores: np.ndarray  # by bucket, and by language or by dimension of the embedding
+    weight: np.ndarray | None  # by language and dimension where that is the smaller form
     bias: np.ndarray
-    temperature: float
-    least: float
+    temperature: float = 1.0
+    least: float = 0.0
 
-    def logits(self, buckets: np.ndarray) -> np.ndarray:
-        return self.scores[buckets].mean(0, dtype=np.float64) + self.bias
+    def logits(self, buckets: np.ndarray, share: np.ndarray | None = None) -> np.ndarray:
+        rows = self.scores[buckets]
+        mean = rows.mean(0, dtype=np.float64) if share is None else share @ rows
+        return (mean if self.weight is None else self.weight @ mean) + self.bias
+
+    def parts(self) -> tuple:
+        """Plain values, which a worker without this package can read: ``Model(*parts)``."""
+        return self.languages, self.scores, self.weight, self.bias, self.temperature, self.least
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or text is None or not LETTER.search(text):
@@ -90,6 +98,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def descend(table_: np.ndarray, weight: np.ndarray, bias: np.ndarray, text: tuple, rate: float) -> None:
+    """One step down the cross entropy of one text (language number, different buckets, their shares), in place.
+
+    The step of the embeddings is scaled so that their mean moves by ``rate`` times its slope.
+    """
+    y, index, share = text
+    rows = table_[index]
+    x = share @ rows
+    slope = softmax(weight @ x + bias)
+    slope[y] -= 1
+    back = weight.T @ slope
+    weight -= rate * np.outer(slope, x)
+    bias -= rate * slope
+    table_[index] = rows - (rate / float(share @ share)) * share[:, None] * back
+
+
 def train(samples: list[tuple[int, np.ndarray]], languages: list[str], seed: int = 7) -> Model:
     """Fit on (language number, buckets) pairs; every fifth one calibrates."""
     rng = np.random.default_rng(seed)
@@ -108,19 +132,11 @@ def train(samples: list[tuple[int, np.ndarray]], languages: list[str], seed: int
     done, total = 0, EPOCHS * len(fit)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(fit)):
-            y, index, share = fit[k]
-            rate = RATE * (1 - done / total)
-            rows = table_[index]
-            x = share @ rows
-            slope = softmax(weight @ x + bias)
-            slope[y] -= 1
-            back = weight.T @ slope
-            weight -= rate * np.outer(slope, x)
-            bias -= rate * slope
-            table_[index] = rows - (rate / float(share @ share)) * share[:, None] * back
+            descend(table_, weight, bias, fit[k], RATE * (1 - done / total))
             done += 1
-    model = Model(languages, table_ @ weight.T, bias, 1.0, 0.0)
-    logits = np.array([s @ model.scores[i] + bias for _, i, s in held]) if held else np.zeros((0, n))
+    fold = n <= DIMENSION
+    model = Model(languages, table_ @ weight.T if fold else table_, None if fold else weight, bias)
+    logits = np.array([model.logits(i, s) for _, i, s in held]) if held else np.zeros((0, n))
     truth = np.array([y for y, _, _ in held], int)
     if len(truth):
         losses = {
@@ -138,24 +154,30 @@ def train(samples: list[tuple[int, np.ndarray]], languages: list[str], seed: int
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Train on about ``rows`` rows of (text, lang), spread evenly over the languages.
+    """Train on about ``rows`` rows of (text, lang), as many different texts of each language.
 
-    The sample follows a hash of the text, so it doesn't depend on partitions or retries; of equal
+    A language gets at least one text, so ``rows`` bounds the sample as long as it isn't below the number of
+    languages. The sample follows a hash of the text, so it doesn't depend on partitions or retries; of equal
     texts it takes one.
     """
-    known = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    drawn = F.xxhash64("text", F.lit(11)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    known = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", drawn.alias("drawn"))
+    # Estimated to a few per cent, which the wider draw covers.
+    sizes = cut_lineage(known.groupBy("lang").agg(F.approx_count_distinct("drawn", 0.02).alias("texts")))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not languages:
-        return Model([], np.zeros((1, 0)), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((1, 0)), None, np.zeros(0))
     each = max(1, rows // len(languages))
-    shares = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["count"])))])
-    drawn = (F.xxhash64("text", F.lit(11)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("drawn")
+    width = F.least(F.lit(1.0), (each + 4 * each**0.5) * 1.2 / F.col("texts"))
+    order = Window.partitionBy("lang").orderBy("drawn")
     sample = (
-        known.select("lang", "text", drawn)
-        .filter(F.col("drawn") < F.coalesce(shares[F.col("lang")], F.lit(0.0)))
-        .dropDuplicates(["lang", "drawn"])
-        .limit(2 * rows)
+        known.join(sizes.select("lang", width.alias("width")), "lang")
+        .filter("drawn < width")
+        .groupBy("lang", "drawn")
+        .agg(F.min("text").alias("text"))
+        .withColumn("at", F.row_number().over(order))
+        .filter(F.col("at") <= each)
+        .select("lang", "text", "drawn")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +201,10 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted) of every row."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Model(*sent.value)
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(

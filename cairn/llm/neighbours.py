@@ -151,10 +151,10 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
     order = np.argsort(sample["vec_id"].to_numpy(), kind="stable")
     matrix = sample["vector"].combine_chunks().values.to_numpy().reshape(-1, size)
     index = fit_index(matrix[order], rows, k)
-    sent = df.sparkSession.sparkContext.broadcast(index)
+    sent = df.sparkSession.sparkContext.broadcast((index.rotation, index.centroids, index.probes))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = Index(*sent.value)
         for batch in batches:
             if batch.num_rows:
                 vectors = batch.column(1).flatten().to_numpy().reshape(-1, size)
@@ -179,7 +179,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
     sent_sizes = df.sparkSession.sparkContext.broadcast(sizes)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sizes = sent.value, sent_sizes.value
+        index, sizes = Index(*sent.value), sent_sizes.value
         for batch in batches:
             if batch.num_rows:
                 near = np.argsort(_closeness(_matrix(batch.column(1)), index.centroids), axis=1, kind="stable")
@@ -202,6 +202,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
         probed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("groups")), "list"
     )
 
+    counts = F.broadcast(cut_lineage(counts))  # one row a list, of which there are at most LISTS
+
     def part(key: str, n: str) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(9)), F.col(n)).cast("int")
 

@@ -8,7 +8,7 @@ from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler, VectorA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairn.operators.joins import attach
+from cairn.operators.joins import attach, attach_written
 from cairn.operators.ordering import fit_row, order_bucket, positions
 from cairn.operators.selection import percentiles
 from cairn.sources.scratch import cut_lineage
@@ -57,7 +57,8 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def encode_frequency(df: DataFrame, columns: Mapping[str, str], fit: DataFrame | None = None) -> DataFrame:
     """For each ``column: name``, the relative frequency in ``fit`` of the row's value."""
     counts = value_counts(fit or df, list(columns))
-    totals = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n_rows").alias("n")).collect()}
+    known = counts.groupBy("column").agg(F.sum("n_rows").alias("n"), F.max("n_rows").alias("most")).collect()
+    totals, most = ({r["column"]: r[c] for r in known} for c in ("n", "most"))
     types = dict(df.dtypes)
     out = df
     for column, name in columns.items():
@@ -66,14 +67,20 @@ def encode_frequency(df: DataFrame, columns: Mapping[str, str], fit: DataFrame |
             "n_rows",
             (F.col("n_rows") / totals.get(column, 1)).alias(name),
         )
-        out = attach(out, mine, [column], "n_rows", [name])
+        out = attach_written(out, mine, [column], "n_rows", [name], most=most.get(column, 0))
     return out
 
 
-def category_list(df: DataFrame, column: str) -> list:
-    """Sorted distinct values, each to become a column of its own; wide vocabularies want :func:`one_hot_sparse`."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
-    return sorted(r[0] for r in rows)
+def category_list(df: DataFrame, column: str, limit: int = 1000) -> list:
+    """Sorted distinct values, each to become a column of its own.
+
+    A table has no more columns than ``limit`` of one vocabulary: wider ones are refused, they want
+    :func:`one_hot_sparse`.
+    """
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{column} has more than {limit} values; use one_hot_sparse")
+    return sorted(r[0] for r in found)
 
 
 def one_hot_sparse(

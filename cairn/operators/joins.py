@@ -37,11 +37,27 @@ def attach(
 ) -> DataFrame:
     """Left-join one-row-per-key ``stats`` to ``rows``; ``count`` holds the rows behind each key.
 
-    Rows of hot keys are spread over ``SALTS`` partitions and only those keys' statistics are copied.
-    The statistics are computed once and written, as the hot keys and the join both read them.
+    The statistics are computed once and written. If a key has more than ``floor`` rows, rows of such keys are
+    spread over ``SALTS`` partitions and only those keys' statistics are copied; else it is a plain join.
     """
+    return attach_written(rows, cut_lineage(stats), on, count, keep, floor)
+
+
+def attach_written(
+    rows: DataFrame,
+    stats: DataFrame,
+    on: Sequence[str],
+    count: str,
+    keep: Sequence[str],
+    floor: int = HOT_ROWS,
+    most: int | None = None,
+) -> DataFrame:
+    """:func:`attach` for statistics that are a written table; ``most`` is the greatest count if it is known."""
     on = list(on)
-    stats = cut_lineage(stats)
+    if most is None:
+        most = stats.agg(F.max(count)).first()[0] or 0
+    if most <= floor:
+        return rows.join(stats.select(*on, *keep), on, "left").select(*rows.columns, *keep)
     hot = F.broadcast(hot_keys(stats, on, count, floor).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(SALTS)).cast("int")
     left = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))

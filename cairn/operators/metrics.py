@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairn.functions.columns import clip, ratio
-from cairn.operators.ordering import order_bucket, prefix_sums
+from cairn.operators.ordering import keyed_as, met
+from cairn.operators.selection import BELOW, top_bits, with_order_key
+from cairn.sources.scratch import cut_lineage
 
 
 def _score(df: DataFrame, by: Sequence[str], name: str, value: Column) -> DataFrame:
@@ -64,15 +66,39 @@ def binary_log_loss(df: DataFrame, y: str, p: str, by: Sequence[str] = (), eps:
 def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the curve by ranks, ties counted half; ``y`` is 0/1 and rows without a score are left out.
 
-    Rows shrink to distinct scores first; negatives below each score come from bucketed running sums.
+    A partial aggregate counts both classes by the top bits of the score's ordered integer. A band with one score
+    or one class adds its part of the area at once; only rows of other bands are counted by further bits.
     """
     by = list(by)
-    scores = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(
-        F.sum(y).cast("double").alias("_pos"), F.sum(1 - F.col(y)).cast("double").alias("_neg")
-    )
-    ranked = prefix_sums(scores, by, order_bucket(scores, p), [p], {"_below": F.col("_neg")})
-    area = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
-    return _score(ranked, by, "auc", F.try_divide(area, F.sum("_pos") * F.sum("_neg")))
+    scores = df.filter(F.col(p).isNotNull()).select(*by, F.col(y).alias("_y"), F.col(p).cast("double").alias("_p"))
+    scores = with_order_key(scores, "_p", "_key")
+    group, parts, rows = by, [], scores
+    for above, below in zip((None, *BELOW), BELOW):
+        bands = rows.groupBy(*group, top_bits(F.col("_key"), below).alias("_place")).agg(
+            F.sum("_y").cast("double").alias("_pos"),
+            F.sum(1 - F.col("_y")).cast("double").alias("_neg"),
+            F.min("_p").alias("_lo"),
+            F.max("_p").alias("_hi"),
+        )
+        before = W.partitionBy(*group).orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+        mixed = (F.col("_lo") < F.col("_hi")) & (F.col("_pos") > 0) & (F.col("_neg") > 0)
+        area = F.col("_pos") * (F.col("_below") + F.when(F.col("_open"), 0).otherwise(F.col("_neg") / 2))
+        bands = cut_lineage(
+            bands.withColumn("_below", F.coalesce(F.sum("_neg").over(before), F.lit(0.0)))
+            .withColumn("_open", mixed)
+            .select(*by, "_place", "_open", area.alias("_area"), *[F.lit(0.0).alias(c) if above else F.col(c) for c in ("_pos", "_neg")])
+        )
+        parts.append(bands.drop("_place", "_open"))
+        left = bands.filter("_open").select(*by, "_place")
+        if below == 0 or left.isEmpty():
+            break
+        group = [*by, "_band"]
+        left = keyed_as(left.withColumnRenamed("_place", "_band"), group)
+        rows = scores.withColumn("_band", top_bits(F.col("_key"), below)).join(left, met(group), "left_semi")
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.union(more)
+    return _score(every, by, "auc", F.try_divide(F.sum("_area"), F.sum("_pos") * F.sum("_neg")))
 
 
 def jaccard(

@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairn.functions.columns import hash_unit
 from cairn.operators.joins import attach
-from cairn.operators.ordering import BUCKETS, fit_row, order_bucket, positions, smallest_per_group
+from cairn.operators.ordering import BUCKETS, fit_row, keyed_as, met, order_bucket, positions, smallest_per_group
+from cairn.sources.scratch import cut_lineage
+
+SLOTS = 8  # slices of the hash for each draw of a class
 
 
 def split_holdout(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -82,16 +85,41 @@ def bootstrap(df: DataFrame, key: str, replicates: int) -> DataFrame:
 
 
 def draw_with_replacement(df: DataFrame, label: str, key: str, draws: int, seed: int) -> DataFrame:
-    """``draws`` rows with replacement from each class; classes with fewer rows are kept whole."""
-    scored = df.withColumn("_h", hash_unit(key, seed))
-    slot = F.floor(F.col("_h") * BUCKETS).cast("int")
-    indexed = positions(scored, ["_h", key], slot, keys=[label]).drop("_h")
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    """``draws`` rows with replacement from each class; classes with fewer rows are kept whole.
+
+    A draw is a rank in the order of the rows' hashes. Rows are counted by slices of the hash, about ``SLOTS`` a draw;
+    running counts tell the slice of each draw, and only rows of such slices are numbered, inside their slice.
+    """
+    slots = 1 << (draws * SLOTS - 1).bit_length()
+    scored = df.withColumn("_h", hash_unit(key, seed)).withColumn("_slot", F.floor(F.col("_h") * slots).cast("int"))
+    of_class = W.partitionBy(label)
+    counts = cut_lineage(
+        scored.groupBy(label, "_slot")
+        .agg(F.count("*").alias("_in"))
+        .withColumn("_n", F.sum("_in").over(of_class))
+        .withColumn("_pos", F.sum("_in").over(of_class.orderBy("_slot")) - F.col("_in"))
+    )
+    sizes = counts.select(label, "_n").distinct()
     wanted = F.when(F.col("_n") >= draws, F.lit(draws)).otherwise(F.col("_n"))
     plan = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), wanted - 1)))
     at = F.floor(hash_unit(F.col(label), F.col("draw"), seed) * F.col("_n"))
-    plan = plan.withColumn("pos", F.when(F.col("_n") >= draws, at).otherwise(F.col("draw")))
-    return indexed.join(plan.select(label, "pos", "draw"), [label, "pos"]).drop("pos")
+    plan = plan.withColumn("_pos", F.when(F.col("_n") >= draws, at).otherwise(F.col("draw")))
+    # Draws and first ranks of the slices in one order: a draw lies in the last slice that starts at or before it.
+    none = F.lit(None).cast("bigint")
+    line = counts.select(label, "_pos", "_slot", F.col("_pos").alias("_start"), none.alias("draw")).unionByName(
+        plan.select(label, "_pos", none.cast("int").alias("_slot"), none.alias("_start"), "draw")
+    )
+    behind = of_class.orderBy("_pos", F.col("draw").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    placed = cut_lineage(
+        line.withColumns({c: F.last(c, True).over(behind) for c in ("_slot", "_start")})
+        .filter(F.col("draw").isNotNull())
+        .select(label, "_slot", (F.col("_pos") - F.col("_start")).cast("int").alias("_at"), "draw")
+    )
+    hit = keyed_as(placed.select(label, "_slot").distinct(), [label, "_slot"])
+    inside = W.partitionBy(label, "_slot").orderBy("_h", key)
+    near = scored.join(hit, met([label, "_slot"]), "left_semi").withColumn("_at", F.row_number().over(inside) - 1)
+    group = [label, "_slot", "_at"]
+    return near.join(keyed_as(placed, group), met(group)).select(*df.columns, "draw")
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -26,6 +26,11 @@ def _shift(by: str, value: Column, bits: int | Column) -> Column:
     return F.call_function(by, value, F.lit(bits) if isinstance(bits, int) else bits)
 
 
+def top_bits(key: Column, below: int) -> Column:
+    """The key without its ``below`` lowest bits."""
+    return _shift("shiftright", key, below)
+
+
 def with_order_key(df: DataFrame, value: str, name: str) -> DataFrame:
     """Add a long that orders as the double ``value`` does: NaN comes last, zeros of both signs are equal, null stays null."""
     size = F.abs(F.col(value))
@@ -59,7 +64,7 @@ def _values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataF
 
 def _counted(values: DataFrame, group: Sequence[str], below: int) -> DataFrame:
     """Rows, least and greatest value of each ``_place`` (the key without ``below`` bits), and the rows before it."""
-    bands = values.groupBy(*group, _shift("shiftright", F.col("_key"), below).alias("_place")).agg(
+    bands = values.groupBy(*group, top_bits(F.col("_key"), below).alias("_place")).agg(
         F.count("*").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")
     )
     known = F.when(F.col("_place").isNotNull(), F.col("_n")).otherwise(0)
@@ -119,7 +124,7 @@ def selected(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str,
             break
         left = keyed_as(left.select(*group, "_name", "_side", "_part", "_at", "_rows"), group)
         needed = left.select(*[f"_key_{g}" for g in group]).distinct()
-        banded = values.withColumn("_band", _shift("shiftright", F.col("_key"), above))
+        banded = values.withColumn("_band", top_bits(F.col("_key"), above))
         bands = _counted(banded.join(needed, met(group), "left_semi"), group, below).drop("_rows")
         found = _held(bands.join(left, met(group)), keys)
         settled.append(found.filter(F.col("_found").isNotNull()))

@@ -1,6 +1,6 @@
 """Polygons, masks and bands as tables.
 
-Masks are sparse: one row ``(image, class, y, x)`` per covered pixel. A pixel belongs to a polygon when
+Masks are sparse: runs ``(image, class, y, x0, x1)``, or one row ``(image, class, y, x)`` per covered pixel. A pixel belongs to a polygon when
 its centre is inside by the even-odd rule; edges are half open, so polygons sharing an edge never share
 a pixel. Several polygons of one class form a union.
 """
@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.operators.joins import attach, join_dimension
+from cairn.operators.runs import merged, pixels
 from cairn.operators.selection import group_stats
 
 RING = r"\(([^()]+)\)"
@@ -85,10 +86,10 @@ def edge_rows(edges: DataFrame, height: int) -> DataFrame:
 
 
 def fill_polygons(crossings: DataFrame, width: int, keys: Sequence[str], poly: Sequence[str]) -> DataFrame:
-    """Covered pixels ``(*keys, y, x)``: sorted crossings of a polygon and row pair up into spans.
+    """Runs of covered pixels ``(*keys, y, x0, x1)``: sorted crossings of a polygon and row pair up into spans.
 
     The unit of work is one raster row of one polygon, however many vertices the polygon has. Spans of
-    one key and row are cut where they overlap before they become pixels, so only spans are shuffled.
+    one key and row are merged where they overlap or adjoin.
     """
     ordered = crossings.groupBy(*keys, *poly, F.col("line").alias("y")).agg(
         F.array_sort(F.collect_list("at_x")).alias("_at")
@@ -96,26 +97,30 @@ def fill_polygons(crossings: DataFrame, width: int, keys: Sequence[str], poly: S
     pairs = F.transform(
         F.sequence(F.lit(1), F.floor(F.size("_at") / 2).cast("int")),
         lambda i: F.struct(
-            F.greatest(F.ceil(F.element_at("_at", i * 2 - 1) - 0.5), F.lit(0)).cast("int").alias("a"),
-            F.least(F.ceil(F.element_at("_at", i * 2) - 0.5) - 1, F.lit(width - 1)).cast("int").alias("b"),
+            F.greatest(F.ceil(F.element_at("_at", i * 2 - 1) - 0.5), F.lit(0)).cast("int").alias("x0"),
+            F.least(F.ceil(F.element_at("_at", i * 2) - 0.5) - 1, F.lit(width - 1)).cast("int").alias("x1"),
         ),
     )
-    spans = ordered.filter(F.size("_at") > 1).select(*keys, "y", F.inline(pairs)).filter("a <= b")
-    earlier = W.partitionBy(*keys, "y").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
-    begin = F.greatest("a", F.coalesce(F.max("b").over(earlier) + 1, F.col("a")))
-    apart = spans.withColumn("_from", begin).filter(F.col("_from") <= F.col("b"))
-    return apart.select(*keys, "y", F.explode(F.sequence("_from", "b")).alias("x"))
+    spans = ordered.filter(F.size("_at") > 1).select(*keys, "y", F.inline(pairs)).filter("x0 <= x1")
+    return merged(spans, keys)
 
 
-def polygon_mask(
+def polygon_runs(
     polygons: DataFrame, grid: DataFrame, height: int, width: int, keys: Sequence[str] = ("ImageId", "ClassType")
 ) -> DataFrame:
-    """Mask pixels of every image and class in one job, holes cut out of their own polygon."""
+    """Mask of every image and class as runs, holes cut out of their own polygon."""
     rings = to_raster(wkt_rings(polygons), grid, height, width)
     crossings = edge_rows(ring_edges(rings), height)
     return fill_polygons(crossings, width, list(keys), ["PolyId", "poly"])
 
 
+def polygon_mask(
+    polygons: DataFrame, grid: DataFrame, height: int, width: int, keys: Sequence[str] = ("ImageId", "ClassType")
+) -> DataFrame:
+    """Mask pixels of every image and class."""
+    return pixels(polygon_runs(polygons, grid, height, width, keys))
+
+
 def mask_channels(mask: DataFrame, classes: Sequence[int], image: str = "ImageId", label: str = "ClassType") -> DataFrame:
     """One 0/1 column per class for every pixel covered by any of them."""
     return (

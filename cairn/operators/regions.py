@@ -1,28 +1,29 @@
-"""Connected regions of sparse masks, with holes, by label propagation over runs.
+"""Connected regions of sparse masks, with holes, on two levels.
 
-A mask row is first cut into runs of neighbouring pixels; all later work is on runs. Foreground runs
-connect through corners (8-neighbours), the gaps between runs through sides only (4-neighbours); a gap
-component that never reaches the outside of the mask is a hole.
+All work is on runs of neighbouring pixels. Foreground runs connect through corners (8-neighbours), the
+gaps between runs through sides only (4-neighbours); a gap component that never reaches the outside of
+the mask is a hole. Tiles of bounded size are labelled inside one task each; label propagation in
+rounds joins the components that meet at tile edges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from cairn.operators.joins import HOT_ROWS, attach
+from cairn.operators.runs import merged, tiled
 from cairn.sources.scratch import cut_lineage
 
-TILE = 64  # pixels; two neighbouring runs are found through a tile they share
+STRIP, WIDTH = 64, 4096  # rows and pixels of a tile
 
 
 def runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Maximal horizontal runs ``(*keys, y, x0, x1)``; a window never spans more than one image row."""
-    line = W.partitionBy(*keys, "y").orderBy("x")
-    new = (F.col("x") - F.lag("x", 1, -2).over(line) > 1).cast("int")
-    marked = mask.select(*keys, "y", "x", new.alias("_new")).withColumn("_run", F.sum("_new").over(line))
-    return marked.groupBy(*keys, "y", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_run")
+    """Maximal horizontal runs ``(*keys, y, x0, x1)`` of a mask of pixels."""
+    return merged(mask.select(*keys, "y", F.col("x").alias("x0"), F.col("x").alias("x1")), keys)
 
 
 def gaps(run: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -40,20 +41,71 @@ def with_id(run: DataFrame, keys: Sequence[str], kind: str = "r") -> DataFrame:
     return run.withColumn("id", F.concat_ws("|", F.lit(kind), *[F.col(c).cast("string") for c in (*keys, "y", "x0")]))
 
 
-def touching(run: DataFrame, keys: Sequence[str], corner: int) -> DataFrame:
-    """Pairs ``(a, b)`` of runs in neighbouring rows that overlap (``corner`` = 1 counts corners).
+def linked(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, corner: int) -> np.ndarray:
+    """For each run of a tile, ordered by row and start, the first run of its component."""
+    root = list(range(len(y)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    starts = np.flatnonzero(np.r_[True, y[1:] != y[:-1]]) if len(y) else np.zeros(0, int)
+    ends = np.r_[starts[1:], len(y)]
+    for k in range(1, len(starts)):
+        if y[starts[k]] != y[starts[k - 1]] + 1:
+            continue
+        i, j = starts[k - 1], starts[k]
+        while i < ends[k - 1] and j < ends[k]:
+            if x0[j] <= x1[i] + corner and x1[j] >= x0[i] - corner:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+            if x1[i] < x1[j]:
+                i += 1
+            else:
+                j += 1
+    return np.array([find(i) for i in range(len(y))], int)
+
+
+def tile_roots(pieces: DataFrame, keys: Sequence[str], corner: int) -> DataFrame:
+    """Pieces with ``local``: the least id of their component within one tile, found inside one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("y", "ascending"), ("x0", "ascending")])
+        first = linked(*(table[c].to_numpy() for c in ("y", "x0", "x1")), corner)
+        least: dict[int, str] = {}
+        ids = table["id"].to_pylist()
+        for at, name in zip(first.tolist(), ids):
+            least[at] = min(least.get(at, name), name)
+        return table.append_column("local", pa.array([least[at] for at in first.tolist()], pa.string()))
+
+    schema = T.StructType([*pieces.schema.fields, T.StructField("local", T.StringType())])
+    return pieces.groupBy(*keys, "strip", "tile").applyInArrow(run, schema)
+
+
+def border_links(pieces: DataFrame, keys: Sequence[str], corner: int, strip: int, width: int) -> DataFrame:
+    """Pairs ``(a, b)`` of tiles' components that are one across a tile's edge."""
+    side = lambda p, n: p.select(*keys, "y", "x0", "x1", "tile", F.col("local").alias(n))
+    above = side(pieces.filter(F.col("y") % strip == strip - 1), "a").withColumn("y", F.col("y") + 1)
+    below = side(pieces.filter(F.col("y") % strip == 0), "b").withColumnsRenamed({"x0": "_x0", "x1": "_x1"})
+    over = above.join(below, [*keys, "y", "tile"]).filter(
+        (F.col("_x0") <= F.col("x1") + corner) & (F.col("_x1") >= F.col("x0") - corner)
+    )
+    # A run that was cut is one node; its parts carry its id.
+    links = over.select("a", "b").union(pieces.filter("cut").select(F.col("id").alias("a"), F.col("local").alias("b")))
+    if corner:
+        left = side(pieces.filter((F.col("x1") + 1) % width == 0), "a").withColumn("x0", F.col("x1") + 1).drop("x1", "tile")
+        right = side(pieces.filter(F.col("x0") % width == 0), "b").drop("x1", "tile")
+        for step in (-1, 1):
+            links = links.union(left.withColumn("y", F.col("y") + step).join(right, [*keys, "y", "x0"]).select("a", "b"))
+    return links.filter("a <> b").distinct()
 
-    Both sides meet on a shared tile of the image row, which holds at most ``TILE`` runs.
-    """
-    tiles = F.sequence(F.floor((F.col("x0") - corner) / TILE), F.floor((F.col("x1") + corner) / TILE))
-    upper = run.select(
-        *keys, F.col("id").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"),
-        (F.col("y") + 1).alias("y"), F.explode(tiles).alias("tile"),
-    )
-    here = F.sequence(F.floor(F.col("x0") / TILE), F.floor(F.col("x1") / TILE))
-    lower = run.select(*keys, F.col("id").alias("b"), "x0", "x1", "y", F.explode(here).alias("tile"))
-    near = (F.col("x0") <= F.col("a1") + corner) & (F.col("x1") >= F.col("a0") - corner)
-    return upper.join(lower, [*keys, "y", "tile"]).filter(near).select("a", "b").distinct()
+
+def pieces_of(run: DataFrame, strip: int, width: int) -> DataFrame:
+    """Runs cut at the edges of tiles, with their tile and whether they were cut."""
+    whole = run.withColumn("cut", F.floor(F.col("x0") / width) < F.floor(F.col("x1") / width))
+    return tiled(whole, width).withColumn("strip", F.floor(F.col("y") / strip))
 
 
 def components(pairs: DataFrame, floor: int = HOT_ROWS) -> DataFrame:
@@ -90,12 +142,22 @@ def _star(edges: DataFrame, moved, floor: int) -> DataFrame:
     return out.select(F.greatest("p", "m").alias("u"), F.least("p", "m").alias("v")).distinct()
 
 
-def label(run: DataFrame, gap: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Runs and gaps with the id of their component in ``root``; both kinds share the same rounds."""
-    fore, back = with_id(run, keys, "r"), with_id(gap, keys, "g")
-    roots = components(touching(fore, keys, 1).unionByName(touching(back, keys, 0)))
-    named = [side.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) for side in (fore, back)]
-    return named[0], named[1]
+def label(run: DataFrame, gap: DataFrame, keys: Sequence[str], strip: int = STRIP, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Pieces of runs and of gaps with the id of their component in ``root``.
+
+    Whole tiles are labelled in one task each; rounds run over the components at tile edges only, of both
+    kinds together.
+    """
+    sides = []
+    for side, kind, corner in ((run, "r", 1), (gap, "g", 0)):
+        pieces = pieces_of(with_id(side, keys, kind), strip, width)
+        sides.append((cut_lineage(tile_roots(pieces, keys, corner)), corner))
+    links = [border_links(side, keys, corner, strip, width) for side, corner in sides]
+    links = cut_lineage(links[0].union(links[1]))
+    if links.isEmpty():
+        return tuple(side.withColumn("root", F.col("local")) for side, _ in sides)
+    roots = cut_lineage(components(links)).withColumnRenamed("id", "local")
+    return tuple(side.join(roots, "local", "left").withColumn("root", F.coalesce("root", "local")) for side, _ in sides)
 
 
 def _summary(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,10 +171,17 @@ def _summary(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def mask_regions(mask: DataFrame, keys: Sequence[str], min_area: int = 10) -> DataFrame:
+    """:func:`run_regions` of a mask of pixels."""
+    return run_regions(runs(mask, list(keys)), keys, min_area)
+
+
+def run_regions(
+    run: DataFrame, keys: Sequence[str], min_area: int = 10, strip: int = STRIP, width: int = WIDTH
+) -> DataFrame:
     """Outer regions and holes of at least ``min_area`` pixels; a hole names the region around it."""
     keys = list(keys)
-    run = cut_lineage(runs(mask, keys))
-    fore, back = label(run, gaps(run, keys), keys)
+    run = cut_lineage(run)
+    fore, back = label(run, gaps(run, keys), keys, strip, width)
     outer = _summary(fore, keys).withColumn("kind", F.lit("outer")).withColumn("parent", F.lit(None).cast("string"))
 
     leaks = _leaks(back, run, keys)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from cairn.operators import raster as G, regions
+from cairn.operators import raster as G, regions, runs as R
 from cairn.operators.selection import percentiles
 from cairn.plans import views as V
 from cairn.plans.q_stats import rounded, settled
@@ -32,8 +34,12 @@ MASK_SQL = f"""{VERTEX_SQL}, {PLACED_SQL}, {EDGE_SQL.format(source='placed')}, {
 VIEWS = ("polygons", "grid")
 
 
+def runs_of(spark, d, polygons=None):
+    return G.polygon_runs(V.polygons(spark, d) if polygons is None else polygons, V.grid(spark, d), V.RASTER, V.RASTER)
+
+
 def mask_of(spark, d):
-    return G.polygon_mask(V.polygons(spark, d), V.grid(spark, d), V.RASTER, V.RASTER)
+    return R.pixels(runs_of(spark, d))
 
 
 @query("wkt_to_vertices", V.sql(f"WITH {VERTEX_SQL} SELECT * FROM world", *VIEWS))
@@ -101,7 +107,31 @@ def labelled_pixels(spark, d):
     V.sql(f"WITH {MASK_SQL} SELECT ClassType, count(*) AS n FROM mask GROUP BY 1", *VIEWS),
 )
 def pixels_per_class(spark, d):
-    return mask_of(spark, d).groupBy("ClassType").agg(F.count("*").alias("n"))
+    return R.area(runs_of(spark, d), ["ClassType"])
+
+
+def _sided(side: str) -> str:
+    """The mask tables of the polygons with even or odd ids, under names of their own."""
+    body = MASK_SQL.replace("FROM polygons", f"FROM polygons WHERE PolyId % 2 = {int(side == 'odd')}")
+    return re.sub(r"\b(rings|vertices|world|placed|edges|crossings|paired|mask)\b", rf"{side}_\1", body)
+
+
+@query(
+    "mask_overlap",
+    V.sql(
+        f"""WITH {_sided('even')}, {_sided('odd')},
+          m AS (SELECT ImageId, ClassType, y, x, count(*) AS sides FROM
+            (SELECT * FROM even_mask UNION ALL SELECT * FROM odd_mask) GROUP BY 1, 2, 3, 4)
+        SELECT ClassType, count(*) FILTER (sides = 2) AS "both", count(*) AS either,
+          round(count(*) FILTER (sides = 2) / count(*)::double, 9) AS jaccard FROM m GROUP BY 1""",
+        *VIEWS,
+    ),
+)
+def mask_overlap(spark, d):
+    """Overlap of two sets of polygons (even and odd ids) per class, without a row per pixel."""
+    polygons = V.polygons(spark, d)
+    even, odd = (runs_of(spark, d, polygons.filter(F.col("PolyId") % 2 == k)) for k in (0, 1))
+    return R.overlap(even, odd, KEYS, ["ClassType"]).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(
@@ -209,4 +239,4 @@ GROUP BY ImageId, ClassType, region, named.kind, parent HAVING count(*) >= 10"""
 @query("mask_regions", V.sql(REGION_SQL, *VIEWS))
 def mask_regions(spark, d):
     """Connected regions and holes of every class mask with at least ten pixels."""
-    return regions.mask_regions(mask_of(spark, d), ["ImageId", "ClassType"], min_area=10)
+    return regions.run_regions(runs_of(spark, d), KEYS, min_area=10)

@@ -5,7 +5,9 @@ from collections import deque
 
 import pytest
 
-from cairn.operators import raster as G, regions as R
+from pyspark.sql import functions as F
+
+from cairn.operators import raster as G, regions as R, runs as M
 
 
 def inside(px, py, rings):
@@ -75,13 +77,16 @@ EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 FOUR = [(0, 1), (1, 0), (0, -1), (-1, 0)]
 
 
-@pytest.mark.parametrize("seed,density", [(1, 0.45), (2, 0.75)])
-def test_regions_equal_flood_fill(spark, seed, density):
+@pytest.mark.parametrize("seed,density,tile", [(1, 0.45, (64, 4096)), (1, 0.45, (4, 16)), (2, 0.75, (5, 7)), (3, 0.6, (1, 1))])
+def test_regions_equal_flood_fill(spark, seed, density, tile):
     rng = random.Random(seed)
     height, width = 24, 150
     mask = {(y, x) for y in range(height) for x in range(width) if rng.random() < density}
     df = spark.createDataFrame([("a", 1, y, x) for y, x in mask], "i string, c int, y int, x int")
-    got = R.mask_regions(df, ["i", "c"], min_area=1).collect()
+    got = R.run_regions(R.runs(df, ["i", "c"]), ["i", "c"], 1, *tile).collect()
+    starts = {r["region"] for r in got if r["kind"] == "outer"}
+    first = lambda c: min(f"r|a|1|{y}|{x}" for y, x in c if (y, x - 1) not in mask)
+    assert starts == {first(c) for c in brute(mask, EIGHT)}
     outer = sorted(len(c) for c in brute(mask, EIGHT))
     assert sorted(r["area"] for r in got if r["kind"] == "outer") == outer
     empty = {(y, x) for y in range(-1, height + 1) for x in range(-1, width + 1)} - mask
@@ -100,3 +105,28 @@ def test_corner_pixels_are_one_region_and_small_ones_go(spark):
 def test_empty_mask_has_no_regions(spark):
     df = spark.createDataFrame([], "i string, c int, y int, x int")
     assert R.mask_regions(df, ["i", "c"]).count() == 0
+
+
+def test_runs_merge_meet_and_count_as_pixels(spark):
+    rng = random.Random(6)
+
+    def spans(n):
+        return [("a" if rng.random() < 0.9 else None, rng.randrange(3), x := rng.randrange(300), x + rng.randrange(150)) for _ in range(n)]
+
+    sides = []
+    for n in (40, 50):
+        rows = spans(n)
+        df = spark.createDataFrame(rows, "k string, y int, x0 int, x1 int").filter("k IS NOT NULL")
+        runs = M.merged(df, ["k"])
+        want = {(k, y, x) for k, y, a, b in rows if k for x in range(a, b + 1)}
+        assert {(r["k"], r["y"], r["x"]) for r in M.pixels(runs).collect()} == want
+        found = sorted((r["y"], r["x0"], r["x1"]) for r in runs.collect())
+        assert all(a[0] < b[0] or a[2] + 1 < b[1] for a, b in zip(found, found[1:]))
+        sides.append((runs, want))
+    (a, x), (b, y) = sides
+    assert {(r["k"], r["y"], r["x"]) for r in M.pixels(M.intersected(a, b, ["k"])).collect()} == x & y
+    got = M.overlap(a, b, ["k"], ["k"]).first()
+    assert (got["both"], got["either"]) == (len(x & y), len(x | y))
+    none = M.overlap(a.limit(0), b.limit(0), ["k"], ["k"])
+    assert none.count() == 0 and M.area(a, ["k"]).first()["n"] == len(x)
+    assert M.overlap(a, b.limit(0), ["k"], ["k"]).agg(F.sum("jaccard")).first()[0] == 0

@@ -46,8 +46,8 @@ SCALE = 1_000_000_000
 TOP = 200
 #: Different terms in a task's dictionaries before they are passed on.
 HELD = 300_000
-#: Terms of one numbering window; languages with more have several windows a band.
-SLICE = 16_384
+#: Terms of one numbering window on average, before they are parted by language and band.
+SLICE = 1 << 18
 SALTS = 16
 LEVEL = "lang string, source string, block bigint, count bigint, p bigint, p0 bigint, bits bigint"
 
@@ -119,7 +119,7 @@ def divergence(p: Column, q: Column) -> Column:
 def kept_terms(counts: DataFrame) -> DataFrame:
     """(lang, term, n, block, bit) of the terms kept, with the language's count and the place of each.
 
-    Places are numbered inside windows of about ``SLICE`` terms that have counts of the same power of two.
+    Places are numbered inside windows of at most about ``SLICE`` terms that have counts of the same power of two.
     """
     kept = (
         counts.filter(F.col("term").isNotNull())
@@ -129,8 +129,8 @@ def kept_terms(counts: DataFrame) -> DataFrame:
         .select("lang", "term", "n", F.length(F.bin("n")).alias("band"))
     )
     kept = cut_lineage(kept)
-    sizes = kept.groupBy("lang", "band").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
-    sliced = kept.join(sizes, ["lang", "band"]).withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")))
+    slices = max(1, -(-kept.count() // SLICE))
+    sliced = kept.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(slices)))
     place = F.row_number().over(W.partitionBy("lang", "band", "slice").orderBy("n", "term")) - 1
     block = F.xxhash64("band", "slice", F.floor(F.col("place") / 64))
     return sliced.withColumn("place", place).select(

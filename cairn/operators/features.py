@@ -8,7 +8,9 @@ from cairn.functions import columns as C
 from cairn.operators import clean
 from cairn.operators.encode import category_codes, apply_codes
 from cairn.operators.stats import visit_profile
+from cairn.sources.scratch import cut_lineage
 
+# Names that results depend on.
 RETAIL_FEATURES = (
     "Store", "CompetitionDistance", "Promo", "Promo2", "SchoolHoliday",
     "StoreType", "Assortment", "StateHoliday",
@@ -92,4 +94,5 @@ def encode_basket(lines: DataFrame, codes: DataFrame | None = None) -> DataFrame
 
 def build_basket_features(lines: DataFrame) -> DataFrame:
     """Per-visit profile and ratios from item lines: one aggregate over the encoded lines."""
-    return add_basket_ratios(visit_profile(encode_basket(lines)))
+    codes = cut_lineage(category_codes(lines, "DepartmentDescription"))  # their number comes from the file footers
+    return add_basket_ratios(visit_profile(encode_basket(lines, codes), codes={"Department": codes.count()}))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairn.functions.columns import clip, ratio
 from cairn.operators.ordering import keyed_as, met
-from cairn.operators.selection import BELOW, top_bits, with_order_key
+from cairn.operators.selection import BELOW, FINE, log_band, top_bits, with_order_key
 from cairn.sources.scratch import cut_lineage
 
 
@@ -66,15 +66,18 @@ def binary_log_loss(df: DataFrame, y: str, p: str, by: Sequence[str] = (), eps:
 def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the curve by ranks, ties counted half; ``y`` is 0/1 and rows without a score are left out.
 
-    A partial aggregate counts both classes by the top bits of the score's ordered integer. A band with one score
-    or one class adds its part of the area at once; only rows of other bands are counted by further bits.
+    A partial aggregate counts both classes in bands of the score's logarithm. A band with one score or one class
+    adds its part of the area at once; only rows of other bands are counted again, by the bits of an ordered integer.
     """
     by = list(by)
     scores = df.filter(F.col(p).isNotNull()).select(*by, F.col(y).alias("_y"), F.col(p).cast("double").alias("_p"))
-    scores = with_order_key(scores, "_p", "_key")
     group, parts, rows = by, [], scores
-    for above, below in zip((None, *BELOW), BELOW):
-        bands = rows.groupBy(*group, top_bits(F.col("_key"), below).alias("_place")).agg(
+    places = [lambda df: df.withColumn("_place", log_band("_p", FINE))] + [
+        lambda df, below=below: with_order_key(df, "_p", "_key").withColumn("_place", top_bits(F.col("_key"), below))
+        for below in BELOW
+    ]
+    for at, place in enumerate(places):
+        bands = place(rows).groupBy(*group, "_place").agg(
             F.sum("_y").cast("double").alias("_pos"),
             F.sum(1 - F.col("_y")).cast("double").alias("_neg"),
             F.min("_p").alias("_lo"),
@@ -86,15 +89,15 @@ def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
         bands = cut_lineage(
             bands.withColumn("_below", F.coalesce(F.sum("_neg").over(before), F.lit(0.0)))
             .withColumn("_open", mixed)
-            .select(*by, "_place", "_open", area.alias("_area"), *[F.lit(0.0).alias(c) if above else F.col(c) for c in ("_pos", "_neg")])
+            .select(*by, "_place", "_open", area.alias("_area"), *[F.lit(0.0).alias(c) if at else F.col(c) for c in ("_pos", "_neg")])
         )
         parts.append(bands.drop("_place", "_open"))
         left = bands.filter("_open").select(*by, "_place")
-        if below == 0 or left.isEmpty():
+        if place is places[-1] or left.isEmpty():
             break
         group = [*by, "_band"]
         left = keyed_as(left.withColumnRenamed("_place", "_band"), group)
-        rows = scores.withColumn("_band", top_bits(F.col("_key"), below)).join(left, met(group), "left_semi")
+        rows = place(scores).withColumnRenamed("_place", "_band").join(left, met(group), "left_semi")
     every = parts[0]
     for more in parts[1:]:
         every = every.union(more)

@@ -163,9 +163,32 @@ def smallest_per_group(
     )
 
 
+WORD = 63  # codes of one word of a set of small codes
+
+
 def distinct_counts(
-    df: DataFrame, keys: Sequence[str], distinct: Mapping[str, str], plain: Mapping[str, Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    distinct: Mapping[str, str],
+    plain: Mapping[str, Column],
+    codes: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """Exact distinct counts ``name: column`` and ordinary aggregates per key; nulls aren't counted."""
-    counts = [F.count_distinct(c).alias(n) for n, c in distinct.items()]
-    return df.groupBy(*keys).agg(*counts, *[e.alias(n) for n, e in plain.items()])
+    """Exact distinct counts ``name: column`` and ordinary aggregates per key; nulls aren't counted.
+
+    ``codes`` gives the greatest value of columns that hold whole numbers from 0: their sets are bits of a few words,
+    which aggregate like sums. Only other columns make Spark copy a row for each of them.
+    """
+    codes = dict(codes or {})
+    counts, sets = [], {}
+    for name, c in distinct.items():
+        if c not in codes:
+            counts.append(F.count_distinct(c).alias(name))
+            continue
+        words = [f"_set_{name}_{w}" for w in range(codes[c] // WORD + 1)]
+        for w, word in enumerate(words):
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(c) - w * WORD).cast("int"))
+            here = F.col(c).between(w * WORD, w * WORD + WORD - 1)
+            counts.append(F.bit_or(F.when(here, bit)).alias(word))
+        sets[name] = sum((F.coalesce(F.bit_count(w), F.lit(0)) for w in words), F.lit(0)).cast("bigint").alias(name)
+    found = df.groupBy(*keys).agg(*counts, *[e.alias(n) for n, e in plain.items()])
+    return found.select(*keys, *[sets.get(n, F.col(n)) for n in distinct], *plain)

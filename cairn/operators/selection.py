@@ -1,10 +1,10 @@
 """Exact percentiles of groups of any size by radix selection.
 
-A double maps to a 64-bit integer that orders alike. One partial aggregate counts the values of each group by
-the integer's top bits, with the least and the greatest value of such a band; running counts tell the
-bands that hold the wanted ranks. A rank is settled if its band holds one value, or if it is the band's first or last
-rank. Only values of the bands that are left are counted again by the next bits, and the last bits
-tell all values apart, so there are at most three passes whatever the values are. Nothing of the input is
+One partial aggregate counts the values of each group in bands of the logarithm, which order as the values do,
+with the least and the greatest value of each band; running counts tell the bands that hold the wanted ranks. A rank is
+settled if its band holds one value, or if it is the band's first or last rank. Only values of the bands
+that are left are counted again, by the upper bits of a 64-bit integer that orders as the double does, and
+at last by all of them, so there are at most three passes whatever the values are. Nothing of the input is
 written, a group's rows are combined before the shuffle, and no task orders more than a group's bands.
 """
 
@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cairn.operators.ordering import fit_row, keyed_as, met
 from cairn.sources.scratch import cut_lineage
 
-#: Bits of the ordered integer below the bands of each pass: sign, exponent and 12 bits of the mantissa come first.
-BELOW = (40, 18, 0)
+#: Bands of the first pass in each octave. More of them suit groups of few rows or columns of few values.
+DETAIL = 16
+FINE = 4096
+#: Bits of the ordered integer below the bands of the later passes.
+BELOW = (24, 0)
 LEAST_NORMAL = 2.0**-1022
 
 
@@ -52,19 +55,25 @@ def with_order_key(df: DataFrame, value: str, name: str) -> DataFrame:
     return steps.withColumn(name, signed).drop("_size", "_near", "_exponent")
 
 
+def log_band(value: str, detail: int = DETAIL) -> Column:
+    """A long that doesn't decrease with the double ``value``; null for null."""
+    size = F.abs(F.col(value))
+    place = F.when(F.isnan(value), F.lit(4096 * detail)).when(size == float("inf"), F.lit(4095 * detail))
+    place = place.when(size > 0, F.floor(F.log2(size) * detail) + 2048 * detail).when(size == 0, F.lit(0)).cast("long")
+    return F.when((F.col(value) < 0) & ~F.isnan(value), -place).otherwise(place)
+
+
 def _values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(keys, _stat, _value, _key): the columns under each other, numbered by ``_stat``."""
+    """(keys, _stat, _value): the columns under each other, numbered by ``_stat``."""
     if len(columns) == 1:
-        rows = df.select(*keys, F.lit(0).alias("_stat"), F.col(columns[0]).cast("double").alias("_value"))
-    else:
-        cells = [F.struct(F.lit(i).alias("_stat"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)]
-        rows = df.select(*keys, F.inline(F.array(*cells)))
-    return with_order_key(rows, "_value", "_key")
+        return df.select(*keys, F.lit(0).alias("_stat"), F.col(columns[0]).cast("double").alias("_value"))
+    cells = [F.struct(F.lit(i).alias("_stat"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)]
+    return df.select(*keys, F.inline(F.array(*cells)))
 
 
-def _counted(values: DataFrame, group: Sequence[str], below: int) -> DataFrame:
-    """Rows, least and greatest value of each ``_place`` (the key without ``below`` bits), and the rows before it."""
-    bands = values.groupBy(*group, top_bits(F.col("_key"), below).alias("_place")).agg(
+def _counted(values: DataFrame, group: Sequence[str], place: Column) -> DataFrame:
+    """Rows, least and greatest value of each ``_place``, and the rows before it."""
+    bands = values.groupBy(*group, place.alias("_place")).agg(
         F.count("*").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")
     )
     known = F.when(F.col("_place").isNotNull(), F.col("_n")).otherwise(0)
@@ -93,7 +102,9 @@ def _held(bands: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def selected(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+def selected(
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], detail: int = DETAIL
+) -> DataFrame:
     """(keys, _stat, _name, _side, _part, _found, _rows): the values of the ranks on both sides of each percentile.
 
     A group has a row without a name for each column that holds nulls in it.
@@ -107,7 +118,7 @@ def selected(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str,
     ]
     # The first question also stands for the group where values are null.
     first = F.struct(F.lit(None).cast("string").alias("_name"), F.lit(-1).alias("_of"), F.lit(0.0).alias("_q"), F.lit(0).alias("_side"))
-    bands = _counted(values, [*keys, "_stat"], BELOW[0])
+    bands = _counted(values, [*keys, "_stat"], log_band("_value", detail))
     exact = F.col("_q") * (F.col("_total") - 1)
     asks = (
         bands.select("*", F.inline(F.array(first, *asked)))
@@ -118,14 +129,19 @@ def selected(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str,
     found = _held(asks, keys)
     settled = [found.filter(F.col("_found").isNotNull() | F.col("_name").isNull())]
     group = [*keys, "_stat", "_band"]
-    for above, below in zip(BELOW, BELOW[1:]):
+    for above, below in zip((None, *BELOW), BELOW):
         left = found.filter(F.col("_found").isNull() & F.col("_name").isNotNull())
         if left.isEmpty():
             break
         left = keyed_as(left.select(*group, "_name", "_side", "_part", "_at", "_rows"), group)
         needed = left.select(*[f"_key_{g}" for g in group]).distinct()
-        banded = values.withColumn("_band", top_bits(F.col("_key"), above))
-        bands = _counted(banded.join(needed, met(group), "left_semi"), group, below).drop("_rows")
+        if above is None:
+            near = values.withColumn("_band", log_band("_value", detail)).join(needed, met(group), "left_semi")
+            near = with_order_key(near, "_value", "_key")
+        else:
+            near = with_order_key(values, "_value", "_key").withColumn("_band", top_bits(F.col("_key"), above))
+            near = near.join(needed, met(group), "left_semi")
+        bands = _counted(near, group, top_bits(F.col("_key"), below)).drop("_rows")
         found = _held(bands.join(left, met(group)), keys)
         settled.append(found.filter(F.col("_found").isNotNull()))
     out = settled[0]
@@ -140,12 +156,14 @@ def group_stats(
     wanted: Mapping[str, tuple[str, float]],
     plain: Mapping[str, Column] | None = None,
     rows: str | None = None,
+    detail: int = DETAIL,
 ) -> DataFrame:
     """Ordinary aggregates and exact percentiles per key, one row per key.
 
     ``wanted`` maps an output name to ``(column, fraction)``; nulls are ignored and ranks in between are
     interpolated. A null key is a key like any other; a group without values has null percentiles. ``rows``
-    names a column for the number of rows, which costs nothing beside percentiles.
+    names a column for the number of rows, which costs nothing beside percentiles. ``detail`` changes the plan
+    only: the bands of an octave in the first pass.
     """
     keys, plain = list(keys), dict(plain or {})
 
@@ -154,7 +172,7 @@ def group_stats(
         part = F.max(F.when(F.col("_name") == name, F.col("_part")))
         return (lo + (hi - lo) * part).alias(name)
 
-    found = selected(df, keys, wanted)
+    found = selected(df, keys, wanted, detail)
     count = [F.coalesce(F.max("_rows"), F.lit(0)).alias(rows)] if rows else []
     cuts = found.groupBy(*keys).agg(*count, *[value(n) for n in wanted])
     names = [*([rows] if rows else []), *wanted]
@@ -168,5 +186,7 @@ def group_stats(
     return whole.join(keyed_as(cuts, keys), met(keys), "left").select(*keys, *plain, *names)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
-    return group_stats(df, keys, wanted)
+def percentiles(
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], detail: int = DETAIL
+) -> DataFrame:
+    return group_stats(df, keys, wanted, detail=detail)

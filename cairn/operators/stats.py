@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.columns import ratio
 from cairn.operators.joins import attach
 from cairn.operators.ordering import distinct_counts, fit_row, range_bucket
-from cairn.operators.selection import group_stats
+from cairn.operators.selection import FINE, group_stats
 
 STORE_STATS = (
     "Sales_mean", "sales_median", "sales_max", "sales_min", "Customers_mean", "Customers_median",
@@ -29,7 +29,7 @@ def store_stats(df: DataFrame, keys: Sequence[str] = ("Store",)) -> DataFrame:
         "holidaySum": F.sum("SchoolHoliday"),
     }
     medians = {"sales_median": ("Sales", 0.5), "Customers_median": ("Customers", 0.5)}
-    return group_stats(df, list(keys), medians, plain).withColumns(
+    return group_stats(df, list(keys), medians, plain, detail=FINE).withColumns(
         {
             "buying": ratio(F.col("Sales_mean"), F.col("Customers_mean")),
             "buying_rate": ratio(F.col("sales_median"), F.col("Customers_median")),
@@ -42,8 +42,11 @@ def attach_store_stats(df: DataFrame, stats: DataFrame, keep: Sequence[str] = ST
     return attach(df, stats, ["Store"], "n_rows", keep)
 
 
-def visit_profile(lines: DataFrame, key: str = "VisitNumber") -> DataFrame:
-    """Distinct counts, line counts and constants of each visit in a single aggregate."""
+def visit_profile(lines: DataFrame, key: str = "VisitNumber", codes: Mapping[str, int] | None = None) -> DataFrame:
+    """Distinct counts, line counts and constants of each visit in a single aggregate.
+
+    ``codes`` gives the greatest number of columns that hold dictionary codes.
+    """
     plain = {
         "ScanCount": F.sum("ScanCount"),
         "Count": F.count("ScanCount"),
@@ -52,7 +55,7 @@ def visit_profile(lines: DataFrame, key: str = "VisitNumber") -> DataFrame:
         "WeekdayNumber": F.avg("WeekdayNumber"),
         "TripType": F.avg("TripType").cast("int"),
     }
-    return distinct_counts(lines, [key], {c: c for c in ("FinelineNumber", "Upc", "Department")}, plain)
+    return distinct_counts(lines, [key], {c: c for c in ("FinelineNumber", "Upc", "Department")}, plain, codes)
 
 
 def group_means(df: DataFrame, key: str, columns: Sequence[str], count: str) -> DataFrame:

@@ -8,10 +8,11 @@ from cairn.functions import columns as C
 from cairn.operators import stats as S
 from cairn.operators.encode import category_codes, apply_codes
 from cairn.operators.ordering import distinct_counts
-from cairn.operators.selection import group_stats, percentiles
+from cairn.operators.selection import FINE, group_stats, percentiles
 from cairn.plans import views as V
 from cairn.plans.q_clean import WEEKDAY_SQL
 from cairn.plans.registry import query
+from cairn.sources.scratch import cut_lineage
 
 
 def rounded(df, names, digits=6):
@@ -34,7 +35,7 @@ def store_sales_mean(spark, d):
 
 @query("store_sales_median", _store_query("round(median(Sales), 6) AS sales_median"))
 def store_sales_median(spark, d):
-    return rounded(percentiles(V.sales(spark, d), ["Store"], {"sales_median": ("Sales", 0.5)}), ["sales_median"])
+    return rounded(percentiles(V.sales(spark, d), ["Store"], {"sales_median": ("Sales", 0.5)}, FINE), ["sales_median"])
 
 
 @query("store_sales_extremes", _store_query("max(Sales) AS sales_max, min(Sales) AS sales_min"))
@@ -48,7 +49,7 @@ def store_sales_extremes(spark, d):
 )
 def store_customers_stats(spark, d):
     median = {"Customers_median": ("Customers", 0.5)}
-    out = group_stats(V.sales(spark, d), ["Store"], median, {"Customers_mean": F.avg("Customers")})
+    out = group_stats(V.sales(spark, d), ["Store"], median, {"Customers_mean": F.avg("Customers")}, detail=FINE)
     return rounded(out, ["Customers_mean", "Customers_median"])
 
 
@@ -64,7 +65,7 @@ def store_buying_ratio(spark, d):
     _store_query("round(median(Sales) / nullif(median(Customers), 0), 6) AS buying_rate"),
 )
 def store_buying_rate_median(spark, d):
-    both = percentiles(V.sales(spark, d), ["Store"], {"s": ("Sales", 0.5), "c": ("Customers", 0.5)})
+    both = percentiles(V.sales(spark, d), ["Store"], {"s": ("Sales", 0.5), "c": ("Customers", 0.5)}, FINE)
     return both.select("Store", F.round(C.ratio(F.col("s"), F.col("c")), 6).alias("buying_rate"))
 
 
@@ -121,11 +122,18 @@ LINES_SQL = f"""lines AS (SELECT b.*, {WEEKDAY_SQL} AS WeekdayNumber, c.code AS
   FROM (SELECT DISTINCT DepartmentDescription FROM basket)) c USING (DepartmentDescription))"""
 
 
-def lines(spark, d):
-    """Basket lines with weekday and department numbers."""
+def coded_lines(spark, d):
+    """Basket lines with weekday and department numbers, and the greatest numbers."""
     basket = V.basket(spark, d)
-    coded = apply_codes(basket, category_codes(basket, "DepartmentDescription"), "DepartmentDescription", "Department")
-    return coded.withColumn("WeekdayNumber", C.encode_map(F.col("Weekday"), C.WEEKDAY_CODES))
+    # Written codes: their number comes from the file footers.
+    codes = cut_lineage(category_codes(basket, "DepartmentDescription"))
+    coded = apply_codes(basket, codes, "DepartmentDescription", "Department")
+    coded = coded.withColumn("WeekdayNumber", C.encode_map(F.col("Weekday"), C.WEEKDAY_CODES))
+    return coded, {"Department": codes.count(), "WeekdayNumber": max(C.WEEKDAY_CODES.values())}
+
+
+def lines(spark, d):
+    return coded_lines(spark, d)[0]
 
 
 MEAN_COLUMNS = ["Upc", "ScanCount", "FinelineNumber", "WeekdayNumber", "TripType", "Department"]
@@ -156,7 +164,8 @@ def visit_mean_all(spark, d):
 )
 def visit_distinct_profile(spark, d):
     counted = {c: c for c in ("FinelineNumber", "Upc", "Department", "WeekdayNumber")}
-    return distinct_counts(lines(spark, d), ["VisitNumber"], counted, {"ScanCount": F.sum("ScanCount")})
+    rows, codes = coded_lines(spark, d)
+    return distinct_counts(rows, ["VisitNumber"], counted, {"ScanCount": F.sum("ScanCount")}, codes)
 
 
 @query(

@@ -210,3 +210,14 @@ def test_percentiles_of_close_values_take_all_passes(spark):
             lo, hi = values[int(np.floor(at))], values[int(np.ceil(at))]
             assert r[name] == lo + (hi - lo) * (at - np.floor(at)), name
     assert S.percentiles(df, [], {"m": ("a", 0.5)}).first()["m"] == np.percentile(close, 50)
+
+
+def test_distinct_counts_of_codes_are_sets_of_bits(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(200)]), rng.choice([None, 0, 62, 63, 125, 126]), rng.random()) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k string, c int, d int, w double")
+    got = O.distinct_counts(df, ["k"], {"x": "c", "y": "d", "z": "w"}, {"n": F.count("*")}, {"c": 199, "d": 126})
+    assert got.columns == ["k", "x", "y", "z", "n"] and dict(got.dtypes)["x"] == "bigint"
+    for r in got.collect():
+        mine = [q for q in rows if q[0] == r["k"]]
+        assert tuple(r)[1:] == (*(len({q[i] for q in mine} - {None}) for i in (1, 2, 3)), len(mine))

@@ -47,7 +47,7 @@ TOP = 200
 #: Different terms in a task's dictionaries before they are passed on.
 HELD = 300_000
 #: Terms of one numbering window on average, before they are parted by language and band.
-SLICE = 1 << 18
+SLICE = 1 << 14
 SALTS = 16
 LEVEL = "lang string, source string, block bigint, count bigint, p bigint, p0 bigint, bits bigint"
 

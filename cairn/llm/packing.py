@@ -1,8 +1,9 @@
 """Packing by optimal length buckets: boundaries from a dynamic programme over the length histogram.
 
-The histogram covers all documents. Lengths up to ``EXACT`` are told apart one by one, longer ones by
-steps of a 64th of an octave, so its size doesn't grow with the input; a level's real maximum is its
-boundary. The programme picks the boundaries with the least padding for a given number of buckets.
+The histogram counts every length of all documents; different lengths are no more than the root of twice the
+corpus's words. The programme picks the boundaries with the least padding for a given number of buckets. Padding obeys
+the quadrangle inequality, so the best last boundary never moves back as lengths grow, and a layer of
+the programme is searched by halves instead of all pairs.
 Within a bucket, documents get positions by slices of a hash: slice counts add up to offsets, exact
 order is needed inside a slice only. Positions divided by the batch size give the batches, so every
 batch but a bucket's last is full and its padded length stays within the token budget.
@@ -22,48 +23,65 @@ from pyspark.sql import functions as F
 from cairn.llm.common import table, words
 from cairn.sources.scratch import cut_lineage
 
-EXACT = 4096
-STEPS = 64
 BUCKETS = 16
 BUDGET = 16_384
 SLICE_ROWS = 50_000
 CHUNK_COPIES = 10_000
 
 
-def level(n: Column) -> Column:
-    """Number of the histogram level of a length."""
-    steps = F.ceil(STEPS * F.log2(n / EXACT)).cast("long") + EXACT
-    return F.when(n <= EXACT, n.cast("long")).otherwise(steps)
+def _layer(spent: np.ndarray, cost, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of one bucket more up to each length from ``first``, and where the last bucket begins.
+
+    Middles of ranges of lengths are searched, all ranges of a depth at once; the best begin of a middle bounds those
+    of both halves.
+    """
+    n = len(spent)
+    least, begin = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
+    lo, hi, from_, to = (np.array([x]) for x in (first, n - 1, first, n - 1))
+    while len(lo):
+        mid = (lo + hi) // 2
+        sizes = np.minimum(to, mid) - from_ + 1
+        starts = np.cumsum(sizes) - sizes
+        at = np.repeat(from_ - starts, sizes) + np.arange(sizes.sum())
+        values = spent[at - 1] + cost(at, np.repeat(mid, sizes))
+        best = np.minimum.reduceat(values, starts)
+        hits = np.flatnonzero(values == np.repeat(best, sizes))
+        owner = np.searchsorted(starts, hits, side="right") - 1
+        chosen = at[hits[np.unique(owner, return_index=True)[1]]]
+        least[mid], begin[mid] = best, chosen
+        left, right = lo < mid, mid < hi
+        lo, hi, from_, to = (
+            np.concatenate(x)
+            for x in (
+                (lo[left], mid[right] + 1),
+                (mid[left] - 1, hi[right]),
+                (from_[left], chosen[right]),
+                (chosen[left], to[right]),
+            )
+        )
+    return least, begin
 
 
-def best_boundaries(length: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
+def best_boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
     """Largest lengths of at most ``buckets`` buckets with the least padding.
 
-    ``length`` ascends and holds each level's largest length, ``total`` the sum of its lengths. Ties
-    go to fewer buckets, then to the earliest boundaries.
+    ``length`` ascends. Ties go to fewer buckets, then to the earliest boundaries.
     """
     n = len(length)
     if not n:
         return []
-    counts, totals = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(total)]
+    counts, totals = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(length * count)]
 
-    def cost(first: np.ndarray, last: int) -> np.ndarray:
-        """Padding of one bucket of the levels first..last."""
+    def cost(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Padding of one bucket of the lengths first..last."""
         return length[last] * (counts[last + 1] - counts[first]) - (totals[last + 1] - totals[first])
 
-    spent = np.array([cost(np.array([0]), j)[0] for j in range(n)], dtype=float)
-    choices = [np.zeros(n, np.int64)]
-    least = [spent[-1]]
+    spent = cost(np.zeros(n, np.int64), np.arange(n))
+    choices, least = [np.zeros(n, np.int64)], [int(spent[-1])]
     for b in range(1, min(buckets, n)):
-        now, choice = np.full(n, np.inf), np.zeros(n, np.int64)
-        for j in range(b, n):
-            first = np.arange(b, j + 1)
-            all_ = spent[first - 1] + cost(first, j)
-            k = int(all_.argmin())
-            now[j], choice[j] = all_[k], first[k]
-        spent = now
+        spent, choice = _layer(spent, cost, b)
         choices.append(choice)
-        least.append(now[-1])
+        least.append(int(spent[-1]))
     b, j, found = int(np.argmin(least)), n - 1, []
     while True:
         found.append(int(length[j]))
@@ -79,20 +97,11 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     ``batch`` counts within the bucket.
     """
     groups = cut_lineage(lengths.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies")))
-    levels = (
-        groups.groupBy(level(F.col("n_tokens")).alias("level"))
-        .agg(
-            F.max("n_tokens").alias("length"),
-            F.sum("copies").alias("n"),
-            F.sum(F.col("n_tokens") * F.col("copies")).alias("total"),
-            F.count("*").alias("groups"),
-        )
-        .collect()
-    )
-    levels.sort(key=lambda r: r["length"])
-    column = lambda k: np.array([r[k] for r in levels], dtype=np.int64)
-    bounds = best_boundaries(column("length"), column("n"), column("total"), buckets)
-    slices = int(max(1, -(-int(column("groups").sum()) // SLICE_ROWS)))
+    histogram = groups.groupBy("n_tokens").agg(F.sum("copies").alias("n"), F.count("*").alias("groups")).toArrow()
+    length, count, sizes = (histogram[c].to_numpy() for c in ("n_tokens", "n", "groups"))
+    order = np.argsort(length)
+    bounds = best_boundaries(length[order], count[order], buckets)
+    slices = int(max(1, -(-int(sizes.sum()) // SLICE_ROWS)))
     ends = F.array(*[F.lit(x).cast("long") for x in bounds or [0]])
     placed = (
         groups.withColumn("bucket", F.size(F.filter(ends, lambda e: e < F.col("n_tokens"))))

@@ -95,7 +95,7 @@ def padding_by_hand(lengths, bounds):
 def test_boundaries_are_optimal(lengths, buckets):
     values = sorted(set(lengths))
     count = np.array([lengths.count(v) for v in values])
-    got = packing.best_boundaries(np.array(values), count, np.array(values) * count, buckets)
+    got = packing.best_boundaries(np.array(values), count, buckets)
     best = min(
         padding_by_hand(lengths, (*c, values[-1]))
         for k in range(min(buckets, len(values)))
@@ -104,6 +104,29 @@ def test_boundaries_are_optimal(lengths, buckets):
     assert len(got) <= buckets and padding_by_hand(lengths, got) == best
 
 
+
+@pytest.mark.parametrize("seed,buckets", [(1, 1), (2, 3), (3, 7), (4, 16)])
+def test_layers_by_halves_equal_all_pairs(seed, buckets):
+    rng = np.random.default_rng(seed)
+    length = np.unique(rng.integers(0, 9000, 300))
+    count = rng.choice([1, 1, 2, 500], len(length)).astype(np.int64)
+    c, t = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(length * count)]
+    pad = lambda i, j: length[j] * (c[j + 1] - c[i]) - (t[j + 1] - t[i])
+    spent = [pad(0, j) for j in range(len(length))]
+    least = [spent[-1]]
+    for b in range(1, buckets):
+        spent = [min((spent[i - 1] + pad(i, j) for i in range(b, j + 1)), default=10**18) for j in range(len(length))]
+        least.append(spent[-1])
+    bounds = packing.best_boundaries(length, count, buckets)
+    assert len(bounds) == int(np.argmin(least)) + 1 and bounds == sorted(bounds)
+    assert sum(n * (min(b for b in bounds if b >= x) - x) for x, n in zip(length, count)) == min(least)
+
+
+def test_long_texts_are_packed_with_the_least_padding(spark):
+    df = spark.range(200).selectExpr("id AS doc_id", "5000 + id AS n_tokens")
+    assert packing.pack(df, buckets=4).agg(F.sum("padding")).first()[0] == 4900
+
+
 def test_packing_places_every_row_once(spark, odd):
     lengths = packing.word_lengths(odd)
     got = packing.pack(lengths, buckets=4, budget=2000).collect()

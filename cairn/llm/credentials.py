@@ -2,9 +2,11 @@
 
 The guess cost of a value is the cheapest way to cut it into parts that an attacker would try: words
 of a ranked list (also with capitals and look-alike characters), dates, repeats, keyboard walks and
-sequences, and brute-force spans. A dynamic programme over the end positions adds the bits of each
-part and a constant per part; walks and repeats are found in one pass, so the time grows with the
-length of the value. A value after a credential word is a secret if it costs ``least_bits`` or more.
+sequences, and brute-force spans. The list is a fixed one of common password parts and after it the words of the
+corpus itself by frequency, counted over all texts. A dynamic programme over the end positions adds the bits of each
+part and a constant per part; all starts of walks and repeats count, of which only those that can still lead are
+kept, so the time grows with the length of the value. A value after a credential word is a secret if it costs
+``least_bits`` or more.
 
 Spans are code points, end exclusive: assign, access and hex by fixed patterns, guess by the measure.
 Guess spans cover the value alone and never overlap a fixed one.
@@ -18,13 +20,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import fresh, table
+from cairn.sources.scratch import cut_lineage
 
 # The patterns of the base spans.
 ASSIGN = re.compile(
@@ -66,10 +70,12 @@ DATE = re.compile(
 )
 PART_BITS = 1.0
 LEAST_BITS = 28.0
-#: Parts of a run of repeats or of a walk are tried up to this length, and the whole run.
-LAST_PLACES = 32
-#: Letters of one case are guessed by models of language, at this share of the bits.
-LETTERS_ONLY = 0.4
+#: Bounds of the words learned from the corpus: their number, and the letters of one.
+LEARNED = 100_000
+LETTERS = (3, 24)
+#: Different words in a task's dictionary before they are passed on.
+HELD = 300_000
+FIELD = re.compile(rb"[:=]\s+\S+")
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -105,9 +111,39 @@ def word_bits(part: str, ranks: dict[str, int]) -> float | None:
     return math.log2(ranks[plain] + 1) + styled + 1.5 * swapped
 
 
-def run_lengths(run: int, least: int = 3) -> set[int]:
-    """Parts of a run that end it: the whole run, and its last few places."""
-    return {*range(least, min(run, LAST_PLACES) + 1), run} if run >= least else set()
+class Starts:
+    """Cheapest start of a span whose cost is the start's plus ``weight`` times the logarithm of its length.
+
+    The difference of two starts only falls as the end moves on, so a start that an earlier one has overtaken
+    never leads again. The latest start kept leads until the one before it overtakes.
+    """
+
+    def __init__(self, weight: float):
+        self.weight, self.kept = weight, []
+
+    def cost(self, start: tuple[float, int], end: int) -> float:
+        return start[0] + self.weight * math.log2(end - start[1])
+
+    def overtaken(self, early: tuple[float, int], late: tuple[float, int]) -> float:
+        """The end from which ``early``, which has the smaller cost, leads."""
+        ratio = 2 ** min((late[0] - early[0]) / self.weight, 60.0)
+        return (ratio * late[1] - early[1]) / (ratio - 1) if ratio > 1 else math.inf
+
+    def add(self, cost: float, at: int, end: int) -> None:
+        new, kept = (cost, at), self.kept
+        while kept and kept[-1][0] >= cost:
+            kept.pop()
+        if kept and self.cost(kept[-1], end) <= self.cost(new, end):
+            return
+        while len(kept) > 1 and self.overtaken(kept[-2], kept[-1]) <= self.overtaken(kept[-1], new):
+            kept.pop()
+        kept.append(new)
+
+    def least(self, end: int) -> float:
+        kept = self.kept
+        while len(kept) > 1 and self.cost(kept[-2], end) <= self.cost(kept[-1], end):
+            kept.pop()
+        return self.cost(kept[-1], end) if kept else math.inf
 
 
 def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
@@ -123,6 +159,8 @@ def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
     brute = math.inf  # cheapest cut whose last part is a brute-force span
     same = walk = step = 0  # lengths of the runs that end here, and the step of the sequence
     unit_runs = {2: 0, 3: 0, 4: 0}
+    alike, walks = Starts(1.0), Starts(1.2)
+    units = {u: [Starts(1.0) for _ in range(u)] for u in unit_runs}
     for e in range(1, n + 1):
         c = value[e - 1]
         before = value[e - 2] if e > 1 else ""
@@ -133,16 +171,26 @@ def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
         step = delta if delta in (1, -1) else 0
         brute = min(brute, best[e - 1] + PART_BITS) + character_bits(c)
         cost = brute
-        for k in run_lengths(same):
-            cost = min(cost, best[e - k] + character_bits(c) + math.log2(k) + PART_BITS)
-        for k in run_lengths(walk):
-            cost = min(cost, best[e - k] + math.log2(47) + 1.2 * math.log2(k) + 0.4 * k + PART_BITS)
+        if same == 1:
+            alike = Starts(1.0)
+        if same >= 3:
+            alike.add(best[e - 3], e - 3, e)
+            cost = min(cost, alike.least(e) + character_bits(c) + PART_BITS)
+        if walk == 1:
+            walks = Starts(1.2)
+        if walk >= 3:
+            walks.add(best[e - 3] - 0.4 * (e - 3), e - 3, e)
+            cost = min(cost, walks.least(e) + 0.4 * e + math.log2(47) + PART_BITS)
         for unit in unit_runs:
             again = e > unit and value[e - 1 - unit] == c
+            if not again:
+                units[unit] = [Starts(1.0) for _ in range(unit)]
             unit_runs[unit] = unit_runs[unit] + 1 if again else 0
-            one = sum(map(character_bits, value[max(0, e - unit) : e]))
-            for times in run_lengths(1 + unit_runs[unit] // unit, least=2):
-                cost = min(cost, best[e - unit * times] + one + math.log2(times) + PART_BITS)
+            if unit_runs[unit] >= unit:
+                line = units[unit][e % unit]
+                line.add(best[e - 2 * unit], e - 2 * unit, e)
+                one = sum(map(character_bits, value[e - unit : e]))
+                cost = min(cost, line.least(e) - math.log2(unit) + one + PART_BITS)
         for size in range(2, min(longest, e) + 1):
             bits = word_bits(value[e - size : e], ranks)
             if bits is not None:
@@ -151,8 +199,7 @@ def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
             span = math.log2(200) if e - s == 4 else math.log2(200 * 366) + (2 if e - s > 8 else 0)
             cost = min(cost, best[s] + span + PART_BITS)
         best[e] = cost
-    plain = value.isalpha() and (value.islower() or value.isupper() or value.istitle())
-    return best[n] * (LETTERS_ONLY if plain else 1.0)
+    return best[n]
 
 
 def scan(text: str | None, ranks: dict[str, int], least_bits: float = LEAST_BITS) -> list[tuple]:
@@ -192,21 +239,67 @@ def joined(spans: list[tuple]) -> str:
     return ",".join(f"{x[0]}:{x[1]}:{x[2]}" for x in spans)
 
 
-def _ranks(words: tuple[str, ...]) -> dict[str, int]:
+def _ranks(words: Sequence[str]) -> dict[str, int]:
     ranks: dict[str, int] = {}
     for w in words:
         ranks.setdefault(w.lower(), len(ranks) + 1)
     return ranks
 
 
+def _word_table() -> bytes:
+    """Byte table of :func:`learn_words`: lower case; marks of sentences become spaces, other bytes stay."""
+    one = lambda b: b + 32 if 0x41 <= b <= 0x5A else 32 if b in b".,;:!?()[]{}\"'" or b < 32 else b
+    return bytes(map(one, range(256)))
+
+
+WORDS = _word_table()
+
+
+def learn_words(df: DataFrame, text: str = "text", most: int = LEARNED) -> list[str]:
+    """Words of the whole corpus, most frequent first: those with a share of one in ``most`` of all words or more.
+
+    So there are at most ``most``. Words are runs of ASCII letters between spaces and marks of sentences, without
+    the first ones after ``:`` and ``=``, where values stand.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            kept = [(w, n) for w, n in counts.items() if w.isalpha() and w.isascii() and LETTERS[0] <= len(w) <= LETTERS[1]]
+            words = pa.array([w for w, _ in kept], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([words, pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()):
+                counts.update(FIELD.sub(b" ", t.as_py()).translate(WORDS).split())
+            if len(counts) > HELD:
+                yield out()
+                counts.clear()
+        yield out()
+
+    read = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counts = cut_lineage(read.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") * most >= total).collect()
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
+
+
+def word_ranks(df: DataFrame, text: str, words: Sequence[str] | None):
+    """Broadcast ranks of ``words``, or of the common parts of passwords and then the words of the corpus."""
+    words = (*COMMON, *learn_words(df, text)) if words is None else words
+    return df.sparkSession.sparkContext.broadcast(_ranks(words))
+
+
 def find_secrets(
-    df: DataFrame, text: str = "text", spans: str = "secrets", words: tuple[str, ...] = COMMON, least_bits: float = LEAST_BITS
+    df: DataFrame, text: str = "text", spans: str = "secrets", words: Sequence[str] | None = None, least_bits: float = LEAST_BITS
 ) -> DataFrame:
     """``df`` with ``spans``: kind, start, end, start of the value and its guess bits."""
-    ranks, name = _ranks(words), fresh(df)
+    sent, name = word_ranks(df, text, words), fresh(df)
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int,value:int,bits:double>>")
     def run(texts):
+        ranks = sent.value
         return texts.map(
             lambda t: [dict(zip(("kind", "start", "end", "value", "bits"), x)) for x in scan(t, ranks, least_bits)]
         )
@@ -227,13 +320,14 @@ def redact_text(text: str, spans: list[tuple], mark: str) -> str:
 
 
 def redact(
-    df: DataFrame, text: str = "text", mark: str = "[SECRET]", words: tuple[str, ...] = COMMON, least_bits: float = LEAST_BITS
+    df: DataFrame, text: str = "text", mark: str = "[SECRET]", words: Sequence[str] | None = None, least_bits: float = LEAST_BITS
 ) -> DataFrame:
     """``df`` with the secret values in ``text`` replaced by ``mark``; null stays null."""
-    ranks = _ranks(words)
+    sent = word_ranks(df, text, words)
 
     @F.pandas_udf("string")
     def run(texts):
+        ranks = sent.value
         return texts.map(
             lambda t: t if t is None or not (x := scan(t, ranks, least_bits)) else redact_text(t, x, mark)
         )
@@ -241,11 +335,12 @@ def redact(
     return df.withColumn(text, run(F.col(text)))
 
 
-def digest_report(df: DataFrame, words: tuple[str, ...] = COMMON, least_bits: float = LEAST_BITS) -> DataFrame:
+def digest_report(df: DataFrame, words: Sequence[str] | None = None, least_bits: float = LEAST_BITS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess) of every row."""
-    ranks = _ranks(words)
+    sent = word_ranks(df, "text", words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = sent.value
         for batch in batches:
             counts = {k: [] for k in KINDS}
             digests, spans = [], []

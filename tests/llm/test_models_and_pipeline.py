@@ -268,7 +268,7 @@ def test_substring_stage(stages):
 def test_secret_stage(stages):
     from cairn.llm import credentials
 
-    ranks = credentials._ranks(credentials.COMMON)
+    ranks = credentials._ranks((*credentials.COMMON, *credentials.learn_words(stages[3])))
     before, after = by_id(stages[3]), by_id(stages[4])
     assert before.keys() == after.keys()
     for i, r in before.items():

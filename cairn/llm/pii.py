@@ -1,12 +1,14 @@
 """Personal data: fixed patterns as seeds, and contextual patterns bootstrapped from them.
 
 Seeds are e-mail addresses, IP addresses, card and phone numbers found by fixed patterns. Every seed
-and every other identifier-like token is a mention with lexical patterns: the two words before it,
-and the words on both sides (digits count as 0). Patterns and the different tokens that fill them
+and every other identifier-like token is a mention; neighbouring groups of digits are one. A mention has lexical
+patterns with back-off: the two words before it, the word before it, that word with a ``:`` or ``=`` (a field), and
+the words on both sides (digits count as 0). Patterns and the different tokens that fill them
 form a graph. In each round a pattern's confidence for a kind is the summed score of its fillers over
 their number, given enough support, and an unseen filler scores one minus the product of its
 patterns' doubts. After the last round, mentions in the confident patterns of a kind whose form fits
-the kind become spans of kind ``ctx_<kind>``.
+the kind (an at sign; three dots and four digits; 12 digits; 7 digits) become spans of kind ``ctx_<kind>``; the most
+confident kind wins, ties go to the name that comes last. They follow the base spans, by kind as listed and start.
 
 The graph lives in tables: joins and aggregates score it, each round is written to the shared folder.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,10 +39,15 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: Tokens with a digit or an at sign; spaces end them.
-TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+#: Groups of digits parted by single spaces, or a token with a digit or an at sign; spaces end it.
+MENTION = re.compile(
+    r"""(?<!\S)[+(]?[0-9][0-9()./-]*(?:\x20[(]?[0-9][0-9()./-]*)+(?![^\s.,;:!?)\]}>"'|])|(?<!\S)[^\s0-9@]*[0-9@]\S*"""
+)
+WORD = re.compile(r"""[^\s.,;:!?()\[\]{}<>"'`*#$%&|=]+""")
 EDGE = ".,;:!?()[]{}<>\"'`*#$%&|"
 
+#: Characters of the shortest mention: nothing shorter has the form of a kind, but an address like a@b.
+SHORTEST = 3
 ROUNDS = 3
 SUPPORT = 3
 CONFIDENCE = 0.8
@@ -86,36 +94,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _context(text: str, start: int, end: int) -> list[str]:
-    """Two patterns: the two words before, and the words on both sides."""
-    normal = lambda w: DIGIT.sub("0", w.strip(EDGE).lower())[:40]
-    before = [normal(w) for w in text[max(0, start - 120) : start].split()[-2:]]
-    after = [normal(w) for w in text[end : end + 80].lstrip(EDGE).split()[:1]]
-    left = ["", *before][-1]
-    patterns = []
-    if len(before) == 2:
-        patterns.append(f"{before[0]} {before[1]} _")
-    if left and after:
-        patterns.append(f"{left} _ {after[0]}")
-    return patterns
+class Words:
+    """Words of a text, for the patterns of a span."""
+
+    def __init__(self, text: str):
+        self.text, found = text, [m.span() for m in WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+
+    def word(self, k: int) -> str:
+        return DIGIT.sub("0", self.text[self.starts[k] : self.ends[k]].lower())
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """From two words before to one; a word that the span is a part of is none."""
+        at, after = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        if not at:
+            return []
+        left, found = self.word(at - 1), []
+        if at > 1:
+            found.append(f"{self.word(at - 2)} {left} _")
+        if after < len(self.starts):
+            found.append(f"{left} _ {self.word(after)}")
+        k = start - 1
+        while self.text[k].isspace() or self.text[k] in "\"'":
+            k -= 1
+        if self.text[k] in ":=":
+            found.append(f"{left}{self.text[k]} _")
+        return [*found, f"{left} _"]
 
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
     """(kind or None, start, end, filler, patterns) of the base spans and of other identifiers."""
-    found = [(k, a, b, text[a:b], _context(text, a, b)) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
     if "@" not in text and not DIGIT.search(text):
-        return found
+        return []
+    words = Words(text)
+    found = [(k, a, b, text[a:b], words.patterns(a, b)) for k, a, b in base]
+    taken = sorted((a, b) for _, a, b in base)
     k = 0
-    for m in TOKEN.finditer(text):
+    for m in MENTION.finditer(text):
         token = m[0].strip(EDGE)
         a = m.start() + m[0].find(token)
         b = a + len(token)
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if not 5 <= len(token) <= 64 or (k < len(taken) and taken[k][0] < b):
-            continue
-        found.append((None, a, b, token, _context(text, a, b)))
+        if len(token) >= SHORTEST and not (k < len(taken) and taken[k][0] < b):
+            found.append((None, a, b, token, words.patterns(a, b)))
     return found
 
 
@@ -210,8 +232,8 @@ def _fits(kind, filler):
     return (
         F.when(kind == "email", filler.contains("@"))
         .when(kind == "ip", (dots >= 3) & (digits >= 4))
-        .when(kind == "card", digits.between(12, 19))
-        .otherwise(digits.between(7, 15))
+        .when(kind == "card", digits >= 12)
+        .otherwise(digits >= 7)
     )
 
 
@@ -226,6 +248,7 @@ def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     met = each.select("row", "start", "end", "kind", "filler", F.explode("patterns").alias("pattern"))
     graph = cut_lineage(met.groupBy("pattern", "filler").agg(F.max("kind").alias("kind")))
     patterns = score_patterns(graph, **scoring)
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("best.kind"))
     found = (
         met.filter("kind IS NULL")
         .drop("kind")
@@ -236,7 +259,7 @@ def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .groupBy("row")
         .agg(
             F.array_sort(
-                F.collect_list(F.struct(F.concat(F.lit("ctx_"), "best.kind").alias("kind"), "start", "end"))
+                F.collect_list(F.struct(order.alias("at"), F.concat(F.lit("ctx_"), "best.kind").alias("kind"), "start", "end"))
             ).alias("more")
         )
     )

@@ -592,3 +592,88 @@ def test_personal_data_odd_rows(spark, odd):
     got = pii.find_personal_data(odd)
     assert got.count() == odd.count() and got.filter("spans <> ''").count() == 0
     assert pii.find_personal_data(docs(spark, [])).count() == 0
+
+
+def contexts_by_hand(rows, rounds=3, support=3, confidence=0.8):
+    """Every span by dictionaries: mentions of one text at a time, then all rounds over one graph."""
+    import math
+    from collections import defaultdict
+
+    seen = {k: pii.mentions(t or "", pii.base_spans(t or "")) for k, (_, t) in enumerate(rows)}
+    graph = defaultdict(dict)
+    for found in seen.values():
+        for kind, _, _, filler, patterns in found:
+            for p in patterns:
+                graph[p][filler] = max(graph[p].get(filler) or "", kind or "") or None
+    score = {(f, k): 1.0 for fillers in graph.values() for f, k in fillers.items() if k}
+    seeds = dict(score)
+    for left in range(rounds, 0, -1):
+        trusted = {}
+        for p, fillers in graph.items():
+            for kind in pii.KINDS:
+                hits = sum(score.get((f, kind), 0.0) for f in fillers)
+                if hits >= support and hits / len(fillers) >= confidence:
+                    trusted[p, kind] = hits / len(fillers)
+        doubts = defaultdict(float)
+        for (p, kind), c in trusted.items():
+            for f, k in graph[p].items():
+                if k is None:
+                    doubts[f, kind] += math.log(1 - min(c, 0.99))
+        score = {**seeds, **{k: 1 - math.exp(v) for k, v in doubts.items()}}
+    out = {}
+    for k, found in seen.items():
+        mine = []
+        for kind, a, b, filler, patterns in found:
+            digits, dots = sum(c.isdigit() and c.isascii() for c in filler), filler.count(".")
+            form = {"email": "@" in filler, "ip": dots >= 3 and digits >= 4, "card": digits >= 12, "phone": digits >= 7}
+            fit = [(trusted[p, x], x) for p in patterns for x in pii.KINDS if (p, x) in trusted and form[x]]
+            if kind is None and fit:
+                mine.append((pii.KINDS.index(max(fit)[1]), a, b))
+        out[k] = [f"ctx_{pii.KINDS[i]}:{a}:{b}" for i, a, b in sorted(mine)]
+    return out
+
+
+def planted_contexts(seed):
+    """Texts with seeds in contexts, identifiers that no fixed pattern sees in the same contexts, and decoys."""
+    rng = random.Random(seed)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    filler = lambda: " ".join(rng.choice(["the", "of", "and", "was", "note", "line"]) for _ in range(rng.randrange(3, 9)))
+    rows, truth = [], {}
+    forms = {
+        "phone": (["please call us at {}", "Mobile: {}", "reach {} by fax"], lambda: f"+49 {digits(3)} {digits(7)}", [lambda: digits(12), lambda: f"0{digits(3)} {digits(3)} {digits(5)}", lambda: digits(70), lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"]),
+        "email": (["mail to {}", "Contact: {}"], lambda: f"u{digits(4)}@mail{digits(2)}.org", [lambda: f"ü{digits(3)}@localhost", lambda: "w" * 80 + f"{digits(2)}@intranet"]),
+        "ip": (["served by host {}"], lambda: f"10.{rng.randrange(250)}.{rng.randrange(250)}.{rng.randrange(250)}", [lambda: f"10.{digits(3)}.999.1", lambda: f"300.1.1.{digits(2)}"]),
+    }
+    for kind, (contexts, known, unknown) in forms.items():
+        for context in contexts:
+            for k in range(60):
+                rows.append((len(rows), f"{filler()} {context.format(known())} {filler()}"))
+                if k % 6 == 0:
+                    value = rng.choice(unknown)()
+                    head = f"{filler()} {context.split('{}')[0]}"
+                    truth[len(rows)] = (f"ctx_{kind}", len(head), len(head) + len(value.strip(pii.EDGE)))
+                    if value[0] in pii.EDGE:
+                        truth[len(rows)] = (f"ctx_{kind}", len(head) + 1, len(head) + len(value))
+                    rows.append((len(rows), f"{head}{value}{context.split('{}')[1]} {filler()}"))
+    decoys = ["item {} was", "page {} of", "order number {} and", "the {} line"]
+    for k in range(300):
+        rows.append((len(rows), f"{filler()} {rng.choice(decoys).format(digits(rng.choice([3, 9, 11])))} {filler()}"))
+    return rows, truth
+
+
+def test_contexts_find_planted_identifiers(spark):
+    for seed in (1, 2):
+        rows, truth = planted_contexts(seed)
+        got = by_id(pii.find_personal_data(docs(spark, rows).repartition(3)))
+        found = {(i, *s) for i, r in got.items() for s in re.findall(r"(ctx_\w+):(\d+):(\d+)", r.spans)}
+        want = {(i, k, str(a), str(b)) for i, (k, a, b) in truth.items()}
+        assert len(want) >= 50 and len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.95 * len(found)
+        by_hand = contexts_by_hand(rows)
+        assert {i: re.findall(r"ctx_\w+:\d+:\d+", r.spans) for i, r in got.items()} == by_hand
+
+
+def test_contexts_of_odd_rows_equal_the_dictionaries(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(odd_rows())]
+    rows += [(100 + k, f"x=+49 170 555{k:04} y: 0170 555 1{k:04}," + " a@b.de" * k) for k in range(12)]
+    got = by_id(pii.find_personal_data(docs(spark, rows)))
+    assert [re.findall(r"ctx_\w+:\d+:\d+", got[i].spans) for i, _ in rows] == list(contexts_by_hand(rows).values())

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.operators.joins import attach, attach_written
-from cairn.operators.ordering import fit_row, order_bucket, positions
+from cairn.operators.ordering import fit_row, positions, ranged
 from cairn.operators.selection import percentiles
 from cairn.sources.scratch import cut_lineage
 
@@ -17,12 +17,12 @@ from cairn.sources.scratch import cut_lineage
 def category_codes(df: DataFrame, column: str, first: int = 1) -> DataFrame:
     """Codes ``first..`` of the distinct values in sorted order, with the rows behind each value.
 
-    The distinct values are written once, so that ordering them does not read ``df`` again.
+    The distinct values are written, so that ordering them does not read ``df`` again; ranges of them are ordered
+    in one task each.
     """
     values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_rows"))
-    values = cut_lineage(values)
-    ranked = positions(values, [column], order_bucket(values, column), name="code")
-    return ranked.withColumn("code", (F.col("code") + first).cast("int"))
+    ranked = positions(ranged(values, [column]), [column], F.col("_range"), name="code")
+    return ranked.select(column, "n_rows", (F.col("code") + first).cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, column: str, name: str) -> DataFrame:

@@ -13,11 +13,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from cairn.sources.scratch import cut_lineage
+
 BUCKETS = 4096  # slices of a hash
 SPLITS = 256  # intervals between approximate quantiles
 PARTS = 64  # equal slices of such an interval
 STRING_SAMPLE = 8192  # different strings from which cuts are chosen
-CUT_LENGTH = 256  # characters of a cut between strings
+RANGE_ROWS = 100_000  # rows of one range of :func:`ranged`
 
 
 def range_bucket(value: Column, lo: float | None, hi: float | None, buckets: int = BUCKETS) -> Column:
@@ -73,7 +75,7 @@ def fit_string_cuts(df: DataFrame, value: Column, buckets: int = SPLITS) -> list
     """
     different = df.select(value.alias("v")).filter(F.col("v").isNotNull()).distinct()
     sample = different.orderBy(F.xxhash64("v"), "v").limit(STRING_SAMPLE)
-    found = [r[0] for r in sample.select(F.substr("v", F.lit(1), F.lit(CUT_LENGTH))).collect()]
+    found = [r[0] for r in sample.collect()]
     found = sorted(set(found), key=lambda x: x.encode())
     return [found[i] for i in sorted({len(found) * k // buckets for k in range(1, buckets)})] if found else []
 
@@ -88,6 +90,18 @@ def order_bucket(df: DataFrame, column: str, buckets: int = SPLITS) -> Column:
     return split_bucket(value, fit_splits(df, [value], buckets)[0])
 
 
+def ranged(df: DataFrame, order: Sequence[str], name: str = "_range", rows: int = RANGE_ROWS) -> DataFrame:
+    """A written table with the number of each row's range along ``order``, about ``rows`` rows a range.
+
+    Spark samples the splitters, whole values whose number follows the table's; equal rows share a range.
+    """
+    df = cut_lineage(df)
+    parts = -(-df.count() // rows)
+    if parts <= 1:
+        return df.withColumn(name, F.lit(0))
+    return cut_lineage(df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()))
+
+
 def keyed_as(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with the key columns under names of their own, for :func:`met`."""
     return df.withColumnsRenamed({k: f"_key_{k}" for k in keys})

@@ -10,7 +10,10 @@ from cairn.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    """Workers start in an empty folder and without the driver's path: functions have to travel with their tasks."""
+    os.environ.pop("PYTHONPATH", None)
+    os.chdir(tmp_path_factory.mktemp("elsewhere"))
     session = local_session(8, "tests")
     yield session
     session.stop()

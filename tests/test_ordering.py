@@ -221,3 +221,18 @@ def test_distinct_counts_of_codes_are_sets_of_bits(spark):
     for r in got.collect():
         mine = [q for q in rows if q[0] == r["k"]]
         assert tuple(r)[1:] == (*(len({q[i] for q in mine} - {None}) for i in (1, 2, 3)), len(mine))
+
+
+def test_ranges_follow_long_common_prefixes(spark):
+    from cairn.operators.encode import category_codes
+
+    words = [f"{'p' * 300}{i:05}" for i in range(3000)]
+    df = spark.createDataFrame([(w,) for w in [*words, *words[:50], None]], "w string")
+    parts = O.ranged(df.na.drop().distinct(), ["w"], rows=100)
+    sizes = [r["count"] for r in parts.groupBy("_range").count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 25 and max(sizes) <= 300
+    ranked = O.positions(parts, ["w"], F.col("_range"))
+    assert {r["w"]: r["pos"] for r in ranked.collect()} == {w: i for i, w in enumerate(words)}
+    codes = {r["w"]: (r["code"], r["n_rows"]) for r in category_codes(df, "w").collect()}
+    assert codes == {w: (i + 1, 2 if i < 50 else 1) for i, w in enumerate(words)}
+    assert category_codes(df.limit(0), "w").count() == 0

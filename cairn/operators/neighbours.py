@@ -2,9 +2,10 @@
 
 Training rows go to the nearest of a few pivots. The distances of a cell's rows to its pivot bound, by
 the triangle inequality, how near they can be to a query, so a query visits only the cells that can hold
-one of its neighbours. Cells are cut by that distance into slices, of which a query again visits only
+one of its neighbours. Large cells are cut by that distance into slices, of which a query again visits only
 those that can matter, and large slices into chunks of bounded size: a hot cell becomes many small groups,
-each of which returns at most ``k`` rows per query. The pivots grow with the root of the training rows.
+each of which returns at most ``k`` rows per query. The pivots grow with the root of the training rows; they lie in
+cells of their own around a root of them, and the same inequality leads a row to the few cells of pivots that matter.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from cairn.sources.scratch import cut_lineage
 TRAIN_CHUNK = 20_000  # training rows per group
 QUERY_CHUNK = 5_000  # queries per group
 SLICES = 64  # radius slices of a cell; larger cells are also split by hash
-PIVOTS = 8192  # bound of the pivots, which grow with the root of the training rows
 BLOCK = 4_000_000  # distances held at once inside a task
 
 
@@ -36,14 +36,47 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def pivot_cells(pivots: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """About a root of the pivots as centres, and the numbers of the pivots nearest to each."""
+    centres = pivots[:: max(1, round(len(pivots) ** 0.5))]
+    own = np.concatenate([_squared(part, centres).argmin(axis=1) for part in _blocks(pivots, len(centres))])
+    return centres, [np.flatnonzero(own == g) for g in range(len(centres))]
+
+
+def _blocks(rows: np.ndarray, width: int) -> list[np.ndarray]:
+    step = max(1, BLOCK // max(1, width))
+    return [rows[i : i + step] for i in range(0, len(rows), step)]
+
+
+def nearest_pivot(x: np.ndarray, pivots: np.ndarray, centres: np.ndarray, members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's nearest pivot (the first of equals) and the distance to it."""
+    to_centre = np.sqrt(_squared(x, centres))
+    wide = np.array([np.sqrt(_squared(pivots[m], centres[g : g + 1]).max()) if len(m) else -np.inf for g, m in enumerate(members)])
+    best, at = np.full(len(x), np.inf), np.zeros(len(x), int)
+    home = np.where(np.isfinite(wide), to_centre, np.inf).argmin(axis=1)
+    for rest in (False, True):
+        for g, m in enumerate(members):
+            if rest:
+                asks = np.flatnonzero((home != g) & (to_centre[:, g] - wide[g] <= best * (1 + 1e-9) + 1e-9))
+            else:
+                asks = np.flatnonzero(home == g)
+            if len(asks) and len(m):
+                d = np.sqrt(_squared(x[asks], pivots[m]))
+                k = d.argmin(axis=1)
+                found, number = d[np.arange(len(asks)), k], m[k]
+                better = (found < best[asks]) | ((found == best[asks]) & (number < at[asks]))
+                best[asks[better]], at[asks[better]] = found[better], number[better]
+    return at, best
+
+
 def assign_cells(df: DataFrame, features: Sequence[str], pivots: np.ndarray) -> DataFrame:
     """Nearest pivot of each row and the distance to it."""
+    centres, members = pivot_cells(pivots)
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            d = np.sqrt(_squared(_matrix(pdf, features), pivots))
-            cell = d.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), radius=d[np.arange(len(d)), cell])
+            cell, radius = nearest_pivot(_matrix(pdf, features), pivots, centres, members)
+            yield pdf.assign(cell=cell.astype("int32"), radius=radius)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     return df.mapInPandas(assign, f"{fields}, cell int, radius double")
@@ -60,7 +93,47 @@ def cell_summary(cells: DataFrame, key: str, k: int) -> list:
 
 
 def pivot_count(rows: int) -> int:
-    return int(min(PIVOTS, max(1, 4 * rows**0.5)))
+    return int(max(1, 4 * rows**0.5))
+
+
+def reachable(
+    x: np.ndarray, k: int, centres: np.ndarray, members: list[np.ndarray], pivots: np.ndarray, far: np.ndarray, near: list
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, cells, bounds, distances to the pivots) of the cells that can hold one of the ``k`` nearest of a row.
+
+    ``members`` are the cells of pivots, ``far`` and ``near`` the greatest and the least radii of each cell.
+    The bound is the k-th least way over a pivot to one of its near rows, by the nearest cells of pivots that hold enough.
+    """
+    to_centre = np.sqrt(_squared(x, centres))
+    held = np.array([sum(len(near[c]) for c in m) for m in members])
+    # How far a row of such a cell can lie from the centre.
+    wide = np.array([(np.sqrt(_squared(pivots[m], centres[g : g + 1]))[:, 0] + far[m]).max() for g, m in enumerate(members)])
+    order = np.argsort(to_centre, axis=1)
+    enough = (np.cumsum(held[order], axis=1) < k).sum(axis=1) + 1  # cells of pivots that hold k rows
+    places = np.argsort(order, axis=1)
+    bound = np.full(len(x), np.inf)
+    reach = [np.zeros((0, 2))]
+    for g, m in enumerate(members):
+        asks = np.flatnonzero(places[:, g] < enough)
+        if len(asks):
+            d = np.sqrt(_squared(x[asks], pivots[m]))
+            owner = np.repeat(np.arange(len(m)), [len(near[c]) for c in m])
+            ways = d[:, owner] + np.concatenate([near[c] for c in m])
+            ways = np.sort(ways, axis=1)[:, :k]
+            reach.append(np.column_stack([np.repeat(asks, ways.shape[1]), ways.ravel()]))
+    ways = np.concatenate(reach)
+    ways = ways[np.lexsort((ways[:, 1], ways[:, 0]))]
+    row = ways[:, 0].astype(int)
+    first = np.searchsorted(row, np.arange(len(x)))
+    last = np.searchsorted(row, np.arange(len(x)), "right")
+    full = last - first >= k
+    bound[full] = ways[first[full] + k - 1, 1] * (1 + 1e-9) + 1e-9
+    for g, m in enumerate(members):
+        asks = np.flatnonzero(to_centre[:, g] - wide[g] <= bound)
+        if len(asks):
+            d = np.sqrt(_squared(x[asks], pivots[m]))
+            q, c = np.nonzero(d - far[m] <= bound[asks, None])
+            yield asks[q], m[c], bound[asks[q]], d[q, c]
 
 
 def visit_plan(
@@ -69,48 +142,60 @@ def visit_plan(
     """One row per query and cell that can hold one of its ``k`` nearest rows."""
     cells = np.array([r["cell"] for r in summary])
     far = np.array([r["far"] for r in summary])
-    owner = np.concatenate([np.full(len(r["near"]), i) for i, r in enumerate(summary)])
-    near = np.concatenate([np.asarray(r["near"]) for r in summary])
-    centres = pivots[cells]
+    near = [np.asarray(r["near"]) for r in summary]
+    own = pivots[cells]
+    centres, members = pivot_cells(own)
+    kept = [g for g, m in enumerate(members) if len(m)]
+    centres, members = centres[kept], [members[g] for g in kept]
+    widest = max(max(sum(len(near[c]) for c in m) for m in members), len(members))
 
     def plan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, BLOCK // len(owner))
+        step = max(1, BLOCK // widest)
         for whole in parts:
             for start in range(0, len(whole), step):
                 pdf = whole.iloc[start : start + step]
-                d = np.sqrt(_squared(_matrix(pdf, features), centres))
-                reach = d[:, owner] + near
-                at = min(k, reach.shape[1]) - 1
-                bound = np.partition(reach, at, axis=1)[:, at] * (1 + 1e-9) + 1e-9
-                if reach.shape[1] < k:
-                    bound[:] = np.inf
-                q, c = np.nonzero(d - far <= bound[:, None])
-                yield pdf.iloc[q].assign(cell=cells[c].astype("int32"), bound=bound[q], to_pivot=d[q, c])
+                for q, c, bound, d in reachable(_matrix(pdf, features), k, centres, members, own, far, near):
+                    yield pdf.iloc[q].assign(cell=cells[c].astype("int32"), bound=bound, to_pivot=d)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes)
     return queries.mapInPandas(plan, f"{fields}, cell int, bound double, to_pivot double")
 
 
 def radius_cuts(cells: DataFrame, summary: list) -> dict[int, tuple[np.ndarray, int]]:
-    """Per cell: ascending radii that cut it into slices of about a chunk, and hash parts of a slice."""
+    """Per cell above a chunk: ascending radii that cut it into slices of about a chunk, and hash parts of a slice."""
+    large = {r["cell"]: r["n"] for r in summary if r["n"] > TRAIN_CHUNK}
+    if not large:
+        return {}
     shares = [i / SLICES for i in range(1, SLICES)]
-    found = cells.groupBy("cell").agg(F.percentile_approx("radius", shares, 2000).alias("r")).collect()
-    radii = {r["cell"]: r["r"] for r in found}
+    these = cells.sparkSession.createDataFrame([(int(c),) for c in large], "cell int")
+    radii = cells.join(these, "cell").groupBy("cell").agg(F.percentile_approx("radius", shares, 2000).alias("r"))
     out = {}
-    for r in summary:
-        slices = min(SLICES, -(-r["n"] // TRAIN_CHUNK))
-        cuts = np.unique([radii[r["cell"]][SLICES * i // slices - 1] for i in range(1, slices)])
-        out[r["cell"]] = (cuts, -(-r["n"] // (slices * TRAIN_CHUNK)))
+    for cell, found in radii.collect():
+        slices = min(SLICES, -(-large[cell] // TRAIN_CHUNK))
+        cuts = np.unique([found[SLICES * i // slices - 1] for i in range(1, slices)])
+        out[cell] = (cuts, -(-large[cell] // (slices * TRAIN_CHUNK)))
     return out
 
 
+def _slices(cell: np.ndarray, value: np.ndarray, cuts: dict[int, tuple[np.ndarray, int]]) -> np.ndarray:
+    """The slice of each value in its cell; cells without cuts have one slice."""
+    at = np.zeros(len(cell), int)
+    for c in np.unique(cell):
+        if c in cuts:
+            mine = cell == c
+            at[mine] = np.searchsorted(cuts[c][0], value[mine], "right")
+    return at
+
+
 def slice_rows(cells: DataFrame, cuts: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
     """Training rows with the radius slice they lie in."""
+    if not cuts:
+        return cells.withColumn("slice", F.lit(0))
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            at = [np.searchsorted(cuts[c][0], r, "right") for c, r in zip(pdf["cell"], pdf["radius"])]
-            yield pdf.assign(slice=np.array(at, dtype="int32"))
+            at = _slices(pdf["cell"].to_numpy(), pdf["radius"].to_numpy(), cuts)
+            yield pdf.assign(slice=at.astype("int32"))
 
     fields = ", ".join(f"`{n}` {t}" for n, t in cells.dtypes)
     return cells.mapInPandas(place, f"{fields}, slice int")
@@ -118,12 +203,13 @@ def slice_rows(cells: DataFrame, cuts: dict[int, tuple[np.ndarray, int]]) -> Dat
 
 def slice_visits(visits: DataFrame, cuts: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
     """Visits with the slices that can hold a neighbour: the triangle inequality bounds their radii."""
+    if not cuts:
+        return visits.withColumn("slice", F.lit(0))
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            low, high = pdf["to_pivot"] - pdf["bound"], pdf["to_pivot"] + pdf["bound"]
-            first = np.array([np.searchsorted(cuts[c][0], x, "right") for c, x in zip(pdf["cell"], low)], int)
-            last = np.array([np.searchsorted(cuts[c][0], x, "right") for c, x in zip(pdf["cell"], high)], int)
+            cell, mid, bound = (pdf[c].to_numpy() for c in ("cell", "to_pivot", "bound"))
+            first, last = _slices(cell, mid - bound, cuts), _slices(cell, mid + bound, cuts)
             times = last - first + 1
             rows = np.repeat(np.arange(len(pdf)), times)
             nth = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
@@ -160,8 +246,12 @@ def nearest(
     cuts = radius_cuts(cells, summary)
     visits = cut_lineage(slice_visits(visit_plan(queries, features, centres, summary, k), cuts))
     sizes = visits.groupBy("cell", "slice").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("groups"))
-    parts = cells.sparkSession.createDataFrame([(int(c), int(n)) for c, (_, n) in cuts.items()], "cell int, parts int")
-    sizes = cut_lineage(sizes.join(parts, "cell"))
+    if cuts:
+        parts = cells.sparkSession.createDataFrame([(int(c), int(n)) for c, (_, n) in cuts.items()], "cell int, parts int")
+        sizes = sizes.join(parts, "cell", "left")
+    else:
+        sizes = sizes.withColumn("parts", F.lit(1))
+    sizes = cut_lineage(sizes.withColumn("parts", F.coalesce("parts", F.lit(1))))
 
     def part(count: str):
         return F.pmod(F.xxhash64(key), F.col(count)).cast("int")

@@ -131,7 +131,7 @@ def test_repeated_holdout_has_a_row_per_round(classes):
     assert sorted(r["iter"] for r in out) == [1, 2, 3] and all(r["accuracy"] > 0.5 for r in out)
 
 
-@pytest.mark.parametrize("pivots", [1, 12])
+@pytest.mark.parametrize("pivots", [1, 12, 150])
 def test_neighbours_equal_brute_force(spark, pivots, monkeypatch):
     monkeypatch.setattr(N, "TRAIN_CHUNK", 60)
     monkeypatch.setattr(N, "QUERY_CHUNK", 40)

@@ -113,8 +113,8 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
     """(key, host, path, rule, verdict) of every row of ``pages``."""
     rows = pages.select(F.col(key).alias(key), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
-    # Written, so that a very common URL is a skewed side of a plain join.
-    found = cut_lineage(matches(rows, rules))
+    # Written, so that a very common URL is a skewed side of a plain join; never broadcast, as it grows with the URLs.
+    found = cut_lineage(matches(rows, rules)).hint("merge")
     return rows.join(found, ["host", "path"], "left").select(
         key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )

@@ -1,4 +1,4 @@
-"""Exact substring dedup over a compacted De Bruijn graph of token k-mers.
+"""Exact substring dedup over a compacted De Bruijn graph of sampled token k-mers.
 
 Nodes are the minimizer k-mers of a document (the smallest k-mer hash of every ``reach`` successive
 k-mers); the words from one node to the end of the next are an edge, named by their hash. ``reach``
@@ -9,8 +9,9 @@ Edges of one document only are dropped. Two neighbouring edges form a nonbranchi
 occurrences are the same places shifted by one, which an exclusive-or of place hashes tells without
 gathering them; paths of such links compact to one span whose windows all have the same documents.
 Windows inside such a span are settled by the smallest document of the span. The others, at branches
-and at the ends of repeated text, are compared by a 96-bit hash of all their words. Spans and windows
-are verified at their source coordinates: a span has two edges or more, each of which must agree.
+and at the ends of repeated text, are compared by a 96-bit hash of all their words. Spans are verified by
+hashes at their coordinates, not by reading the source's words again: a span has two edges or more, whose 64-bit
+hashes must all agree. Paths are put together inside a document, after a join has told which links don't branch.
 
 No step gathers the documents of an edge: groups are aggregated (minimum, maximum, count, exclusive
 or) before the shuffle and joined back, so a passage in a third of all documents stays spread out.

@@ -32,6 +32,37 @@ def test_held_out_follows_the_checksum(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in df.collect())
 
 
+def test_training_steps_follow_the_slope_of_the_loss():
+    rng = np.random.default_rng(2)
+    table_, weight, bias = rng.normal(size=(40, 5)), rng.normal(size=(3, 5)), rng.normal(size=3)
+    index, share = np.array([3, 7, 20, 39]), np.array([0.1, 0.4, 0.3, 0.2])
+
+    def loss(t, w, b):
+        z = w @ (share @ t[index]) + b
+        return float(np.log(np.exp(z).sum()) - z[1])
+
+    moved = [x.copy() for x in (table_, weight, bias)]
+    langid.descend(*moved, (1, index, share), 1e-6)
+    for at, (old, new) in enumerate(zip((table_, weight, bias), moved)):
+        step = (old - new) / 1e-6 * (float(share @ share) if at == 0 else 1.0)
+        slope = np.zeros_like(old)
+        for k in np.ndindex(*old.shape):
+            near = [x.copy() for x in (table_, weight, bias)]
+            near[at][k] += 1e-6
+            slope[k] = (loss(*near) - loss(table_, weight, bias)) / 1e-6
+        assert np.allclose(step, slope, atol=1e-4)
+
+
+def test_many_languages_and_copies(spark):
+    """No bound on languages, many of them kept as embeddings; copies don't take the place of different texts."""
+    rows = [(f"l{k:03}", f"{chr(97 + k % 26) * 3}{chr(97 + k // 26)} {j} " * 3 + f"w{k}x{j}") for k in range(300) for j in range(3)]
+    rows += [("l000", "the same copy again and again")] * 3000 + [("l000", f"aaaa other {j}") for j in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), rows=900)
+    assert len(model.languages) == 300 and model.weight is not None and model.scores.shape[1] == langid.DIMENSION
+    again = langid.Model(*model.parts())
+    assert again.predict("aaaa other 99") == model.predict("aaaa other 99")
+
+
 def test_language_odd_rows(spark, odd_langs):
     model = langid.fit(odd_langs.select("text", "lang"))
     assert model.languages == ["aa", "bb"]
@@ -226,7 +257,8 @@ def test_quality_stage(stages):
 
 
 def shingles(t):
-    w = t.lower().split()
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", w) if x]
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
 
 
@@ -249,7 +281,7 @@ def test_near_dedup_stage(stages):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     want = {i for i in ids if find(i) == i}
-    assert want <= after and len(after - want) <= 0.02 * len(ids)
+    assert after == want
     texts = [r.text for r in stages[2].collect()]
     assert len(texts) == len(set(texts))
 

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairn.functions.columns import clip
 from cairn.operators.ordering import fit_row
 from cairn.sources.scratch import cut_lineage
 

@@ -17,7 +17,7 @@ table gives an empty table. The input needs two columns, others may have any nam
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import table, words

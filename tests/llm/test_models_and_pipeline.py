@@ -225,6 +225,93 @@ def test_warc_files_round_trip(spark):
     assert raw.count(b"WARC/1.1\r\n") == made.count() and raw.endswith(b"\r\n\r\n")
 
 
+def placed(spark, rows, order):
+    """Records in the given order in one file."""
+    made = {r.page_id: r for r in warc.records(pages(spark, rows)).collect()}
+    out, at = [], 0
+    for i in order:
+        out.append((i, made[i].url, made[i].record, "f", at))
+        at += len(made[i].record.encode()) + 4
+    return spark.createDataFrame(out, "page_id bigint, url string, record string, file string, offset bigint")
+
+
+def test_audit_of_places(spark):
+    rows = [(k, f"http://a/{k}", "é" * k) for k in range(50)]
+    listed = warc.manifest(warc.records(pages(spark, rows)))
+
+    def moved(order):
+        return {r.page_id for r in warc.audit(listed, placed(spark, rows, order)).collect() if r.status == "moved"}
+
+    assert moved(range(50)) == set()
+    assert moved(range(49, -1, -1)) == set(range(1, 50))
+    assert moved([*range(20), *range(21, 50), 20]) == {20, 21}
+    gone = warc.audit(listed, placed(spark, rows, [k for k in range(50) if k not in (7, 8)])).collect()
+    assert {r.page_id: r.status for r in gone if r.status != "intact"} == {7: "missing", 8: "missing"}
+    gap = placed(spark, rows, range(50)).withColumn("offset", F.col("offset") + F.when(F.col("page_id") > 30, 2).otherwise(0))
+    assert {r.page_id for r in warc.audit(listed, gap).collect() if r.status == "moved"} == {31}
+
+
+def test_order_of_written_files(spark):
+    made = warc.records(pages(spark, page_rows()))
+    path = scratch_path(spark, "warc")
+    warc.write_warc(made, path, warc.shard_of(warc.leaf_key(), 64), F.col("page_id"), F.col("url"))
+    got = warc.audit(warc.manifest(made), warc.read_warc(spark, path)).collect()
+    assert {r.status for r in got} == {"intact"} and len(got) == 64
+
+
+def foreign(kind, name, payload, extra=""):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\n{extra}content-length:  {len(payload)}"
+    return head.encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+
+
+def test_files_that_others_wrote(spark, tmp_path):
+    inner = foreign("metadata", "in", b"x" * 30) + foreign("metadata", "in2", b"")
+    parts = [
+        ("warcinfo", "a", b"software: x\r\n"),
+        ("response", "b", b"HTTP/1.1 200 OK\r\n\r\n<p>\xff\xfe\x00 raw"),
+        ("conversion", "c", b"see " + inner + inner + b"end"),
+        ("resource", "d", b""),
+        ("resource", "e", b"\r\n\r\n\r\nWARC/1.1 is a mark" * 3),
+        ("resource", "f", inner),
+    ]
+    whole = b"".join(foreign(*p, "WARC-Target-URI: http://t\r\n") for p in parts)
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "one.warc").write_bytes(whole)
+    (tmp_path / "plain" / "empty.warc").write_bytes(b"")
+    (tmp_path / "gz").mkdir()
+    members = [gzip.compress(foreign(*p, "WARC-Target-URI: http://t\r\n")) for p in parts]
+    (tmp_path / "gz" / "one.warc.gz").write_bytes(b"".join(members))
+    at = [whole.index(foreign(*p, "WARC-Target-URI: http://t\r\n")) for p in parts]
+    for folder in ("plain", "gz"):
+        df = warc.read_warc(spark, str(tmp_path / folder)).withColumn("record", F.col("record").cast("binary"))
+        rows = df.orderBy("offset").collect()
+        assert [(r.type, r.record_id, bytes(r.record).split(b"\r\n\r\n", 1)[1]) for r in rows] == [
+            (k, f"<urn:uuid:{n}>", b) for k, n, b in parts
+        ]
+        assert [r.offset for r in rows] == at and all(r.whole and r.url == "http://t" and r.page_id is None for r in rows)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        split = warc.read_warc(spark, str(tmp_path / "plain"))
+        assert [(r.record_id, r.offset) for r in split.orderBy("offset").collect()] == [(f"<urn:uuid:{p[1]}>", o) for p, o in zip(parts, at)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_hurt_files(spark, tmp_path):
+    parts = [foreign("resource", str(k), b"payload %d" % k) for k in range(6)]
+    hurt = [p for p in parts]
+    hurt[1] = hurt[1].replace(b"content-length:  9", b"content-length:  99999")
+    hurt[2] = hurt[2].replace(b"content-length", b"content-lexgth")
+    hurt[5] = hurt[5][:-8]
+    (tmp_path / "a.warc").write_bytes(b"junk before\r\n\r\n" + b"".join(hurt))
+    (tmp_path / "b.txt").write_bytes(b"no record at all")
+    rows = warc.read_warc(spark, str(tmp_path)).orderBy("offset").collect()
+    assert [(r.record_id[10:-1], r.whole) for r in rows] == [("0", True), ("1", False), ("3", True), ("4", True), ("5", False)]
+    assert rows[0].record.endswith("payload 0") and rows[4].record.endswith("payl")
+
+
 # queries and pipeline
 
 

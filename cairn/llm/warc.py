@@ -67,14 +67,21 @@ def records(pages: DataFrame) -> DataFrame:
 def write_warc(made: DataFrame, path: str, *order: Column) -> None:
     """Write the records as WARC files; a record's end mark is the writer's line separator.
 
-    With ``order`` the files follow it, each a range of it; rows alike in it spread over several files.
+    The files follow ``order``, which is the manifest's if none is given: each is a range of it, and rows
+    alike in it spread over several files.
     """
-    if order:
-        by = [c.alias(f"o{i}") for i, c in enumerate(order)]
-        names = [f"o{i}" for i in range(len(by))] + ["salt"]
-        made = made.select("record", *by, F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
-        made = made.repartitionByRange(*names).sortWithinPartitions(*names)
-    made.select("record").write.option("lineSep", END).text(path)
+    if not order:
+        order = shard_of(leaf_key(), made.select("page_id", "url").distinct().count()), F.col("page_id"), F.col("url")
+    names = [f"o{i}" for i in range(len(order))] + ["salt"]
+    by = [c.alias(n) for c, n in zip(order, names)]
+    (
+        made.select("record", *by, F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+        .repartitionByRange(*names)
+        .sortWithinPartitions(*names)
+        .select("record")
+        .write.option("lineSep", END)
+        .text(path)
+    )
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -163,7 +170,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     cut = chunks(spark, path).select("file", "block", "start", F.octet_length("value").cast("long").alias("size"), body.alias("value"))
     head = F.substring_index(F.col("value").cast("string"), END, 1)
     # the version's last digit opens a record's chunk
-    opens = head.rlike(r"\A[0-9]\r\n") & (F.octet_length(head) < F.octet_length("value"))
+    opens = head.rlike(r"\A[0-9]\r\n")
     length = F.expr("try_cast(n AS bigint)")
     found = (
         cut.select("file", "block", "start", "size", head.alias("h"), opens.alias("opens"))

@@ -107,8 +107,12 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     return split.mapInArrow(run, "file string, block bigint, start bigint, value binary")
 
 
-def starts(found: DataFrame) -> DataFrame:
-    """(file, block, start, at, piece): the record that a chunk belongs to, from lengths alone.
+def starts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where splits begin, and which chunks aren't a record of their own, from lengths alone.
+
+    The first table is (file, block, base); the second (file, block, start, at, piece) has the chunks of
+    records with the mark inside, and chunks of no record (null ``at``): usually none, so that payloads
+    stay where they were read.
 
     ``found`` has (file, block, start, size, prefix, head, stated): bytes of the chunk, of the version mark
     at its front (the first one of a file), of its head, and the stated length (null: no record).
@@ -116,13 +120,12 @@ def starts(found: DataFrame) -> DataFrame:
     found = cut_lineage(found)
     within = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut_lineage(found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MARK)).alias("bytes")))
-    bases = blocks.select("file", "block", F.coalesce(F.sum("bytes").over(within), F.lit(0)).alias("base"))
+    bases = cut_lineage(blocks.select("file", "block", F.coalesce(F.sum("bytes").over(within), F.lit(0)).alias("base")))
     ends = blocks.groupBy("file").agg((F.sum("bytes") - len(MARK)).alias("last"))
-    value = F.col("base") + F.col("start")
     placed = (
         found.join(bases, ["file", "block"])
-        .withColumn("at", F.when(value == 0, 0).otherwise(value - len(VERSION)).cast("long"))
-        .withColumn("stop", value + F.col("size"))
+        .withColumn("at", place())
+        .withColumn("stop", F.col("base") + F.col("start") + F.col("size"))
         .withColumn("end", F.col("at") + len(VERSION) + F.col("head") + len(END) + F.col("stated"))
     )
     placed = cut_lineage(placed.select("file", "block", "start", "at", "stop", "end"))
@@ -154,8 +157,16 @@ def starts(found: DataFrame) -> DataFrame:
             )
 
     ordered = sized.repartition("file").sortWithinPartitions("file", "at")
-    told = ordered.mapInArrow(run, "file string, block bigint, start bigint, at bigint, piece bigint")
-    return told.filter("at IS NOT NULL")
+    told = cut_lineage(ordered.mapInArrow(run, "file string, block bigint, start bigint, at bigint, piece bigint"))
+    several = told.filter("piece > 0").select("file", "at").distinct()
+    odd = told.filter("at IS NULL").union(told.join(several, ["file", "at"], "left_semi").select(told.columns))
+    return bases, cut_lineage(odd)
+
+
+def place() -> Column:
+    """Where the record of a chunk begins in its file."""
+    value = F.col("base") + F.col("start")
+    return F.when(value == 0, 0).otherwise(value - len(VERSION)).cast("long")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -177,19 +188,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("n", F.regexp_extract("h", r"(?i)\r\ncontent-length:[ \t]*([0-9]+)", 1))
         .select("file", "block", "start", "size", F.octet_length("h").cast("long").alias("head"), F.when(F.col("opens"), length).alias("stated"))
     )
-    told = cut_lineage(starts(found))
-    parts = cut.select("file", "block", "start", "value").join(told, ["file", "block", "start"])
-    single = parts.select("file", "at", "value")
-    several = told.filter("piece > 0").select("file", "at").distinct()
-    if not several.isEmpty():
+    bases, odd = starts(found)
+    parts = cut.select("file", "block", "start", "value")
+    placed = parts.join(bases, ["file", "block"])
+    single = placed.select("file", place().alias("at"), "value")
+    if not odd.isEmpty():
         # records with the mark inside their payload are put together again
         piece = F.when(F.col("piece") == 0, F.col("value")).otherwise(F.concat(F.lit(MARK).cast("binary"), F.col("value")))
         joined = F.aggregate("p", F.lit("").cast("binary"), lambda s, x: F.concat(s, x["v"]))
-        single = single.join(several, ["file", "at"], "left_anti").union(
-            parts.join(several, ["file", "at"], "left_semi")
-            .groupBy("file", "at")
-            .agg(F.array_sort(F.collect_list(F.struct("piece", piece.alias("v")))).alias("p"))
-            .select("file", "at", joined.alias("value"))
+        single = (
+            placed.join(odd, ["file", "block", "start"], "left_anti")
+            .select("file", place().alias("at"), "value")
+            .union(
+                parts.join(odd.filter("at IS NOT NULL"), ["file", "block", "start"])
+                .groupBy("file", "at")
+                .agg(F.array_sort(F.collect_list(F.struct("piece", piece.alias("v")))).alias("p"))
+                .select("file", "at", joined.alias("value"))
+            )
         )
 
     def field(name: str) -> Column:
@@ -307,7 +322,7 @@ def audit(listed: DataFrame, replica: DataFrame) -> DataFrame:
     manifest, of those that the replica has, ends in the replica.
     """
     last = listed.agg(F.max("ordinal")).first()[0]
-    height = 0
+    height = 1
     while last is not None and FANOUT**height <= last:
         height += 1
     names = {"digest": "found", "page_id": "id2", "url": "url2", "records": "records2", "length": "length2"}
@@ -343,7 +358,7 @@ def audit(listed: DataFrame, replica: DataFrame) -> DataFrame:
         return a.join(other, ["shard", "at"]).filter("digest <> other").select("shard", "at")
 
     bad = differing(ours[height], theirs[height])
-    for step in range(height - 1, -1, -1):
+    for step in range(height - 1, 0, -1):
         below = [
             level.withColumn("up", F.floor(F.col("at") / FANOUT))
             .join(bad.select("shard", F.col("at").alias("up")), ["shard", "up"], "left_semi")
@@ -351,7 +366,7 @@ def audit(listed: DataFrame, replica: DataFrame) -> DataFrame:
             for level in (ours[step], theirs[step])
         ]
         bad = differing(*below)
-    located = bad.select("shard", F.col("at").alias("ordinal"), F.lit(True).alias("bad"))
+    branch = bad.select("shard", F.col("at").alias("up"), F.lit(True).alias("inside"))
     status = (
         F.when(F.col("shard").isNull(), "extra")
         .when(F.col("bad") & F.col("found").isNull(), "missing")
@@ -359,7 +374,9 @@ def audit(listed: DataFrame, replica: DataFrame) -> DataFrame:
         .when(F.col("bad"), "moved")
         .otherwise("intact")
     )
-    return both.join(located, ["shard", "ordinal"], "left").select(
+    # the leaves of one row are compared below differing branches only
+    below = both.withColumn("up", F.floor(F.col("ordinal") / FANOUT)).join(branch, ["shard", "up"], "left")
+    return below.withColumn("bad", F.col("inside") & (F.col("ours") != F.col("theirs"))).select(
         F.coalesce("page_id", "id2").alias("page_id"),
         F.coalesce("url", "url2").alias("url"),
         "shard",

@@ -131,8 +131,12 @@ def mask_channels(mask: DataFrame, classes: Sequence[int], image: str = "ImageId
 
 
 def labelled_pixels(mask: DataFrame, pixels: DataFrame, image: str = "ImageId") -> DataFrame:
-    """Band values of masked pixels, labelled by class."""
-    return mask.join(pixels, [image, "y", "x"])
+    """Band values of masked pixels, labelled by class.
+
+    Either side may have far more rows than Spark's size estimate, which doesn't know how many rows an
+    ``explode`` makes: the join asks for a merge, so that neither side is collected and broadcast.
+    """
+    return mask.join(pixels.hint("merge"), [image, "y", "x"])
 
 
 def pixel_vectors(pixels: DataFrame, bands: int, image: str = "ImageId") -> DataFrame:

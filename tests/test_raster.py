@@ -130,3 +130,23 @@ def test_runs_merge_meet_and_count_as_pixels(spark):
     none = M.overlap(a.limit(0), b.limit(0), ["k"], ["k"])
     assert none.count() == 0 and M.area(a, ["k"]).first()["n"] == len(x)
     assert M.overlap(a, b.limit(0), ["k"], ["k"]).agg(F.sum("jaccard")).first()[0] == 0
+
+
+def exploded(spark):
+    """A mask and pixels whose rows Spark's size estimate doesn't know."""
+    runs = spark.createDataFrame([("a", 1, 0, 2, 5), ("a", 2, 1, 0, 1)], "ImageId string, ClassType int, y int, x0 int, x1 int")
+    lines = spark.range(4).selectExpr("'a' AS ImageId", "CAST(id AS int) AS y")
+    cells = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return M.pixels(runs), cells.withColumn("value", F.col("y") * 10 + F.col("x"))
+
+
+def merge_only(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_labelled_pixels_broadcast_no_side(spark):
+    got = G.labelled_pixels(*exploded(spark))
+    assert merge_only(got)
+    want = {(1, 0, x, x) for x in range(2, 6)} | {(2, 1, x, 10 + x) for x in range(2)}
+    assert {(r.ClassType, r.y, r.x, r.value) for r in got.collect()} == want

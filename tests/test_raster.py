@@ -150,3 +150,12 @@ def test_labelled_pixels_broadcast_no_side(spark):
     assert merge_only(got)
     want = {(1, 0, x, x) for x in range(2, 6)} | {(2, 1, x, 10 + x) for x in range(2)}
     assert {(r.ClassType, r.y, r.x, r.value) for r in got.collect()} == want
+
+
+def test_vectors_under_a_mask_broadcast_no_side(spark):
+    mask, values = exploded(spark)
+    bands = values.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    got = G.labelled_pixels(mask, G.pixel_vectors(bands.withColumn("value", F.col("value") + F.col("band")), 2))
+    assert merge_only(got)
+    want = {(1, x, (x, x + 1)) for x in range(2, 6)} | {(2, x, (10 + x, 11 + x)) for x in range(2)}
+    assert {(r.ClassType, r.x, tuple(r.bands)) for r in got.collect()} == want

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 TRAIN_END = "2000-01-01"
 RASTER = 41  # rows and columns of every stand-in image
 BANDS = 8
+PIXEL_ROWS = 2_000_000  # of a task, about
 MODELS = ("m1", "m2", "m3", "m4")
 PROB_MODELS = ("m1", "m2", "m3")
 CLASSES = (1, 2, 3, 4, 5)
@@ -158,9 +159,11 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.sequence(F.lit(0), F.lit(RASTER - 1))
-    lines = images(spark, sf_dir).select("ImageId", "total").withColumn("y", F.explode(side))
+    some = images(spark, sf_dir)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-some.count() * RASTER * RASTER * BANDS // PIXEL_ROWS))
+    lines = some.select("ImageId", "total").withColumn("y", F.explode(side))
     return (
-        lines.repartition(spark.sparkContext.defaultParallelism, "ImageId")
+        lines.repartition(tasks, "ImageId")
         .withColumn("x", F.explode(side))
         .withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
         .withColumn(

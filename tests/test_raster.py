@@ -159,3 +159,15 @@ def test_vectors_under_a_mask_broadcast_no_side(spark):
     assert merge_only(got)
     want = {(1, x, (x, x + 1)) for x in range(2, 6)} | {(2, x, (10 + x, 11 + x)) for x in range(2)}
     assert {(r.ClassType, r.x, tuple(r.bands)) for r in got.collect()} == want
+
+
+def test_pixel_tasks_grow_with_the_images(spark, tmp_path, monkeypatch):
+    from cairn.plans import views as V
+
+    parts = spark.range(1200).selectExpr("id AS p_partkey", "CAST(id % 50 AS int) AS p_size")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    rows = 36 * V.RASTER * V.RASTER * V.BANDS
+    assert V.pixels(spark, str(tmp_path)).count() == rows
+    monkeypatch.setattr(V, "PIXEL_ROWS", rows // 24)
+    pixels = V.pixels(spark, str(tmp_path))
+    assert pixels.rdd.getNumPartitions() == 24 and pixels.count() == rows

@@ -93,6 +93,10 @@ def encode_basket(lines: DataFrame, codes: DataFrame | None = None) -> DataFrame
 
 
 def build_basket_features(lines: DataFrame) -> DataFrame:
-    """Per-visit profile and ratios from item lines: one aggregate over the encoded lines."""
+    """Per-visit profile and ratios from item lines: one aggregate over the encoded lines.
+
+    The lines are written once: codes, means and profile read them back and repeat no join behind them.
+    """
+    lines = cut_lineage(lines)
     codes = cut_lineage(category_codes(lines, "DepartmentDescription"))  # their number comes from the file footers
     return add_basket_ratios(visit_profile(encode_basket(lines, codes), codes={"Department": codes.count()}))

@@ -437,8 +437,8 @@ def scale_minmax(spark, d):
 def pca_project(spark, d):
     """Ten components of the scaled basket features."""
     cols = ["FinelineNumber", "Upc", "Department", "ScanCount", "Count", "WeekdayNumber", *X.BASKET_RATIOS]
-    table = X.build_basket_features(V.basket(spark, d)).select("VisitNumber", *cols)
-    scaled = cut_lineage(clean.fill_null(E.scale_minmax(table, cols), 0.0))
+    table = cut_lineage(X.build_basket_features(V.basket(spark, d)).select("VisitNumber", *cols))
+    scaled = clean.fill_null(E.scale_minmax(table, cols), 0.0)
     return E.pca_project(scaled, cols, 10).select("VisitNumber", "pca")
 
 

@@ -115,3 +115,17 @@ def test_set_equality(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "x int") for xs in ([1, 2, 2], [2, 1]))
     assert S.same_set(a, b).first()["equal"] is True
     assert S.same_set(a, b.filter("x = 1")).first()["only_left"] == 1
+
+
+def test_basket_lines_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+
+    rows = [(v, 7 * v + k, k + 1, "DAIRY" if k else "MEAT", k, "Monday", 1) for v in range(5) for k in range(4)]
+    lines = spark.createDataFrame(
+        rows, "VisitNumber long, Upc long, ScanCount int, DepartmentDescription string, FinelineNumber int, Weekday string, TripType int"
+    ).withColumn("Upc", F.udf(count, "long")("Upc"))
+    assert len(X.build_basket_features(lines).collect()) == 5 and seen.value == len(rows)

@@ -12,9 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.operators.joins import attach, join_dimension
+from cairn.operators.ordering import fit_row
 from cairn.operators.runs import merged, pixels
 from cairn.operators.selection import group_stats
 
+#: Crossings of edges and raster rows that a task sorts, about.
+CROSSINGS = 1_000_000
+
 RING = r"\(([^()]+)\)"
 
 
@@ -85,11 +89,13 @@ def edge_rows(edges: DataFrame, height: int) -> DataFrame:
     )
 
 
-def fill_polygons(crossings: DataFrame, width: int, keys: Sequence[str], poly: Sequence[str]) -> DataFrame:
+def fill_polygons(
+    crossings: DataFrame, width: int, keys: Sequence[str], poly: Sequence[str], tasks: int | None = None
+) -> DataFrame:
     """Runs of covered pixels ``(*keys, y, x0, x1)``: sorted crossings of a polygon and row pair up into spans.
 
     The unit of work is one raster row of one polygon, however many vertices the polygon has. Spans of
-    one key and row are merged where they overlap or adjoin.
+    one key and row are merged where they overlap or adjoin, in ``tasks`` tasks if given.
     """
     ordered = crossings.groupBy(*keys, *poly, F.col("line").alias("y")).agg(
         F.array_sort(F.collect_list("at_x")).alias("_at")
@@ -102,16 +108,23 @@ def fill_polygons(crossings: DataFrame, width: int, keys: Sequence[str], poly: S
         ),
     )
     spans = ordered.filter(F.size("_at") > 1).select(*keys, "y", F.inline(pairs)).filter("x0 <= x1")
-    return merged(spans, keys)
+    return merged(spans.repartition(tasks, *keys, "y") if tasks else spans, keys)
 
 
 def polygon_runs(
     polygons: DataFrame, grid: DataFrame, height: int, width: int, keys: Sequence[str] = ("ImageId", "ClassType")
 ) -> DataFrame:
-    """Mask of every image and class as runs, holes cut out of their own polygon."""
-    rings = to_raster(wkt_rings(polygons), grid, height, width)
+    """Mask of every image and class as runs, holes cut out of their own polygon.
+
+    Rings are short and make many crossings, which Spark's sizes don't tell: they are spread over tasks
+    by the crossings that polygons of their number and length of text make.
+    """
+    size = fit_row(polygons, {"n": F.count("*"), "chars": F.sum(F.length("MultipolygonWKT"))})
+    tasks = -(-(size["n"] * 2 * height + (size["chars"] or 0) // 8) // CROSSINGS)
+    tasks = max(tasks, polygons.sparkSession.sparkContext.defaultParallelism)
+    rings = to_raster(wkt_rings(polygons), grid, height, width).repartition(tasks, *keys, "PolyId")
     crossings = edge_rows(ring_edges(rings), height)
-    return fill_polygons(crossings, width, list(keys), ["PolyId", "poly"])
+    return fill_polygons(crossings, width, list(keys), ["PolyId", "poly"], tasks)
 
 
 def polygon_mask(

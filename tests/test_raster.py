@@ -161,6 +161,19 @@ def test_vectors_under_a_mask_broadcast_no_side(spark):
     assert {(r.ClassType, r.x, tuple(r.bands)) for r in got.collect()} == want
 
 
+def test_rings_spread_by_the_crossings_they_make(spark, monkeypatch):
+    rows = [(i, "a", i % 2, wkt([[SQUARE, HOLE], [CONCAVE]])) for i in range(30)]
+    polygons = spark.createDataFrame(rows, "PolyId int, ImageId string, ClassType int, MultipolygonWKT string")
+    scale = 20 / 21.0
+    grid = spark.createDataFrame([("a", 20 * scale, 20 * scale)], "ImageId string, Xmax double, Ymin double")
+    want = sorted(map(str, G.polygon_runs(polygons, grid, 20, 20).collect()))
+    monkeypatch.setattr(G, "CROSSINGS", 10)
+    many = G.polygon_runs(polygons, grid, 20, 20)
+    tasks = -(-(30 * 40 + sum(len(r[3]) for r in rows) // 8) // 10)
+    assert "PolyId#" in (plan := many._jdf.queryExecution().executedPlan().toString()) and f", {tasks})" in plan
+    assert sorted(map(str, many.collect())) == want
+
+
 def test_pixel_tasks_grow_with_the_images(spark, tmp_path, monkeypatch):
     from cairn.plans import views as V
 

@@ -277,5 +277,5 @@ def model_save_load_score(spark, d):
     path = scratch_path(spark, "model")
     with L.cached(coded) as (rows,):
         pipeline.fit(rows).write().overwrite().save(path)
-    scored = PipelineModel.load(path).transform(coded)
-    return scored.select("VisitNumber", F.col("prediction").cast("int").alias("prediction"))
+        scored = PipelineModel.load(path).transform(rows)
+        return cut_lineage(scored.select("VisitNumber", F.col("prediction").cast("int").alias("prediction")))

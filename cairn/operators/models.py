@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from math import log
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -22,6 +23,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
@@ -348,6 +350,28 @@ def seed_average(
     return runs.groupBy(key).agg(F.avg("value").alias("value"))
 
 
+def cross_validate(
+    estimator: Estimator, grid: Sequence[dict], score: Evaluator, rows: DataFrame, folds: int, fold: str = "fold", parallelism: int = 1
+) -> tuple[list[float], list[float]]:
+    """Mean and deviation over the folds of each setting's score on the fold that its fit doesn't see.
+
+    Fits read the cached rows through a filter: no copy of a fold is held, and no model of all rows is fitted.
+    """
+    found = {r[0] for r in rows.select(fold).distinct().collect()}
+    if found != set(range(folds)):
+        raise ValueError(f"folds 0 to {folds - 1} need rows, found {sorted(found, key=str)}")
+
+    def one(task: tuple[int, dict]) -> float:
+        k, params = task
+        model = estimator.fit(rows.filter(F.col(fold) != k), params)
+        return float(score.evaluate(model.transform(rows.filter(F.col(fold) == k), params)))
+
+    tasks = [(k, m) for k in range(folds) for m in grid]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        scores = np.reshape(pool.map(inheritable_thread_target(rows.sparkSession)(one), tasks, chunksize=1), (folds, len(grid)))
+    return scores.mean(axis=0).tolist(), scores.std(axis=0).tolist()
+
+
 def repeated_holdout(
     make: Callable[[], Estimator], df: DataFrame, key: str, rounds: int = 10, fraction: float = 0.25, seed: int = 43
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from cairn.operators import encode as E, features as X, models as L, raster as G
@@ -186,14 +186,11 @@ def grid_search(spark, d):
     )
     folds = split_kfold(basket_rows(spark, d), "VisitNumber", 3)
     score = MulticlassClassificationEvaluator(metricName="logLoss", weightCol="weight")
-    search = CrossValidator(
-        estimator=forest, estimatorParamMaps=grid, evaluator=score, numFolds=3, foldCol="fold", parallelism=4
-    )
     with L.cached(folds) as (rows,):
-        fitted = search.fit(rows)
+        means, _ = L.cross_validate(forest, grid, score, rows, 3, parallelism=4)
     named = [
-        (int(m[forest.numTrees]), int(m[forest.minInstancesPerNode]), m[forest.featureSubsetStrategy], float(v))
-        for m, v in zip(grid, fitted.avgMetrics)
+        (int(m[forest.numTrees]), int(m[forest.minInstancesPerNode]), m[forest.featureSubsetStrategy], v)
+        for m, v in zip(grid, means)
     ]
     best = min(v for *_, v in named)
     return spark.createDataFrame(
@@ -207,19 +204,10 @@ def cross_val_score(spark, d):
     """Mean and deviation of the accuracy over ten contiguous folds."""
     rows = basket_rows(spark, d)
     model = L.logistic(rows.count(), iterations=5)
-    check = CrossValidator(
-        estimator=model,
-        estimatorParamMaps=[{}],
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=10,
-        foldCol="fold",
-        parallelism=4,
-    )
+    score = MulticlassClassificationEvaluator(metricName="accuracy")
     with L.cached(split_kfold(rows, "VisitNumber", 10)) as (folds,):
-        fitted = check.fit(folds)
-    return spark.createDataFrame(
-        [(10, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))], "folds int, mean double, std double"
-    )
+        (mean,), (std,) = L.cross_validate(model, [{}], score, folds, 10)
+    return spark.createDataFrame([(10, mean, std)], "folds int, mean double, std double")
 
 
 @query("repeated_holdout_report")

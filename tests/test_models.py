@@ -210,3 +210,21 @@ def test_neighbours_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 50" in done.stdout, done.stderr[-2000:]
+
+
+def test_cross_validation_equals_the_estimator_of_spark(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rows = spark.createDataFrame(
+        [(float(i % 2), Vectors.dense(i % 2 + (i % 7) / 5.0, i % 3), i % 3) for i in range(60)], ["label", "features", "fold"]
+    ).coalesce(1)
+    model = L.logistic(60, weighted=False)
+    grid = ParamGridBuilder().addGrid(model.regParam, [0.01, 1.0]).build()
+    score = MulticlassClassificationEvaluator(metricName="logLoss")
+    want = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=score, numFolds=3, foldCol="fold").fit(rows)
+    means, deviations = L.cross_validate(model, grid, score, rows, 3, parallelism=2)
+    assert means == pytest.approx(want.avgMetrics) and deviations == pytest.approx(want.stdMetrics)
+    with pytest.raises(ValueError, match="folds 0 to 3"):
+        L.cross_validate(model, grid, score, rows, 4)

@@ -197,7 +197,7 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     grouped = fps.join(components(star, "a", "b"), F.col("fp") == F.col("node"), "left").select(
         "fp", F.coalesce("root", "fp").alias("root")
     )
-    keys = keyed(cut_lineage(grouped), "root")
+    keys = keyed(cut_lineage(grouped), "root").repartition("key")  # both sides of the join read one shuffle
     one = keys.select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     two = keys.select(F.col("key").alias("other"), F.col("fp").alias("b"), F.col("root").alias("rb"))
     rest = one.join(
@@ -278,7 +278,7 @@ def _common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _texts(docs: DataFrame, size: int, least: float) -> DataFrame:
-    """The different texts of (doc_id, text): node, first id, hash, number of shingles, first ones, parity, signature.
+    """The different texts of (doc_id, text): node, first id, hash, number of shingles, first ones, parity, signature, fp.
 
     The first shingles are the rarest by the sample, ties by hash. A signature is the number and more parity bits.
     """
@@ -287,9 +287,10 @@ def _texts(docs: DataFrame, size: int, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count = sent.value
         for batch in batches:
-            sizes, firsts, bits, signatures = [], [], [], []
+            sizes, firsts, bits, signatures, fps = [], [], [], [], []
             for t in batch.column(3):
                 one = shingle_set(t.as_py(), size)
+                fps.append(simhash(shingle_hashes(t.as_py(), 4)))
                 bits.append(parity(one))
                 signatures.append(np.r_[len(one), parity(one, SIGNATURE_LONGS)].tobytes())
                 one = one if len(one) else np.zeros(1, np.uint64)
@@ -303,8 +304,8 @@ def _texts(docs: DataFrame, size: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
                 + [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITY_LONGS)]
-                + [pa.array(signatures, pa.binary())],
-                names=["doc_id", "tkey", "tid", "n", "firsts", *BITS, "signature"],
+                + [pa.array(signatures, pa.binary()), pa.array(fps, pa.int64())],
+                names=["doc_id", "tkey", "tid", "n", "firsts", *BITS, "signature", "fp"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -317,10 +318,10 @@ def _texts(docs: DataFrame, size: int, least: float) -> DataFrame:
         run,
         f"doc_id {kind}, tkey bigint, tid binary, n int, firsts array<bigint>, "
         + "".join(f"{b} bigint, " for b in BITS)
-        + "signature binary",
+        + "signature binary, fp bigint",
     )
     found = each.groupBy("tid").agg(
-        F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("tkey", "n", "firsts", *BITS, "signature")]
+        F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("tkey", "n", "firsts", *BITS, "signature", "fp")]
     )
     return cut_lineage(found.withColumn("node", F.monotonically_increasing_id()).drop("tid"))
 
@@ -348,6 +349,16 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
+def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): texts whose fingerprints link by their Golay keys, and each text with the first of its fingerprint."""
+    fps = cut_lineage(texts.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
+    near = links(fps.select("fp", "copies"))
+    same = texts.select("fp", "node").join(fps, "fp").filter(F.col("node") != F.col("rep"))
+    ends = [fps.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in ("a", "b")]
+    met = near.join(ends[0], "a").join(ends[1], "b")
+    return met.select(*_ordered("rep_a", "rep_b")).union(same.select(*_ordered("node", "rep")))
+
+
 def _star_pairs(shared: DataFrame, least: float) -> DataFrame:
     """(a, b): each text with two texts of each of its shingles, those of smallest and largest hash."""
     whole = F.struct(F.xxhash64("node", "token").alias("rank"), "node", "pos", "n", *BITS)
@@ -461,14 +472,17 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     """(node, first, tkey, root) of the different texts of (doc_id, text).
 
     Texts link if their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more,
-    compared exactly; the groups are those that a comparison of all pairs gives. Two such sets share
-    one of their first shingles in any fixed order, here the rarest first. Stars over shared first
-    shingles join dense groups; then every pair across the groups that shares a first shingle is
-    compared, unless its positions, parity bits or signatures rule the similarity out.
+    compared exactly; the groups are those that a comparison of all pairs gives. SimHash fingerprints
+    within four bits, found by their Golay keys as in :func:`links`, name the first pairs. They miss pairs
+    near ``least``: two similar sets share one of their first shingles in any fixed order, here the rarest
+    first. Stars over shared first shingles join dense groups with them; then every pair across the groups
+    that shares a first shingle is compared, unless its positions, parity bits or signatures rule the
+    similarity out.
     """
     texts = _texts(docs, size, least)
     shared = _shared(texts)
-    stars = cut_lineage(_possible(_star_pairs(shared, least), texts, least))
+    named = _fingerprint_pairs(texts).union(_star_pairs(shared, least)).distinct()
+    stars = cut_lineage(_possible(named, texts, least))
     linked = cut_lineage(_similar(stars, _sets(docs, texts, stars, size), least))
     crossing = cut_lineage(_cross_pairs(shared, components(linked, "a", "b"), least))
     rest = cut_lineage(_possible(crossing, texts, least))

@@ -677,3 +677,22 @@ def test_contexts_of_odd_rows_equal_the_dictionaries(spark):
     rows += [(100 + k, f"x=+49 170 555{k:04} y: 0170 555 1{k:04}," + " a@b.de" * k) for k in range(12)]
     got = by_id(pii.find_personal_data(docs(spark, rows)))
     assert [re.findall(r"ctx_\w+:\d+:\d+", got[i].spans) for i, _ in rows] == list(contexts_by_hand(rows).values())
+
+
+def test_near_copies_are_first_named_by_fingerprints(spark):
+    """Pairs for the exact comparison come from fingerprints within four bits, found by Golay keys."""
+    rows = [(i, t) for i, t in odd_rows(3)[:20] if len(t.split()) > 60]
+    near = [(1000 + i, f"{t} end") for i, t in rows]
+    texts = simhash._texts(docs(spark, rows + near), 5, 0.8)
+    known = {r.node: (r.first, r.fp % (1 << 64)) for r in texts.collect()}
+    text = dict(rows + near)
+    for i, fp in known.values():
+        assert fp == simhash.simhash(simhash.shingle_hashes(text[i].encode(), 4)) % (1 << 64)
+    got = {(r.a, r.b) for r in simhash._fingerprint_pairs(texts).collect()}
+    assert got and all(a > b and (known[a][1] ^ known[b][1]).bit_count() <= 4 for a, b in got)
+    root = {n: n for n in known}
+    for a, b in got:
+        root = {n: root[b] if r == root[a] else r for n, r in root.items()}
+    assert all(
+        root[a] == root[b] for a in known for b in known if (known[a][1] ^ known[b][1]).bit_count() <= 4
+    )

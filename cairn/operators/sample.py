@@ -89,6 +89,8 @@ def draw_with_replacement(df: DataFrame, label: str, key: str, draws: int, seed:
 
     A draw is a rank in the order of the rows' hashes. Rows are counted by slices of the hash, about ``SLOTS`` a draw;
     running counts tell the slice of each draw, and only rows of such slices are numbered, inside their slice.
+    Spark may take those rows for far fewer than they are (after an ``explode``), so they meet the draws by a merge and
+    are never collected and broadcast.
     """
     slots = 1 << (draws * SLOTS - 1).bit_length()
     scored = df.withColumn("_h", hash_unit(key, seed)).withColumn("_slot", F.floor(F.col("_h") * slots).cast("int"))
@@ -119,7 +121,7 @@ def draw_with_replacement(df: DataFrame, label: str, key: str, draws: int, seed:
     inside = W.partitionBy(label, "_slot").orderBy("_h", key)
     near = scored.join(hit, met([label, "_slot"]), "left_semi").withColumn("_at", F.row_number().over(inside) - 1)
     group = [label, "_slot", "_at"]
-    return near.join(keyed_as(placed, group), met(group)).select(*df.columns, "draw")
+    return near.hint("merge").join(keyed_as(placed, group), met(group)).select(*df.columns, "draw")
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -147,6 +147,17 @@ def test_folds_partition_the_rows(skewed):
     assert sum(sizes) == len(rows) and sizes[-1] - sizes[0] <= 1 and len(got) == 7
 
 
+def test_draws_from_exploded_rows_are_not_broadcast(spark):
+    """Spark's estimate of 40,000 rows made by an ``explode`` is smaller than that of the draws."""
+    df = spark.range(4).selectExpr("CAST(id % 2 AS int) AS key", "explode(sequence(id * 10000, id * 10000 + 9999)) AS id")
+    out = M.draw_with_replacement(df, "key", "id", 500, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BuildLeft" not in plan
+    rows = out.collect()
+    assert sorted((r["key"], r["draw"]) for r in rows) == [(k, i) for k in (0, 1) for i in range(500)]
+    assert all(r["id"] // 10000 % 2 == r["key"] for r in rows)
+
+
 def test_draw_with_replacement_sizes(skewed):
     rows, df = skewed
     got = {r["key"]: r["count"] for r in M.draw_with_replacement(df, "key", "id", 100, 2).groupBy("key").count().collect()}

@@ -2,9 +2,11 @@
 
 Training rows go to the nearest of a few pivots. The distances of a cell's rows to its pivot bound, by
 the triangle inequality, how near they can be to a query, so a query visits only the cells that can hold
-one of its neighbours. Large cells are cut by that distance into slices, of which a query again visits only
+one of its neighbours. How near its neighbours are at most, a query learns first from the cell it lies in.
+Large cells are cut by that distance into slices, of which a query again visits only
 those that can matter, and large slices into chunks of bounded size: a hot cell becomes many small groups,
-each of which returns at most ``k`` rows per query. The pivots grow with the root of the training rows; they lie in
+each of which returns at most ``k`` rows per query. Inside a group the rows lie in small blocks with boxes around them,
+and a query is compared with the rows of those blocks only that its bound reaches, so the cells may grow. The pivots grow with the root of the training rows; they lie in
 cells of their own around a root of them, and the same inequality leads a row to the few cells of pivots that matter.
 """
 
@@ -23,6 +25,8 @@ TRAIN_CHUNK = 20_000  # training rows per group
 QUERY_CHUNK = 5_000  # queries per group
 SLICES = 64  # radius slices of a cell; larger cells are also split by hash
 BLOCK = 4_000_000  # distances held at once inside a task
+LEAF = 32  # rows of a block inside a group, at least k
+SLACK = 1e-12  # of a distance, for its rounding
 
 
 def _matrix(pdf: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
@@ -97,17 +101,35 @@ def pivot_count(rows: int) -> int:
 
 
 def reachable(
-    x: np.ndarray, k: int, centres: np.ndarray, members: list[np.ndarray], pivots: np.ndarray, far: np.ndarray, near: list
+    x: np.ndarray, k: int, centres: np.ndarray, members: list[np.ndarray], pivots: np.ndarray, far: np.ndarray, near: list,
+    known: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, cells, bounds, distances to the pivots) of the cells that can hold one of the ``k`` nearest of a row.
 
     ``members`` are the cells of pivots, ``far`` and ``near`` the greatest and the least radii of each cell.
-    The bound is the k-th least way over a pivot to one of its near rows, by the nearest cells of pivots that hold enough.
+    The bound is ``known`` where that is finite, else the k-th least way over a pivot to one of its near rows, by the
+    nearest cells of pivots that hold enough.
     """
     to_centre = np.sqrt(_squared(x, centres))
-    held = np.array([sum(len(near[c]) for c in m) for m in members])
     # How far a row of such a cell can lie from the centre.
     wide = np.array([(np.sqrt(_squared(pivots[m], centres[g : g + 1]))[:, 0] + far[m]).max() for g, m in enumerate(members)])
+    bound = np.full(len(x), np.inf) if known is None else known.copy()
+    open_ = np.flatnonzero(~np.isfinite(bound))
+    if len(open_):
+        bound[open_] = way_bounds(x[open_], to_centre[open_], k, members, pivots, near)
+    for g, m in enumerate(members):
+        asks = np.flatnonzero(to_centre[:, g] - wide[g] <= bound + SLACK * (to_centre[:, g] + wide[g]))
+        if len(asks):
+            d = np.sqrt(_squared(x[asks], pivots[m]))
+            q, c = np.nonzero(d - far[m] <= bound[asks, None] + SLACK * (d + far[m]))
+            yield asks[q], m[c], bound[asks[q]] + SLACK * d[q, c], d[q, c]
+
+
+def way_bounds(
+    x: np.ndarray, to_centre: np.ndarray, k: int, members: list[np.ndarray], pivots: np.ndarray, near: list
+) -> np.ndarray:
+    """How far the ``k``-th nearest row of each query can be, by the ways over pivots to their near rows."""
+    held = np.array([sum(len(near[c]) for c in m) for m in members])
     order = np.argsort(to_centre, axis=1)
     enough = (np.cumsum(held[order], axis=1) < k).sum(axis=1) + 1  # cells of pivots that hold k rows
     places = np.argsort(order, axis=1)
@@ -128,18 +150,16 @@ def reachable(
     last = np.searchsorted(row, np.arange(len(x)), "right")
     full = last - first >= k
     bound[full] = ways[first[full] + k - 1, 1] * (1 + 1e-9) + 1e-9
-    for g, m in enumerate(members):
-        asks = np.flatnonzero(to_centre[:, g] - wide[g] <= bound)
-        if len(asks):
-            d = np.sqrt(_squared(x[asks], pivots[m]))
-            q, c = np.nonzero(d - far[m] <= bound[asks, None])
-            yield asks[q], m[c], bound[asks[q]], d[q, c]
+    return bound
 
 
 def visit_plan(
-    queries: DataFrame, features: Sequence[str], pivots: np.ndarray, summary: list, k: int
+    queries: DataFrame, features: Sequence[str], pivots: np.ndarray, summary: list, k: int, known: str | None = None
 ) -> DataFrame:
-    """One row per query and cell that can hold one of its ``k`` nearest rows."""
+    """One row per query and cell that can hold one of its ``k`` nearest rows.
+
+    The column ``known``, if named, holds how far they can be, infinite where that isn't known.
+    """
     cells = np.array([r["cell"] for r in summary])
     far = np.array([r["far"] for r in summary])
     near = [np.asarray(r["near"]) for r in summary]
@@ -153,11 +173,12 @@ def visit_plan(
         step = max(1, BLOCK // widest)
         for whole in parts:
             for start in range(0, len(whole), step):
-                pdf = whole.iloc[start : start + step]
-                for q, c, bound, d in reachable(_matrix(pdf, features), k, centres, members, own, far, near):
+                pdf = whole.iloc[start : start + step].copy()
+                limit = pdf.pop(known).to_numpy(dtype="float64") if known else None
+                for q, c, bound, d in reachable(_matrix(pdf, features), k, centres, members, own, far, near, limit):
                     yield pdf.iloc[q].assign(cell=cells[c].astype("int32"), bound=bound, to_pivot=d)
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes)
+    fields = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes if n != known)
     return queries.mapInPandas(plan, f"{fields}, cell int, bound double, to_pivot double")
 
 
@@ -219,6 +240,93 @@ def slice_visits(visits: DataFrame, cuts: dict[int, tuple[np.ndarray, int]]) ->
     return visits.mapInPandas(place, f"{fields}, slice int")
 
 
+def box_blocks(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in blocks of at most ``size`` rows that lie together: halves along the widest column."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        part = x[rows]
+        wide = (part.max(axis=0) - part.min(axis=0)).argmax()
+        half = -(-len(rows) // (2 * size)) * size
+        order = np.argpartition(part[:, wide], half - 1 if half < len(rows) else 0)
+        cut = half if half < len(rows) else len(rows) // 2
+        todo += [rows[order[:cut]], rows[order[cut:]]]
+    return out
+
+
+def first_of_places(x: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of the first ``k`` rows of each place, ascending: no later row of a place can be among the nearest."""
+    order = np.lexsort(x.T)  # stable: rows of one place stay in their order
+    moved = np.ones(len(x), bool)
+    moved[1:] = (x[order[1:]] != x[order[:-1]]).any(axis=1)
+    start = np.maximum.accumulate(np.where(moved, np.arange(len(x)), 0))
+    return np.sort(order[np.arange(len(x)) - start < k])
+
+
+class Blocks:
+    """Rows of one group, in order of preference, in blocks with boxes around them."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.k = k
+        kept = first_of_places(x, k)
+        x = x[kept]
+        size = max(LEAF, k)
+        blocks = box_blocks(x, size)
+        self.low = np.array([x[b].min(axis=0) for b in blocks])
+        self.high = np.array([x[b].max(axis=0) for b in blocks])
+        self.x = np.full((len(blocks), size, x.shape[1]), np.inf)  # places without a row are infinitely far
+        self.row = np.zeros((len(blocks), size), int)
+        for n, b in enumerate(blocks):
+            self.x[n, : len(b)], self.row[n, : len(b)] = x[b], kept[b]
+
+    def _to_boxes(self, q: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(q), len(self.low)))
+        for j in range(q.shape[1]):
+            at = q[:, j, None]
+            total += np.maximum(np.maximum(self.low[None, :, j] - at, at - self.high[None, :, j]), 0.0) ** 2
+        return total
+
+    def _to_rows(self, q: np.ndarray, block: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(q), self.x.shape[1]))
+        for j in range(q.shape[1]):
+            total += (q[:, j, None] - self.x[block, :, j]) ** 2
+        return total
+
+    def search(self, q: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, squared distance) of up to ``k`` nearest rows of each query within ``limit``, nearest first."""
+        step = max(1, BLOCK // max(len(self.low), self.x.shape[1]))
+        for start in range(0, len(q), step):
+            part, most = q[start : start + step], limit[start : start + step] ** 2
+            boxes = self._to_boxes(part)
+            near = self._to_rows(part, boxes.argmin(axis=1))
+            most = np.minimum(most, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
+            hit = boxes <= most[:, None] * (1 + 1e-9)
+            ends = np.cumsum(hit.sum(axis=1)) * self.x.shape[1]
+            first = 0
+            while first < len(part):
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+                at, block = np.nonzero(hit[first:last])
+                at += first
+                d2 = self._to_rows(part[at], block)
+                pair, slot = np.nonzero((d2 <= most[at, None]) & np.isfinite(d2))
+                asks, rows, d2 = at[pair], self.row[block[pair], slot], d2[pair, slot]
+                order = np.lexsort((rows, d2, asks))
+                asks, rows, d2 = asks[order], rows[order], d2[order]
+                nth = np.arange(len(asks)) - np.searchsorted(asks, asks)
+                kept = nth < self.k
+                yield asks[kept] + start, rows[kept], d2[kept]
+                first = last
+
+
+def _ranked(have: pd.DataFrame, key: str, target: str) -> pd.DataFrame:
+    """Smaller keys first, so that the order of rows breaks ties."""
+    return have.sort_values([key, target], kind="stable")
+
+
 def nearest(
     train: DataFrame,
     queries: DataFrame,
@@ -244,14 +352,10 @@ def nearest(
     cells = cut_lineage(assign_cells(train, features, centres))
     summary = cell_summary(cells, key, k)
     cuts = radius_cuts(cells, summary)
-    visits = cut_lineage(slice_visits(visit_plan(queries, features, centres, summary, k), cuts))
-    sizes = visits.groupBy("cell", "slice").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("groups"))
-    if cuts:
-        parts = cells.sparkSession.createDataFrame([(int(c), int(n)) for c, (_, n) in cuts.items()], "cell int, parts int")
-        sizes = sizes.join(parts, "cell", "left")
-    else:
-        sizes = sizes.withColumn("parts", F.lit(1))
-    sizes = cut_lineage(sizes.withColumn("parts", F.coalesce("parts", F.lit(1))))
+    names = list(features)
+    at = ["cell", "slice"]
+    by = [*at, "chunk", "qchunk"]
+    rows = slice_rows(cells, cuts)
 
     def part(count: str):
         return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
@@ -259,40 +363,48 @@ def nearest(
     def each(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    at = ["cell", "slice"]
-    left = slice_rows(cells, cuts).join(sizes, at)
-    left = left.withColumn("chunk", part("parts")).withColumn("qchunk", each("groups")).drop("parts", "groups")
-    right = visits.join(sizes, at).withColumn("qchunk", part("groups")).withColumn("chunk", each("parts"))
-    right = right.drop("parts", "groups")
-    by = [*at, "chunk", "qchunk"]
-    names = list(features)
+    def meet(visits: DataFrame, whole: bool):
+        """Rows and visits in groups of bounded size; a visit meets all chunks of its slice, or one of them."""
+        sizes = visits.groupBy(*at).agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("groups"))
+        if cuts:
+            parts = cells.sparkSession.createDataFrame([(int(c), int(n)) for c, (_, n) in cuts.items()], "cell int, parts int")
+            sizes = sizes.join(parts, "cell", "left")
+        else:
+            sizes = sizes.withColumn("parts", F.lit(1))
+        sizes = cut_lineage(sizes.withColumn("parts", F.coalesce("parts", F.lit(1))))
+        left = rows.join(sizes, at)
+        left = left.withColumn("chunk", part("parts")).withColumn("qchunk", each("groups")).drop("parts", "groups")
+        right = visits.join(sizes, at).withColumn("qchunk", part("groups"))
+        right = right.withColumn("chunk", each("parts") if whole else part("parts")).drop("parts", "groups")
+        return left.groupBy(*by).cogroup(right.groupBy(*by))
+
+    asked = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes)
+
+    def reach(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        """Queries with the distance within which the group has ``k`` rows."""
+        bound = np.full(len(ask), np.inf)
+        if len(have) and len(ask):
+            blocks = Blocks(_matrix(have, names), k)
+            for q, _, d2 in blocks.search(_matrix(ask, names), bound):
+                last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
+                bound[q[last]] = np.sqrt(d2[last]) * (1 + 1e-9) + 1e-9
+        return ask[[key, *names]].assign(_bound=bound)
 
     def search(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(have) and len(ask):
-            x, ids, y = _matrix(have, names), have[key].to_numpy(), have[target].to_numpy(dtype="float64")
-            pivot_distance = have["radius"].to_numpy()
-            order = np.argsort(ids, kind="stable")  # smaller keys first, so a stable sort breaks ties by key
-            x, ids, y, pivot_distance = x[order], ids[order], y[order], pivot_distance[order]
-            step = max(1, BLOCK // len(x))
-            for start in range(0, len(ask), step):
-                block = ask.iloc[start : start + step]
-                d2 = _squared(_matrix(block, names), x)
-                gap = np.abs(block["to_pivot"].to_numpy()[:, None] - pivot_distance)
-                d2[gap > block["bound"].to_numpy()[:, None]] = np.inf
-                best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(block)), best.shape[1])
-                cols = best.ravel()
-                ok = np.isfinite(d2[rows, cols])
-                rows, cols = rows[ok], cols[ok]
-                out.append(
-                    pd.DataFrame(
-                        {key: block[key].to_numpy()[rows], "d2": d2[rows, cols], "other": ids[cols], target: y[cols]}
-                    )
-                )
+            have = _ranked(have, key, target)
+            ids, y = have[key].to_numpy(), have[target].to_numpy(dtype="float64")
+            own = ask[key].to_numpy()
+            blocks = Blocks(_matrix(have, names), k)
+            for q, n, d2 in blocks.search(_matrix(ask, names), ask["bound"].to_numpy()):
+                out.append(pd.DataFrame({key: own[q], "d2": d2, "other": ids[n], target: y[n]}))
         return pd.concat(out) if out else pd.DataFrame({key: [], "d2": [], "other": [], target: []})
 
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, empty)
+    homes = assign_cells(queries, features, centres).withColumnRenamed("radius", "to_pivot").withColumn("bound", F.lit(0.0))
+    bounded = meet(cut_lineage(slice_visits(homes, cuts)), False).applyInPandas(reach, f"{asked}, _bound double")
+    visits = cut_lineage(slice_visits(visit_plan(bounded, features, centres, summary, k, "_bound"), cuts))
+    found = meet(visits, True).applyInPandas(search, empty)
     best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "other", target))), 1, k)
     return found.groupBy(key).agg(best.alias("_near")).select(key, F.inline("_near"))
 

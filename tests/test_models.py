@@ -189,6 +189,54 @@ def test_the_share_of_compared_pairs_falls(spark):
     assert compared_share(spark, "/root/testdata/sf0.01") < 0.5 * compared_share(spark, "/root/testdata/sf0.001")
 
 
+def test_a_query_learns_its_bound_from_its_own_cell(spark, monkeypatch):
+    plan, visits = N.visit_plan, []
+
+    def spy(queries, features, pivots, summary, k, known=None):
+        out = plan(queries, features, pivots, summary, k, known)
+        loose = plan(queries.drop(known) if known else queries, features, pivots, summary, k)
+        visits.append((out.count(), loose.count()))
+        return out
+
+    monkeypatch.setattr(N, "visit_plan", spy)
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.normal(size=2)), float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, y double")
+    assert N.nearest(df, df.filter("id % 10 = 0"), "id", ["a", "b"], "y", 3).filter("id = other AND d2 = 0").count() == 300
+    assert [tight < 0.7 * loose for tight, loose in visits] == [True]
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_blocks_compare_few_rows_and_lose_none(far, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 30, size=(4000, 3)).astype(float)
+    x[1000:2300] = [7, 7, 7]  # a place with far more than k rows
+    q = np.concatenate([x[::25], rng.normal(15, 12, size=(100, 3))])
+    limit = np.where(np.arange(len(q)) % 3 == 0, 1.5, np.inf)
+    if far:
+        x, q = x + 1e9, q + 1e9
+    compared, count = N.Blocks._to_rows, []
+    monkeypatch.setattr(N.Blocks, "_to_rows", lambda self, a, b: count.append(len(a) * N.LEAF) or compared(self, a, b))
+    monkeypatch.setattr(N, "BLOCK", 5000)
+    got = {}
+    for at, row, d2 in N.Blocks(x, 9).search(q, limit):
+        for a, r, d in zip(at.tolist(), row.tolist(), d2.tolist()):
+            got.setdefault(a, []).append((d, r))
+    for i in range(len(q)):
+        near = sorted(zip(((q[i] - x) ** 2).sum(axis=1).tolist(), range(len(x))))[:9]
+        assert got.get(i, []) == [n for n in near if n[0] <= limit[i] ** 2]
+    assert sum(count) < 0.15 * len(q) * len(x)
+
+
+def test_neighbours_of_places_far_from_the_origin(spark):
+    rows = [(i, 1e9 * (i % 3) + i % 40 / 8.0, i % 7 / 4.0, float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, y double")
+    got = N.nearest(df, df.filter("id % 9 = 0"), "id", ["a", "b"], "y", 2, 40).groupBy("id").agg(F.array_sort(F.collect_list("other")))
+    for q, found in got.collect():
+        near = sorted(((rows[q][1] - r[1]) ** 2 + (rows[q][2] - r[2]) ** 2, r[0]) for r in rows)[:2]
+        assert found == sorted(r for _, r in near)
+
+
 def test_neighbours_with_nulls_and_text_keys(spark):
     rows = [(f"k{i:02d}", float(i), None if i == 3 else 1.0, float(i)) for i in range(40)] + [("x", 5.0, 1.0, None)]
     train = spark.createDataFrame(rows, "id string, a double, b double, y double")

@@ -22,6 +22,7 @@ from cairn.plans.registry import query
 from cairn.sources.scratch import cut_lineage, scratch_path
 
 RETAIL_COLUMNS = [*X.RETAIL_FEATURES, "Sales_mean", "sales_median", "sales_max", "sales_min", "promotion_time", "buying"]
+FIT_ROWS = 4096  # of a task that fits on pixels
 BASKET_COLUMNS = ["FinelineNumber", "Upc", "Department", "ScanCount", "Count", "WeekdayNumber", *X.BASKET_RATIOS]
 
 
@@ -219,16 +220,22 @@ def repeated_holdout_report(spark, d):
 
 @query("score_pixels")
 def score_pixels(spark, d):
-    """Class of every pixel of every image, from a classifier fitted on drawn labelled pixels."""
-    vectors = G.pixel_vectors(V.pixels(spark, d), V.BANDS)
+    """Class of every pixel of every image, from a classifier fitted on drawn labelled pixels.
+
+    Vectors, labelled pixels and drawn rows are written and read back: no job plans again what comes before them.
+    Spark's multinomial fit goes wrong where a task holds more than one block of rows (1 MB, about 14,000 of these).
+    """
+    vectors = cut_lineage(G.pixel_vectors(V.pixels(spark, d), V.BANDS))
     places = F.concat_ws("|", "ImageId", "ClassType", "y", "x").alias("place")
-    marked = G.labelled_pixels(mask_of(spark, d), vectors).select("ClassType", "bands", places)
-    drawn = draw_with_replacement(marked, "ClassType", "place", 10_000, 3)
+    marked = cut_lineage(G.labelled_pixels(mask_of(spark, d), vectors).select("ClassType", "bands", places))
+    drawn = cut_lineage(draw_with_replacement(marked, "ClassType", "place", 10_000, 3))
     top = float(fit_row(vectors, {"top": F.max(F.array_max("bands"))})["top"] or 1)
     scaled = F.transform("bands", lambda b: b / top)
     drawn = drawn.withColumn("label", F.col("ClassType") - 1.0).withColumn("bands", scaled)
     rows = L.assemble_array(vectors.withColumn("bands", scaled), "bands", ["ImageId", "y", "x"])
-    with L.cached(L.assemble_array(drawn, "bands", ["label"])) as (fit,):
+    tasks = -(-drawn.count() // FIT_ROWS) or 1
+    spread = drawn.repartition(tasks, "ClassType", "draw")
+    with L.cached(L.assemble_array(spread, "bands", ["label"])) as (fit,):
         fitted = L.logistic(fit.count(), iterations=10, weighted=False).fit(fit)
     scored = fitted.transform(rows)
     return scored.select("ImageId", "y", "x", (F.col("prediction") + 1).cast("int").alias("ClassType"))

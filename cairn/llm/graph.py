@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.sources.scratch import cut_lineage
+from cairn.sources.scratch import cut_lineage, discard, passing
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round hangs every larger neighbour on the smallest one, then every smaller neighbour; the
     number of rounds grows with the logarithm of the longest path. Only links move, minima are
-    combined before the shuffle, and each round is written to the shared folder.
+    combined before the shuffle, and each round is written to the shared folder, where it replaces the last.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     pairs = cut_lineage(
@@ -22,20 +22,23 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     mark = _mark(pairs)
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written, so that the join shuffles both sides afresh and a node with very many links can be split.
-        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.filter("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                    F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-                )
-            ).alias("x")
-        )
-        pairs = cut_lineage(small.select("x.u", "x.v").filter("u <> v").distinct())
+        with passing() as kept:
+            # Written, so that the join shuffles both sides afresh and a node with very many links can be split.
+            least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = cut_lineage(large.filter("u <> v").distinct())
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(
+                F.explode(
+                    F.array(
+                        F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                        F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
+                    )
+                ).alias("x")
+            )
+            later = kept(small.select("x.u", "x.v").filter("u <> v").distinct())
+        discard(pairs)
+        pairs = later
         now = _mark(pairs)
         if now == mark:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import fresh, table
 from cairn.llm.graph import components
-from cairn.sources.scratch import cut_lineage
+from cairn.sources.scratch import cut_lineage, discard, passing
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -194,10 +194,12 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     if most > 5:
         raise ValueError("two of three segments with two errors or fewer cover five bits at most")
     star = cut_lineage(_stars(fps, most).distinct())
-    grouped = fps.join(components(star, "a", "b"), F.col("fp") == F.col("node"), "left").select(
-        "fp", F.coalesce("root", "fp").alias("root")
-    )
-    keys = keyed(cut_lineage(grouped), "root").repartition("key")  # both sides of the join read one shuffle
+    with passing() as kept:
+        grouped = fps.join(components(star, "a", "b"), F.col("fp") == F.col("node"), "left").select(
+            "fp", F.coalesce("root", "fp").alias("root")
+        )
+        grouped = kept(grouped)
+    keys = keyed(grouped, "root").repartition("key")  # both sides of the join read one shuffle
     one = keys.select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     two = keys.select(F.col("key").alias("other"), F.col("fp").alias("b"), F.col("root").alias("rb"))
     rest = one.join(
@@ -233,7 +235,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 #: Texts, and shingles of each, in the sample that tells common shingles from rare ones.
 SAMPLE_TEXTS = 4000
 SAMPLE_SHINGLES = 1000
-#: Longs of a text's parity bits: beside its shingles, and in its signature.
+#: Longs of a text's parity bits: beside its shingles, and in its signature at least.
 PARITY_LONGS = 4
 SIGNATURE_LONGS = 32
 #: Slots of the mask that thins out texts before their join.
@@ -259,6 +261,19 @@ def parity(hashes: np.ndarray, longs: int = PARITY_LONGS) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """The number of hashes and their parity bits, at least one for each hash: of fewer, unlike sets differ in half."""
+    longs = max(SIGNATURE_LONGS, 1 << max(0, len(hashes) - 1).bit_length() >> 6)
+    return np.r_[len(hashes), parity(hashes, longs)].tobytes()
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many parity bits two sets differ, in as many as the shorter of the two has."""
+    longs = min(len(x), len(y))  # a power of two, so the bits of fewer residues are those of the longer one folded
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, longs), axis=0) for v in (x, y))
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
 def _common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that three or more sampled texts have, and how many have them."""
 
@@ -292,7 +307,7 @@ def _texts(docs: DataFrame, size: int, least: float) -> DataFrame:
                 one = shingle_set(t.as_py(), size)
                 fps.append(simhash(shingle_hashes(t.as_py(), 4)))
                 bits.append(parity(one))
-                signatures.append(np.r_[len(one), parity(one, SIGNATURE_LONGS)].tobytes())
+                signatures.append(signature(one))
                 one = one if len(one) else np.zeros(1, np.uint64)
                 often = np.zeros(len(one), np.int64)
                 if len(common):
@@ -326,15 +341,23 @@ def _texts(docs: DataFrame, size: int, least: float) -> DataFrame:
     return cut_lineage(found.withColumn("node", F.monotonically_increasing_id()).drop("tid"))
 
 
-def _may_be_similar(x: Callable[[str], Column], y: Callable[[str], Column], least: float) -> Column:
-    """Whether two postings of one shingle leave room for Jaccard ``least``, if it's the first that both have.
+def _need(x: Callable[[str], Column], y: Callable[[str], Column], least: float) -> Column:
+    """So many shingles two texts with Jaccard ``least`` have in common."""
+    return F.ceil((x("n") + y("n")) * (least / (1 + least)) - 1e-9)
 
-    By what follows the shingle in each text, which bounds the lengths too, and by the parity bits.
-    """
-    need = F.ceil((x("n") + y("n")) * (least / (1 + least)) - 1e-9)
-    after = F.least(x("n") - x("pos"), y("n") - y("pos"))
+
+def _parities_allow(x: Callable[[str], Column], y: Callable[[str], Column], least: float) -> Column:
+    """Whether the parity bits of two texts leave room for Jaccard ``least``."""
     apart = sum((F.bit_count(x(b).bitwiseXOR(y(b))) for b in BITS), F.lit(0))
-    return (after >= need) & (apart <= x("n") + y("n") - 2 * need)
+    return apart <= x("n") + y("n") - 2 * _need(x, y, least)
+
+
+def _early(x: Callable[[str], Column], y: Callable[[str], Column], least: float) -> Column:
+    """Whether a shingle's places leave room for Jaccard ``least``, if it's the first that both texts have.
+
+    By what follows it in each text, which bounds the lengths too.
+    """
+    return F.least(x("n") - x("pos"), y("n") - y("pos")) >= _need(x, y, least)
 
 
 def _shared(texts: DataFrame) -> DataFrame:
@@ -351,12 +374,13 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
     """(a, b): texts whose fingerprints link by their Golay keys, and each text with the first of its fingerprint."""
-    fps = cut_lineage(texts.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
-    near = links(fps.select("fp", "copies"))
-    same = texts.select("fp", "node").join(fps, "fp").filter(F.col("node") != F.col("rep"))
-    ends = [fps.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in ("a", "b")]
-    met = near.join(ends[0], "a").join(ends[1], "b")
-    return met.select(*_ordered("rep_a", "rep_b")).union(same.select(*_ordered("node", "rep")))
+    with passing() as kept:
+        fps = cut_lineage(texts.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
+        near = links(fps.select("fp", "copies"))
+        same = texts.select("fp", "node").join(fps, "fp").filter(F.col("node") != F.col("rep"))
+        ends = [fps.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in ("a", "b")]
+        met = near.join(ends[0], "a").join(ends[1], "b")
+        return kept(met.select(*_ordered("rep_a", "rep_b")).union(same.select(*_ordered("node", "rep"))))
 
 
 def _star_pairs(shared: DataFrame, least: float) -> DataFrame:
@@ -365,7 +389,9 @@ def _star_pairs(shared: DataFrame, least: float) -> DataFrame:
     hubs = shared.groupBy("token").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"))
     met = shared.join(hubs.hint("merge"), "token")
     pairs = [
-        met.filter((F.col("node") != F.col(f"{h}.node")) & _may_be_similar(F.col, lambda c, h=h: F.col(f"{h}.{c}"), least))
+        met.filter(F.col("node") != F.col(f"{h}.node"))
+        .filter(_early(F.col, lambda c, h=h: F.col(f"{h}.{c}"), least))
+        .filter(_parities_allow(F.col, lambda c, h=h: F.col(f"{h}.{c}"), least))
         .select(*_ordered("node", f"{h}.node"))
         for h in ("lo", "hi")
     ]
@@ -373,18 +399,32 @@ def _star_pairs(shared: DataFrame, least: float) -> DataFrame:
 
 
 def _cross_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b): all texts of different groups that share a first shingle and may be similar."""
+    """(a, b): all texts of different groups that share enough first shingles and may be similar.
+
+    Of the first shingles of the text whose last one comes first in the order, all that the other text has are
+    among that one's first ones too. So two similar texts share all but those that the similarity leaves to one
+    alone: a share of the length, where unlike texts share one or two. Only the counts of pairs are shuffled.
+    """
     grouped = cut_lineage(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    x = grouped.select(*[F.col(c).alias(f"x_{c}") for c in grouped.columns])
-    y = grouped.select(*[F.col(c).alias(f"y_{c}") for c in grouped.columns])
-    pairs = x.join(
-        y.hint("merge"),
-        (F.col("x_token") == F.col("y_token"))
-        & (F.col("x_node") > F.col("y_node"))
-        & (F.col("x_root") != F.col("y_root"))
-        & _may_be_similar(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), least),
+    one = grouped.select(*[F.col(c).alias(f"x_{c}") for c in grouped.columns])
+    two = grouped.select(*[F.col(c).alias(f"y_{c}") for c in grouped.columns])
+    x, y = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
+    need = _need(x, y, least)
+    met = one.join(
+        two.hint("merge"),
+        (x("token") == y("token"))
+        & (x("node") > y("node"))
+        & (x("root") != y("root"))
+        & (F.least(x("n"), y("n")) >= need)
+        & _parities_allow(x, y, least),
     )
-    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    # The number of first shingles is prefix_length(n, least).
+    wanted = need + 1 - F.ceil(F.greatest(x("n"), y("n")) * least - 1e-9)
+    pairs = met.select(
+        x("node").alias("a"), y("node").alias("b"), wanted.cast("int").alias("wanted"), _early(x, y, least).alias("early")
+    )
+    counts = pairs.groupBy("a", "b", "wanted").agg(F.count("*").alias("met"), F.max("early").alias("early"))
+    return counts.filter("met >= wanted AND early").select("a", "b")
 
 
 def _in_mask(wanted: DataFrame) -> Callable[[Column], Column]:
@@ -452,8 +492,7 @@ def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def test(x: np.ndarray, y: np.ndarray) -> bool:
         n = int(x[0] + y[0])
-        apart = int(np.bitwise_count((x[1:] ^ y[1:]).view(np.uint64)).sum())
-        return apart <= n - 2 * math.ceil(n * (least / (1 + least)) - 1e-9)
+        return bits_apart(x[1:], y[1:]) <= n - 2 * math.ceil(n * (least / (1 + least)) - 1e-9)
 
     return _held(pairs, texts.select("node", "signature"), test, np.int64)
 
@@ -468,6 +507,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return _held(pairs, sets, test, np.uint64)
 
 
+def _linked(docs: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
+    """The (a, b) of the pairs whose texts are similar: by signatures first, then exactly."""
+    with passing() as kept:
+        near = cut_lineage(_possible(pairs, texts, least))
+        return kept(_similar(near, _sets(docs, texts, near, size), least))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """(node, first, tkey, root) of the different texts of (doc_id, text).
 
@@ -480,15 +526,16 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     similarity out.
     """
     texts = _texts(docs, size, least)
-    shared = _shared(texts)
-    named = _fingerprint_pairs(texts).union(_star_pairs(shared, least)).distinct()
-    stars = cut_lineage(_possible(named, texts, least))
-    linked = cut_lineage(_similar(stars, _sets(docs, texts, stars, size), least))
-    crossing = cut_lineage(_cross_pairs(shared, components(linked, "a", "b"), least))
-    rest = cut_lineage(_possible(crossing, texts, least))
-    found = linked.union(_similar(rest, _sets(docs, texts, rest, size), least))
-    roots = components(found, "a", "b")
-    return texts.join(roots, "node", "left").select(
+    with passing() as kept:
+        shared = _shared(texts)
+        slim = kept(texts.drop("firsts"))
+        discard(texts)
+        named = _fingerprint_pairs(slim).union(_star_pairs(shared, least)).distinct()
+        linked = _linked(docs, slim, named, size, least)
+        crossing = _cross_pairs(shared, components(linked, "a", "b"), least)
+        found = linked.union(_linked(docs, slim, crossing, size, least))
+        roots = kept(components(found, "a", "b"))
+    return slim.join(roots, "node", "left").select(
         "node", "first", "tkey", F.coalesce("root", "node").alias("root")
     )
 
@@ -499,17 +546,19 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Null texts count as empty ones. Ids that are null come last.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    groups = similar_groups(df.select(F.col(doc_id).alias("doc_id"), whole.alias("text")))
     best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node", "tkey")).alias("best")
-    id_, key, own = (fresh(df) for _ in range(3))
-    keepers = groups.groupBy("root").agg(best).select(
-        F.col("best.first").alias(id_), F.col("best.tkey").alias(key)
-    )
+    with passing() as kept:
+        groups = similar_groups(df.select(F.col(doc_id).alias("doc_id"), whole.alias("text")))
+        keepers = kept(groups.groupBy("root").agg(best).select("best.first", "best.tkey").distinct())
+    own, other = fresh(df), fresh(df)
+    keys = keepers.select(F.struct("first", F.coalesce("tkey", F.lit(0)).alias("tkey")).alias(other))
+    # One column of one type as key, also with null ids: texts are shuffled once, for the copies and the join.
+    # A semi join would be moved below the copies, where a row that comes very often is in one task.
     return (
-        df.withColumn(own, F.xxhash64(whole))
-        .dropDuplicates([doc_id, own])
-        .join(keepers, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left_semi")
-        .drop(own)
+        df.withColumn(own, F.struct(F.col(doc_id).alias("first"), F.xxhash64(whole).alias("tkey")))
+        .dropDuplicates([own])
+        .join(keys, F.col(own) == F.col(other))
+        .drop(own, other)
     )
 
 

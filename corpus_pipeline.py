@@ -11,7 +11,7 @@ from cairn.llm.packing import pack, word_lengths
 from cairn.llm.quality import keep
 from cairn.llm.simhash import drop_near_duplicates
 from cairn.llm.substring import drop_repeats
-from cairn.sources.scratch import cut_lineage
+from cairn.sources.scratch import discard, passing
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = cut_lineage(docs)
-    return docs
+    *first, last = (stage for _, stage in STAGES)
+    for stage in first:
+        with passing() as kept:
+            later = kept(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = later
+    return last(spark, docs, sf_dir)

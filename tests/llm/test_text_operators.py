@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import time
 from array import array
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import bpe, credentials, packing, pii, quality, queries, simhash, substring
 from cairn.llm.common import fresh
+from cairn.sources import scratch
 
 
 @pytest.fixture(scope="module")
@@ -287,6 +290,77 @@ def test_one_of_each_near_copy_group_stays(spark):
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_stage_leaves_one_small_table_behind(spark):
+    """Tables that no later step reads are deleted; the result doesn't depend on them."""
+    folder = scratch.scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    kept = simhash.drop_near_duplicates(docs(spark, odd_rows(3)))
+    left = set(os.listdir(folder)) - before
+    assert len([x for x in left if x.startswith("table-")]) == 1
+    assert kept.count() == kept.count() > 0
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """A table's rows are read back from the folder, so the shuffle that made them isn't kept."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", files.getAllFiles().mkString(" ")))
+    before, setting = shuffles(), spark.conf.get(scratch.FREE_SHUFFLES)
+    made = scratch.cut_lineage(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.collect_list("id").alias("ids")))
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert made.count() == 700 and spark.conf.get(scratch.FREE_SHUFFLES) == setting
+
+
+def test_only_tables_written_inside_go(spark):
+    there = lambda t: bool(t.inputFiles()) and all(os.path.exists(f.removeprefix("file://")) for f in t.inputFiles())
+    before = scratch.cut_lineage(spark.range(3))
+    with scratch.passing() as outer:
+        with scratch.passing() as inner:
+            gone, middle = scratch.cut_lineage(spark.range(4)), inner(spark.range(5))
+        assert there(middle) and not there(gone)
+        stays = outer(middle)
+    assert not there(middle) and there(before) and stays.count() == 5 and before.count() == 3
+    scratch.discard(spark.read.parquet(stays.inputFiles()[0]))  # no table of cut_lineage's
+    assert there(stays)
+    scratch.discard(stays)
+    assert not there(stays)
+
+
+def test_long_texts_that_share_a_passage_are_not_compared_whole(spark, monkeypatch):
+    """Unlike texts of any length are ruled out by counts and parity bits; near copies of them aren't."""
+    rng = random.Random(9)
+    passage = "one rare passage of nine words that many share"
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(6000)) + f" {passage}" for _ in range(24)]
+    words = texts[0].split()
+    words[100:1500:100] = [f"new{k}" for k in range(14)]
+    rows = [*enumerate(texts), (100, " ".join(words))]
+    compared, similar = [], simhash._similar
+
+    def counted(pairs, sets, least):
+        compared.append(pairs.count())
+        return similar(pairs, sets, least)
+
+    monkeypatch.setattr(simhash, "_similar", counted)
+    assert kept_ids(spark, rows) == set(range(24))
+    assert sum(compared) <= 1
+
+
+@given(st.integers(0, 9000), st.integers(0, 9000), st.integers(0, 9000))
+@settings(deadline=None, max_examples=40)
+def test_sets_differ_at_least_as_much_as_their_signatures(shared, left, right):
+    rng = np.random.default_rng(shared + left + right)
+    one, two, three = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (shared, left, right))
+    x, y = np.unique(np.r_[one, two]), np.unique(np.r_[one, three])
+    bits = [np.frombuffer(simhash.signature(v), np.int64)[1:] for v in (x, y)]
+    assert all(len(b) * 64 >= len(v) for b, v in zip(bits, (x, y)))
+    apart, fewer = simhash.bits_apart(*bits), min(map(len, bits))
+    assert apart <= len(np.setxor1d(x, y))
+    want = np.bitwise_count((simhash.parity(x, fewer) ^ simhash.parity(y, fewer)).view(np.uint64)).sum()
+    assert apart == simhash.bits_apart(*bits[::-1]) == want
+
+
 def test_below_the_similarity_nothing_goes(spark):
     text = odd_rows(5)[2][1].split()
     other = [w if k % 9 else f"o{k}" for k, w in enumerate(text)]

@@ -36,9 +36,13 @@ def tiled(runs: DataFrame, tile: int = TILE, name: str = "tile") -> DataFrame:
 
 
 def intersected(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Runs that two masks of disjoint runs share, cut at the edges of tiles."""
+    """Runs that two masks of disjoint runs share, cut at the edges of tiles.
+
+    Spark's size estimate doesn't know how many runs a polygon's ``explode`` makes: the join asks for a merge,
+    so that neither mask is collected and broadcast.
+    """
     other = tiled(b).withColumnsRenamed({"x0": "_x0", "x1": "_x1"})
-    met = tiled(a).join(other, [*keys, "y", "tile"])
+    met = tiled(a).join(other.hint("merge"), [*keys, "y", "tile"])
     both = met.withColumns({"x0": F.greatest("x0", "_x0"), "x1": F.least("x1", "_x1")})
     return both.filter("x0 <= x1").select(*keys, "y", "x0", "x1")
 

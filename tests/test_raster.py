@@ -152,6 +152,16 @@ def test_labelled_pixels_broadcast_no_side(spark):
     assert {(r.ClassType, r.y, r.x, r.value) for r in got.collect()} == want
 
 
+def test_shared_runs_broadcast_no_side(spark):
+    """Neither mask is collected, however small Spark takes it for."""
+    a, b = (
+        M.merged(spark.createDataFrame(rows, "k string, y int, x0 int, x1 int"), ["k"])
+        for rows in ([("a", 1, 0, 200), ("b", 1, 3, 4)], [("a", 1, 60, 70), ("a", 1, 199, 300), ("a", 2, 0, 9)])
+    )
+    assert merge_only(M.intersected(a, b, ["k"])) and merge_only(M.overlap(a, b, ["k"], ["k"]))
+    assert {(r.k, r.both, r.either) for r in M.overlap(a, b, ["k"], ["k"]).collect()} == {("a", 13, 311), ("b", 0, 2)}
+
+
 def test_vectors_under_a_mask_broadcast_no_side(spark):
     mask, values = exploded(spark)
     bands = values.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(1))))
